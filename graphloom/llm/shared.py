@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from tempfile import gettempdir
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def crc_fold(key: str | Column, folds: int) -> Column:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about limit bytes of the text column each; a longer single text has its own slice."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:
