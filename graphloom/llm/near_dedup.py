@@ -6,7 +6,8 @@ of its minwise tokens: a node holds the representatives whose first 1, 2, 4, ...
 Nodes of few members are compared exhaustively, larger ones branch further. Members are first compared with
 the smallest id of their node; pairs that this has already connected need no second look, so a large group of
 near copies costs a link each and not all pairs. Nodes that are large at the last depth and still hold several
-components have the members outside the largest component compared with all members, dealt out by salt.
+components have their members compared with a few hubs, for some rounds; then the members that are still outside
+the largest component are compared with all members, block by block.
 Each candidate is confirmed on its full sets.
 """
 
@@ -28,9 +29,11 @@ PERCENT = 85  # of the union that two linked sets share
 TREES = 16
 DEPTHS = (1, 2, 4, 8)  # tokens that the members of a node share
 SMALL = 16  # members of a node that is compared exhaustively
-COORDINATES = 64  # minwise tokens of a document
-#: Pairs that agree in fewer tokens aren't confirmed. Of 64 at a similarity of 0.85, under 36 has a chance of 1e-8.
-LEAST_SHARED = 36
+COORDINATES = 128  # minwise tokens of a document
+HUB_ROUNDS = 2
+BLOCK = 512  # members of a large node that are compared at once
+#: Pairs that agree in fewer tokens aren't confirmed. Of 128 at a similarity of 0.85, under 92 has a chance of 4e-5.
+LEAST_SHARED = 92
 
 _SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("tokens", T.BinaryType())])
 _MULTIPLIERS = series(COORDINATES, 7)
@@ -109,6 +112,58 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return written(sides.where(alike("x", "y")).select("a", "b"))
 
 
+def _mixed(members: DataFrame, state: DataFrame) -> DataFrame:
+    """The members of nodes that hold several components, with their component."""
+    placed = members.join(state.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
+    return written(placed.join(mixed, "node"))
+
+
+def _hub_pairs(large: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member with a few hubs of its node in other components: the member that is in the largest nodes, and two by hash."""
+    weight = large.groupBy("doc").agg(F.sum("members").alias("weight"))
+    one = F.struct("doc", "component")
+    hubs = large.join(weight, "doc").groupBy("node").agg(F.array(F.max_by(one, F.struct("weight", "doc")), F.max_by(one, F.xxhash64("doc", F.lit(turn))), F.min_by(one, F.xxhash64("doc", F.lit(turn)))).alias("hubs"))
+    pairs = large.join(hubs, "node").select("doc", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+    return pairs.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
+
+
+def _across(large: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The agreeing pairs of members outside their node's largest component with members of its other components.
+
+    Blocks of members meet in one row of a join each, and are compared within the task. A pair that meets in several
+    nodes comes from the first of them.
+    """
+    main = large.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    everywhere = large.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("nodes"))
+    rows = large.join(main, "node").join(everywhere, "doc").join(tokens, "doc")
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")
+    pack = lambda df, name: df.groupBy("node", block).agg(F.collect_list(F.struct("doc", "component", "tokens", "size", "nodes")).alias(name)).drop("block")
+    met = pack(rows.where("component <> main"), "x").join(pack(rows, "y"), "node")
+
+    def compare(batches):
+        for batch in batches:
+            for node, *sides in zip(batch.column("node").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                x, y = ({c: side.values.field(c) for c in ("doc", "component", "tokens", "size", "nodes")} for side in sides)
+                doc, comp, size, sketch = zip(*((s["doc"].to_numpy(), s["component"].to_numpy(), s["size"].to_numpy(), np.frombuffer(b"".join(s["tokens"].to_pylist()), "<u4").reshape(-1, COORDINATES)) for s in (x, y)), strict=True)
+                place = [np.full((len(s["doc"]), TREES), -k, np.int64) for k, s in ((1, x), (2, y))]
+                for p, s in zip(place, (x, y), strict=True):
+                    for i, held in enumerate(s["nodes"].to_pylist()):
+                        for h in held:
+                            p[i, h["tree"]] = h["node"]
+                found = []
+                for i in range(len(doc[0])):
+                    low, high = np.minimum(size[1], size[0][i]), np.maximum(size[1], size[0][i])
+                    other = np.flatnonzero((comp[1] != comp[0][i]) & (100 * low >= percent * high))
+                    alike = other[(sketch[1][other] == sketch[0][i]).sum(1) >= LEAST_SHARED]
+                    same = place[1][alike] == place[0][i]
+                    found.append((i, alike[place[1][alike, same.argmax(1)] == node] if len(alike) else alike))
+                a, b = np.concatenate([np.full(len(j), doc[0][i]) for i, j in found]), np.concatenate([doc[1][j] for _, j in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return met.select("node", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -119,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sketches = written(sketch(docs))
     classes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")))
-    tokens = classes.groupBy("doc").agg(F.first("tokens").alias("tokens"))
+    tokens = classes.groupBy("doc").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"))
 
     level, nodes = _nodes(tokens.withColumn("trees", F.sequence(F.lit(0), F.lit(TREES - 1))), DEPTHS[0]), []
     for depth, following in zip(DEPTHS, (*DEPTHS[1:], None), strict=True):
@@ -137,19 +192,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = _confirmed(written(_agreeing(stars, tokens)), docs, percent)
     state = written(components(links))
 
-    placed = members.where((F.col("members") <= SMALL) | F.col("last")).join(state.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
-    placed = written(placed.join(mixed, "node"))
+    for turn in range(HUB_ROUNDS):
+        large = _mixed(members.where((F.col("members") > SMALL) & F.col("last")), state)
+        if large.isEmpty():
+            break
+        links = written(links.union(_confirmed(written(_agreeing(_hub_pairs(large, turn), tokens)), docs, percent)))
+        state = written(components(links))
+
+    placed = _mixed(members.where((F.col("members") <= SMALL) | F.col("last")), state)
     small = placed.where(F.col("members") <= SMALL).select("node", "doc", "component")
     rest = small.alias("p").join(small.alias("q"), "node").where("p.doc < q.doc and p.component <> q.component").select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"))
-    large = placed.where(F.col("members") > SMALL).select("node", "doc", "component")
+    rest = _agreeing(rest.distinct(), tokens)
+    large = placed.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        main = large.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        salts = 32
-        outside = large.join(main, "node").where("component <> main").select("node", F.col("doc").alias("a"), F.col("component").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        dealt = large.select("node", F.col("doc").alias("b"), F.col("component").alias("d"), F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int").alias("salt"))
-        rest = rest.union(outside.join(dealt, ["node", "salt"]).where("c <> d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    rest = written(_agreeing(rest.distinct(), tokens))
+        rest = rest.union(_across(large, tokens, percent))
+    rest = written(rest.distinct())
     if not rest.isEmpty():
         state = written(components(links.union(_confirmed(rest, docs, percent))))
 
