@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -50,7 +56,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {"op2_personal_data": op2_personal_data, "op3_html_text": op3_html_text, "op4_near_dedup": op4_near_dedup, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_personal_data": op2_personal_data, "op3_html_text": op3_html_text, "op4_near_dedup": op4_near_dedup, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL = {
     "op9_top_k": """
