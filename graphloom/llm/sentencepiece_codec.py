@@ -93,7 +93,7 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
-def build(model: dict):
+def build(model: dict, cached: int = 10_000):
     """A tokenizers.Tokenizer that encodes as the parsed model says."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -102,7 +102,7 @@ def build(model: dict):
     if model["model"] == UNIGRAM:
         core = models.Unigram([(t, s) for t, s, _ in pieces], unk_id=unknown, byte_fallback=model["byte_fallback"])
     elif model["model"] == BPE:
-        core = models.BPE(vocab={t: i for i, (t, _, _) in enumerate(pieces)}, merges=_merges(pieces), unk_token=pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=200_000)
+        core = models.BPE(vocab={t: i for i, (t, _, _) in enumerate(pieces)}, merges=_merges(pieces), unk_token=pieces[unknown][0] if unknown is not None else None, fuse_unk=True, byte_fallback=model["byte_fallback"], cache_capacity=cached)
     else:
         raise ValueError(f"no backend for a model of type {model['model']}")
     tokenizer = Tokenizer(core)
@@ -136,7 +136,7 @@ class Codec:
     each distinct segment is encoded once, checked against the sentencepiece library and decoded again.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -147,10 +147,10 @@ class Codec:
         self.by_segment = self.tokenizer.pre_tokenizer is not None
         self.plain = not model["rules"] and not model["squeeze"] and model["dummy_prefix"]
         if self.by_segment:
-            self.core = build(model)
+            self.core = build(model, 0)
             self.core.encode_special_tokens = True
             self.core.normalizer = self.core.pre_tokenizer = None
-        self.remembered, self.segments = remembered, {}
+        self.remembered, self.segments, self.differing, self.lossy = remembered, {}, set(), set()
         for text in PROBES:
             if self.tokenizer.encode(text, add_special_tokens=False).ids != self.own.encode(text):
                 raise ValueError(f"the backend differs from the model's own library on {text!r}")
@@ -162,29 +162,30 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         ids = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
-        back = self.own.decode(ids)
         plain = [s[len(SPACE) :].replace(SPACE, " ") if s.startswith(SPACE) else s.replace(SPACE, " ") for s in new]
-        own = self.own.encode(plain, num_threads=1)
-        for s, p, i, b, o in zip(new, plain, ids, back, own, strict=True):
-            self.segments[s] = (tuple(i), i == o, b == p)
+        own, back = self.own.encode(plain, num_threads=1), self.own.decode(ids)
+        self.segments.update((s, array("i", i).tobytes()) for s, i in zip(new, ids, strict=True))
+        self.differing.update(s for s, i, o in zip(new, ids, own, strict=True) if i != o)
+        self.lossy.update(s for s, p, b in zip(new, plain, back, strict=True) if p != b)
 
-    def encode(self, texts: list[str]) -> list[tuple[array, bool, bool]]:
-        """By text: its ids, whether the sentencepiece library gives the same, and whether they decode to the text.
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """By text: its ids as 4-byte integers, whether the sentencepiece library gives the same, and whether they decode to the text.
 
         A literal space marker decodes to a space, as in the library; such a text isn't restored.
         """
         if not self.by_segment:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return [(array("i", i), i == o, b == t) for t, i, o, b in zip(texts, ids, self.own.encode(texts), self.decode(ids), strict=True)]
+            return [(array("i", i).tobytes(), i == o, b == t) for t, i, o, b in zip(texts, ids, self.own.encode(texts), self.decode(ids), strict=True)]
         if len(self.segments) > self.remembered:
-            self.segments.clear()
+            self.segments, self.differing, self.lossy = {}, set(), set()
         cut = [_SEGMENT.findall(self._normal(t)) for t in texts]
         if new := list(set(chain.from_iterable(cut)) - self.segments.keys()):
             self._learn(new)
         out = []
         for text, segments in zip(texts, cut, strict=True):
-            found = [self.segments[s] for s in segments]
-            out.append((array("i", chain.from_iterable(f[0] for f in found)), all(f[1] for f in found), all(f[2] for f in found) and (self.plain and SPACE not in text or not self.plain and self.decode([[i for f in found for i in f[0]]])[0] == text)))
+            ids = b"".join(map(self.segments.__getitem__, segments))
+            whole = SPACE not in text if self.plain else self.decode([array("i", ids).tolist()])[0] == text
+            out.append((ids, self.differing.isdisjoint(segments), whole and self.lossy.isdisjoint(segments)))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -205,11 +206,11 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches):
-        for batch in text_pieces(batches, "text"):
+        for batch in text_pieces(batches, "text", 2 << 20):
             rows = codec(model).encode([t or "" for t in batch.column("text").to_pylist()])
-            ends = pa.array([0, *accumulate(len(r[0]) for r in rows)], pa.int32())
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(r[0].tobytes() for r in rows), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r[0]) for r in rows], pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "token_ids", "parity", "round_trip"])
+            sizes = [len(r[0]) // 4 for r in rows]
+            ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "token_ids", "parity", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, parity boolean, round_trip boolean")
 
