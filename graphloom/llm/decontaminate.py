@@ -3,7 +3,7 @@
 Texts become words (runs of letters and digits, lower case) and 5-word shingles. A window of a document is as long as
 an item of the benchmark. Windows whose shingles are all foreign to the benchmark can't resemble an item, so windows
 are formed where a document holds enough of an item's shingles to reach the similarity. Each window and item has a
-64-bit SimHash; the fingerprints are cut into blocks, and a window meets an item where one of their blocks differs in so few
+60-bit SimHash; the fingerprints are cut into blocks, and a window meets an item where one of their blocks differs in so few
 bits that no pair within the radius is missed. The pairs within the radius are verified: sum of the smaller over sum of
 the larger shingle multiplicities.
 """
@@ -19,9 +19,9 @@ from .shared import small_side, written
 
 WIDTH = 5  # words in a shingle
 SIMILARITY = 0.8
-RADIUS = 23  # bits; at a similarity of 0.8 the expected distance is 10, with a deviation of 3
-BLOCKS = 4
-BITS = 64 // BLOCKS
+RADIUS = 19  # bits; at a similarity of 0.8 the expected distance of 60 bits is 9.1, with a deviation of 2.8
+BLOCKS = 5
+BITS = 60 // BLOCKS
 _WITHIN = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BITS), n)]
 
 
@@ -29,14 +29,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
+def shingles(text: Column) -> Column:
     """Hashes of the 5-word shingles in order; of the whole sequence, where it is shorter; none without words."""
-    return F.when(F.size(w) >= WIDTH, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - WIDTH + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, WIDTH)))).when(F.size(w) > 0, F.array(F.xxhash64(w, F.size(w)))).otherwise(F.array().cast("array<long>"))
+
+    def of(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - WIDTH + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(WIDTH))))
+        return F.when(F.size(w) >= WIDTH, every).when(F.size(w) > 0, F.array(F.xxhash64(w, F.size(w)))).otherwise(F.array().cast("array<long>"))
+
+    return F.flatten(F.transform(F.array(words(F.coalesce(text, F.lit("")))), of))  # a text is split once, and not for each shingle
 
 
 def _simhash(rows: DataFrame, *by: str) -> DataFrame:
-    """The 64-bit fingerprint of the shingles h of each group, cut into BLOCKS numbers."""
-    sums = [F.sum(F.bitwise_and(F.shiftrightunsigned("h", b), F.lit(1)) * 2 - 1).alias(f"s{b}") for b in range(64)]
+    """The 60-bit fingerprint of the shingles h of each group, cut into BLOCKS numbers."""
+    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"s{b}") for b in range(BLOCKS * BITS)]
     mixed = rows.withColumn("h", F.xxhash64("h", F.lit(1)))
     counted = mixed.groupBy(*by).agg(*sums)
     block = lambda k: sum((F.when(F.col(f"s{k * BITS + b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(1, BITS)), F.when(F.col(f"s{k * BITS}") > 0, F.lit(1)).otherwise(F.lit(0)))
@@ -50,14 +55,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     without an id have no matches. Documents that repeat a doc_id are told apart by their text and reported under the
     one id; equal items are each reported. Other columns are ignored.
     """
-    items = benchmark.where("item_id is not null").select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).select("item_id", shingles(F.col("w")).alias("hs")).where(F.size("hs") > 0)
+    items = benchmark.where("item_id is not null").select("item_id", shingles(F.col("text")).alias("hs")).where(F.size("hs") > 0)
     items = written(items.dropDuplicates(["item_id", "hs"]).withColumn("item", F.xxhash64("item_id", "hs")).withColumn("n", F.size("hs")))
     of_items = written(items.select("item", "n", F.explode("hs").alias("h")).groupBy("item", "n", "h").agg(F.count("*").alias("times")))
     keys = of_items.groupBy("h").agg(F.collect_list(F.struct("item", "n", "times")).alias("of"))
     n_keys = keys.count()
 
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    placed = texts.select("doc_id", "version", F.posexplode(shingles(words(F.coalesce("text", F.lit(""))))).alias("at", "h"))
+    placed = texts.select("doc_id", "version", F.posexplode(shingles(F.col("text"))).alias("at", "h"))
     hits = written(placed.join(small_side(keys, n_keys), "h").select("doc_id", "version", "at", "h", "of"))
 
     # A window can hold no more of an item's shingles than its document does.
@@ -68,15 +73,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     involved = starts.select("doc_id", "version").distinct()
     whole = texts.join(small_side(involved, hits.count()), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
-    lists = written(whole.select("doc_id", "version", shingles(words(F.coalesce("text", F.lit("")))).alias("hs")))
+    lists = written(whole.select("doc_id", "version", shingles(F.col("text")).alias("hs")))
     windows = starts.join(lists, ["doc_id", "version"]).where(F.col("start") + F.col("n") <= F.size("hs")).select("doc_id", "version", "start", "n", F.slice("hs", F.col("start") + 1, F.col("n")).alias("window"))
     windows = written(windows)
     prints = _simhash(windows.select("doc_id", "version", "start", "n", F.explode("window").alias("h")), "doc_id", "version", "start", "n")
     item_prints = _simhash(items.select("item", "n", F.explode("hs").alias("h")), "item", "n")
 
     each = lambda df, *names: df.select("*", F.posexplode(F.array(*(f"b{k}" for k in range(BLOCKS)))).alias("block", "value"))
-    nearby = each(item_prints).withColumn("mask", F.explode(F.lit(_WITHIN))).select("item", "n", "block", F.bitwise_xor("value", F.col("mask")).alias("value"), *(F.col(f"b{k}").alias(f"c{k}") for k in range(BLOCKS)))
-    distance = sum((F.bit_count(F.bitwise_xor(F.col(f"b{k}"), F.col(f"c{k}"))) for k in range(BLOCKS)), F.lit(0))
+    nearby = each(item_prints).withColumn("mask", F.explode(F.lit(_WITHIN))).select("item", "n", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), *(F.col(f"b{k}").alias(f"c{k}") for k in range(BLOCKS)))
+    distance = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(BLOCKS)), F.lit(0))
     met = each(prints).join(nearby, ["n", "block", "value"]).where(distance <= RADIUS)
     met = met.select("doc_id", "version", "start", "n", "item").distinct()
 
