@@ -1,5 +1,61 @@
-"""The corpus pipeline: documents pass the stages in order, each written as Parquet and reread by the next."""
-STAGES = []
+"""The corpus pipeline: documents pass the stages in order, each written as Parquet and reread by the next.
+
+1. quality: documents that the quality classifier scores below 0.5 go.
+2. near_dedup: of each group of near duplicates the document with the smallest doc_id stays.
+3. decontamination: documents that hold a passage of the benchmark go.
+4. secrets: secrets in the text are replaced by a mark; every document stays.
+5. encoding: texts become token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, near_dedup, quality, secrets, sentencepiece_codec
+from graphloom.llm.shared import crc_fold, small_side, table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score 0.5 or more; the classifier learns from the labels of this stage's own documents, outside its held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    docs = docs.select(*COLUMNS)
+    return quality.scored(docs, quality.fit(docs, labels)).where("score >= 0.5").select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id. Repeated rows of one doc_id count as one; rows without a doc_id stay."""
+    docs = docs.select(*COLUMNS)
+    gone = written(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    left = docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+    return left
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a passage of the benchmark."""
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced."""
+    return secrets.redacted(docs.select(*COLUMNS))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, parity and round_trip of every document."""
+    return sentencepiece_codec.encoded(docs)
+
+
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("secrets", secret_stage), ("encoding", encoding_stage)]
+
+#: The classifier and the token ids can't be expressed in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -49,6 +49,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import raw_transcripts, rendered
+
+    return rendered(raw_transcripts(table(spark, sf_dir, "conversations"))).drop("order")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encoded
 
@@ -62,7 +68,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_personal_data": op2_personal_data, "op3_html_text": op3_html_text, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_personal_data": op2_personal_data, "op3_html_text": op3_html_text, "op4_near_dedup": op4_near_dedup, "op5_decontamination": op5_decontamination, "op6_chat_format": op6_chat_format, "op7_sentencepiece": op7_sentencepiece, "op8_quality": op8_quality, "op9_top_k": op9_top_k, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL = {
     "op9_top_k": """
