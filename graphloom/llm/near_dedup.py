@@ -31,7 +31,7 @@ DEPTHS = (1, 2, 4, 8)  # tokens that the members of a node share
 SMALL = 16  # members of a node that is compared exhaustively
 COORDINATES = 128  # minwise tokens of a document
 HUB_ROUNDS = 2
-BLOCK = 512  # members of a large node that are compared at once
+BLOCK = 256  # members of a large node that are compared at once
 #: Pairs that agree in fewer tokens aren't confirmed. Of 128 at a similarity of 0.85, under 92 has a chance of 4e-5.
 LEAST_SHARED = 92
 
@@ -128,38 +128,54 @@ def _hub_pairs(large: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
 
 
-def _across(large: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The agreeing pairs of members outside their node's largest component with members of its other components.
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, hashes): the full shingle sets of the documents that ids (doc) name."""
 
-    Blocks of members meet in one row of a join each, and are compared within the task. A pair that meets in several
-    nodes comes from the first of them.
+    def of(batches):
+        for batch in pieces(batches, "text"):
+            values, sizes = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], WIDTH)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())], names=["doc", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(small_side(ids, ids.count()), "doc", "left_semi")
+    return written(texts.dropDuplicates(["doc"]).mapInArrow(of, "doc long, hashes binary"))
+
+
+def _across(large: DataFrame, tokens: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of members outside their node's largest component with members of its other components.
+
+    Blocks of members meet in one row of a join each, with their full sets; within the task agreeing pairs are
+    confirmed, so that only links leave it. A pair that meets in several nodes comes from the first of them.
     """
     main = large.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     everywhere = large.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("nodes"))
-    rows = large.join(main, "node").join(everywhere, "doc").join(tokens, "doc")
+    fields = ["doc", "component", "tokens", "hashes", "nodes"]
+    rows = large.join(main, "node").join(everywhere, "doc").join(tokens, "doc").join(_sets(docs, written(large.select("doc").distinct())), "doc")
     block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")
-    pack = lambda df, name: df.groupBy("node", block).agg(F.collect_list(F.struct("doc", "component", "tokens", "size", "nodes")).alias(name)).drop("block")
+    pack = lambda df, name: df.groupBy("node", block).agg(F.collect_list(F.struct(*fields)).alias(name)).drop("block")
     met = pack(rows.where("component <> main"), "x").join(pack(rows, "y"), "node")
 
+    def side(value) -> dict:
+        held = {c: value.values.field(c) for c in fields}
+        place = np.full((len(held["doc"]), TREES), -1, np.int64)
+        for i, nodes in enumerate(held["nodes"].to_pylist()):
+            for h in nodes:
+                place[i, h["tree"]] = h["node"]
+        return {"doc": held["doc"].to_numpy(), "component": held["component"].to_numpy(), "place": place, "sets": [np.frombuffer(h, np.uint64) for h in held["hashes"].to_pylist()], "tokens": np.frombuffer(b"".join(held["tokens"].to_pylist()), "<u4").reshape(-1, COORDINATES)}
+
     def compare(batches):
         for batch in batches:
-            for node, *sides in zip(batch.column("node").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                x, y = ({c: side.values.field(c) for c in ("doc", "component", "tokens", "size", "nodes")} for side in sides)
-                doc, comp, size, sketch = zip(*((s["doc"].to_numpy(), s["component"].to_numpy(), s["size"].to_numpy(), np.frombuffer(b"".join(s["tokens"].to_pylist()), "<u4").reshape(-1, COORDINATES)) for s in (x, y)), strict=True)
-                place = [np.full((len(s["doc"]), TREES), -k, np.int64) for k, s in ((1, x), (2, y))]
-                for p, s in zip(place, (x, y), strict=True):
-                    for i, held in enumerate(s["nodes"].to_pylist()):
-                        for h in held:
-                            p[i, h["tree"]] = h["node"]
-                found = []
-                for i in range(len(doc[0])):
-                    low, high = np.minimum(size[1], size[0][i]), np.maximum(size[1], size[0][i])
-                    other = np.flatnonzero((comp[1] != comp[0][i]) & (100 * low >= percent * high))
-                    alike = other[(sketch[1][other] == sketch[0][i]).sum(1) >= LEAST_SHARED]
-                    same = place[1][alike] == place[0][i]
-                    found.append((i, alike[place[1][alike, same.argmax(1)] == node] if len(alike) else alike))
-                a, b = np.concatenate([np.full(len(j), doc[0][i]) for i, j in found]), np.concatenate([doc[1][j] for _, j in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            for node, *both in zip(batch.column("node").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                x, y = map(side, both)
+                sizes, links = np.array([len(s) for s in y["sets"]]), []
+                for i, own in enumerate(x["sets"]):
+                    fit = (y["component"] != x["component"][i]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+                    for j in np.flatnonzero(fit)[(y["tokens"][fit] == x["tokens"][i]).sum(1) >= LEAST_SHARED]:
+                        same = (x["place"][i] == y["place"][j]) & (x["place"][i] != -1)
+                        if x["place"][i][same.argmax()] == node:
+                            shared = len(np.intersect1d(own, y["sets"][j], assume_unique=True))
+                            if 100 * shared >= percent * (len(own) + sizes[j] - shared):
+                                links.append(sorted((int(x["doc"][i]), int(y["doc"][j]))))
+                yield pa.RecordBatch.from_arrays([pa.array([k[s] for k in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
     return met.select("node", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
@@ -174,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sketches = written(sketch(docs))
     classes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")))
-    tokens = classes.groupBy("doc").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"))
+    tokens = classes.groupBy("doc").agg(F.first("tokens").alias("tokens"))
 
     level, nodes = _nodes(tokens.withColumn("trees", F.sequence(F.lit(0), F.lit(TREES - 1))), DEPTHS[0]), []
     for depth, following in zip(DEPTHS, (*DEPTHS[1:], None), strict=True):
@@ -202,13 +218,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = _mixed(members.where((F.col("members") <= SMALL) | F.col("last")), state)
     small = placed.where(F.col("members") <= SMALL).select("node", "doc", "component")
     rest = small.alias("p").join(small.alias("q"), "node").where("p.doc < q.doc and p.component <> q.component").select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"))
-    rest = _agreeing(rest.distinct(), tokens)
+    rest = written(_agreeing(rest.distinct(), tokens))
+    more = _confirmed(rest, docs, percent)
     large = placed.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        rest = rest.union(_across(large, tokens, percent))
-    rest = written(rest.distinct())
-    if not rest.isEmpty():
-        state = written(components(links.union(_confirmed(rest, docs, percent))))
+        more = written(more.union(_across(large, tokens, docs, percent)))
+    if not more.isEmpty():
+        state = written(components(links.union(more)))
 
     grouped = classes.select("n_shingles", "set_a", "set_b", "doc").join(state.withColumnRenamed("id", "doc"), "doc", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "doc").alias("found"))
     out = sketches.drop("tokens").join(grouped, ["n_shingles", "set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))

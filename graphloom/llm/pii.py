@@ -107,7 +107,7 @@ def trained(spark: SparkSession) -> tuple[object, dict[str, float]]:
     above = W.partitionBy("kind").orderBy(F.desc("p"))
     good = held.withColumn("precision", F.avg("label").over(above)).where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("p").alias("p")).collect()
     rows.unpersist()
-    return model, {k: 1.1 for k in KINDS} | {r["kind"]: max(0.5, r["p"]) for r in good}
+    return model, {k: 1.1 for k in KINDS} | {r["kind"]: max(0.5, r["p"] - 1e-6) for r in good}
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
