@@ -164,6 +164,7 @@ class Codec:
         ids = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
         plain = [s[len(SPACE) :].replace(SPACE, " ") if s.startswith(SPACE) else s.replace(SPACE, " ") for s in new]
         own, back = self.own.encode(plain, num_threads=1), self.own.decode(ids)
+        own = [[self.own.piece_to_id(SPACE)] if s == SPACE else o for s, o in zip(new, own, strict=True)]  # at a text's end; alone it is the empty text
         self.segments.update((s, array("i", i).tobytes()) for s, i in zip(new, ids, strict=True))
         self.differing.update(s for s, i, o in zip(new, ids, own, strict=True) if i != o)
         self.lossy.update(s for s, p, b in zip(new, plain, back, strict=True) if p != b)

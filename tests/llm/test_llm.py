@@ -1,0 +1,318 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy, and on odd input."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphloom.llm import chat, decontaminate, html_wrappers, near_dedup, pii, quality, queries, secrets, sentencepiece_codec, topk, toxicity
+from graphloom.llm.shared import crc_fold, table
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, key string"
+
+
+def docs(spark, texts, ids=None):
+    """Documents with extra columns whose names clash with those that operators use."""
+    rows = [(i, t, "en", "src", len(t or ""), 0.5, "x", "k") for i, t in zip(ids or range(len(texts)), texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", "   \n", "one", "a b c d e f", "a b c d e f", "x" * 5000, "word " * 4000, "\U0001f600 é ñ"]
+
+
+def odd(spark):
+    return docs(spark, ODD + ["null id"], [*range(len(ODD)), None])
+
+
+def random_docs(seed=1, n=60):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(n):
+        base = [r.choice(words) for _ in range(r.randint(6, 120))]
+        out.append(" ".join(base))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            copy = base[:]
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = "changed"
+            out.append(" ".join(copy))
+    return out + out[:5]
+
+
+# 1. secrets
+
+
+def test_secrets_are_found_and_hashes_left_alone(spark):
+    token = hashlib.sha1(b"1").hexdigest()
+    texts = [f'set token = "{token}" and go', f"commit {token} fixed it", "nothing here", f'TOKEN = "{token.upper()}"!!', "key AKIA" + token[:16].upper() + " end", None, 'password = "your_password_here"']
+    found = {(r["doc_id"], r["start"], r["end"]) for r in secrets.scan(docs(spark, texts)).collect()}
+    assert (0, 13, 53) in found and (3, 9, 49) in found and {d for d, *_ in found} <= {0, 3, 4}
+    clean = {r["doc_id"]: r for r in secrets.redacted(docs(spark, texts)).collect()}
+    assert clean[0]["text"] == 'set token = "<SECRET>" and go' and clean[0]["n_chars"] == len(clean[0]["text"])
+    assert clean[1]["text"] == texts[1] and clean[5]["text"] is None and len(clean) == len(texts)
+
+
+def test_secrets_on_odd_rows(spark):
+    assert secrets.scan(odd(spark)).isEmpty() and secrets.redacted(odd(spark)).count() == len(ODD) + 1
+    assert secrets.scan(odd(spark).limit(0)).isEmpty()
+
+
+# 2. personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+
+def base_spans(text):
+    keep = {"email": lambda v, d: True, "ip": lambda v, d: all(int(p) <= 255 for p in v.split(".")), "card": lambda v, d: 13 <= len(d) <= 19 and luhn(d), "phone": lambda v, d: 9 <= len(d) <= 15}
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if keep[k](m[0], re.sub("[^0-9]", "", m[0]))]
+
+
+def test_base_spans_are_those_of_the_contract(spark):
+    r = random.Random(2)
+    parts = ["a.b%c@d.e%f@g.h", "x@y", "1.2.3.4.5.6.7.8", "256.1.1.1", "00001.02.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (803) 555-5351", "+12", "+1+2 345 678 901", "é@a.b", "9" * 30, "a@b.c@d.e", " ", "-", ".", "\n", "\U0001f600"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(1, 12))) for _ in range(300)] + [None, ""]
+    for row in pii.personal_data(docs(spark, texts)).collect():
+        expected = base_spans(texts[row["doc_id"]])
+        assert row["base_sha256"] == hashlib.sha256(",".join(expected).encode()).hexdigest(), texts[row["doc_id"]]
+        assert [row[f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k + ":") for s in expected) for k in PATTERNS]
+        assert set(expected) <= set(row["spans"].split(",") if row["spans"] else [])
+
+
+def test_looser_forms_are_added_only_in_context(spark):
+    texts = ["please call 803-555-5351 now", "write to email: anna.b12 [at] corp [dot] com please", "order 803-555-5351 shipped", "plain words only"]
+    got = {r["doc_id"]: (r["spans"], r["n_added"]) for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert got[0] == ("phone:12:24", 1) and got[1][1] == 1 and got[1][0].startswith("email:16:") and got[2][1] == 0 and got[3] == ("", 0)
+    assert pii.personal_data(odd(spark)).count() == len(ODD) + 1
+
+
+# 3. HTML
+
+PAGE = '<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><a>Home</a></nav><div class="cookie-notice">We use cookies</div><div class="sidebar"><p>Side</p></div><article><h1>T%d &amp; x</h1><p>One<br>two %d</p><p><b>three</p><aside>Aside</aside><div class="ad">Buy</div><form><input>Send</form><script>var a="</p>";</script><ul><li>four<li>five &lt;5&gt;</ul><section id="comments"><article>Reader</article></section></article><footer>Foot</footer>'
+
+
+def test_main_text(spark):
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", PAGE % (i, i)) for i in range(8)] + [(100, None, None), (101, "u", ""), (102, "http://h.example/x", "plain < text"), (103, "http://h.example/1", PAGE % (1, 1))], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_wrappers.main_text(pages.withColumn("host", F.lit("clash")).withColumn("json", F.lit(1))).collect()}
+    for i in range(8):
+        text = f"T{i} & x One two {i} three four five <5>"
+        assert got[i] == (text, len(text))
+    assert got[100] == got[101] == ("", 0) and got[102][0] == "plain < text" and got[103] == got[1]
+
+
+def test_wrapper_has_optional_and_repeated_parts():
+    pages = ["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><h2>z</h2><p>u</p></div>"]
+    wrapper = html_wrappers.merge(*map(html_wrappers.page_tree, pages))
+    assert html_wrappers.expression(wrapper) == "<div><h1>#text </> (<h2>#text </>)? (<p>#text </>)+</>"
+    assert html_wrappers.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_container_stands_in_for_article():
+    pages = [f"<body><div class='top'>Menu of the site</div><div class='story'><p>{'word%d ' % i * 40}</p></div></body>" for i in range(6)]
+    tree = None
+    for p in pages:
+        tree = html_wrappers.merge(tree, html_wrappers.page_tree(p)) if tree else html_wrappers.page_tree(p)
+    g = html_wrappers.guide(tree)
+    assert html_wrappers.extract(pages[2], tuple(g["container"]), frozenset(g["template"])) == " ".join(["word2"] * 40)
+
+
+# 4. near duplicates
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def linked(texts, percent=85):
+    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    texts = random_docs() + ODD
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == linked(texts)
+
+
+def test_large_group_of_near_copies(spark):
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(90):
+        copy = base[:]
+        for _ in range(r.choice([1, 2, 4, 7])):
+            copy[r.randrange(len(copy))] = f"c{k}"
+        texts.append(" ".join(copy))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == linked(texts)
+
+
+def test_near_duplicates_on_odd_rows(spark):
+    out = near_dedup.near_duplicates(odd(spark)).collect()
+    assert len(out) == len(ODD) + 1 and all(r["kept"] for r in out if r["doc_id"] is None)
+    assert near_dedup.near_duplicates(odd(spark).limit(0)).isEmpty()
+
+
+# 5. decontamination
+
+
+def best_windows(texts, items):
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+    out = {}
+    for d, t in enumerate(texts):
+        s = shingles(words(t))
+        for k, item in enumerate(items):
+            c = Counter(shingles(words(item)))
+            n = sum(c.values())
+            for a in range(len(s) - n + 1 if n else 0):
+                shared = sum(min(v, c[x]) for x, v in Counter(s[a : a + n]).items())
+                if shared / (2 * n - shared) >= 0.8:
+                    out[(d, k)] = max(out.get((d, k), 0), round(shared / (2 * n - shared), 6))
+    return out
+
+
+def test_windows_against_brute_force(spark):
+    r = random.Random(3)
+    words = [f"v{i}" for i in range(300)]
+    items = [" ".join(r.choice(words) for _ in range(r.randint(3, 50))) for _ in range(20)]
+    texts = []
+    for item in items * 2:
+        w = item.split()
+        if len(w) > 20 and r.random() < 0.6:
+            w[r.randrange(len(w))] = "edit"
+        texts.append(" ".join([r.choice(words) for _ in range(40)] + w + [r.choice(words) for _ in range(30)]).capitalize())
+    bench = spark.createDataFrame([*enumerate(items), (None, "x y z"), (99, None)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.contaminated(docs(spark, texts + ODD), bench).collect()}
+    assert got == best_windows(texts + ODD, items) and len(got) >= 20
+    dirty = {d for d, _ in got}
+    assert {x["doc_id"] for x in decontaminate.clean(docs(spark, texts + ODD), bench).collect()} == set(range(len(texts) + len(ODD))) - dirty
+
+
+# 6. chat
+
+
+def test_roles_are_recovered(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    got = chat.rendered(chat.raw_transcripts(conversations)).where("turn = 0").join(conversations.select("conv_id", F.col("turn").alias("part"), F.col("role").alias("told"), F.col("text").alias("said")), ["conv_id", "part"])
+    assert got.select(F.avg((F.col("role") == F.col("told")).cast("int"))).first()[0] > 0.97 and got.where(F.col("role") == F.col("told")).where("btrim(content, concat(char(10), char(32))) <> btrim(said, concat(char(10), char(32)))").isEmpty()
+
+
+def test_blocks_give_the_path_of_a_whole_transcript(spark):
+    r = random.Random(4)
+    texts = [r.choice(["User: hi?", "Assistant: yes", "more of it", "please help me?", "- item", ""]) for _ in range(700)]
+    parts = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(None, 0, "User: a"), (2, None, None)], "conv_id long, part long, text string")
+    got = {(x["conv_id"], x["part"]): x["roles"] for x in chat.parsed(parts).collect()}
+    matrices = [chat.part_matrix(t) for t in texts]
+    import numpy as np
+
+    _, after = chat._seams(np.stack(matrices), chat.START, None)
+    before = [-1, *after[:-1]]
+    want = [[chat.ROLES[k] for k, _ in chat.decode_part(t, b, a)] for t, b, a in zip(texts, before, after)]
+    assert [got[(1, i)] for i in range(len(texts))] == want and (None, 0) in got
+
+
+# 7. tokens
+
+
+def test_tokens_are_those_of_the_library_and_go_back(spark):
+    texts = [*[t for t in ODD if t], *sentencepiece_codec.PROBES, *random_docs(7, 20)]
+    rows = {r["doc_id"]: r for r in sentencepiece_codec.encoded(docs(spark, texts)).collect()}
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    assert all(rows[i]["token_ids"] == own.encode(t) and rows[i]["parity"] and rows[i]["round_trip"] == ("▁" not in t) for i, t in enumerate(texts))
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs(spark, texts))).collect()}
+    assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(texts))
+    assert sentencepiece_codec.encoded(odd(spark)).where("n_tokens = 0").count() == 2
+
+
+def test_unigram_model_is_rebuilt():
+    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("▁a", -1.0, 1), ("b", -1.5, 1), ("ab", -1.2, 1), ("a", -3.0, 1)]
+    model = {"pieces": pieces, "model": sentencepiece_codec.UNIGRAM, "byte_fallback": False, "rules": b"", "rule_name": "identity", "dummy_prefix": True, "squeeze": False, "escape": True}
+    assert sentencepiece_codec.build(model).encode("ab b", add_special_tokens=False).tokens == ["▁a", "b", "▁", "b"]
+
+
+# 8. and 10. classifiers
+
+
+def held_out_accuracy(scores, labels, column):
+    both = scores.where("held_out").join(labels, "doc_id")
+    return both.select(F.avg((F.col("predicted") == F.col(column)).cast("int"))).first()[0]
+
+
+@pytest.mark.parametrize(("score", "column", "least"), [(quality.quality_scores, "quality", 0.97), (toxicity.toxicity_scores, "toxic", 0.9)])
+def test_held_out_accuracy(spark, score, column, least):
+    folder = "/root/testdata/sf0.01"
+    labels = table(spark, folder, "labels")
+    scores = score(table(spark, folder, "documents"), labels)
+    assert held_out_accuracy(scores, labels, column) >= least
+    assert scores.where("score < 0 or score > 1 or score is null").isEmpty()
+
+
+@pytest.mark.parametrize("score", [quality.quality_scores, toxicity.toxicity_scores])
+def test_classifiers_on_odd_rows(spark, score):
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    out = score(odd(spark), labels).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in out)
+    assert score(odd(spark), labels.limit(0)).count() == len(ODD) + 1 and score(odd(spark).limit(0), labels).isEmpty()
+
+
+# 9. top-k
+
+
+def test_top_k_against_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([-0.5, 0.0, 0.25, r.uniform(-1, 1)]) for _ in range(8)]) for i in range(120)]
+    rows += [(i + 200, rows[0][1]) for i in range(30)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, []), (None, [1.0] * 8)]
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    vectors = spark.createDataFrame(rows, schema).withColumn("block", F.lit("clash"))
+    import math
+
+    import numpy as np
+
+    ints = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for q in (i for i in ints if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c])), c) for c in ints if c != q)[:5]
+        want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
+    got = {tuple(x) for x in topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), block=16).where("query_id <> 300").collect()}
+    assert got == want
+
+
+# pipeline and registry
+
+
+def test_pipeline_keeps_clean_documents(spark, sf_dir):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 3) != 1)
+    bad = {r["doc_id"] for r in labels.where("quality = 0").select("doc_id").collect()}
+    assert out.where("not parity or not round_trip").isEmpty() and len(ids) > 100 and len(ids & bad) <= 0.1 * len(bad)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "encoding"]
+
+
+def test_every_operator_has_a_query():
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
