@@ -128,3 +128,24 @@ def distances(points: DataFrame) -> DataFrame:
     y = points.select("label", F.col("id").alias("j"), F.col("x").alias("b"))
     d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
     return x.join(y, "label").where("i < j").select("label", d.alias("d")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_d"), F.round(F.max("d"), 6).alias("max_d"))
+
+
+def similarity_entropy(near: DataFrame, source: DataFrame) -> DataFrame:
+    """(n, entropy, score): how mixed the neighbourhoods of sources and others are, against the mix of all points.
+
+    near has (i, j), source (id, own boolean); the entropy of each neighbourhood's shares, on average, over that of all.
+    """
+    h = lambda p: F.when((p <= 0) | (p >= 1), 0.0).otherwise(-p * F.log2(p) - (1 - p) * F.log2(1 - p))
+    share = near.join(source.select(F.col("id").alias("j"), "own"), "j").groupBy("i").agg(F.avg(F.col("own").cast("double")).alias("p"))
+    whole = source.agg(h(F.avg(F.col("own").cast("double"))).alias("all"))
+    out = share.agg(F.count("*").alias("n"), F.avg(h(F.col("p"))).alias("e")).join(F.broadcast(whole), F.lit(True))
+    return out.select("n", F.round("e", 6).alias("entropy"), F.round(F.when(F.col("all") > 0, F.col("e") / F.col("all")).otherwise(0.0), 6).alias("score"))
+
+
+def closest_to_mean(points: DataFrame) -> DataFrame:
+    """(label, id, d): by label, the point nearest to the label's mean vector, ties to smaller ids."""
+    each = points.select("label", "id", F.posexplode("x").alias("dim", "v"))
+    mean = each.groupBy("label", "dim").agg(F.avg("v").alias("m"))
+    d = each.join(F.broadcast(mean), ["label", "dim"]).groupBy("label", "id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("d"))
+    best = d.groupBy("label").agg(F.min_by(F.struct("id", "d"), F.struct(F.round("d", 9), "id")).alias("b"))
+    return best.select("label", "b.id", F.round("b.d", 6).alias("d"))

@@ -117,3 +117,9 @@ def normalised_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     simple = both_ways(edges).select("graph_id", "src", "dst").distinct().union(nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
     degree = simple.groupBy("graph_id", "src").agg(F.count("*").alias("d"))
     return simple.join(degree, ["graph_id", "src"]).join(degree.select("graph_id", F.col("src").alias("dst"), F.col("d").alias("e")), ["graph_id", "dst"]).select("graph_id", "src", "dst", F.round(1 / F.sqrt(F.col("d") * F.col("e")), 6).alias("v"))
+
+
+def bridges(labels: DataFrame) -> DataFrame:
+    """(graph_id, src, dst): for graphs of several components, from component_labels, an edge between the first two; by their smallest nodes."""
+    firsts = labels.select("graph_id", "component").distinct().groupBy("graph_id").agg(F.array_sort(F.collect_list("component")).alias("c"))
+    return firsts.where(F.size("c") > 1).select("graph_id", F.get("c", 0).alias("src"), F.get("c", 1).alias("dst"))

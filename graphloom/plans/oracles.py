@@ -126,6 +126,10 @@ ORACLE_SQL: dict[str, str] = {
     "a_degree_penalty": "WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), d AS (SELECT quantile_cont(deg, 0.75) AS p75 FROM (SELECT v, count(*) AS deg FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)), m AS (SELECT quantile_cont(w, 0.5) AS median_w FROM e) SELECT p75, round(0.25::DOUBLE / p75, 6) AS multiplicative, round(median_w, 6) AS median_w, round(0.25::DOUBLE * median_w / p75, 6) AS additive FROM d, m",
     "a_beta_posterior": "SELECT key, round(a, 6) AS alpha, round(b, 6) AS beta, round(a / (a + b), 6) AS mean FROM (SELECT user_id AS key, 1 + sum(r) AS a, 1 + sum(1 - r) AS b FROM (SELECT user_id, (event_id % 101)::DOUBLE / 100 AS r FROM events) GROUP BY 1)",
     "a_learned_weights": "SELECT user_id AS key, round(avg((event_type <> 'error')::INTEGER), 6) AS accept, round(1.0::DOUBLE / (1 + count(*)), 6) AS usage, round(1.0::DOUBLE / (1 + count(*) FILTER (event_type = 'error')), 6) AS failure FROM events GROUP BY 1",
+    "a_edge_prob": _sql("pr", ", s0 AS (SELECT kind, bin, lu, lv, " + _STATS + " FROM pr GROUP BY 1, 2, 3, 4), s4 AS (SELECT kind, lu, lv, " + _STATS + " FROM pr GROUP BY 1, 2, 3), s3 AS (SELECT kind, bin, " + _STATS + " FROM pr GROUP BY 1, 2), s7 AS (SELECT kind, " + _STATS + " FROM pr GROUP BY 1), q AS (SELECT DISTINCT k.kind, b.bin::INTEGER AS bin, x.p_type AS lu, y.p_type AS lv FROM (VALUES ('within'), ('between')) k(kind), range(4) b(bin), part x, (SELECT DISTINCT p_type FROM part) y WHERE x.p_type <= y.p_type) SELECT q.kind, q.bin AS ratio_bin, q.lu, q.lv, coalesce(s0.p, s4.p, s3.p, s7.p) AS p FROM q LEFT JOIN s0 ON q.kind = s0.kind AND q.bin = s0.bin AND q.lu = s0.lu AND q.lv = s0.lv LEFT JOIN s4 ON q.kind = s4.kind AND q.lu = s4.lu AND q.lv = s4.lv LEFT JOIN s3 ON q.kind = s3.kind AND q.bin = s3.bin LEFT JOIN s7 ON q.kind = s7.kind"),
+    "a_similarity_entropy": _sql("kn", ", f AS (SELECT k.i, avg((p.label < 5)::INTEGER::DOUBLE) AS p FROM kn k JOIN pv p ON p.id = k.j GROUP BY 1), g AS (SELECT avg((label < 5)::INTEGER::DOUBLE) AS p FROM pv), r AS (SELECT count(*) AS n, avg(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END) AS e FROM f) SELECT n, round(e, 6) AS entropy, round(e / (-p * log2(p) - (1 - p) * log2(1 - p)), 6) AS score FROM r, g"),
+    "p_closest": _sql("pv", ", u AS (SELECT label, id, unnest(x) AS v, unnest(range(len(x))) AS dim FROM pv), m AS (SELECT label, dim, avg(v) AS m FROM u GROUP BY 1, 2), d AS (SELECT u.label, id, sqrt(sum((v - m) ** 2)) AS d FROM u JOIN m ON u.label = m.label AND u.dim = m.dim GROUP BY 1, 2) SELECT label, first(id ORDER BY round(d, 9), id) AS id, round(min(d), 6) AS d FROM d GROUP BY 1"),
+    "g_connect": f"WITH {_FLAG}, z AS (SELECT DISTINCT graph_id, component FROM cc), y AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY component) AS r FROM z) SELECT a.graph_id, a.component AS src, b.component AS dst FROM y a JOIN y b ON a.graph_id = b.graph_id AND a.r = 1 AND b.r = 2",
     "s_pairs": _sql("tg", "SELECT target, pair, a, b FROM (SELECT target, ((pos + 1) // 2)::BIGINT AS pair, min_by(graph_id, pos) AS a, max_by(graph_id, pos) AS b, count(*) AS n FROM (SELECT target, graph_id, row_number() OVER (PARTITION BY target ORDER BY md5('1|' || graph_id), graph_id) AS pos FROM tg) GROUP BY 1, 2) WHERE n = 2"),
     "s_seeds": _sql("tg", "SELECT graph_id FROM tg ORDER BY md5('2|' || graph_id), graph_id LIMIT 25"),
     "s_weighted_order": f"SELECT c_nationkey, c_custkey, c_acctbal, (row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN round(-ln({_uniform(chr(39) + '3|' + chr(39) + ' || c_nationkey || ' + chr(39) + '|' + chr(39) + ' || c_custkey')}) / c_acctbal, 9) ELSE 'inf'::DOUBLE END, c_custkey))::INTEGER AS pos FROM customer",

@@ -67,6 +67,14 @@ def _nation_links(t: _Tables) -> DataFrame:
     return pairs.groupBy("src", "dst").agg((1.0 / F.count("*")).alias("w"))
 
 
+def _asked_pairs(t: _Tables) -> DataFrame:
+    """Every class of node pairs: both kinds, all bins, all pairs of part types."""
+    kinds = t.table("part").select(F.col("p_type").alias("lu")).distinct()
+    other = kinds.select(F.col("lu").alias("lv"))
+    classes = kinds.join(F.broadcast(other), F.col("lu") <= F.col("lv"))
+    return classes.withColumn("kind", F.explode(F.array(F.lit("within"), F.lit("between")))).withColumn("ratio_bin", F.explode(F.sequence(F.lit(0), F.lit(statistics.BINS - 1))))
+
+
 def _query(f: Callable[[_Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_Tables(spark, sf_dir))
 
@@ -116,6 +124,10 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "a_degree_penalty": lambda t: statistics.degree_penalty(_line_weights(t)),
     "a_beta_posterior": lambda t: statistics.beta_posterior(t.table("events").select(F.col("user_id").alias("key"), (F.pmod(F.col("event_id"), F.lit(101)) / 100.0).alias("r"))),
     "a_learned_weights": lambda t: statistics.learned_weights(t.table("events").select(F.col("user_id").alias("key"), (F.col("event_type") != "error").alias("ok"))),
+    "a_edge_prob": lambda t: statistics.edge_probabilities(statistics.node_pairs(t.n, t.e), _asked_pairs(t)),
+    "a_similarity_entropy": lambda t: matching.similarity_entropy(matching.nearest(t.p), t.p.select("id", (F.col("label") < 5).alias("own"))),
+    "p_closest": lambda t: matching.closest_to_mean(t.p),
+    "g_connect": lambda t: paths.bridges(paths.component_labels(t.n, t.e.where("label = 'flag'"))),
     "s_pairs": lambda t: sampling.random_pairs(t.t, "graph_id", "target"),
     "s_seeds": lambda t: sampling.seeds(t.t, "graph_id", 25),
     "s_weighted_order": lambda t: sampling.weighted_order(t.table("customer"), "c_nationkey", "c_custkey", "c_acctbal"),
