@@ -3,30 +3,33 @@
 A transcript comes as numbered parts of raw lines. Each line is seen through its speaker marker and a few line
 features (question, length, code, list, politeness); the states are the roles. A marker names a role almost for certain, a
 line without one mostly goes on with the role before it. The best path is found in parallel: each part becomes a
-matrix (best log-probability from each role before it to each role after it), parts compose to blocks and blocks to
-conversations in max-plus algebra; the roles at the seams then let every part be decoded on its own.
+matrix (best log-probability from each role before it to each role after it), parts compose to segments in max-plus
+algebra, and the segments of a conversation that has several compose in the same way, level by level; the roles at the
+seams then let every segment, and every part in it, be decoded on its own.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, written
+from .shared import pieces, small_side, written
 
 ROLES = ("system", "user", "assistant")
-BLOCK = 256  # part numbers in a block
+SEGMENT = 256  # parts in a segment, or segments in one of the next level
+TEXT = 1 << 20  # characters in a segment of several parts
+TOGETHER = 65_536  # parts of a conversation that one task sorts
 # Speaker names by role, and the forms that a marker takes at the start of a line.
 NAMES = {"system": "system|instruction|instructions|context", "user": "user|human|customer|question|q|me|prompter", "assistant": "assistant|ai|bot|gpt|model|agent|answer|a|response"}
 _NAME = "|".join(f"(?P<{r}>{n})" for r, n in NAMES.items())
 _MARKER = re.compile(rf"\s*(?:<\|(?:im_start\|>)?|\[|###\s*|\*\*|<)?(?:{_NAME})(?:\|>|\]|\*\*:?|>)?\s*(?P<sign>[:>\])-]|$)(?:\*\*)?\s*", re.I)
-_END = re.compile(r"\s*(?:<\|im_end\|>|<\|end\|>|</s>)\s*$")
+_END = ("<|im_end|>", "<|end|>", "</s>")
 # Log-probabilities: a first role, a change without and with a marker, what a marker names.
 START = np.log([0.15, 0.75, 0.10])
 STAY = np.log([[0.90, 0.08, 0.02], [0.01, 0.93, 0.06], [0.01, 0.05, 0.94]])
@@ -35,6 +38,8 @@ NEXT = np.log(0.15 * np.exp(STAY) + 0.85 * np.exp(TURN))  # into a new part with
 NAMED = np.log([0.97, 0.015, 0.015])
 _QUESTION, _CODE, _LIST, _POLITE, _RULES = re.compile(r"\?\s*$"), re.compile(r"^(?:    |\t|```)|[{};]\s*$"), re.compile(r"^\s*(?:[-*•]|\d+[.)])\s"), re.compile(r"\b(?:please|can you|could you|how do|i need|help me|thanks)\b", re.I), re.compile(r"\b(?:you are|you must|always|never|respond in|follow)\b", re.I)
 _LIKELY = [(_QUESTION, (0.05, 0.40, 0.15)), (_CODE, (0.02, 0.06, 0.15)), (_LIST, (0.10, 0.05, 0.25)), (_POLITE, (0.02, 0.20, 0.08)), (_RULES, (0.40, 0.05, 0.05))]
+_SEEN = [(pattern, np.log(p), np.log(1 - np.array(p))) for pattern, p in _LIKELY]
+_TOLD = {role: NAMED[[0 if r == role else 1 for r in ROLES]] * 3 for role in ROLES}
 
 
 def marker(line: str) -> tuple[str | None, str]:
@@ -48,13 +53,18 @@ def marker(line: str) -> tuple[str | None, str]:
     return (role, line[m.end() :]) if m["sign"] or not line[m.end() :].strip() else (None, line)
 
 
+def without_end(line: str) -> str:
+    """The line without the mark of a turn's end, if it has one, and the white space around that."""
+    bare = line.rstrip()
+    return next((bare[: -len(m)].rstrip() for m in _END if bare.endswith(m)), line)
+
+
 def emissions(line: str, role: str | None) -> np.ndarray:
     out = np.zeros(len(ROLES))
-    for pattern, p in _LIKELY:
-        p = np.array(p)
-        out += np.log(p if pattern.search(line) else 1 - p)
+    for pattern, yes, no in _SEEN:
+        out += yes if pattern.search(line) else no
     if role:
-        out += NAMED[[0 if r == role else 1 for r in ROLES]] * 3
+        out += _TOLD[role]
     return out
 
 
@@ -63,7 +73,7 @@ def _steps(text: str):
     new = True
     for line in (text or "").split("\n"):
         role, rest = marker(line)
-        rest = _END.sub("", rest)
+        rest = without_end(rest)
         if role or rest.strip():
             yield role, rest, TURN if role else NEXT if new else STAY, emissions(rest, role)
             new = False
@@ -112,75 +122,130 @@ def _seams(matrices: np.ndarray, enter: np.ndarray, last: int | None) -> tuple[n
     return np.array(scores[:-1]), after
 
 
-def parsed(parts: DataFrame) -> DataFrame:
-    """(conv_id, part, roles, lines) with the decoded role of each line that isn't blank; from parts (conv_id, part, text).
+def _compose(matrices: list[np.ndarray]) -> np.ndarray:
+    best = matrices[0]
+    for m in matrices[1:]:
+        best = (best[:, :, None] + m[None]).max(1)
+    return best
+
+
+_ITEM = pa.struct([("part", pa.int64()), ("order", pa.int64()), ("row", pa.int64()), ("text", pa.string()), ("m", pa.list_(pa.float64()))])
+_SEGMENTS = pa.schema([("seg", pa.int64()), ("conv_id", pa.int64()), ("m", pa.list_(pa.float64())), ("items", pa.list_(_ITEM))])
+
 
-    Parts are taken in order of part (null first) and text. A null text counts as empty; rows without a conv_id are one conversation.
+def _segments(items: DataFrame, together: int) -> DataFrame:
+    """(seg, conv_id, m, items): runs of a conversation's items (conv_id, part, order, row, text, m) with the matrix of each run.
+
+    Conversations of at most together items are sorted in one task each; with a longer one among them the items are
+    dealt by ranges of the whole order, so that it spreads over tasks. In both cases seg grows along a conversation.
     """
+    most = items.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    keys = ["conv_id", "part", "order", "row"]
+    ordered = (items.repartition("conv_id") if most <= together else items.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+    def cut(batches):
+        seg, conv, held, size = TaskContext.get().partitionId() << 33, None, [], 0
+
+        def full():
+            return {"seg": seg, "conv_id": conv, "m": _compose([np.reshape(x["m"], (len(ROLES),) * 2) for x in held]).ravel(), "items": held}
 
-    def matrices(batches):
-        for batch in pieces(batches, "text"):
-            m = [part_matrix(t).ravel() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(m), pa.list_(pa.float64()))], names=[*batch.schema.names, "m"])
-
-    part = F.col("part").cast("long")
-    rows = parts.select("conv_id", part.alias("part"), "text").withColumn("block", F.coalesce(F.floor(part / BLOCK), F.lit(-1))).withColumn("order", F.xxhash64("text"))
-    kept = "conv_id long, part long, text string, block long, order long"
-    rows = written(rows.mapInArrow(matrices, f"{kept}, m array<double>"))
-
-    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "order"], na_position="first")
-        best = np.full((len(ROLES),) * 2, -np.inf)
-        np.fill_diagonal(best, 0.0)
-        for m in pdf["m"]:
-            best = (best[:, :, None] + np.asarray(m).reshape(best.shape)[None]).max(1)
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "block": pdf["block"].iloc[:1], "m": [best.ravel()]})
-
-    slim = rows.select("conv_id", "block", "part", "order", "m")
-    blocks = slim.groupBy("conv_id", "block").applyInPandas(composed, "conv_id long, block long, m array<double>")
-
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        scores, after = _seams(np.stack([np.asarray(m).reshape(3, 3) for m in pdf["m"]]), START, None)
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "block": pdf["block"], "enter": list(scores), "after": after})
-
-    seams = blocks.groupBy("conv_id").applyInPandas(between, "conv_id long, block long, enter array<double>, after long")
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "order"], na_position="first")
-        _, after = _seams(np.stack([np.asarray(m).reshape(3, 3) for m in pdf["m"]]), np.asarray(pdf["enter"].iloc[0]), int(pdf["after"].iloc[0]))
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "order": pdf["order"], "last": after, "block": pdf["block"]})
-
-    joined = slim.join(seams.withColumnRenamed("conv_id", "c").withColumnRenamed("block", "b"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
-    placed = written(joined.groupBy("conv_id", "block").applyInPandas(inside, "conv_id long, part long, order long, last long, block long").dropDuplicates(["conv_id", "part", "order"]))
-    # The role before a part is the role after the part before it, in its block or in an earlier one.
-    in_block = W.partitionBy("conv_id", "block").orderBy("part", "order")
-    lasts = placed.withColumn("first", F.lag("last").over(in_block))
-    ends = seams.withColumn("before", F.lag("after", 1, -1).over(W.partitionBy("conv_id").orderBy("block"))).select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before")
-    states = lasts.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("order").alias("o"), F.coalesce("first", "before").alias("before"), F.col("last").alias("after"))
-    texts = rows.select("conv_id", "part", "order", "text").join(states, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p")) & (F.col("order") == F.col("o")))
-
-    def decode(batches):
         for batch in pieces(batches, "text"):
-            found = [decode_part(t, b, a) for t, b, a in zip(*(batch.column(c).to_pylist() for c in ("text", "before", "after")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), batch.column("order"), pa.array([[ROLES[r] for r, _ in f] for f in found], pa.list_(pa.string())), pa.array([[x for _, x in f] for f in found], pa.list_(pa.string()))], names=["conv_id", "part", "order", "roles", "lines"])
+            out = []
+            for item in batch.to_pylist():
+                own, length = item.pop("conv_id"), len(item["text"] or "")
+                if held and (own != conv or len(held) == SEGMENT or size + length > TEXT):
+                    out.append(full())
+                    seg, held, size = seg + 1, [], 0
+                if item["m"] is None:
+                    item["m"] = part_matrix(item["text"]).ravel()
+                conv, size = own, size + length
+                held.append(item)
+            yield pa.RecordBatch.from_pylist(out, _SEGMENTS)
+        yield pa.RecordBatch.from_pylist([full()] if held else [], _SEGMENTS)
+
+    return ordered.mapInArrow(cut, "seg long, conv_id long, m array<double>, items array<struct<part:long,order:long,row:long,text:string,m:array<double>>>")
+
+
+def _between(segments: DataFrame, together: int) -> DataFrame | None:
+    """(seg, before, after) of the segments of conversations that have several; None if there is no such conversation."""
+    several = written(segments.groupBy(F.col("conv_id").alias("c")).count().where("count > 1").select("c"))
+    if several.isEmpty():
+        return None
+    none = F.lit(None).cast("long")
+    chosen = segments.join(small_side(several, several.count()), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    items = written(chosen.select("conv_id", none.alias("part"), none.alias("order"), F.col("seg").alias("row"), F.lit(None).cast("string").alias("text"), "m"))
+
+    def state(_, held, before, after):
+        return [{"seg": x["row"], "before": b, "after": a} for x, b, a in zip(held, before, after, strict=True)]
+
+    return written(_along(items, state, pa.schema([("seg", pa.int64()), ("before", pa.int64()), ("after", pa.int64())]), "seg long, before long, after long", together))
+
+
+def _along(items: DataFrame, use, fields: pa.Schema, schema: str, together: int) -> DataFrame:
+    """The rows that use(conv_id, items, roles before, roles after) gives for each segment, along the best path of its conversation."""
+    segments = written(_segments(items, together))
+    seams = _between(segments, together)
+    if seams is None:
+        placed = segments.withColumn("before", F.lit(-1)).withColumn("after", F.lit(None).cast("long"))
+    else:
+        placed = segments.join(small_side(seams, seams.count()), "seg", "left").withColumn("before", F.coalesce("before", F.lit(-1)))
+
+    def walk(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                enter = START
+                if row["before"] >= 0:
+                    enter = np.full(len(ROLES), -np.inf)
+                    enter[row["before"]] = 0.0
+                _, after = _seams(np.array([x["m"] for x in row["items"]]).reshape(-1, len(ROLES), len(ROLES)), enter, row["after"])
+                after = after.tolist()
+                yield pa.RecordBatch.from_pylist(use(row["conv_id"], row["items"], [row["before"], *after[:-1]], after), fields)
+
+    return placed.select("conv_id", "items", "before", "after").mapInArrow(walk, schema)
+
+
+def _decoded(parts: DataFrame, first: str, second: str, shape, together: int) -> DataFrame:
+    """(conv_id, part, order, first, second): for each part the two lists that shape makes of its (role, line) pairs."""
+    none = F.lit(None)
+    items = parts.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("part").cast("long").alias("part"), F.xxhash64("text").alias("order"), none.cast("long").alias("row"), "text", none.cast("array<double>").alias("m"))
+    lists = pa.list_(pa.string())
+
+    def decode(conv, held, before, after):
+        out = []
+        for x, b, a in zip(held, before, after, strict=True):
+            roles, told = shape(decode_part(x["text"], b, a))
+            out.append({"conv_id": conv, "part": x["part"], "order": x["order"], first: roles, second: told})
+        return out
+
+    fields = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("order", pa.int64()), (first, lists), (second, lists)])
+    return _along(items, decode, fields, f"conv_id long, part long, order long, {first} array<string>, {second} array<string>", together)
+
+
+def parsed(parts: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(conv_id, part, order, roles, lines) with the decoded role of each line that isn't blank; from parts (conv_id, part, text).
+
+    Parts are taken in order of part (null first) and text. A null text counts as empty; rows without a conv_id are one
+    conversation; repeated rows are returned each. Other columns are ignored.
+    """
+    return _decoded(parts, "roles", "lines", lambda path: ([ROLES[r] for r, _ in path], [x for _, x in path]), together)
+
 
-    return texts.select("conv_id", "part", "order", "text", "before", "after").mapInArrow(decode, "conv_id long, part long, order long, roles array<string>, lines array<string>")
+def turns(path: list[tuple[int, str]]) -> tuple[list[str], list[str]]:
+    """Roles and contents of the turns: neighbouring lines of one role, joined and trimmed."""
+    found = [(ROLES[role], "\n".join(line for _, line in lines).strip(" \n\t\r")) for role, lines in groupby(path, lambda x: x[0])]
+    return [r for r, _ in found], [c for _, c in found]
 
 
-def rendered(parts: DataFrame) -> DataFrame:
+def rendered(parts: DataFrame, together: int = TOGETHER) -> DataFrame:
     """Canonical turns, one row each: conv_id, part, order, turn (in the part), role, content, text.
 
     Neighbouring lines of one role in a part are one turn; content is the lines joined, trimmed; text is
-    <|role|>, a line feed, the content and <|end|>. A part whose first turn goes on with the role before it keeps a turn of its own.
+    <|role|>, a line feed, the content and <|end|>. A part whose first turn goes on with the role before it keeps a turn
+    of its own; a part without lines has none.
     """
-    lines = parsed(parts)
-    each = F.arrays_zip("roles", "lines")
-    turns = F.aggregate(
-        each, F.array().cast("array<struct<role:string,content:string>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["role"] == s["roles"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(s["roles"].alias("role"), F.concat(F.element_at(a, -1)["content"], F.lit("\n"), s["lines"]).alias("content"))))).otherwise(F.concat(a, F.array(F.struct(s["roles"].alias("role"), s["lines"].alias("content"))))),
-    )
-    out = lines.select("conv_id", "part", "order", F.posexplode(turns).alias("turn", "t")).select("conv_id", "part", "order", "turn", "t.role", F.btrim("t.content", F.lit(" \n\t\r")).alias("content"))
+    found = _decoded(parts, "roles", "contents", turns, together)
+    out = found.select("conv_id", "part", "order", F.posexplode(F.arrays_zip("roles", "contents")).alias("turn", "t")).select("conv_id", "part", "order", "turn", F.col("t.roles").alias("role"), F.col("t.contents").alias("content"))
     return out.withColumn("text", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("<|end|>")))
 
 

@@ -223,6 +223,8 @@ def test_blocks_give_the_path_of_a_whole_transcript(spark):
     texts = [r.choice(["User: hi?", "Assistant: yes", "more of it", "please help me?", "- item", ""]) for _ in range(700)]
     parts = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(None, 0, "User: a"), (2, None, None)], "conv_id long, part long, text string")
     got = {(x["conv_id"], x["part"]): x["roles"] for x in chat.parsed(parts).collect()}
+    spread = {(x["conv_id"], x["part"]): x["roles"] for x in chat.parsed(parts, together=256).collect()}
+    assert spread == got
     matrices = [chat.part_matrix(t) for t in texts]
     import numpy as np
 
@@ -232,6 +234,15 @@ def test_blocks_give_the_path_of_a_whole_transcript(spark):
     assert [got[(1, i)] for i in range(len(texts))] == want and (None, 0) in got
 
 
+def test_transcripts_on_odd_rows(spark):
+    rows = [(1, 0, "User: a"), (1, 0, "User: a"), (1, 1, None), (1, None, "you must"), (None, 0, "Assistant: b<|im_end|> "), (None, 0, "more"), (2, 0, ""), (3, 0, "\n".join(["x " * 50] * 3000))]
+    parts = spark.createDataFrame([(*x, "k", 1) for x in rows], "conv_id long, part long, text string, m string, row int")
+    got = [(x["conv_id"], x["part"], x["role"], x["content"]) for x in chat.rendered(parts).collect()]
+    assert got.count((1, 0, "user", "a")) == 2 and (None, 0, "assistant", "b") in got and sum(x[0] == 3 for x in got) == 1
+    assert not any(x[0] == 2 for x in got) and len(got) == 6
+    assert chat.rendered(parts.limit(0)).isEmpty()
+
+
 # 7. tokens
 
 
