@@ -33,10 +33,11 @@ def pruned(edges: DataFrame, least: int = 3, seed: str = "11") -> DataFrame:
     return parts.where(F.col("n") - 2 >= least).withColumn("o", order).where("o = 1").select("graph_id", "inode", (F.col("n") - 2).cast("long").alias("n_left"))
 
 
-def missing_edges(nodes: DataFrame, edges: DataFrame, most: int = 13) -> DataFrame:
-    """(graph_id, src, dst): unordered pairs of nodes without an edge, in graphs of at most most nodes."""
-    size = nodes.groupBy("graph_id").agg(F.max("node_id").alias("n")).where(F.col("n") <= most)
-    pairs = size.select("graph_id", "n", F.explode(F.sequence(F.lit(1), "n")).alias("src")).where("src < n").select("graph_id", "src", F.explode(F.sequence(F.col("src") + 1, "n")).alias("dst"))
+def missing_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst): unordered pairs of nodes without an edge. The nodes of a large graph are spread before they are paired."""
+    size = nodes.groupBy("graph_id").agg(F.max("node_id").alias("n"))
+    first = size.select("graph_id", "n", F.explode(F.sequence(F.lit(1), "n")).alias("src")).where("src < n").repartition("graph_id", "src")
+    pairs = first.select("graph_id", "src", F.explode(F.sequence(F.col("src") + 1, "n")).alias("dst"))
     return pairs.join(edges.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"], "left_anti")
 
 

@@ -40,6 +40,13 @@ def test_missing_edges_of_a_path(spark):
     assert sorted((r["src"], r["dst"]) for r in rewriting.missing_edges(nodes, edges).collect()) == [(1, 3), (1, 4), (2, 4)]
 
 
+def test_missing_edges_of_a_large_graph(spark):
+    nodes, edges = path(spark, 40)
+    found = {(r["src"], r["dst"]) for r in rewriting.missing_edges(nodes, edges).collect()}
+    assert found == {(i, j) for i in range(1, 41) for j in range(i + 2, 41)}
+    assert rewriting.edge_neighbours(nodes, edges).count() == 1 and rewriting.beam_step(nodes, edges).count() == 3
+
+
 def test_components_and_distances(spark):
     nodes, edges = path(spark, 5)
     cut = edges.where("src <> 3")
