@@ -48,12 +48,12 @@ def _label_pairs(t: _Tables) -> DataFrame:
 
 
 def _path_similarities(t: _Tables) -> DataFrame:
-    """Users' event values along time, the first twelve of each, with the similarity of each two."""
+    """Users' event values along time, with the similarity of each two: quadratic in a user's events."""
     from pyspark.sql import Window as W
 
-    first = t.table("events").select(F.col("user_id").alias("path"), "value", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos")).where("pos <= 12")
-    other = first.select("path", F.col("pos").alias("other"), F.col("value").alias("w"))
-    return first.join(other, "path").select("path", "pos", "other", F.round(-F.abs(F.col("value") - F.col("w")), 6).alias("sim"))
+    all_ = t.table("events").select(F.col("user_id").alias("path"), "value", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"))
+    other = all_.select("path", F.col("pos").alias("other"), F.col("value").alias("w"))
+    return all_.join(other, "path").select("path", "pos", "other", F.round(-F.abs(F.col("value") - F.col("w")), 6).alias("sim"))
 
 
 def _line_weights(t: _Tables) -> DataFrame:

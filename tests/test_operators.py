@@ -78,6 +78,24 @@ def test_nearest_ties_go_to_smaller_ids(spark):
     assert found[(2, 1)] == 1 and found[(2, 2)] == 3 and found[(0, 1)] == 1
 
 
+def test_path_scores_read_whole_paths(spark):
+    import pandas as pd
+    from types import SimpleNamespace
+
+    from graphloom.plans.queries import _path_similarities
+
+    values = [float(i) for i in range(13)] + [3.5, 9.25, 0.5, 20.0, 7.75]
+    events = spark.createDataFrame([(i, 1, i, v) for i, v in enumerate(values)], "event_id long, user_id long, ts long, value double")
+    each = []
+    for i, v in enumerate(values):
+        for side in (range(i + 1, len(values)), range(i)):
+            gap, sim = pd.Series([abs(j - i) for j in side], dtype=float).rank(), pd.Series([-abs(values[j] - v) for j in side], dtype=float).rank()
+            if len(gap) > 1 and sim.nunique() > 1:
+                each.append(gap.corr(sim))
+    found = statistics.path_scores(_path_similarities(SimpleNamespace(table=lambda name: events))).first()
+    assert math.isclose(found["score"], -sum(each) / len(each), abs_tol=1e-6)
+
+
 def test_farthest_points_and_mmr_are_distinct(spark):
     points = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(12)], "id long, x array<double>")
     assert len({r["id"] for r in sampling.farthest_points(points, 5).collect()}) == 5
