@@ -5,7 +5,8 @@ an item of the benchmark. Windows whose shingles are all foreign to the benchmar
 are formed where a document holds enough of an item's shingles to reach the similarity. Each window and item has a
 60-bit SimHash; the fingerprints are cut into blocks, and a window meets an item where one of their blocks differs in so few
 bits that no pair within the radius is missed. The pairs within the radius are verified: sum of the smaller over sum of
-the larger shingle multiplicities.
+the larger shingle multiplicities. A document with fewer shingles than an item is its own only window; the shingles
+that it shares are counted in full before, so it is verified without a fingerprint.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     docs has (doc_id, text), benchmark (item_id, text). Texts that are null or without words match nothing, and rows
     without an id have no matches. Documents that repeat a doc_id are told apart by their text and reported under the
-    one id; equal items are each reported. Other columns are ignored.
+    one id; equal items are each reported. Other columns are ignored. An item under five words has one shingle, of
+    all its words: it matches documents that consist of these words, and isn't looked for inside longer ones.
     """
     items = benchmark.where("item_id is not null").select("item_id", shingles(F.col("text")).alias("hs")).where(F.size("hs") > 0)
     items = written(items.dropDuplicates(["item_id", "hs"]).withColumn("item", F.xxhash64("item_id", "hs")).withColumn("n", F.size("hs")))
@@ -67,7 +69,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     # A window can hold no more of an item's shingles than its document does.
     per_item = hits.select("doc_id", "version", "at", "h", F.explode("of").alias("of")).select("doc_id", "version", "at", "h", "of.*")
-    enough = per_item.groupBy("doc_id", "version", "item", "n", "h").agg(F.least(F.count("*"), F.max("times")).alias("shared")).groupBy("doc_id", "version", "item", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= similarity * F.col("n"))
+    enough = written(per_item.groupBy("doc_id", "version", "item", "n", "h").agg(F.least(F.count("*"), F.max("times")).alias("shared")).groupBy("doc_id", "version", "item", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= similarity * F.col("n")))
     near = per_item.join(enough.select("doc_id", "version", "item"), ["doc_id", "version", "item"])
     starts = near.select("doc_id", "version", "n", F.explode(F.sequence(F.greatest(F.col("at") - F.col("n") + 1, F.lit(0)), "at")).alias("start")).distinct()
 
@@ -89,7 +91,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     verified = met.join(windows, ["doc_id", "version", "start", "n"]).join(counts, "item")
     distinct = F.array_distinct("window")
     shared = F.aggregate(F.transform(distinct, lambda h: F.least(F.size(F.filter("window", lambda x: x == h)).cast("long"), F.coalesce(F.try_element_at(F.col("times"), h), F.lit(0).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
-    found = verified.withColumn("similarity", shared / (2 * F.col("n") - shared)).where(F.col("similarity") >= similarity)
+    found = verified.withColumn("similarity", shared / (2 * F.col("n") - shared)).select("doc_id", "version", "item", "start", "similarity")
+    shorter = enough.join(lists.select("doc_id", "version", F.size("hs").alias("m")), ["doc_id", "version"]).where("m < n")
+    shorter = shorter.select("doc_id", "version", "item", F.lit(0).alias("start"), (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity"))
+    found = found.union(shorter).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "item").agg(F.round(F.max("similarity"), 6).alias("similarity"), F.countDistinct("version", "start").alias("n_windows"))
     return best.join(items.select("item", "item_id"), "item").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.sum("n_windows").alias("n_windows"))
 

@@ -209,6 +209,14 @@ def test_windows_against_brute_force(spark):
     assert {x["doc_id"] for x in decontaminate.clean(docs(spark, texts + ODD), bench).collect()} == set(range(len(texts) + len(ODD))) - dirty
 
 
+def test_documents_shorter_than_the_item(spark):
+    w = [f"u{i}" for i in range(59)]
+    texts = [" ".join(w[:-1]), " ".join(w[1:]), " ".join(w[:48]), " ".join(w[:47]), " ".join(w)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, "u0 u1 u2")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["n_windows"]) for x in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(0, 1): (round(54 / 55, 6), 1), (1, 1): (round(54 / 55, 6), 1), (2, 1): (0.8, 1), (4, 1): (1.0, 1)}
+
+
 # 6. chat
 
 
