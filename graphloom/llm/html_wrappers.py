@@ -33,6 +33,7 @@ BOILERPLATE = frozenset(
     "sponsor sponsored subscribe subscription teaser toolbar trending widget".split()
 )
 MAIN = ("article", "main")
+NEVER_BY_CLASS = frozenset(("html", "body", *MAIN))
 LEAST_PAGES = 5  # of a host before texts that never differ count as template
 DEEPEST = 40  # elements below this are read as part of their ancestor
 WRAPPER_MB = 64  # of wrappers that are broadcast
@@ -40,16 +41,34 @@ WRAPPER_MB = 64  # of wrappers that are broadcast
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HIDDEN = re.compile(r"\bhidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
-def _named(attributes: str) -> tuple[str, bool]:
+def _hidden(attributes: str) -> bool:
+    """Whether there is a hidden attribute, aria-hidden is true or the style says display: none."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
+def _boilerplate(token: str) -> bool:
+    """Whether all words of a class, id or role are BOILERPLATE: cookie-notice is, has-sidebar and search-result aren't."""
+    words = _WORDS.findall(token)
+    return bool(words) and all(w.lower() in BOILERPLATE for w in words)
+
+
+def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """The element's class and id for its label, digits unified; whether they or its attributes mark it as boilerplate."""
     if not attributes.strip(" /"):
         return "", False
     values = [next(v for v in m.groups()[1:] if v is not None) if any(m.groups()[1:]) else "" for m in _NAMES.finditer(attributes)]
-    words = {w.lower() for v in values for w in _WORDS.findall(v)}
-    return "." + re.sub(r"\d+", "0", ".".join(".".join(values).split())) if values else "", bool(words & BOILERPLATE) or bool(_HIDDEN.search(attributes))
+    dropped = tag not in NEVER_BY_CLASS and any(_boilerplate(token) for v in values for token in v.split())
+    dropped = dropped or tag not in ("html", "body") and bool(_MAY_HIDE.search(attributes)) and _hidden(attributes)
+    return "." + re.sub(r"\d+", "0", ".".join(".".join(values).split())) if values else "", dropped
 
 
 def events(html: str):
@@ -78,7 +97,7 @@ def events(html: str):
         elif slash:
             yield "close", tag
         else:
-            name, dropped = _named(attributes)
+            name, dropped = _named(tag, attributes)
             yield "open", tag, tag + name, dropped or tag in DROPPED
 
 

@@ -108,6 +108,16 @@ def test_main_text(spark):
     assert got[100] == got[101] == ("", 0) and got[102][0] == "plain < text" and got[103] == got[1]
 
 
+@pytest.mark.parametrize("start", ['<body class="home has-sidebar">', '<main class="content no-sidebar">', '<article class="post comments-open">', '<article class="comment">', '<div class="search-result">', '<div class="overflow-hidden">', '<div style="overflow:hidden">', '<div title="the hidden city">', '<div data-x="display:none">'])
+def test_text_under_names_that_only_mention_boilerplate_stays(start):
+    assert html_wrappers.extract(start + "<p>kept</p>") == "kept"
+
+
+@pytest.mark.parametrize("start", ['<div class="x ad">', '<div class="cookie-notice">', '<section id=comments>', "<p hidden>", '<p hidden="">', '<main aria-hidden="true">', '<div style="color:red; display: none">'])
+def test_boilerplate_and_hidden_elements_go(start):
+    assert html_wrappers.extract(start + "gone") == ""
+
+
 def test_wrapper_has_optional_and_repeated_parts():
     pages = ["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><h2>z</h2><p>u</p></div>"]
     wrapper = html_wrappers.merge(*map(html_wrappers.page_tree, pages))
