@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +26,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(graph_id, node_id, component): the smallest node that can be reached. Labels spread to neighbours until none changes."""
+def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node_id, component): the smallest node that can be reached.
+
+    Labels spread to neighbours, then each node takes the label of the node that its label names, until none changes.
+    """
     ways = both_ways(edges).select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
     state = nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))
-    for _ in range(rounds):
+    while True:
         offers = ways.join(state.select("graph_id", F.col("node_id").alias("dst"), F.col("component").alias("offer")), ["graph_id", "dst"]).groupBy("graph_id", "node_id").agg(F.min("offer").alias("offer"))
         joined = saved(state.join(offers, ["graph_id", "node_id"], "left").withColumn("new", F.least("component", F.coalesce("offer", "component"))))
         state = joined.select("graph_id", "node_id", F.col("new").alias("component"))
         if joined.where("new < component").isEmpty():
-            break
-    return state
+            return state
+        named = state.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("next"))
+        state = saved(state.join(named, ["graph_id", "component"]).select("graph_id", "node_id", F.col("next").alias("component")))
 
 
 def largest_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,14 +49,14 @@ def largest_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return each.groupBy("graph_id").agg(F.count("*").alias("n_components"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.max("n").alias("n_nodes"))
 
 
-def hops(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+def hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, level): breadth-first depth from each graph's node of largest degree, ties to the smallest; -1 if out of reach."""
     ways = both_ways(edges).select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
     degree = nodes.join(ways.groupBy("graph_id", "node_id").agg(F.count("*").alias("deg")), ["graph_id", "node_id"], "left")
     start = degree.groupBy("graph_id").agg(F.min_by("node_id", F.struct(-F.coalesce("deg", F.lit(0)), F.col("node_id"))).alias("node_id"))
     seen = saved(start.withColumn("level", F.lit(0)))
     frontier = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         frontier = saved(frontier.join(ways, ["graph_id", "node_id"]).select("graph_id", F.col("dst").alias("node_id")).distinct().join(seen, ["graph_id", "node_id"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
@@ -59,19 +64,18 @@ def hops(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     return nodes.select("graph_id", "node_id").join(seen, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
-def shortest_distances(edges: DataFrame, source: int, rounds: int = 64) -> DataFrame:
+def shortest_distances(edges: DataFrame, source: int) -> DataFrame:
     """(id, dist) from a source over undirected edges (src, dst, w); weights that aren't positive and finite are left out."""
     usable = edges.where((F.col("w") > 0) & (F.col("w") < float("inf")))
     ways = saved(usable.select("src", "dst", "w").union(usable.select("dst", "src", "w")))
     state = saved(ways.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0.0).alias("dist")))
-    for _ in range(rounds):
+    while True:
         offers = state.join(ways, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
         following = saved(state.union(offers).groupBy("id").agg(F.min("dist").alias("dist")))
         changed = following.join(state.withColumnRenamed("dist", "old"), "id", "left").where("old is null or dist < old - 1e-12")
         done, state = changed.isEmpty(), following
         if done:
-            break
-    return state
+            return state
 
 
 def spanning_tree(edges: DataFrame, rounds: int = 32) -> DataFrame:

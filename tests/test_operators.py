@@ -55,6 +55,13 @@ def test_components_and_distances(spark):
     assert {r["id"]: r["dist"] for r in paths.shortest_distances(weighted, 0).collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
 
 
+def test_long_paths_are_followed_to_their_end(spark):
+    nodes, edges = path(spark, 90)
+    assert {r["component"] for r in paths.component_labels(nodes, edges).collect()} == {1}
+    nodes, edges = nodes.where("node_id <= 25"), edges.where("dst <= 25")
+    assert {r["node_id"]: r["level"] for r in paths.hops(nodes, edges).collect()} == {i: abs(i - 2) for i in range(1, 26)}
+
+
 def test_spanning_tree(spark):
     d = [[0, 1, 2, 3, 4], [1, 0, 1.5, 2.5, 3.5], [2, 1.5, 0, 1, 2], [3, 2.5, 1, 0, 1], [4, 3.5, 2, 1, 0]]
     edges = spark.createDataFrame([(i, j, float(d[i][j])) for i in range(5) for j in range(i + 1, 5)], "src long, dst long, w double")
