@@ -2,41 +2,58 @@
 
 Every document has the set of its distinct 5-word shingles. Documents with equal sets form one class and
 are represented by their smallest id. In each of several independent trees a representative follows the path
-of its minwise tokens: a node holds the representatives whose first 1, 2, 4, ... tokens of that tree agree.
-Nodes of few members are compared exhaustively, larger ones branch further. Members are first compared with
-the smallest id of their node; pairs that this has already connected need no second look, so a large group of
-near copies costs a link each and not all pairs. Nodes that are large at the last depth and still hold several
-components have their members compared with a few hubs, for some rounds; then the members that are still outside
-the largest component are compared with all members, block by block.
-Each candidate is confirmed on its full sets.
+of its minwise tokens: a node holds the representatives whose first tokens of that tree agree. Nodes of few members
+are compared exhaustively, larger ones branch further. The last depth is the deepest that still brings a pair at
+the threshold together in some tree with the wanted recall. Members are first compared with the smallest id of their
+node; pairs that this has already connected need no second look, so a large group of near copies costs a link each and
+not all pairs. Nodes that are large at the last depth and still hold several components have their members compared
+with a few hubs, for some rounds; then the members that are still outside the largest component are compared with all
+members, block by block. Each candidate is confirmed on its full sets: the sets of a group stream past one that is held.
 """
 
 from __future__ import annotations
 
+from math import comb, floor, log
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import BROADCAST_ROWS, pieces, small_side, written
+from .shared import pieces, small_side, written
 from .words import mix, series, shingle_sets
 
 WIDTH = 5  # words in a shingle
 PERCENT = 85  # of the union that two linked sets share
 TREES = 16
-DEPTHS = (1, 2, 4, 8)  # tokens that the members of a node share
+LOSS = 1e-3  # chance that a pair exactly at the threshold shares no node of the last depth
 SMALL = 16  # members of a node that is compared exhaustively
 COORDINATES = 128  # minwise tokens of a document
 HUB_ROUNDS = 2
-BLOCK = 256  # members of a large node that are compared at once
-#: Pairs that agree in fewer tokens aren't confirmed. Of 128 at a similarity of 0.85, under 92 has a chance of 4e-5.
-LEAST_SHARED = 92
+BLOCK = 256  # candidates of one document that meet its set in one group
+HELD = 1 << 18  # shingles of a block whose sets a task holds, on average
+SKIPPED = 1e-6  # chance that a pair exactly at the threshold agrees in too few tokens to be confirmed; 0: all are confirmed
 
-_SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("tokens", T.BinaryType())])
+_SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 _MULTIPLIERS = series(COORDINATES, 7)
+_PATHS = [np.argsort(series(COORDINATES, 11 + t)).tolist() for t in range(TREES)]
+
+
+def depths(percent: int, loss: float = LOSS) -> tuple[int, int]:
+    """Tokens that the members of a node share, at the first and at the last level."""
+    share = 1 - loss ** (1 / TREES)  # chance of a meeting in one tree that gives the recall in all
+    last = max(2, floor(log(share) / log(percent / 100))) if percent < 100 else COORDINATES // 2
+    return -(-last // 2), last
+
+
+def least_shared(percent: int, skipped: float = SKIPPED) -> int:
+    """The most tokens that a pair at the threshold agrees in with a chance of at least 1 - skipped."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < COORDINATES and (below := below + comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= skipped:
+        k += 1
+    return k
 
 
 def _sketches(batches):
@@ -52,7 +69,8 @@ def _sketches(batches):
             sums[1, full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), first)
             for j, m in enumerate(_MULTIPLIERS):
                 tokens[full, j] = np.minimum.reduceat(sets * m, first) >> np.uint64(32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([t.tobytes() for t in tokens], pa.binary())], names=_SKETCH.names)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1, dtype=np.int32) * COORDINATES), pa.array(tokens.view(np.int32).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], names=_SKETCH.names)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -61,168 +79,191 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(rows: DataFrame, depth: int) -> DataFrame:
-    """(tree, node, doc) of each (doc, tokens, trees); the node is a hash of the first tokens on the tree's path."""
-    paths = np.array([np.argsort(series(COORDINATES, 11 + t))[: max(DEPTHS)] for t in range(TREES)])
-    weights = series(max(DEPTHS), 5)
+    """(tree, node, doc) of each (doc, tokens) in all trees, or in those that a column trees lists; the node is a hash of the first tokens on the tree's path."""
+    node = lambda t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *(F.get("tokens", F.lit(k)) for k in _PATHS[t][:depth])).alias("node"))
+    each = F.array(*map(node, range(TREES)))
+    if "trees" in rows.columns:
+        each = F.filter(each, lambda x: F.array_contains("trees", x["tree"]))
+    return rows.select("doc", F.explode(each).alias("at")).select("at.tree", "at.node", "doc")
 
-    def follow(batches):
-        for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES).astype(np.uint64)
-            trees = batch.column("trees").to_pylist()
-            at, tree = np.repeat(np.arange(len(tokens)), [len(x) for x in trees]), np.array([t for x in trees for t in x], np.int64)
-            node = np.full(len(at), depth, np.uint64)
-            for k in range(depth):
-                node += (tokens[at, paths[tree, k]] + np.uint64(1)) * weights[k]
-            node = mix(node + tree.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node.view(np.int64)), batch.column("doc").take(pa.array(at))], names=["tree", "node", "doc"])
 
-    return rows.select("doc", "tokens", "trees").mapInArrow(follow, "tree int, node long, doc long")
+def _tokens(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, COORDINATES)
 
 
-def _agreeing(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share at least LEAST_SHARED tokens."""
+def _agreeing(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) that share at least so many tokens."""
 
     def shared(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COORDINATES) for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= LEAST_SHARED))
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                agree = (_tokens(part.column("x")) == _tokens(part.column("y"))).sum(1)
+                yield part.select(["a", "b"]).filter(pa.array(agree >= least))
 
     sides = pairs.join(tokens.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
     return sides.select("a", "b", "x", "y").mapInArrow(shared, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets share at least percent of their union."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, n, hashes): the full shingle sets of the documents that ids (doc) name."""
+
+    def of(batches):
+        for batch in pieces(batches, "text"):
+            values, sizes = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], WIDTH)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())], names=["doc", "n", "hashes"])
+
+    ids = written(ids)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(small_side(ids, ids.count()), "doc", "left_semi")
+    return written(texts.dropDuplicates(["doc"]).mapInArrow(of, "doc long, n long, hashes binary"))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least percent of their union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        sets = []
-        for side in (x, y):
-            codes, distinct = pd.factorize(side)  # a pivot's text comes again and again
-            values, sizes = shingle_sets([t.encode() for t in distinct], WIDTH)
-            cut = np.split(values, np.cumsum(sizes)[:-1])
-            sets.append([cut[c] for c in codes])
-        shared = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets, strict=True)]
-        return pd.Series([100 * n >= percent * (len(a) + len(b) - n) for n, a, b in zip(shared, *sets, strict=True)])
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(small_side(ids, ids.count()), "doc_id", "left_semi")
-    texts = written(texts.dropDuplicates(["doc_id"]))
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return written(sides.where(alike("x", "y")).select("a", "b"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets share at least percent of their union.
+
+    The candidates of one a are dealt to blocks. In each block its set comes once, before the sets of the block's
+    candidates, so a task holds one set at a time.
+    """
+
+    def compare(batches):
+        own = None
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for i, (b, hashes) in enumerate(zip(batch.column("b"), batch.column("hashes"), strict=True)):
+                values = np.frombuffer(hashes.as_buffer(), np.uint64)
+                if b.is_valid:
+                    kept[i] = _alike(own, values, percent)
+                else:
+                    own = values.copy()
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = written(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")))
+    first = placed.select("a", "block").distinct().join(sets.select(F.col("doc").alias("a"), "hashes"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "hashes")
+    rest = placed.join(sets.select(F.col("doc").alias("b"), "hashes"), "b").select("a", "block", "b", "hashes")
+    rows = first.union(rest).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    return written(rows.select("a", "b", "hashes").mapInArrow(compare, "a long, b long"))
 
 
 def _mixed(members: DataFrame, state: DataFrame) -> DataFrame:
     """The members of nodes that hold several components, with their component."""
-    placed = members.join(state.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
-    return written(placed.join(mixed, "node"))
+    placed = written(members.join(state.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    mixed = written(placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node"))
+    return written(placed.join(small_side(mixed, mixed.count()), "node"))
 
 
 def _hub_pairs(large: DataFrame, turn: int) -> DataFrame:
     """Pairs of each member with a few hubs of its node in other components: the member that is in the largest nodes, and two by hash."""
     weight = large.groupBy("doc").agg(F.sum("members").alias("weight"))
     one = F.struct("doc", "component")
-    hubs = large.join(weight, "doc").groupBy("node").agg(F.array(F.max_by(one, F.struct("weight", "doc")), F.max_by(one, F.xxhash64("doc", F.lit(turn))), F.min_by(one, F.xxhash64("doc", F.lit(turn)))).alias("hubs"))
-    pairs = large.join(hubs, "node").select("doc", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
+    hubs = written(large.join(weight, "doc").groupBy("node").agg(F.array(F.max_by(one, F.struct("weight", "doc")), F.max_by(one, F.xxhash64("doc", F.lit(turn))), F.min_by(one, F.xxhash64("doc", F.lit(turn)))).alias("hubs")))
+    pairs = large.join(small_side(hubs, hubs.count()), "node").select("doc", "component", F.explode("hubs").alias("hub")).where("component <> hub.component")
     return pairs.select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, hashes): the full shingle sets of the documents that ids (doc) name."""
-
-    def of(batches):
-        for batch in pieces(batches, "text"):
-            values, sizes = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())], names=["doc", "hashes"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(small_side(ids, ids.count()), "doc", "left_semi")
-    return written(texts.dropDuplicates(["doc"]).mapInArrow(of, "doc long, hashes binary"))
-
-
-def _across(large: DataFrame, tokens: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(large: DataFrame, tokens: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
     """The links (a, b) of members outside their node's largest component with members of its other components.
 
-    Blocks of members meet in one row of a join each, with their full sets; within the task agreeing pairs are
-    confirmed, so that only links leave it. A pair that meets in several nodes comes from the first of them.
+    The outer members of a node are dealt to blocks of about HELD shingles. Each block meets each block of all members in a
+    group of its own: the task holds the outer ones while the others stream past, and only links leave it. A pair that
+    meets in several nodes is confirmed in the first of them.
     """
-    main = large.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    everywhere = large.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("nodes"))
-    fields = ["doc", "component", "tokens", "hashes", "nodes"]
-    rows = large.join(main, "node").join(everywhere, "doc").join(tokens, "doc").join(_sets(docs, written(large.select("doc").distinct())), "doc")
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")
-    pack = lambda df, name: df.groupBy("node", block).agg(F.collect_list(F.struct(*fields)).alias(name)).drop("block")
-    met = pack(rows.where("component <> main"), "x").join(pack(rows, "y"), "node")
-
-    def side(value) -> dict:
-        held = {c: value.values.field(c) for c in fields}
-        place = np.full((len(held["doc"]), TREES), -1, np.int64)
-        for i, nodes in enumerate(held["nodes"].to_pylist()):
-            for h in nodes:
-                place[i, h["tree"]] = h["node"]
-        return {"doc": held["doc"].to_numpy(), "component": held["component"].to_numpy(), "place": place, "sets": [np.frombuffer(h, np.uint64) for h in held["hashes"].to_pylist()], "tokens": np.frombuffer(b"".join(held["tokens"].to_pylist()), "<u4").reshape(-1, COORDINATES)}
+    main = large.groupBy("node", "component").agg(F.count("*").alias("count")).groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    main = written(main)
+    rows = large.join(small_side(main, main.count()), "node").withColumn("outer", F.col("component") != F.col("main")).join(sets.select("doc", "n"), "doc")
+    blocks = written(rows.groupBy("node").agg(F.ceil(F.sum(F.when(F.col("outer"), F.col("n"))) / HELD).alias("outers"), F.ceil(F.sum("n") / (8 * HELD)).alias("alls")))
+    rows = rows.join(small_side(blocks, blocks.count()), "node").select("node", "doc", "component", "outer", "outers", "alls")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    held = rows.where("outer").select("node", own("outers").alias("x"), every("alls").alias("y"), F.lit(0).alias("side"), "doc", "component", "outer")
+    passing = rows.select("node", every("outers").alias("x"), own("alls").alias("y"), F.lit(1).alias("side"), "doc", "component", "outer")
+    places = large.groupBy("doc").agg(F.array(*(F.coalesce(F.max(F.when(F.col("tree") == t, F.col("node"))), F.lit(0)) for t in range(TREES))).alias("places"))
+    dealt = held.union(passing).join(places, "doc").join(tokens, "doc").join(sets.select("doc", "hashes"), "doc")
+    dealt = dealt.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "side")
 
     def compare(batches):
+        group, block, stacked = None, [], None
         for batch in batches:
-            for node, *both in zip(batch.column("node").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                x, y = map(side, both)
-                sizes, links = np.array([len(s) for s in y["sets"]]), []
-                for i, own in enumerate(x["sets"]):
-                    fit = (y["component"] != x["component"][i]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
-                    for j in np.flatnonzero(fit)[(y["tokens"][fit] == x["tokens"][i]).sum(1) >= LEAST_SHARED]:
-                        same = (x["place"][i] == y["place"][j]) & (x["place"][i] != -1)
-                        if x["place"][i][same.argmax()] == node:
-                            shared = len(np.intersect1d(own, y["sets"][j], assume_unique=True))
-                            if 100 * shared >= percent * (len(own) + sizes[j] - shared):
-                                links.append(sorted((int(x["doc"][i]), int(y["doc"][j]))))
-                yield pa.RecordBatch.from_arrays([pa.array([k[s] for k in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
-
-    return met.select("node", "x", "y").mapInArrow(compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+            links = []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("node", "x", "y")), strict=True))
+            side, doc, component, outer = (batch.column(c).to_pylist() for c in ("side", "doc", "component", "outer"))
+            found, places, hashes = _tokens(batch.column("tokens")), batch.column("places").flatten().to_numpy().reshape(-1, TREES), batch.column("hashes")
+            for i, key in enumerate(keys):
+                if key != group:
+                    group, block, stacked = key, [], None
+                values = np.frombuffer(hashes[i].as_buffer(), np.uint64)
+                if side[i] == 0:
+                    block.append((doc[i], component[i], found[i].copy(), places[i].copy(), values.copy()))
+                    continue
+                if not block:
+                    continue
+                stacked = stacked or (np.array([x[0] for x in block]), np.array([x[1] for x in block]), np.stack([x[2] for x in block]), np.stack([x[3] for x in block]))
+                docs, components_, tokens_, places_ = stacked
+                fit = (components_ != component[i]) & ((tokens_ == found[i]).sum(1) >= least)
+                if outer[i]:  # both are outer: once is enough
+                    fit &= docs < doc[i]
+                for j in np.flatnonzero(fit):
+                    same = (places_[j] == places[i]) & (places[i] != 0)
+                    if places[i][same.argmax()] == key[0] and _alike(block[j][4], values, percent):
+                        links.append(sorted((block[j][0], doc[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([k[s] for k in links], pa.int64()) for s in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, loss: float = LOSS, skipped: float = SKIPPED) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id that links reach (itself included); kept says that it is the row's own.
     Null or blank texts have n_shingles 0 and no links; so have rows without a doc_id, whose component_id is
-    null and which are kept. Rows that repeat a doc_id are each returned, with one component for that id.
-    Other columns are ignored.
+    null and which are kept. Rows that repeat a doc_id are each returned, with one component for that id, and one of
+    their texts stands for it in the search. Other columns are ignored. loss and skipped are the chances that a pair
+    exactly at the threshold is missed by the trees and by the tokens; pairs above it are missed less.
     """
+    first, last = depths(percent, loss)
+    least = least_shared(percent, skipped)
     sketches = written(sketch(docs))
     classes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")))
-    tokens = classes.groupBy("doc").agg(F.first("tokens").alias("tokens"))
-
-    level, nodes = _nodes(tokens.withColumn("trees", F.sequence(F.lit(0), F.lit(TREES - 1))), DEPTHS[0]), []
-    for depth, following in zip(DEPTHS, (*DEPTHS[1:], None), strict=True):
-        sizes = level.groupBy("node").agg(F.count("*").alias("members"), F.min("doc").alias("pivot")).where("members > 1")
-        nodes.append(written(level.join(sizes, "node").withColumn("last", F.lit(following is None))))
-        if following is None or nodes[-1].where(F.col("members") > SMALL).isEmpty():
+    tokens = classes.select("doc", "tokens")
+    if not classes.groupBy("doc").count().where("count > 1").isEmpty():
+        tokens = written(tokens.groupBy("doc").agg(F.first("tokens").alias("tokens")))
+
+    level, nodes = _nodes(tokens, first), []
+    for depth in (first, last):
+        sizes = written(level.groupBy("node").agg(F.count("*").alias("members"), F.min("doc").alias("pivot")).where("members > 1"))
+        nodes.append(written(level.join(small_side(sizes, sizes.count()), "node").withColumn("last", F.lit(depth == last))))
+        branching = nodes[-1].where(F.col("members") > SMALL)
+        if depth == last or branching.isEmpty():
             break
-        branching = nodes[-1].where(F.col("members") > SMALL).groupBy("doc").agg(F.collect_set("tree").alias("trees"))
-        level = _nodes(branching.join(tokens, "doc"), following)
-    members = nodes[0]
-    for x in nodes[1:]:
-        members = members.union(x)
+        level = _nodes(branching.groupBy("doc").agg(F.collect_set("tree").alias("trees")).join(tokens, "doc"), last)
+    members = nodes[0].union(nodes[-1]) if len(nodes) > 1 else nodes[0]
+    sets = _sets(docs, nodes[0].select("doc").distinct())
 
     stars = members.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _confirmed(written(_agreeing(stars, tokens)), docs, percent)
+    links = _confirmed(written(_agreeing(stars, tokens, least)), sets, percent)
     state = written(components(links))
 
     for turn in range(HUB_ROUNDS):
         large = _mixed(members.where((F.col("members") > SMALL) & F.col("last")), state)
         if large.isEmpty():
             break
-        links = written(links.union(_confirmed(written(_agreeing(_hub_pairs(large, turn), tokens)), docs, percent)))
+        links = written(links.union(_confirmed(written(_agreeing(_hub_pairs(large, turn), tokens, least)), sets, percent)))
         state = written(components(links))
 
     placed = _mixed(members.where((F.col("members") <= SMALL) | F.col("last")), state)
     small = placed.where(F.col("members") <= SMALL).select("node", "doc", "component")
     rest = small.alias("p").join(small.alias("q"), "node").where("p.doc < q.doc and p.component <> q.component").select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"))
-    rest = written(_agreeing(rest.distinct(), tokens))
-    more = _confirmed(rest, docs, percent)
+    more = _confirmed(written(_agreeing(rest.distinct(), tokens, least)), sets, percent)
     large = placed.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        more = written(more.union(_across(large, tokens, docs, percent)))
+        more = written(more.union(_across(large, tokens, sets, percent, least)))
     if not more.isEmpty():
         state = written(components(links.union(more)))
 

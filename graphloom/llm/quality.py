@@ -8,17 +8,19 @@ whole text, in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import crc_fold, pieces
+from .shared import crc_fold, pieces, written
 from .words import word_hashes
 
 PASSAGE = 64  # words
 SAMPLE = 6000  # labelled documents that the model is fitted on, at most: those with the smallest hash of doc_id
+SAMPLE_PASSAGES = 500_000  # passages of the sample that the model is fitted on, at most (60 bytes each)
 HIDDEN, GATE = 16, 8
 _PLAIN, _KINDS = b".,;:'\"()-?", 8
 _KIND = np.full(256, 5, np.uint8)  # 0 lower case, 1 upper case, 2 digit, 3 usual punctuation, 4 other ASCII signs, 5 beyond ASCII, 6 '!' or '|', 7 white space
@@ -124,44 +126,53 @@ def _bags(batches):
     for batch in pieces(batches, "text"):
         x, held = encode([t or "" for t in batch.column("text").to_pylist()])
         cut = np.split(x, np.cumsum(held)[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([c.tobytes() for c in cut], pa.binary())], names=["label", "bag"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array([c.tobytes() for c in cut], pa.binary())], names=["doc_id", "label", "bag"])
+
 
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> AttentionModel | None:
+    """A model of labels (doc_id, label 0 or 1) over docs (doc_id, text), from at most sample documents; None without any.
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel:
-    """A model of labels (doc_id, label 0 or 1) over docs (doc_id, text), from at most sample documents."""
+    Of rows that repeat a doc_id one takes part. Where the sample's texts have more passages than the given number, the
+    documents with the smallest hash of doc_id that stay within it are fitted on: what the driver holds is bounded.
+    """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_bags, "label double, bag binary").toArrow()
-    model = AttentionModel()
+    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_bags, "doc_id long, label double, bag binary")
+    bags = written(bags.groupBy("doc_id").agg(F.max(F.struct("bag", "label")).alias("one")).select("doc_id", "one.*"))
+    so_far = F.sum(F.length("bag")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = bags.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= passages * 4 * FEATURES)
+    bags = bags.join(F.broadcast(within.select("doc_id")), "doc_id").select("label", "bag").toArrow()
     if not bags.num_rows:
-        return model
+        return None
+    model = AttentionModel()
     cut = sorted(zip(bags.column("bag").to_pylist(), bags.column("label").to_pylist(), strict=True))  # the same order on every run
     x = np.frombuffer(b"".join(b for b, _ in cut), np.float32).reshape(-1, FEATURES).astype(float)
     return model.fit(x, np.array([len(b) // (4 * FEATURES) for b, _ in cut]), np.array([y for _, y in cut]))
 
 
-def scored(docs: DataFrame, model: AttentionModel, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (all, if None) with a column score: the model's probability of label 1 for the whole text.
+def scored(docs: DataFrame, model: AttentionModel | None, name: str = "score") -> DataFrame:
+    """docs with the column name: the model's probability of label 1 for the whole text; 0.5 for all without a model.
 
-    A null text counts as empty. An empty text is one passage without words, and has that passage's score. docs must
-    not have a column score.
+    A null text counts as empty. An empty text is one passage without words, and has that passage's score. Only the text
+    goes through Python. A column of that name in docs is replaced.
     """
-    fields = keep or docs.columns
-    schema = T.StructType([*(docs.schema[c] for c in fields), T.StructField("score", T.DoubleType())])
+    if model is None:
+        return docs.withColumn(name, F.lit(0.5))
 
-    def run(batches):
-        for batch in pieces(batches, "text"):
-            x, held = encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array(model.score(x, held), pa.float64())], names=[*fields, "score"])
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = [model.score(*encode([t or "" for t in piece.column("text").to_pylist()])) for piece in pieces([pa.record_batch([texts], names=["text"])], "text")]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(name, score("text"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (score >= 0.5).
 
-    Labels count only where crc32 of doc_id as text, modulo folds, is not held_out. Without any such label the
-    untrained model scores. Rows without a doc_id are scored and not held out; other columns are ignored.
+    Labels count only where crc32 of doc_id as text, modulo folds, is not held_out. Without any such label every
+    score is 0.5. Rows without a doc_id are scored and not held out; other columns are ignored.
     """
     model = fit(docs, labels.where(crc_fold("doc_id", folds) != held_out).select("doc_id", F.col("quality").alias("label")))
-    out = scored(docs.select("doc_id", "text"), model, ["doc_id"])
+    out = scored(docs.select("doc_id", "text"), model).drop("text")
     return out.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

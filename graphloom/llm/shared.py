@@ -46,7 +46,7 @@ def crc_fold(key: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.col(key).cast("string") if isinstance(key, str) else key, "UTF-8")), F.lit(folds))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about limit bytes of the text column each; a longer single text has its own slice."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
