@@ -1,10 +1,15 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a tree of block elements. Neighbouring repeats of one to three elements become a repeated group. The trees
-of a host's pages are aligned one after another: elements that one side lacks become optional, texts that differ
-become slots, texts that never differ stay part of the template. Each partition merges its own pages by host before
-anything is shuffled, then partial wrappers are merged by host and salt, then by host. The wrapper names the
-container that holds the varying text and the texts that belong to the template; both guide the extraction of each page.
+A page is a tree of block elements. The trees of a host's pages are aligned one after another, child by child: elements
+that one side lacks become optional, those that repeat what stands before them become repeated groups, texts that
+differ become slots, texts that never differ stay part of the template. Each partition merges its own pages by host
+before anything is shuffled, then partial wrappers are merged by host and salt, then by host. In the wrapper the
+containers are chosen: the nodes that hold the article. Each page is aligned with its host's wrapper in the same way,
+and its text is what stands in the blocks that meet a container.
+
+Elements that HTML has for something else than text (nav, footer, form, script) never count. A class, id or role that
+names boilerplate is a feature of a wrapper node and no veto: it counts against the node inside a container or beside
+one, but not where the varying text of the host stands under such names.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -24,7 +30,7 @@ from .shared import pieces, written
 # HTML elements by how they count here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object title select".split())
+RAW = frozenset("script style noscript template textarea iframe svg title select".split())
 DROPPED = RAW | frozenset("nav header footer aside form button menu dialog head fieldset".split())
 # Words of class, id or role that name what isn't article text.
 BOILERPLATE = frozenset(
@@ -32,9 +38,11 @@ BOILERPLATE = frozenset(
     "navigation newsletter notice notices notification overlay pager pagination paywall popup popular promo promoted promotion promos recommendations recommended related reply replies respond responses search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription teaser toolbar trending widget".split()
 )
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt figure figcaption address details summary".split())
 MAIN = ("article", "main")
-NEVER_BY_CLASS = frozenset(("html", "body", *MAIN))
 LEAST_PAGES = 5  # of a host before texts that never differ count as template
+APART = 3  # neighbours of one label that keep a place of their own; further ones are one repeated node
+HELD_HOSTS = 2000  # hosts whose wrappers a task holds before it hands them on
 DEEPEST = 40  # elements below this are read as part of their ancestor
 WRAPPER_MB = 64  # of wrappers that are broadcast
 
@@ -62,17 +70,17 @@ def _boilerplate(token: str) -> bool:
 
 
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's class and id for its label, digits unified; whether they or its attributes mark it as boilerplate."""
+    """The element's class, id and role for its label, digits unified, with a ! before names of boilerplate; whether it is hidden."""
     if not attributes.strip(" /"):
         return "", False
     values = [next(v for v in m.groups()[1:] if v is not None) if any(m.groups()[1:]) else "" for m in _NAMES.finditer(attributes)]
-    dropped = tag not in NEVER_BY_CLASS and any(_boilerplate(token) for v in values for token in v.split())
-    dropped = dropped or tag not in ("html", "body") and bool(_MAY_HIDE.search(attributes)) and _hidden(attributes)
-    return "." + re.sub(r"\d+", "0", ".".join(".".join(values).split())) if values else "", dropped
+    names = [("!" if _boilerplate(token) else "") + re.sub(r"\d+", "0", token) for v in values for token in v.split()]
+    hidden = tag not in ("html", "body") and bool(_MAY_HIDE.search(attributes)) and _hidden(attributes)
+    return "".join("." + n for n in names), hidden
 
 
 def events(html: str):
-    """('open', label, dropped), ('close', tag), ('text', raw), ('break',): what a page is made of; raw elements are skipped."""
+    """('open', tag, label, dropped), ('close', tag), ('text', raw), ('break',): what a page is made of; raw elements are skipped."""
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -97,8 +105,8 @@ def events(html: str):
         elif slash:
             yield "close", tag
         else:
-            name, dropped = _named(tag, attributes)
-            yield "open", tag, tag + name, dropped or tag in DROPPED
+            name, hidden = _named(tag, attributes)
+            yield "open", tag, tag + name, hidden or tag in DROPPED
 
 
 class _Walk:
@@ -135,168 +143,243 @@ class _Walk:
         return None
 
 
-# A wrapper node: [label, optional, repeated, pages, slot, characters, children]; slot: "" no text, a hash of the only text, "*" texts differ.
-def _node(label: str, pages: int = 1) -> list:
-    return [label, False, False, pages, "", 0, []]
+class Block:
+    """A block element of a page: its label, and its texts and blocks in page order; blocks without text are left out."""
+
+    __slots__ = ("content", "label")
+
+    def __init__(self, label: str):
+        self.label, self.content = label, []
+
+    @property
+    def blocks(self) -> list[Block]:
+        return [c for c in self.content if isinstance(c, Block)]
 
 
 class _Tree(_Walk):
-    """A walk that keeps a node for each open block; it joins its parent when text turns up below it."""
+    """A walk that keeps a Block for each open block; it joins its parent when text turns up below it."""
 
     def __init__(self):
         super().__init__()
-        self.path, self.texts, self.joined = [_node("")], [[]], 0
+        self.path, self.joined = [Block("")], 0
 
     def open(self, tag: str, label: str, dropped: bool) -> None:
         super().open(tag, label, dropped)
         if tag not in INLINE:
-            self.path.append(_node(label))
-            self.texts.append([])
+            self.path.append(Block(label))
 
     def _pop_to(self, size: int) -> None:
         super()._pop_to(size)
-        while len(self.path) > len(self.blocks) + 1:
-            _finish(self.path.pop(), self.texts.pop())
+        del self.path[len(self.blocks) + 1 :]
         self.joined = min(self.joined, len(self.blocks))
 
     def text(self, text: str) -> None:
         depth = min(len(self.blocks), DEEPEST)
         while self.joined < depth:
-            self.path[self.joined][6].append(self.path[self.joined + 1])
+            self.path[self.joined].content.append(self.path[self.joined + 1])
             self.joined += 1
-        self.texts[depth].append(text)
+        self.path[depth].content.append(text)
+
+    def space(self) -> None:
+        """A border between blocks, in the innermost block that has text."""
+        self.path[min(self.joined, DEEPEST)].content.append(" ")
 
 
-def page_tree(html: str) -> list:
-    """The folded tree of a page's kept block elements."""
+def page_tree(html: str) -> Block:
+    """The block elements of a page that hold text, without those that never count."""
     tree = _Tree()
     for e in events(html):
+        if e[0] == "text":
+            if not tree.dropped:
+                if e[1].isspace():
+                    tree.space()
+                else:
+                    tree.text(e[1])
+            continue
+        if e[0] == "break" or e[1] not in INLINE:
+            tree.space()
         if e[0] == "open":
             tree.open(*e[1:])
         elif e[0] == "close":
             tree.close(e[1])
-        elif e[0] == "text" and not tree.dropped and (t := e[1].strip()):
-            tree.text(t)
-    tree._pop_to(0)
-    _finish(tree.path[0], tree.texts[0])
+        if e[0] != "break" and e[1] not in INLINE:
+            tree.space()
     return tree.path[0]
 
 
-def _finish(node: list, texts: list[str]) -> None:
-    text = " ".join(" ".join(texts).split())
-    node[4], node[5] = f"{zlib.crc32(text.encode()):08x}" if text else "", len(text)
-    node[6] = fold(node[6])
+# A wrapper node: [label, optional, repeated, pages, slot, characters, children]; slot: "" no text, a hash of the only text, "*" texts differ.
+LABEL, OPTIONAL, REPEATED, PAGES, SLOT, CHARACTERS, CHILDREN = range(7)
 
 
-def fold(children: list[list]) -> list[list]:
-    """The children with neighbouring repeats of one to three labels merged into repeated ones."""
-    for period in (1, 2, 3):
-        out: list[list] = []
-        for child in children:
-            out.append(child)
-            labels = [c[0] for c in out[-2 * period :]]
-            if len(labels) == 2 * period and labels[:period] == labels[period:]:
-                last = out[-period:]
-                del out[-period:]
-                for a, b in zip(out[-period:], last, strict=True):
-                    merge(a, b)
-                    a[2] = True
-                    a[3] = max(1, a[3] - b[3])  # still one page
-        children = out
-    return children
+def _hash(text: str) -> str:
+    return f"{zlib.crc32(text.encode()):08x}" if text else ""
 
 
-def merge(a: list, b: list) -> list:
-    """a, made to match what a and b match; both have one label."""
-    a[1], a[2], a[3], a[5] = a[1] or b[1], a[2] or b[2], a[3] + b[3], a[5] + b[5]
-    if a[4] != b[4]:
-        a[4] = "*"
-    out: list[list] = []
-    for op, i, j, k, m in SequenceMatcher(None, [c[0] for c in a[6]], [c[0] for c in b[6]], autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [merge(x, y) for x, y in zip(a[6][i:j], b[6][k:m], strict=True)]
-        else:
-            for c in a[6][i:j] + b[6][k:m]:
-                c[1] = True
-                out.append(c)
-    a[6] = fold_same(out)
-    return a
-
-
-def fold_same(children: list[list]) -> list[list]:
-    """Neighbours of one label that an alignment has brought together, as one repeated child."""
-    out: list[list] = []
-    for c in children:
-        if out and out[-1][0] == c[0]:
-            pages = max(out[-1][3], c[3])
-            merge(out[-1], c)
-            out[-1][2], out[-1][3] = True, pages
+def wrapper_of(block: Block) -> list:
+    """The wrapper of one page."""
+    text = " ".join("".join(c for c in block.content if isinstance(c, str)).split())
+    children: list[list] = []
+    for c in map(wrapper_of, block.blocks):
+        if len(children) > APART and all(x[LABEL] == c[LABEL] for x in children[-APART - 1 :]):
+            children[-1] = _together(children[-1], c)
         else:
-            out.append(c)
+            children.append(c)
+    return [block.label, False, False, 1, _hash(text), len(text), children]
+
+
+def align(known: list[str], new: list[str]) -> list[int | None]:
+    """For each new label the place among the known ones that it meets: in order, or again what stands up to three places before."""
+    out: list[int | None] = [None] * len(new)
+    for i, k, n in SequenceMatcher(None, known, new, autojunk=False).get_matching_blocks():
+        out[k : k + n] = range(i, i + n)
+    last = None
+    for k, label in enumerate(new):
+        if out[k] is None and last is not None:
+            out[k] = next((i for i in range(last, max(-1, last - 3), -1) if known[i] == label), None)
+        last = last if out[k] is None else out[k]
     return out
 
 
+def _together(a: list, b: list) -> list:
+    """What a and b of one page are as a repeated node."""
+    slot = "*" if "*" in (a[SLOT], b[SLOT]) else _hash(a[SLOT] + b[SLOT])
+    children = [list(c) for c in a[CHILDREN]]
+    for c, i in zip(b[CHILDREN], align([c[LABEL] for c in children], [c[LABEL] for c in b[CHILDREN]]), strict=True):
+        if i is None:
+            children.append([c[LABEL], True, *c[REPEATED:]])
+        else:
+            children[i] = _together(children[i], c)
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], True, max(a[PAGES], b[PAGES]), slot, a[CHARACTERS] + b[CHARACTERS], children]
+
+
+def merge(a: list, b: list) -> list:
+    """The wrapper of what a and b match; both have one label."""
+    children, placed = list(a[CHILDREN]), align([c[LABEL] for c in a[CHILDREN]], [c[LABEL] for c in b[CHILDREN]])
+    met: dict[int, list] = {}
+    extra: list[tuple[int, list]] = []  # optional ones, with the place before which they stand
+    last = -1
+    for c, i in zip(b[CHILDREN], placed, strict=True):
+        if i is None:
+            extra.append((last + 1, [c[LABEL], True, *c[REPEATED:]]))
+        else:
+            met[i] = _together(met[i], c) if i in met else c
+            last = i
+    for i, c in enumerate(children):
+        children[i] = merge(c, met[i]) if i in met else [c[LABEL], True, *c[REPEATED:]]
+    for place, c in reversed(extra):
+        children.insert(place, c)
+    slot = a[SLOT] if a[SLOT] == b[SLOT] else "*"
+    return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[PAGES] + b[PAGES], slot, a[CHARACTERS] + b[CHARACTERS], children]
+
+
 def expression(node: list) -> str:
     """The wrapper as a regular expression over tags, for reading."""
-    inner = ("#text " if node[4] else "") + " ".join(expression(c) for c in node[6])
-    body = f"<{node[0]}>{inner}</>" if node[0] else inner
-    return f"({body})" + ("*" if node[1] and node[2] else "+" if node[2] else "?") if node[1] or node[2] else body
-
-
-def _varying(node: list) -> int:
-    return (node[5] if node[4] == "*" else 0) + sum(map(_varying, node[6]))
-
-
-def guide(wrapper: list) -> dict:
-    """container: labels down to the element that holds most varying text; template: paths of texts that never differ."""
-    container, node = [], wrapper
-    while node[6]:
-        best = max(node[6], key=_varying)
-        if best[2] or _varying(best) * 10 < 8 * _varying(node) or not _varying(best):
-            break
-        container.append(best[0])
-        node = best
-    template: list[str] = []
-
-    def collect(n: list, path: str) -> None:
-        here = f"{path}/{n[0]}"
-        if n[4] not in ("", "*") and not n[2] and not n[1] and n[3] >= LEAST_PAGES and 2 * n[3] > wrapper[3]:
-            template.append(here)
-        for c in n[6]:
-            collect(c, here)
-
-    if _varying(wrapper):
-        collect(wrapper, "")
-    return {"container": container, "template": template}
-
-
-def extract(html: str, container: tuple[str, ...] = (), template: frozenset[str] = frozenset()) -> str:
-    """The main text: what is inside article or main elements; without those, inside the container; without it, the whole body."""
-    walk, parts = _Walk(), {"article": [], "main": [], "container": [], "body": []}
-    size = len(container)
-    for e in events(html):
-        if e[0] == "text":
-            if not walk.dropped:
-                if template and "//" + "/".join(walk.blocks[:DEEPEST]) in template:
-                    continue
-                for k in MAIN:
-                    if k in walk.tags:
-                        parts[k].append(e[1])
-                if size and tuple(walk.blocks[:size]) == container:
-                    parts["container"].append(e[1])
-                parts["body"].append(e[1])
-            continue
-        if e[0] == "open":
-            walk.open(*e[1:])
-        elif e[0] == "close":
-            walk.close(e[1])
-        if e[0] == "break" or e[1] not in INLINE:
-            for p in parts.values():
-                if p and p[-1] != " ":
-                    p.append(" ")
-    for k in ("article", "main", "container", "body"):
-        text = " ".join(entities.unescape("".join(parts[k])).split())
-        if text:
+    inner = ("#text " if node[SLOT] else "") + " ".join(expression(c) for c in node[CHILDREN])
+    body = f"<{node[LABEL]}>{inner}</>" if node[LABEL] else inner
+    return f"({body})" + ("*" if node[OPTIONAL] and node[REPEATED] else "+" if node[REPEATED] else "?") if node[OPTIONAL] or node[REPEATED] else body
+
+
+def _tag(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def _aside(label: str, inside_main: bool) -> bool:
+    """Whether the names of an element speak against it; those of html and body never do, those of article and main only inside another one."""
+    tag = _tag(label)
+    return ".!" in label and tag not in ("html", "body") and (tag not in MAIN or inside_main)
+
+
+class Guide:
+    """What a wrapper says of its nodes: kept holds the ids of the containers, furniture those of template texts round them."""
+
+    def __init__(self, wrapper: list):
+        self.wrapper, self.kept, self.furniture, self.lifted = wrapper, set(), set(), set()
+        self.pages = wrapper[PAGES]
+        self.plain: dict[int, int] = {}  # varying characters by node, without those under names of boilerplate
+        self.all: dict[int, int] = {}
+        self._weigh(wrapper, False, False)
+        trusted = self.pages == 1 or 10 * self.plain[id(wrapper)] >= self.all[id(wrapper)]  # one page alone can't speak against a name
+        self.weight = self.plain if trusted else self.all
+        for tag in MAIN:
+            found = list(self._tagged(wrapper, tag, False, not trusted, ()))
+            if found:
+                for path in found:
+                    self.kept.add(id(path[-1]))
+                    self.lifted.update(map(id, path))
+                return
+        self._descend()
+
+    def _weigh(self, node: list, aside: bool, inside: bool) -> None:
+        aside = aside or _aside(node[LABEL], inside)
+        inside = inside or _tag(node[LABEL]) in MAIN
+        own = node[CHARACTERS] if node[SLOT] == "*" or self.pages == 1 else 0
+        plain, every = 0 if aside else own, own
+        for c in node[CHILDREN]:
+            self._weigh(c, aside, inside)
+            plain, every = plain + self.plain[id(c)], every + self.all[id(c)]
+        self.plain[id(node)], self.all[id(node)] = plain, every
+
+    def _tagged(self, node: list, tag: str, aside: bool, lifted: bool, path: tuple) -> Iterator[tuple]:
+        """The outermost nodes of a tag that hold text, with their ancestors; not those under names of boilerplate, unless these are lifted."""
+        if _aside(node[LABEL], False) and not lifted:
+            return
+        path = (*path, node)
+        if _tag(node[LABEL]) == tag:
+            yield path
+            return
+        for c in node[CHILDREN]:
+            yield from self._tagged(c, tag, aside, lifted, path)
+
+    def _descend(self) -> None:
+        """Without article or main: down to the node that holds nearly all varying text."""
+        node, path, weight = self.wrapper, [self.wrapper], self.weight
+        while node[CHILDREN]:
+            best = max(node[CHILDREN], key=lambda c: weight[id(c)])
+            if _tag(best[LABEL]) in PARAGRAPHS or best[REPEATED] or not weight[id(best)] or 10 * weight[id(best)] < 8 * weight[id(node)]:
+                break
+            node = best
+            path.append(node)
+        self.kept.add(id(node))
+        if weight is self.all:
+            self.lifted.update(map(id, path))
+        for above in path[:-1]:
+            self.kept.update(id(c) for c in above[CHILDREN] if _tag(c[LABEL]) == "h1" and weight[id(c)])
+        if _tag(node[LABEL]) in ("", "html", "body") and self.pages >= LEAST_PAGES:
+            varying = [i for i, c in enumerate(node[CHILDREN]) if weight[id(c)]]
+            if varying:
+                outside = node[CHILDREN][: varying[0]] + node[CHILDREN][varying[-1] + 1 :]
+                self.furniture.update(id(c) for c in outside if c[PAGES] == self.pages and not c[REPEATED] and _tag(c[LABEL]) not in PARAGRAPHS)
+
+
+def _gather(block: Block, node: list | None, guide: Guide, keep: bool, inside: bool, out: list[str]) -> None:
+    """Adds the texts of a block that meets a wrapper node: what is in a container and not under a name of boilerplate."""
+    if node is not None and id(node) in guide.furniture:
+        return
+    if _aside(block.label, inside) and not (node is not None and id(node) in guide.lifted):
+        return
+    keep = keep or node is not None and id(node) in guide.kept
+    inside = inside or keep and _tag(block.label) in MAIN
+    blocks, known = block.blocks, node[CHILDREN] if node is not None else []
+    places = iter(align([c[LABEL] for c in known], [b.label for b in blocks]))
+    for c in block.content:
+        if isinstance(c, Block):
+            i = next(places)
+            out.append(" ")
+            _gather(c, None if i is None else known[i], guide, keep, inside, out)
+            out.append(" ")
+        elif keep:
+            out.append(c)
+
+
+def extract(html: str, guide: Guide | None = None) -> str:
+    """The main text of a page by its host's wrapper; by the wrapper of the page alone, where there is none or no container in the page."""
+    page = page_tree(html)
+    for g in (guide, None):
+        g = g or Guide(wrapper_of(page))
+        out: list[str] = []
+        _gather(page, g.wrapper, g, False, False, out)
+        text = " ".join(entities.unescape("".join(out)).split())
+        if text or not page.content:
             return text
     return ""
 
@@ -308,41 +391,37 @@ def host(url) -> object:
 def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
     """(host, wrapper): the merged tree of all pages of each host, as JSON; from pages (host, html)."""
 
-    def merged(rows, keys: int):
-        held: dict[tuple, list] = {}
-        for batch in rows:
-            names = batch.schema.names
-            for *key, value in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                tree = json.loads(value) if names[-1] == "wrapper" else page_tree(value or "")
-                key = tuple(key[:keys])
-                if key in held:
-                    merge(held[key], tree)
-                else:
-                    held[key] = tree
-        if held:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*held, strict=True)), pa.array(map(json.dumps, held.values()), pa.string())], names=[*("host", "salt")[:keys], "wrapper"])
+    def first(batches):
+        held: dict[str, list] = {}
 
-    partial = pages.select("host", "html").mapInArrow(lambda batches: merged((p for p in pieces(batches, "html")), 1), "host string, wrapper string")
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int")).select("host", "salt", "wrapper")
-    for keys, schema in ((2, "host string, salt int, wrapper string"), (1, "host string, wrapper string")):
-        by = ["host", "salt"][:keys]
-        salted = salted.groupBy(*by).agg(F.array_sort(F.collect_list("wrapper")).alias("w")).select(*by, F.explode("w").alias("wrapper")).mapInArrow(lambda batches, keys=keys: _by_group(batches, keys), schema)
-    return salted
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(map(json.dumps, held.values()), pa.string())], names=["host", "wrapper"])
+            held.clear()
+            return out
 
-
-def _by_group(batches, keys: int):
-    """Merges the wrappers of each key; a key's rows follow each other in a task."""
+        for batch in pieces(batches, "html"):
+            for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                new = wrapper_of(page_tree(html or ""))
+                held[name] = merge(held[name], new) if name in held else new
+            if len(held) > HELD_HOSTS:
+                yield rows()
+        yield rows()
+
+    found = pages.select("host", "html").mapInArrow(first, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
+    for keys in (["host", "salt"], ["host"]):
+        in_order = found.select("host", "salt", "wrapper").repartition(*keys).sortWithinPartitions(*keys, "wrapper")
+        found = in_order.mapInArrow(lambda batches, keys=keys: _by_group(batches, keys), "host string, salt int, wrapper string")
+    return found.select("host", "wrapper")
+
+
+def _by_group(batches, keys: list[str]):
+    """Merges the wrappers of each key; a key's rows follow each other in a task, and one wrapper is held at a time."""
     last, tree = None, None
-    names = [*("host", "salt")[:keys], "wrapper"]
-    kinds = [pa.string(), pa.int32()][:keys] + [pa.string()]
-
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([*last, json.dumps(tree)], kinds, strict=True)], names=names)
-
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([last[-1] if len(keys) > 1 else 0], pa.int32()), pa.array([json.dumps(tree)], pa.string())], names=["host", "salt", "wrapper"])
     for batch in batches:
-        for *key, value in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        for *key, value in zip(*(batch.column(c).to_pylist() for c in (*keys, "wrapper")), strict=True):
             if key == last:
-                merge(tree, json.loads(value))
+                tree = merge(tree, json.loads(value))
             else:
                 if last is not None:
                     yield row()
@@ -362,16 +441,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = found.agg(F.coalesce(F.sum(F.length("json") + 64), F.lit(0))).first()[0]
 
     def texts(batches):
-        guides: dict[str, tuple] = {}
+        guides: dict[str | None, Guide | None] = {None: None}
         for batch in pieces(batches, "html"):
             out = []
             for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("json").to_pylist(), strict=True):
                 if wrapper not in guides:
-                    if len(guides) > 2000:
-                        guides.clear()
-                    g = guide(json.loads(wrapper)) if wrapper else {"container": [], "template": []}
-                    guides[wrapper] = tuple(g["container"]), frozenset(g["template"])
-                out.append(extract(page or "", *guides[wrapper]))
+                    if len(guides) > HELD_HOSTS:
+                        guides = {None: None}
+                    guides[wrapper] = Guide(json.loads(wrapper))
+                out.append(extract(page or "", guides[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if size <= WRAPPER_MB << 20:
