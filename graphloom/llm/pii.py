@@ -19,15 +19,17 @@ from .shared import written
 from .spans import Generator, matched, placed
 
 KINDS = ("email", "ip", "card", "phone")
+# Groups that repeat without a bound are possessive: Java's matcher then loops, where it would else recurse once for each
+# repeat and overflow its stack. The language is the same, as a label always ends before a dot, blank or bracket.
 _ONCE = r"(?:(?<![A-Za-z0-9._%+-])|\G)"  # a run of these characters is tried once, not from each of its characters
 BASE = [
-    Generator("email", _ONCE + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", needs="@"),
+    Generator("email", _ONCE + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", needs="@"),
     Generator("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", like=r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
     Generator("card", r"[0-9](?:[\x20-]?[0-9])++", like=r"[0-9](?:[\x20-]?[0-9]){12}"),
     Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", needs="+"),
 ]
 LOOSE = [
-    Generator("email?", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT)\x20?[\])}])\x20?[A-Za-z0-9-]+)+", like=r"[\[({]\x20?(?:at|AT)\x20?[\])}]"),
+    Generator("email?", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT)\x20?[\])}])\x20?[A-Za-z0-9-]++)++", like=r"[\[({]\x20?(?:at|AT)\x20?[\])}]"),
     Generator("ip?", r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])", like=r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
     Generator("card?", r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])", like=r"[0-9]{4}[./_][0-9]{4}[./_]"),
     Generator("phone?", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])", like=r"[0-9]{3}[-.\x20][0-9]{4}"),
@@ -110,20 +112,22 @@ def trained(spark: SparkSession) -> tuple[object, dict[str, float]]:
     return model, {k: 1.1 for k in KINDS} | {r["kind"]: max(0.5, r["p"] - 1e-6) for r in good}
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     The counts and the hash are of the base spans; spans has the base and the added ones as kind:start:end, in the order
-    of KINDS and then by start. An added span doesn't overlap a base span, nor a looser candidate that starts before it.
+    of KINDS and then by start. An added span doesn't overlap a base span, nor a looser candidate that starts before it;
+    its score reaches the threshold of its kind (the calibrated ones, unless others are given).
     A null text counts as empty; without spans the hash is of the empty string. Repeated rows, and rows without a
     doc_id, have results of their own; other columns are ignored.
     """
     rows = written(matched(docs.select("doc_id", "text"), [*BASE, *LOOSE]).withColumn("row", F.monotonically_increasing_id()))
-    model, thresholds = trained(docs.sparkSession)
+    model, calibrated = trained(docs.sparkSession)
+    thresholds = calibrated | (thresholds or {})
     all_spans = placed(rows.where(F.size("found") > 0).drop("doc_id"), "row")
     kept = all_spans.where(F.col("kind").endswith("?") | _valid(F.col("kind"), F.col("value")))
     before = W.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)  # a frame that shrinks would be quadratic
     is_base = ~F.col("kind").endswith("?")
     kept = kept.withColumn("free", F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)) & F.coalesce(F.min(F.when(is_base, F.col("start"))).over(later) >= F.col("end"), F.lit(True)))
     base = kept.where(is_base).select("row", "kind", "start", "end", F.lit(True).alias("base"))
