@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from tempfile import gettempdir
 
 import pyarrow as pa
@@ -29,10 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs meanwhile: wide rows then need little memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        if rows:
+            spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor costs nothing that was computed."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -41,6 +56,14 @@ def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= bound else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds."""
     return F.pmod(F.crc32(F.encode(F.col(key).cast("string") if isinstance(key, str) else key, "UTF-8")), F.lit(folds))

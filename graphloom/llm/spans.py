@@ -19,15 +19,23 @@ class Generator:
     pattern: str
     needs: str | None = None  # a plain string that the text holds
     like: str | None = None  # a regular expression that it matches
+    lead: str | None = None  # the start of the pattern, which stands before the value and isn't part of it
 
 
 def _matches(text: Column, g: Generator) -> Column:
     def each(m: Column) -> Column:
         before, after = (lambda i: F.get(m["parts"], i)), (lambda i: F.get(m["parts"], i + 1))
-        fields = lambda v, i: (F.lit(g.kind).alias("kind"), i.alias("i"), F.length(before(i)).alias("gap"), v.alias("value"), F.right(before(i), F.lit(CONTEXT)).alias("before"), F.left(after(i), F.lit(CONTEXT)).alias("after"))
-        return F.transform(m["values"], lambda v, i: F.struct(*fields(v, i)))
+        lead = lambda v: F.regexp_extract(v, "^(?:" + g.lead + ")", 0) if g.lead else F.lit("")
 
-    both = F.struct(F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0)).alias("values"), F.split(text, g.pattern, -1).alias("parts"))
+        def fields(v: Column, i: Column, start: Column) -> Column:
+            value = F.substr(v, F.length(start) + 1) if g.lead else v
+            context = F.right(F.concat(F.right(before(i), F.lit(CONTEXT)), start), F.lit(CONTEXT)) if g.lead else F.right(before(i), F.lit(CONTEXT))
+            return F.struct(F.lit(g.kind).alias("kind"), i.alias("i"), (F.length(before(i)) + F.length(start)).alias("gap"), value.alias("value"), context.alias("before"), F.left(after(i), F.lit(CONTEXT)).alias("after"))
+
+        return F.transform(m["values"], lambda v, i: fields(v, i, lead(v)))
+
+    pattern = (g.lead or "") + g.pattern
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("parts"))
     whole = F.transform(F.array(both), each)  # so that the text is split once and not for each match
     there = F.lit(True)
     if g.needs:
