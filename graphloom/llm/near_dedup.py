@@ -32,6 +32,7 @@ LOSS = 1e-3  # chance that a pair exactly at the threshold shares no node of the
 SMALL = 16  # members of a node that is compared exhaustively
 COORDINATES = 128  # minwise tokens of a document
 HUB_ROUNDS = 2
+WIDE_ROWS = 1000  # rows with a text, a set or tokens in an Arrow batch
 BLOCK = 256  # candidates of one document that meet its set in one group
 HELD = 1 << 18  # shingles of a block whose sets a task holds, on average
 SKIPPED = 1e-6  # chance that a pair exactly at the threshold agrees in too few tokens to be confirmed; 0: all are confirmed
@@ -114,7 +115,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     ids = written(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(small_side(ids, ids.count()), "doc", "left_semi")
-    return written(texts.dropDuplicates(["doc"]).mapInArrow(of, "doc long, n long, hashes binary"))
+    return written(texts.dropDuplicates(["doc"]).mapInArrow(of, "doc long, n long, hashes binary"), WIDE_ROWS)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -149,7 +150,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = placed.select("a", "block").distinct().join(sets.select(F.col("doc").alias("a"), "hashes"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "hashes")
     rest = placed.join(sets.select(F.col("doc").alias("b"), "hashes"), "b").select("a", "block", "b", "hashes")
     rows = first.union(rest).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    return written(rows.select("a", "b", "hashes").mapInArrow(compare, "a long, b long"))
+    return written(rows.select("a", "b", "hashes").mapInArrow(compare, "a long, b long"), WIDE_ROWS)
 
 
 def _mixed(members: DataFrame, state: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, loss: float = LOSS,
     """
     first, last = depths(percent, loss)
     least = least_shared(percent, skipped)
-    sketches = written(sketch(docs))
+    sketches = written(sketch(docs), WIDE_ROWS)
     classes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")))
     tokens = classes.select("doc", "tokens")
     if not classes.groupBy("doc").count().where("count > 1").isEmpty():
@@ -247,23 +248,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, loss: float = LOSS,
     sets = _sets(docs, nodes[0].select("doc").distinct())
 
     stars = members.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _confirmed(written(_agreeing(stars, tokens, least)), sets, percent)
+    links = _confirmed(written(_agreeing(stars, tokens, least), WIDE_ROWS), sets, percent)
     state = written(components(links))
 
     for turn in range(HUB_ROUNDS):
         large = _mixed(members.where((F.col("members") > SMALL) & F.col("last")), state)
         if large.isEmpty():
             break
-        links = written(links.union(_confirmed(written(_agreeing(_hub_pairs(large, turn), tokens, least)), sets, percent)))
+        links = written(links.union(_confirmed(written(_agreeing(_hub_pairs(large, turn), tokens, least), WIDE_ROWS), sets, percent)))
         state = written(components(links))
 
     placed = _mixed(members.where((F.col("members") <= SMALL) | F.col("last")), state)
     small = placed.where(F.col("members") <= SMALL).select("node", "doc", "component")
     rest = small.alias("p").join(small.alias("q"), "node").where("p.doc < q.doc and p.component <> q.component").select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"))
-    more = _confirmed(written(_agreeing(rest.distinct(), tokens, least)), sets, percent)
+    more = _confirmed(written(_agreeing(rest.distinct(), tokens, least), WIDE_ROWS), sets, percent)
     large = placed.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        more = written(more.union(_across(large, tokens, sets, percent, least)))
+        more = written(more.union(_across(large, tokens, sets, percent, least)), WIDE_ROWS)
     if not more.isEmpty():
         state = written(components(links.union(more)))
 

@@ -129,6 +129,10 @@ def build(model: dict, cached: int = 10_000):
 PROBES = ("", " ", "Hello world", "  two  spaces  ", "tab\tand\nnew line", "Éléphant naïve straße ñandú", "漢字かな交じり文 \U0001f600 ​", "a" * 300, "x=1;y=[2,3]; // 4.5e-6", "é ﬁ  .", "<s> </s> <unk> <0x0A>", "▁ marked▁text")
 
 
+LEARNED = 1024  # new segments that are encoded, compared and decoded at once
+REMEMBERED = 150_000  # segments that a task remembers
+
+
 class Codec:
     """Encodes and decodes with one model file; a task keeps it, and remembers the segments it has met.
 
@@ -136,7 +140,7 @@ class Codec:
     each distinct segment is encoded once, checked against the sentencepiece library and decoded again.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -180,8 +184,9 @@ class Codec:
         if len(self.segments) > self.remembered:
             self.segments, self.differing, self.lossy = {}, set(), set()
         cut = [_SEGMENT.findall(self._normal(t)) for t in texts]
-        if new := list(set(chain.from_iterable(cut)) - self.segments.keys()):
-            self._learn(new)
+        new = list(set(chain.from_iterable(cut)) - self.segments.keys())
+        for k in range(0, len(new), LEARNED):
+            self._learn(new[k : k + LEARNED])
         out = []
         for text, segments in zip(texts, cut, strict=True):
             ids = b"".join(map(self.segments.__getitem__, segments))
@@ -207,7 +212,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches):
-        for batch in text_pieces(batches, "text", 2 << 20):
+        for batch in text_pieces(batches, "text", 512 << 10):
             rows = codec(model).encode([t or "" for t in batch.column("text").to_pylist()])
             sizes = [len(r[0]) // 4 for r in rows]
             ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32)))

@@ -60,7 +60,7 @@ def _hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, first) + (end - first).astype(np.uint64)), counts
 
 
-def word_hashes(blobs: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(blobs: list[bytes], limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
     parts = [(i, p) for i, b in enumerate(blobs) for p in _cut(b.lower(), limit)]
     out, counts, group, size = [], np.zeros(len(blobs), np.int64), [], 0
