@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket, digest, sorted_text, wl_hash
-from ..sources.corpora import both_ways
+from ..functions.hashing import SMALL, bucket, by_size, digest, packed, sorted_text, wl_hash, wl_rounds
+from ..sources.corpora import both_ways, saved
 
 
 def edge_decomposition(edges: DataFrame) -> DataFrame:
@@ -20,13 +20,43 @@ def membership(parts: DataFrame) -> DataFrame:
     return parts.select("graph_id", "inode", F.explode(F.array("u", "v")).alias("node_id"))
 
 
+def _joined_contexts(edges: DataFrame) -> DataFrame:
+    """edge_contexts by joins, for graphs of any size."""
+    parts = saved(edge_decomposition(edges))
+    ends = parts.select("graph_id", "inode", "u", "v", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("lu").alias("l")), F.struct(F.col("v").alias("n"), F.col("lv").alias("l")))).alias("end")).select("graph_id", "inode", "u", "v", F.col("end.n").alias("inner"), F.col("end.l").alias("type"))
+    ways = both_ways(edges).withColumnsRenamed({"src": "inner", "dst": "outer"})
+    cut = ends.join(ways, ["graph_id", "inner"]).where("outer <> u and outer <> v").groupBy("graph_id", "inode").agg(F.collect_list(F.struct("inner", "outer", F.col("label").alias("elabel"), F.concat_ws("|", "label", "lu", "lv").alias("ekey"))).alias("cut"))
+    met = ends.select("graph_id", "inode", "inner", "type").join(ends.select("graph_id", F.col("inode").alias("j"), "inner"), ["graph_id", "inner"]).where("inode <> j")
+    near = met.groupBy("graph_id", "inode", "j").agg(F.collect_list("type").alias("types")).groupBy("graph_id", "inode").agg(F.collect_list(F.struct("j", "types")).alias("near"))
+    empty = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as {kind})")).alias(c)
+    both = parts.join(cut, ["graph_id", "inode"], "left").join(near, ["graph_id", "inode"], "left")
+    return both.select(*parts.columns, empty("cut", cut.schema["cut"].dataType.simpleString()), empty("near", near.schema["near"].dataType.simpleString()))
+
+
+def edge_contexts(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """The subgraphs of edge_decomposition with cut, their boundary edges from inside to outside (inner, outer, elabel, ekey),
+    and near, the other subgraphs that share nodes with them (j, types: the labels of these nodes).
+
+    Graphs of at most small edges are one row each meanwhile, after a single shuffle by graph_id; larger ones go by joins.
+    """
+    large = by_size(edges.limit(0), edges, small)
+    few = edges if large is None else edges.join(large, "graph_id", "left_anti")
+    graphs = few.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("label").alias("elabel"), "lu", "lv"))).alias("es"))
+    each = graphs.select("graph_id", "es", F.posexplode("es").alias("pos", "e")).select("graph_id", "es", (F.col("pos") + 1).alias("inode"), "e.*")
+    in_part = lambda n: (n == F.col("u")) | (n == F.col("v"))
+    way = lambda w, a, b, la, lb: F.struct(w[a].alias("inner"), w[b].alias("outer"), w["elabel"].alias("elabel"), F.concat_ws("|", w["elabel"], w[la], w[lb]).alias("ekey"))
+    out = lambda w, a, b, la, lb: F.when(in_part(w[a]) & ~in_part(w[b]), F.array(way(w, a, b, la, lb))).otherwise(F.array())
+    cut = F.flatten(F.transform("es", lambda w: F.concat(out(w, "u", "v", "lu", "lv"), out(w, "v", "u", "lv", "lu"))))
+    has = lambda w, n: (w["u"] == F.col(n)) | (w["v"] == F.col(n))
+    types = lambda w: F.concat(F.when(has(w, "u"), F.array("lu")).otherwise(F.array()), F.when(has(w, "v") & (F.col("u") != F.col("v")), F.array("lv")).otherwise(F.array()))
+    near = F.filter(F.transform("es", lambda w, k: F.struct((k + 1).alias("j"), types(w).alias("types"))), lambda x: (x["j"] != F.col("inode")) & (F.size(x["types"]) > 0))
+    found = each.select("graph_id", "inode", "u", "v", "elabel", "lu", "lv", cut.alias("cut"), near.alias("near"))
+    return found if large is None else found.union(_joined_contexts(edges.join(large, "graph_id", "left_semi")).select(found.columns))
+
+
 def cut_edges(edges: DataFrame) -> DataFrame:
     """(graph_id, inode, inner, outer, elabel, ekey): edges with one end inside, from inside to outside."""
-    parts = edge_decomposition(edges)
-    inner = parts.select("graph_id", "inode", "u", "v", F.explode(F.array("u", "v")).alias("inner"))
-    ways = both_ways(edges).withColumnsRenamed({"src": "inner", "dst": "outer"})
-    cut = inner.join(ways, ["graph_id", "inner"]).where("outer <> u and outer <> v")
-    return cut.select("graph_id", "inode", "inner", "outer", F.col("label").alias("elabel"), F.concat_ws("|", "label", "lu", "lv").alias("ekey"))
+    return edge_contexts(edges).select("graph_id", "inode", F.explode("cut").alias("c")).select("graph_id", "inode", "c.*")
 
 
 def edge_keys(edges: DataFrame) -> DataFrame:
@@ -42,18 +72,20 @@ def pair_hash(parts: DataFrame) -> DataFrame:
     return parts.withColumn("hu", hu).withColumn("hv", hv).withColumn("assoc_hash", F.md5(F.concat_ws(",", F.least("hu", "hv"), F.greatest("hu", "hv"))))
 
 
+_listed = lambda c, sep: F.array_join(F.array_sort(c), sep)
+
+
 def cut_signature(edges: DataFrame) -> DataFrame:
     """(graph_id, inode, cut_size, cut_key): the sorted keys of a subgraph's boundary; '' where it has none."""
-    keys = cut_edges(edges).groupBy("graph_id", "inode").agg(F.count("*").alias("n"), sorted_text(F.col("ekey"), ";").alias("key"))
-    return edge_decomposition(edges).select("graph_id", "inode").join(keys, ["graph_id", "inode"], "left").select("graph_id", "inode", F.coalesce("n", F.lit(0)).cast("long").alias("cut_size"), F.coalesce("key", F.lit("")).alias("cut_key"))
+    return edge_contexts(edges).select("graph_id", "inode", F.size("cut").cast("long").alias("cut_size"), _listed(F.transform("cut", lambda c: c["ekey"]), ";").alias("cut_key"))
 
 
 def cut_index(edges: DataFrame) -> DataFrame:
     """(graph_id, inode, cut_key, assoc_hash, edge_map_sig) of every subgraph; edge_map_sig says which end each key hangs on."""
-    parts = pair_hash(edge_decomposition(edges))
-    sides = parts.select("graph_id", "inode", F.explode(F.array(F.struct(F.col("u").alias("inner"), F.col("hu").alias("role")), F.struct(F.col("v").alias("inner"), F.col("hv").alias("role")))).alias("s")).select("graph_id", "inode", "s.*")
-    maps = cut_edges(edges).join(sides, ["graph_id", "inode", "inner"]).groupBy("graph_id", "inode").agg(sorted_text(F.col("ekey"), ";").alias("key"), F.md5(sorted_text(F.concat_ws("@", "ekey", "role"), ";")).alias("map"))
-    return parts.select("graph_id", "inode", "assoc_hash").join(maps, ["graph_id", "inode"], "left").select("graph_id", "inode", F.coalesce("key", F.lit("")).alias("cut_key"), "assoc_hash", F.coalesce("map", F.md5(F.lit(""))).alias("edge_map_sig"))
+    parts = pair_hash(edge_contexts(edges))
+    role = lambda c: F.when(c["inner"] == F.col("u"), F.col("hu")).otherwise(F.col("hv"))
+    maps = F.md5(_listed(F.transform("cut", lambda c: F.concat_ws("@", c["ekey"], role(c))), ";"))
+    return parts.select("graph_id", "inode", _listed(F.transform("cut", lambda c: c["ekey"]), ";").alias("cut_key"), "assoc_hash", maps.alias("edge_map_sig"))
 
 
 def deduplicated(index: DataFrame) -> DataFrame:
@@ -86,14 +118,30 @@ def balls(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFrame:
     return seen.groupBy("graph_id", "root", "node_id").agg(F.min("dist").alias("dist"))
 
 
-def radius_hash(nodes: DataFrame, edges: DataFrame, radius: int = 1) -> DataFrame:
-    """(graph_id, node_id, hash): the hash of the subgraph within radius steps of each node."""
-    ball = balls(nodes, edges, radius)
+def _joined_radius_hash(nodes: DataFrame, edges: DataFrame, radius: int) -> DataFrame:
+    """radius_hash by joins, for graphs of any size."""
+    ball = saved(balls(nodes, edges, radius))
     labelled = ball.join(nodes, ["graph_id", "node_id"]).select("graph_id", "root", "node_id", "label")
-    inside = ball.select("graph_id", "root", F.col("node_id").alias("src")).join(both_ways(edges).select("graph_id", "src", "dst", "label"), ["graph_id", "src"]).join(ball.select("graph_id", "root", F.col("node_id").alias("dst")), ["graph_id", "root", "dst"])
+    inside = saved(ball.select("graph_id", "root", F.col("node_id").alias("src")).join(both_ways(edges).select("graph_id", "src", "dst", "label"), ["graph_id", "src"]).join(ball.select("graph_id", "root", F.col("node_id").alias("dst")), ["graph_id", "root", "dst"]))
     return wl_hash(labelled, inside, ["graph_id", "root"], 2).withColumnRenamed("root", "node_id")
 
 
+def radius_hash(nodes: DataFrame, edges: DataFrame, radius: int = 1, small: int = SMALL) -> DataFrame:
+    """(graph_id, node_id, hash): the hash of the subgraph within radius steps of each node.
+
+    Graphs of at most small nodes and edges are one row each meanwhile, after a single shuffle by graph_id; larger ones go by joins.
+    """
+    large = by_size(nodes, edges, small)
+    part = lambda df, how: df if large is None else df.join(large, "graph_id", how)
+    each = packed(part(nodes, "left_anti"), part(edges, "left_anti"))
+    each = each.select("graph_id", "members", "ways", F.explode("members").alias("root")).select("graph_id", F.col("root.node_id").alias("root"), "members", "ways").withColumn("ball", F.array("root"))
+    for _ in range(radius):
+        each = each.withColumn("ball", F.array_union("ball", F.transform(F.filter("ways", lambda w: F.array_contains("ball", w["src"])), lambda w: w["dst"])))
+    inside = each.select("graph_id", "root", F.filter("members", lambda x: F.array_contains("ball", x["node_id"])).alias("members"), F.filter("ways", lambda w: F.array_contains("ball", w["src"]) & F.array_contains("ball", w["dst"])).alias("ways"))
+    found = wl_rounds(inside, 2).select("graph_id", F.col("root").alias("node_id"), "hash")
+    return found if large is None else found.union(_joined_radius_hash(part(nodes, "left_semi"), part(edges, "left_semi"), radius).select(found.columns))
+
+
 def anchor_types(nodes: DataFrame, edges: DataFrame, bits: int = 10) -> DataFrame:
     return radius_hash(nodes, edges).select("graph_id", "node_id", bucket(F.col("hash"), bits).alias("bucket"))
 
@@ -115,9 +163,7 @@ def virtual_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def shared_nodes(edges: DataFrame) -> DataFrame:
     """(graph_id, i, j, shared): subgraphs that have nodes in common."""
-    m = membership(edge_decomposition(edges))
-    left, right = m.withColumnRenamed("inode", "i"), m.withColumnRenamed("inode", "j")
-    return left.join(right, ["graph_id", "node_id"]).where("i <> j").groupBy("graph_id", "i", "j").agg(F.count("*").alias("shared"))
+    return edge_contexts(edges).select("graph_id", F.col("inode").alias("i"), F.explode("near").alias("x")).select("graph_id", "i", "x.j", F.size("x.types").cast("long").alias("shared"))
 
 
 def overlap_signatures(edges: DataFrame) -> DataFrame:

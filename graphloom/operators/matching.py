@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cuts import cut_index, edge_decomposition, pair_hash, shared_nodes
+from .cuts import cut_index, edge_contexts, pair_hash, shared_nodes
 
 
 def rewrite_pairs(index: DataFrame) -> DataFrame:
@@ -22,10 +22,18 @@ def rewrite_pairs(index: DataFrame) -> DataFrame:
     return out.where("n_source > 0 and n_donor > 0").select("cut_key", "n_source", "n_donor", (F.col("n_source") * F.col("n_donor") - F.col("same")).alias("n_pairs"))
 
 
+def effective_sources(index: DataFrame) -> DataFrame:
+    """(cut_key, n_source, n_same): the sources of each signature that have a donor of another hash, and those of them whose own hash donors offer as well (exchanges with those would change nothing)."""
+    donors = index.where("graph_id % 2 = 1").groupBy("cut_key", "assoc_hash").agg(F.count("*").alias("d"))
+    kinds = donors.groupBy("cut_key").agg(F.count("*").alias("kinds"))
+    sources = index.where("graph_id % 2 = 0").groupBy("cut_key", "assoc_hash").agg(F.count("*").alias("s"))
+    both = sources.join(kinds, "cut_key").join(donors, ["cut_key", "assoc_hash"], "left").where("kinds > if(d is null, 0, 1)")
+    return both.groupBy("cut_key").agg(F.sum("s").alias("n_source"), F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("s"))), F.lit(0)).alias("n_same"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(graph_id, inode, img_type, deg): each subgraph's hash and how many others share nodes with it."""
-    degree = shared_nodes(edges).groupBy("graph_id", F.col("i").alias("inode")).agg(F.count("*").alias("deg"))
-    return pair_hash(edge_decomposition(edges)).select("graph_id", "inode", F.col("assoc_hash").alias("img_type")).join(degree, ["graph_id", "inode"], "left").withColumn("deg", F.coalesce("deg", F.lit(0)).cast("long"))
+    return pair_hash(edge_contexts(edges)).select("graph_id", "inode", F.col("assoc_hash").alias("img_type"), F.size("near").cast("long").alias("deg"))
 
 
 def buckets(edges: DataFrame) -> DataFrame:
@@ -34,17 +42,16 @@ def buckets(edges: DataFrame) -> DataFrame:
 
 def port_types(edges: DataFrame) -> DataFrame:
     """(graph_id, i, j, type, cnt): for each neighbour j of subgraph i, the labels of the nodes they share."""
-    parts = edge_decomposition(edges)
-    ends = parts.select("graph_id", "inode", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("lu").alias("l")), F.struct(F.col("v").alias("n"), F.col("lv").alias("l")))).alias("e")).select("graph_id", "inode", F.col("e.n").alias("node_id"), F.col("e.l").alias("type"))
-    both = ends.withColumnRenamed("inode", "i").join(ends.select("graph_id", F.col("inode").alias("j"), "node_id"), ["graph_id", "node_id"]).where("i <> j")
-    return both.groupBy("graph_id", "i", "j", "type").agg(F.count("*").alias("cnt"))
+    ports = edge_contexts(edges).select("graph_id", F.col("inode").alias("i"), F.explode("near").alias("x"))
+    counted = F.transform(F.array_distinct("x.types"), lambda t: F.struct(t.alias("type"), F.size(F.filter("x.types", lambda y: y.eqNullSafe(t))).cast("long").alias("cnt")))
+    return ports.select("graph_id", "i", "x.j", F.explode(counted).alias("t")).select("graph_id", "i", "j", "t.type", "t.cnt")
 
 
 def ports(edges: DataFrame) -> DataFrame:
     """(img_type, port, n): how often a subgraph type has a port of a given multiset of labels."""
-    types = components(edges).select("graph_id", F.col("inode").alias("i"), "img_type")
-    port = port_types(edges).groupBy("graph_id", "i", "j").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", "type", F.col("cnt").cast("string")))), ",").alias("port"))
-    return port.join(types, ["graph_id", "i"]).groupBy("img_type", "port").agg(F.count("*").alias("n"))
+    each = pair_hash(edge_contexts(edges)).select(F.col("assoc_hash").alias("img_type"), F.explode("near").alias("x"))
+    counted = F.transform(F.array_distinct("x.types"), lambda t: F.concat_ws("x", t, F.size(F.filter("x.types", lambda y: y.eqNullSafe(t))).cast("string")))
+    return each.select("img_type", F.array_join(F.array_sort(counted), ",").alias("port")).groupBy("img_type", "port").agg(F.count("*").alias("n"))
 
 
 def containing_ports(edges: DataFrame, required: dict[str, int]) -> DataFrame:
@@ -60,12 +67,12 @@ def inverted_candidates(edges: DataFrame) -> DataFrame:
     return held.groupBy("type", "mult").agg(F.count("*").alias("n_candidates"))
 
 
-def transitions(edges: DataFrame) -> DataFrame:
-    """(prev, role, next, n, rank): which subgraph type follows another over a shared label, the 256 most frequent by (prev, role)."""
+def transitions(edges: DataFrame, most: int = 256) -> DataFrame:
+    """(prev, role, next, n, rank): which subgraph type follows another over a shared label, the most frequent ones by (prev, role)."""
     types = components(edges).select("graph_id", "inode", "img_type")
     steps = port_types(edges).join(types.select("graph_id", F.col("inode").alias("i"), F.col("img_type").alias("prev")), ["graph_id", "i"]).join(types.select("graph_id", F.col("inode").alias("j"), F.col("img_type").alias("next")), ["graph_id", "j"])
     counted = steps.groupBy("prev", F.col("type").alias("role"), "next").agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(W.partitionBy("prev", "role").orderBy(F.desc("n"), "next"))).where("rank <= 256")
+    return counted.withColumn("rank", F.row_number().over(W.partitionBy("prev", "role").orderBy(F.desc("n"), "next"))).where(F.col("rank") <= most)
 
 
 def image_edge_violations(edges: DataFrame, expected: int = 1) -> DataFrame:
@@ -146,6 +153,6 @@ def closest_to_mean(points: DataFrame) -> DataFrame:
     """(label, id, d): by label, the point nearest to the label's mean vector, ties to smaller ids."""
     each = points.select("label", "id", F.posexplode("x").alias("dim", "v"))
     mean = each.groupBy("label", "dim").agg(F.avg("v").alias("m"))
-    d = each.join(F.broadcast(mean), ["label", "dim"]).groupBy("label", "id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("d"))
+    d = each.join(mean, ["label", "dim"]).groupBy("label", "id").agg(F.sqrt(F.sum((F.col("v") - F.col("m")) ** 2)).alias("d"))
     best = d.groupBy("label").agg(F.min_by(F.struct("id", "d"), F.struct(F.round("d", 9), "id")).alias("b"))
     return best.select("label", "b.id", F.round("b.d", 6).alias("d"))

@@ -59,7 +59,7 @@ def calibrated_threshold(df: DataFrame, by: str, value: str, density: float, pre
 def one_hot(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, class): the index of each node's label in the sorted vocabulary."""
     vocabulary = nodes.select("label").distinct().withColumn("class", F.row_number().over(W.orderBy("label")) - 1)
-    return nodes.join(F.broadcast(vocabulary), "label").select("graph_id", "node_id", "class")
+    return nodes.join(vocabulary, "label").select("graph_id", "node_id", "class")
 
 
 def balanced_accuracy(df: DataFrame) -> DataFrame:

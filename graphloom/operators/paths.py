@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpora import both_ways
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: a table in the folder of spark.checkpoint.dir, or a checkpoint where that is unset and Spark is local."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
+from ..sources.corpora import both_ways, saved
 
 
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,23 +7,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
-from .cuts import cut_edges, cut_index, edge_decomposition, pair_hash
+from ..sources.corpora import saved
+from .cuts import cut_edges, cut_index, edge_contexts, edge_decomposition, pair_hash
 from .sampling import seeded
 
 
-def replaced(edges: DataFrame) -> DataFrame:
-    """(graph_id, inode, donor_graph, donor_inode, n_nodes, n_edges): one rewrite of each even graph, or none.
+def replacements(edges: DataFrame) -> DataFrame:
+    """(graph_id, inode, donor_graph, donor_inode, n_nodes, n_edges): one rewrite of each even graph, or none; the counts are those of the graph before it.
 
-    Its first subgraph with a donor (an odd graph's subgraph of equal signature and another hash, the smallest one) is
-    taken out, the donor's two nodes and edge are put in under fresh ids, and boundary edges hang on as their keys say.
+    Its first subgraph with a donor: an odd graph's subgraph of equal signature and another hash, the smallest one. Of a
+    signature's donors only the smallest of the first two hashes is held, as one of them differs from any source's.
     """
     index = cut_index(edges).where("cut_key <> ''")
     donors = index.where("graph_id % 2 = 1").groupBy("cut_key", "assoc_hash").agg(F.min(F.struct(F.col("graph_id").alias("donor_graph"), F.col("inode").alias("donor_inode"))).alias("d"))
-    ranked = donors.groupBy("cut_key").agg(F.array_sort(F.collect_list(F.struct("d", "assoc_hash"))).alias("ds"))
-    found = index.where("graph_id % 2 = 0").join(ranked, "cut_key").withColumn("pick", F.get(F.filter("ds", lambda x: x["assoc_hash"] != F.col("assoc_hash")), 0)).where("pick is not null")
-    first = found.groupBy("graph_id").agg(F.min_by(F.struct("inode", "pick"), "inode").alias("f")).select("graph_id", "f.inode", F.col("f.pick.d.donor_graph").alias("donor_graph"), F.col("f.pick.d.donor_inode").alias("donor_inode"))
+    first = donors.groupBy("cut_key").agg(F.min(F.struct("d", "assoc_hash")).alias("one"))
+    second = donors.join(first, "cut_key").where(F.col("assoc_hash") != F.col("one.assoc_hash")).groupBy("cut_key").agg(F.min("d").alias("two"))
+    found = index.where("graph_id % 2 = 0").join(first, "cut_key").join(second, "cut_key", "left").withColumn("pick", F.when(F.col("one.assoc_hash") != F.col("assoc_hash"), F.col("one.d")).otherwise(F.col("two"))).where("pick is not null")
+    chosen = found.groupBy("graph_id").agg(F.min_by(F.struct("inode", "pick"), "inode").alias("f")).select("graph_id", "f.inode", "f.pick.donor_graph", "f.pick.donor_inode")
     size = edges.groupBy("graph_id").agg(F.max(F.greatest("src", "dst")).cast("long").alias("n_nodes"), F.count("*").alias("n_edges"))
-    return first.join(size, "graph_id")
+    return chosen.join(size, "graph_id")
+
+
+def replaced(edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, label, lu, lv): the edges of each rewritten graph, see replacements.
+
+    The subgraph's two nodes and their edges go; the donor's nodes and edge come in as the nodes n + 1 and n + 2. Each boundary
+    edge hangs on the donor's end that has an equal key, keys that repeat in the order of their ends.
+    """
+    chosen = saved(replacements(edges))
+    parts = edge_contexts(edges)
+    gone = chosen.join(parts, ["graph_id", "inode"]).select("graph_id", "u", "v", "cut", "n_nodes", "donor_graph", "donor_inode")
+    donor = parts.select(F.col("graph_id").alias("donor_graph"), F.col("inode").alias("donor_inode"), F.struct("u", "v", "elabel", "lu", "lv", "cut").alias("d"))
+    both = saved(gone.join(donor, ["donor_graph", "donor_inode"]))
+    left = edges.join(both.select("graph_id", "u", "v"), "graph_id").where("src <> u and src <> v and dst <> u and dst <> v").select("graph_id", "src", "dst", "label", "lu", "lv")
+    new = lambda side: (F.col("n_nodes") + F.when(side, 1).otherwise(2)).cast("int")
+    inside = both.select("graph_id", new(F.lit(True)).alias("src"), new(F.lit(False)).alias("dst"), F.col("d.elabel").alias("label"), F.col("d.lu").alias("lu"), F.col("d.lv").alias("lv"))
+    keys = lambda cut: F.array_sort(F.transform(cut, lambda c: F.struct(c["ekey"].alias("ekey"), c["inner"].alias("inner"), c["outer"].alias("outer"), c["elabel"].alias("elabel"))))
+    pairs = both.select("graph_id", "n_nodes", "d", F.explode(F.arrays_zip(keys("cut").alias("s"), keys("d.cut").alias("t"))).alias("p"))
+    inner_label = F.when(F.col("p.t.inner") == F.col("d.u"), F.col("d.lu")).otherwise(F.col("d.lv"))
+    hung = pairs.select("graph_id", F.col("p.s.outer").alias("src"), new(F.col("p.t.inner") == F.col("d.u")).alias("dst"), F.col("p.s.elabel").alias("label"), F.substring_index("p.s.ekey", "|", -1).alias("lu"), inner_label.alias("lv"))
+    return left.union(inside).union(hung)
 
 
 def pruned(edges: DataFrame, least: int = 3, seed: str = "11") -> DataFrame:
@@ -72,7 +95,7 @@ def beam_step(nodes: DataFrame, edges: DataFrame, width: int = 3) -> DataFrame:
     frequency = edges.groupBy(F.least("lu", "lv").alias("la"), F.greatest("lu", "lv").alias("lb")).agg(F.count("*").alias("score"))
     left, right = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("l1")), nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("l2"))
     options = missing_edges(nodes, edges).join(left, ["graph_id", "src"]).join(right, ["graph_id", "dst"]).withColumn("la", F.least("l1", "l2")).withColumn("lb", F.greatest("l1", "l2"))
-    scored = options.join(F.broadcast(frequency), ["la", "lb"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    scored = options.join(frequency, ["la", "lb"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("score"), "src", "dst"))).where(F.col("rank") <= width).select("graph_id", "src", "dst", "score", "rank")
 
 
@@ -133,7 +156,8 @@ def mmr_selection(candidates: DataFrame, similar: DataFrame, k: int, diversity:
 
     candidates has (id, score), similar (i, j, sim) in both directions.
     """
-    state = candidates.select("id", "score", F.lit(0.0).alias("close"))
+    similar = saved(similar)
+    state = saved(candidates.select("id", "score", F.lit(0.0).alias("close")))
     chosen: list[int] = []
     for _ in range(k):
         row = state.where(~F.col("id").isin(chosen) if chosen else F.lit(True)).orderBy(F.desc(F.round(F.col("score") - diversity * F.col("close"), 9)), "id").select("id").first()
@@ -141,7 +165,7 @@ def mmr_selection(candidates: DataFrame, similar: DataFrame, k: int, diversity:
             break
         chosen.append(row["id"])
         near = similar.where(F.col("i") == row["id"]).select(F.col("j").alias("id"), "sim")
-        state = state.join(near, "id", "left").select("id", "score", F.greatest("close", F.coalesce("sim", F.lit(0.0))).alias("close"))
+        state = saved(state.join(near, "id", "left").select("id", "score", F.greatest("close", F.coalesce("sim", F.lit(0.0))).alias("close")))
     return candidates.sparkSession.createDataFrame(list(enumerate(chosen, 1)), "rank int, id long")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..sources.corpora import saved
 
 SMOOTH = 1.0  # added to the edges and to the non-edges of a class of node pairs
 BLOCK, BINS = 4, 4
@@ -78,19 +79,18 @@ def node_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def edge_statistics(pairs: DataFrame) -> DataFrame:
     """(kind, ratio_bin, lu, lv, level, edges, total, p) at four levels of back-off; null where a level leaves a column out."""
-    pairs.createOrReplaceTempView("_node_pairs")
-    return pairs.sparkSession.sql(f"""
-        SELECT kind, bin AS ratio_bin, lu, lv, CAST(grouping_id() AS BIGINT) AS level, count_if(has_edge) AS edges, count(*) AS total,
-               round((count_if(has_edge) + {SMOOTH}D) / (count(*) + 2 * {SMOOTH}D), 6) AS p
-        FROM _node_pairs GROUP BY kind, bin, lu, lv GROUPING SETS ((kind, bin, lu, lv), (kind, lu, lv), (kind, bin), (kind))""")
+    kind, ratio_bin, lu, lv = keys = [F.col("kind"), F.col("bin"), F.col("lu"), F.col("lv")]
+    edges = F.count_if("has_edge")
+    counted = pairs.groupingSets([keys, [kind, lu, lv], [kind, ratio_bin], [kind]], *keys).agg(F.grouping_id().cast("long").alias("level"), edges.alias("edges"), F.count("*").alias("total"))
+    return counted.select("kind", F.col("bin").alias("ratio_bin"), "lu", "lv", "level", "edges", "total", F.round((F.col("edges") + SMOOTH) / (F.col("total") + 2 * SMOOTH), 6).alias("p"))
 
 
 def edge_probabilities(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (kind, ratio_bin, lu, lv) with p from the first level that has counted such pairs."""
-    stats = edge_statistics(pairs)
+    stats = saved(edge_statistics(pairs))  # counted once for the four levels
     out = asked
     for level, keys in ((0, ["kind", "ratio_bin", "lu", "lv"]), (4, ["kind", "lu", "lv"]), (3, ["kind", "ratio_bin"]), (7, ["kind"])):
-        out = out.join(F.broadcast(stats.where(F.col("level") == level).select(*keys, F.col("p").alias(f"p{level}"))), keys, "left")
+        out = out.join(stats.where(F.col("level") == level).select(*keys, F.col("p").alias(f"p{level}")), keys, "left")
     return out.select("kind", "ratio_bin", "lu", "lv", F.coalesce("p0", "p4", "p3", "p7").alias("p"))
 
 
@@ -112,7 +112,7 @@ def equalised(targets: DataFrame, seed: str = "7") -> DataFrame:
     sizes_ = targets.groupBy("target").agg(F.count("*").alias("size"))
     most = sizes_.agg(F.max("size").alias("most"))
     order = F.row_number().over(W.partitionBy("target").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("graph_id").cast("string"))), "graph_id"))
-    placed = targets.withColumn("pos", order).join(F.broadcast(sizes_.join(F.broadcast(most), F.lit(True))), "target")
+    placed = targets.withColumn("pos", order).join(sizes_.join(F.broadcast(most), F.lit(True)), "target")
     times = F.ceil((F.col("most") - F.col("pos") + 1) / F.col("size")).cast("int")
     return placed.select("target", "graph_id", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("copy"))
 

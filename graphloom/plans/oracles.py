@@ -36,7 +36,7 @@ _BASE = {
     "r1": "SELECT n.graph_id, n.root, n.node_id, md5(n.h || '|' || coalesce(string_agg(s.label || ':' || m.h, ',' ORDER BY s.label || ':' || m.h), '')) AS h FROM r0 n LEFT JOIN bs s ON n.graph_id = s.graph_id AND n.root = s.root AND n.node_id = s.src LEFT JOIN r0 m ON s.graph_id = m.graph_id AND s.root = m.root AND s.dst = m.node_id GROUP BY n.graph_id, n.root, n.node_id, n.h",
     "r2": "SELECT n.graph_id, n.root, n.node_id, md5(n.h || '|' || coalesce(string_agg(s.label || ':' || m.h, ',' ORDER BY s.label || ':' || m.h), '')) AS h FROM r1 n LEFT JOIN bs s ON n.graph_id = s.graph_id AND n.root = s.root AND n.node_id = s.src LEFT JOIN r1 m ON s.graph_id = m.graph_id AND s.root = m.root AND s.dst = m.node_id GROUP BY n.graph_id, n.root, n.node_id, n.h",
     "rh": "SELECT graph_id, root AS node_id, md5(string_agg(h, ',' ORDER BY h)) AS hash FROM r2 GROUP BY 1, 2",
-    "mi": "SELECT s.graph_id, a.x::INTEGER AS src, b.y::INTEGER AS dst FROM sz s, range(1, s.n_nodes + 1) a(x), range(1, s.n_nodes + 1) b(y) WHERE s.n_nodes <= 13 AND a.x < b.y AND NOT EXISTS (SELECT 1 FROM ed e WHERE e.graph_id = s.graph_id AND e.src = a.x AND e.dst = b.y)",
+    "mi": "SELECT s.graph_id, a.x::INTEGER AS src, b.y::INTEGER AS dst FROM sz s, range(1, s.n_nodes + 1) a(x), range(1, s.n_nodes + 1) b(y) WHERE a.x < b.y AND NOT EXISTS (SELECT 1 FROM ed e WHERE e.graph_id = s.graph_id AND e.src = a.x AND e.dst = b.y)",
     "dg": "SELECT graph_id, node_id, count(*) AS deg FROM (SELECT graph_id, src AS node_id FROM ed UNION ALL SELECT graph_id, dst FROM ed) GROUP BY 1, 2",
     "po": "SELECT n.graph_id, n.node_id, n.label, (row_number() OVER (PARTITION BY n.graph_id ORDER BY coalesce(d.deg, 0) DESC, n.node_id) - 1) AS pos, count(*) OVER (PARTITION BY n.graph_id) AS size FROM nd n LEFT JOIN dg d USING (graph_id, node_id)",
     "pr": "SELECT a.graph_id, CASE WHEN b.pos >= a.pos // 4 * 4 THEN 'within' ELSE 'between' END AS kind, least(floor((a.pos // 4 * 4) / a.size::DOUBLE * 4), 3)::INTEGER AS bin, least(a.label, b.label) AS lu, greatest(a.label, b.label) AS lv, EXISTS (SELECT 1 FROM ed e WHERE e.graph_id = a.graph_id AND e.src = least(a.node_id, b.node_id) AND e.dst = greatest(a.node_id, b.node_id)) AS has_edge FROM po a JOIN po b ON a.graph_id = b.graph_id AND b.pos < a.pos",
@@ -80,6 +80,9 @@ def _sql(uses: str, body: str) -> str:
 
 
 _PAIRS = "SELECT cut_key, n_source::BIGINT AS n_source, n_donor::BIGINT AS n_donor, (n_source * n_donor - same)::BIGINT AS n_pairs FROM (SELECT cut_key, sum(s) AS n_source, sum(d) AS n_donor, sum(s * d) AS same FROM (SELECT cut_key, assoc_hash, count(*) FILTER (graph_id % 2 = 0) AS s, count(*) FILTER (graph_id % 2 = 1) AS d FROM ix GROUP BY 1, 2) GROUP BY 1) WHERE n_source > 0 AND n_donor > 0"
+_CHOICE = """, dn AS (SELECT cut_key, assoc_hash, graph_id AS donor_graph, inode AS donor_inode FROM ix WHERE graph_id % 2 = 1 AND cut_key <> ''),
+    cd AS (SELECT DISTINCT ON (s.graph_id) s.graph_id, s.inode, d.donor_graph, d.donor_inode FROM ix s JOIN dn d ON s.cut_key = d.cut_key AND s.assoc_hash <> d.assoc_hash WHERE s.graph_id % 2 = 0 ORDER BY s.graph_id, s.inode, d.donor_graph, d.donor_inode),
+    ch AS (SELECT cd.*, z.n_nodes, z.n_edges FROM cd JOIN (SELECT graph_id, max(greatest(src, dst))::BIGINT AS n_nodes, count(*) AS n_edges FROM ed GROUP BY 1) z USING (graph_id))"""
 _STATS = "round((count(*) FILTER (has_edge) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE), 6) AS p"
 _SPLIT = _bits("graph_id::VARCHAR", 32) + " % 10"
 _FLAG = "RECURSIVE nd AS MATERIALIZED (" + _BASE["nd"] + "), fl AS MATERIALIZED (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND b.node_id = a.node_id + 2 AND a.flag = b.flag), fs AS (SELECT * FROM fl UNION ALL SELECT graph_id, dst, src FROM fl), rc AS (SELECT graph_id, node_id, node_id AS seen FROM nd UNION SELECT r.graph_id, r.node_id, f.dst FROM rc r JOIN fs f ON r.graph_id = f.graph_id AND r.seen = f.src), cc AS (SELECT graph_id, node_id, min(seen) AS component FROM rc GROUP BY 1, 2)"
@@ -99,7 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "k_virtual_cut": _sql("ct", "SELECT graph_id, inode, count(*) AS cut_size, string_agg(outer_label, ';' ORDER BY outer_label) AS cut_key FROM (SELECT DISTINCT graph_id, inode, outer_, outer_label FROM ct) GROUP BY 1, 2"),
     "k_virtual_candidates": _sql("ct nd", "SELECT cut_key, n_sets, n_entries FROM (SELECT least(a.label, b.label) || ';' || greatest(a.label, b.label) AS cut_key, count(*) AS n_sets FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND a.node_id < b.node_id GROUP BY 1) JOIN (SELECT cut_key, count(*) AS n_entries FROM (SELECT string_agg(outer_label, ';' ORDER BY outer_label) AS cut_key, count(*) AS k FROM (SELECT DISTINCT graph_id, inode, outer_, outer_label FROM ct) GROUP BY graph_id, inode) WHERE k = 2 GROUP BY 1) USING (cut_key)"),
     "k_overlap_sig": _sql("sh pt", "SELECT signature, count(*) AS n FROM (SELECT md5(string_agg(p.assoc_hash || ':' || s.shared, ';' ORDER BY p.assoc_hash || ':' || s.shared)) AS signature FROM sh s JOIN pt p ON s.graph_id = p.graph_id AND s.j = p.inode GROUP BY s.graph_id, s.i) GROUP BY 1"),
-    "k_rewrite_pairs": _sql("ix", _PAIRS),
     "j_rewrite_pairs": _sql("ix", _PAIRS),
     "j_bucket": _sql("cp", "SELECT img_type, deg, count(*) AS n_components FROM cp GROUP BY 1, 2"),
     "j_inverted_semi": _sql("pp", "SELECT type, mult::INTEGER AS mult, count(*) AS n_candidates FROM (SELECT DISTINCT graph_id, i, type, m.mult FROM pp, range(1, cnt + 1) m(mult)) GROUP BY 1, 2"),
@@ -182,4 +184,28 @@ ORACLE_SQL: dict[str, str] = {
     "w_running_weights": "SELECT user_id AS key, round(avg((event_type <> 'error')::INTEGER), 6) AS accept FROM events GROUP BY 1",
     "w_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce((ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE)::INTEGER, 1) AS new FROM events)) GROUP BY user_id, s",
     "u_transitions": _sql("ev", "SELECT user_id AS graph_id, event_type AS src, following AS dst, count(*) AS weight FROM ev WHERE following IS NOT NULL GROUP BY 1, 2, 3"),
+    "k_rewrite_pairs": _sql("ix", ", d AS (SELECT cut_key, assoc_hash FROM ix WHERE graph_id % 2 = 1 GROUP BY 1, 2), s AS (SELECT cut_key, assoc_hash FROM ix WHERE graph_id % 2 = 0) SELECT cut_key, count(*) AS n_source, count(*) FILTER (EXISTS (SELECT 1 FROM d WHERE d.cut_key = s.cut_key AND d.assoc_hash = s.assoc_hash)) AS n_same FROM s WHERE EXISTS (SELECT 1 FROM d WHERE d.cut_key = s.cut_key AND d.assoc_hash <> s.assoc_hash) GROUP BY 1"),
+    "p_replace_single": _sql("ed ix", _CHOICE + " SELECT graph_id, inode, donor_graph, donor_inode, n_nodes, n_edges FROM ch"),
+    "p_replace_graph": _sql("ed pt ct ix", _CHOICE + """, bo AS (SELECT h.*, s.u, s.v, d.u AS du, d.v AS dv, d.elabel AS dl, d.lu AS dlu, d.lv AS dlv FROM ch h JOIN pt s ON s.graph_id = h.graph_id AND s.inode = h.inode JOIN pt d ON d.graph_id = h.donor_graph AND d.inode = h.donor_inode),
+        sc AS (SELECT h.graph_id, c.*, row_number() OVER (PARTITION BY h.graph_id ORDER BY c.ekey, c.inner_, c.outer_, c.elabel) AS k FROM ch h JOIN (SELECT graph_id AS g, inode AS i, inner_, outer_, elabel, ekey, outer_label FROM ct) c ON c.g = h.graph_id AND c.i = h.inode),
+        dc AS (SELECT h.graph_id, c.inner_ AS din, row_number() OVER (PARTITION BY h.graph_id ORDER BY c.ekey, c.inner_, c.outer_, c.elabel) AS k FROM ch h JOIN ct c ON c.graph_id = h.donor_graph AND c.inode = h.donor_inode)
+        SELECT e.graph_id, e.src, e.dst, e.label, e.lu, e.lv FROM ed e JOIN bo b ON e.graph_id = b.graph_id WHERE e.src NOT IN (b.u, b.v) AND e.dst NOT IN (b.u, b.v)
+        UNION ALL SELECT graph_id, (n_nodes + 1)::INTEGER, (n_nodes + 2)::INTEGER, dl, dlu, dlv FROM bo
+        UNION ALL SELECT s.graph_id, s.outer_, (b.n_nodes + CASE WHEN d.din = b.du THEN 1 ELSE 2 END)::INTEGER, s.elabel, s.outer_label, CASE WHEN d.din = b.du THEN b.dlu ELSE b.dlv END FROM sc s JOIN dc d ON s.graph_id = d.graph_id AND s.k = d.k JOIN bo b ON b.graph_id = s.graph_id"""),
+    "g_bfs_order": "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({_BASE[n]})" for n in ("nd", "ed", "sy")) + """, w AS MATERIALIZED (SELECT DISTINCT graph_id, src, dst FROM sy),
+        st AS (SELECT DISTINCT ON (n.graph_id) n.graph_id, n.node_id FROM nd n LEFT JOIN (SELECT graph_id, src, count(*) AS deg FROM w GROUP BY 1, 2) d ON n.graph_id = d.graph_id AND n.node_id = d.src ORDER BY n.graph_id, coalesce(d.deg, 0) DESC, n.node_id),
+        r AS (SELECT graph_id, node_id, 0 AS level FROM st UNION SELECT r.graph_id, w.dst, r.level + 1 FROM r JOIN w ON r.graph_id = w.graph_id AND r.node_id = w.src WHERE r.level < (SELECT max(node_id) FROM nd))
+        SELECT n.graph_id, n.node_id, coalesce(min(r.level), -1)::INTEGER AS level FROM nd n LEFT JOIN r ON n.graph_id = r.graph_id AND n.node_id = r.node_id GROUP BY 1, 2""",
+    "a_score_rank": _sql("ms", ", dr AS (SELECT model, range AS draw, m1 + 0.1 * s1 * sqrt(-2 * ln(" + _uniform("'x|' || model || '|' || range") + ")) * cos(2 * 3.141592653589793 * " + _uniform("'xb|' || model || '|' || range") + ") AS x, m2 + 0.1 * s2 * sqrt(-2 * ln(" + _uniform("'y|' || model || '|' || range") + ")) * cos(2 * 3.141592653589793 * " + _uniform("'yb|' || model || '|' || range") + ") AS y FROM ms, range(1, 65)) SELECT a.model, count(*) AS wins FROM dr a JOIN dr b ON a.draw = b.draw AND a.model <> b.model AND a.x >= b.x AND a.y >= b.y GROUP BY 1"),
+    "a_powerlaw": """WITH p AS (SELECT l_returnflag AS key, l_linenumber::BIGINT AS n, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY 1, 2), g AS (SELECT p.*, 0.3::DOUBLE + i.range * 0.01::DOUBLE AS alpha FROM p, range(0, 171) i),
+        s AS (SELECT key, alpha, count(*) AS k, sum(pow(n, -alpha)) AS sx, sum(y) AS sy, sum(pow(n, -2 * alpha)) AS sxx, sum(pow(n, -alpha) * y) AS sxy, sum(y * y) AS syy FROM g GROUP BY 1, 2),
+        f AS (SELECT *, (k * sxy - sx * sy) / (k * sxx - sx * sx) AS b FROM s), h AS (SELECT *, (sy - b * sx) / k AS a FROM f), e AS (SELECT *, syy - a * sy - b * sxy AS sse FROM h)
+        SELECT DISTINCT ON (key) key, round(alpha, 2) AS alpha, round(a, 4) AS a, round(b, 4) AS b FROM e ORDER BY key, round(sse, 9), alpha""",
+    "a_path_score": """WITH e AS (SELECT user_id AS path, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+        s AS (SELECT a.path, a.pos, b.pos > a.pos AS way, abs(a.pos - b.pos) AS gap, round(-abs(a.value - b.value), 6) AS sim FROM e a JOIN e b ON a.path = b.path AND a.pos <> b.pos),
+        r AS (SELECT path, pos, way, rank() OVER (PARTITION BY path, pos, way ORDER BY gap) + (count(*) OVER (PARTITION BY path, pos, way, gap) - 1) / 2.0 AS rg, rank() OVER (PARTITION BY path, pos, way ORDER BY sim) + (count(*) OVER (PARTITION BY path, pos, way, sim) - 1) / 2.0 AS rs FROM s),
+        c AS (SELECT path, corr(rg::DOUBLE, rs::DOUBLE) AS c FROM r GROUP BY path, pos, way HAVING count(*) > 1 AND min(rs) < max(rs)) SELECT path, round(-avg(c), 6) AS score FROM c GROUP BY 1""",
+    "p_resume_signature": _sql("gh", "SELECT md5('steps=50|' || sum(('0x' || substr(md5(hash || '|' || n), 1, 8))::BIGINT)) AS signature, sum(n)::BIGINT AS n FROM (SELECT hash, count(*) AS n FROM gh GROUP BY 1)"),
+    "g_mst_knn": "WITH RECURSIVE nl AS MATERIALIZED (" + _BASE["nl"] + """), el AS MATERIALIZED (SELECT src, dst, w, row_number() OVER (ORDER BY w, src, dst) AS k FROM nl), wy AS MATERIALIZED (SELECT src, dst, k FROM el UNION ALL SELECT dst, src, k FROM el),
+        re AS (SELECT k, src AS node FROM el UNION SELECT r.k, y.dst FROM re r JOIN wy y ON y.src = r.node AND y.k < r.k) SELECT e.src, e.dst, round(e.w, 6) AS w FROM el e WHERE NOT EXISTS (SELECT 1 FROM re r WHERE r.k = e.k AND r.node = e.dst)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket, wl_hash
+from ..functions.hashing import bucket, graph_hashes
 from ..operators import cuts, matching, models, paths, rewriting, sampling, statistics
 from ..sources import corpora
 from ..streaming import events as streams
@@ -20,15 +20,23 @@ class _Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        make = {"n": corpora.nodes, "e": corpora.edges, "t": corpora.targets, "p": corpora.points, "u": corpora.user_edges}
+        make = {"t": corpora.targets, "p": corpora.points, "u": corpora.user_edges}
         self.__dict__.update({k: f(spark, sf_dir) for k, f in make.items()})
 
+    @property
+    def n(self) -> DataFrame:
+        return corpora.derived(self.spark, self.dir)[0]
+
+    @property
+    def e(self) -> DataFrame:
+        return corpora.derived(self.spark, self.dir)[1]
+
     def table(self, name: str) -> DataFrame:
         return corpora.table(self.spark, self.dir, name)
 
     @property
     def hashes(self) -> DataFrame:
-        return wl_hash(self.n, corpora.both_ways(self.e), ["graph_id"])
+        return graph_hashes(self.n, self.e)
 
 
 def _graph_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +70,7 @@ def _line_weights(t: _Tables) -> DataFrame:
 
 def _nation_links(t: _Tables) -> DataFrame:
     """(src, dst, w): nations linked by orders, w falls with the number of lines from suppliers of one to customers of the other."""
-    lines = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(t.table("customer").select("c_custkey", "c_nationkey")), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.table("supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = lines.select(F.least("c_nationkey", "s_nationkey").cast("long").alias("src"), F.greatest("c_nationkey", "s_nationkey").cast("long").alias("dst")).where("src <> dst")
     return pairs.groupBy("src", "dst").agg((1.0 / F.count("*")).alias("w"))
 
@@ -94,7 +102,7 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "k_virtual_cut": lambda t: cuts.virtual_cut(t.e),
     "k_virtual_candidates": lambda t: cuts.virtual_candidates(t.n, t.e),
     "k_overlap_sig": lambda t: cuts.overlap_signatures(t.e),
-    "k_rewrite_pairs": lambda t: matching.rewrite_pairs(cuts.cut_index(t.e)),
+    "k_rewrite_pairs": lambda t: matching.effective_sources(cuts.cut_index(t.e)),
     "j_rewrite_pairs": lambda t: matching.rewrite_pairs(cuts.cut_index(t.e)),
     "j_bucket": lambda t: matching.buckets(t.e),
     "j_inverted_semi": lambda t: matching.inverted_candidates(t.e),
@@ -146,7 +154,8 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "g_mst_knn": lambda t: paths.spanning_tree(_nation_links(t)).select("src", "dst", F.round("w", 6).alias("w")),
     "g_node_features": lambda t: paths.node_features(t.n, t.e),
     "g_norm_adj": lambda t: paths.normalised_adjacency(t.n, t.e),
-    "p_replace_single": lambda t: rewriting.replaced(t.e),
+    "p_replace_single": lambda t: rewriting.replacements(t.e),
+    "p_replace_graph": lambda t: rewriting.replaced(t.e),
     "p_prune_step": lambda t: rewriting.pruned(t.e),
     "p_missing_edges": lambda t: rewriting.missing_edges(t.n, t.e),
     "p_remove_edges": lambda t: rewriting.removed_edges(t.e, 0.5),

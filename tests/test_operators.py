@@ -2,10 +2,13 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import hashing
 from graphloom.functions.hashing import wl_hash
 from graphloom.operators import cuts, matching, models, paths, rewriting, sampling, statistics
+from graphloom.sources import corpora
 from graphloom.sources.corpora import both_ways, validate
 
 
@@ -139,3 +142,42 @@ def test_empty_corpus(spark):
     nothing = edges.where(F.lit(False))
     assert cuts.cut_index(nothing).isEmpty() and matching.rewrite_pairs(cuts.cut_index(nothing)).isEmpty()
     assert models.unknown_features(spark.createDataFrame([], "graph_id long, hash string"), spark.createDataFrame([], "hash string")).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def order_graphs(spark, sf_dir):
+    return corpora.derived(spark, sf_dir)
+
+
+def as_rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("small", [0, 9])
+def test_packed_graphs_give_what_joins_give(order_graphs, small):
+    """small = 0: all graphs go by joins; 9: some do."""
+    n, e = (df.where("graph_id < 200") for df in order_graphs)
+    context = lambda k: cuts.edge_contexts(e, k).select("graph_id", "inode", "u", "v", F.array_sort("cut").alias("cut"), F.array_sort(F.transform("near", lambda x: F.struct(x["j"], F.array_sort(x["types"])))).alias("near"))
+    assert as_rows(context(small)) == as_rows(context(64))
+    assert as_rows(cuts.radius_hash(n, e, 1, small)) == as_rows(cuts.radius_hash(n, e, 1, 64))
+    assert as_rows(cuts.radius_hash(n, e, 2, small)) == as_rows(cuts.radius_hash(n, e, 2, 64))
+    assert as_rows(hashing.graph_hashes(n, e, 3, small)) == as_rows(hashing.graph_hashes(n, e, 3, 64))
+
+
+def test_replacement_keeps_the_boundary(order_graphs):
+    """A rewritten graph has its donor's two nodes under fresh ids, and hangs them on the same outer nodes by the same edge labels."""
+    e = order_graphs[1].where("graph_id < 400")
+    chosen = {r["graph_id"]: r for r in rewriting.replacements(e).collect()}
+    old = {}
+    for r in e.collect():
+        old.setdefault(r["graph_id"], []).append(r)
+    part = {(r["graph_id"], r["inode"]): (r["u"], r["v"]) for r in cuts.edge_decomposition(e).collect()}
+    new = {}
+    for r in rewriting.replaced(e).collect():
+        new.setdefault(r["graph_id"], []).append(r)
+    assert chosen and set(new) == set(chosen)
+    for g, c in chosen.items():
+        inside, fresh = part[(g, c["inode"])], {c["n_nodes"] + 1, c["n_nodes"] + 2}
+        outer = sorted((r["label"], x) for r in old[g] for x, y in ((r["src"], r["dst"]), (r["dst"], r["src"])) if y in inside and x not in inside)
+        assert outer == sorted((r["label"], r["src"]) for r in new[g] if r["dst"] in fresh and r["src"] not in fresh)
+        assert not any(x in inside for r in new[g] for x in (r["src"], r["dst"]))
