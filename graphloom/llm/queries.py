@@ -50,9 +50,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import raw_transcripts, rendered
+    from .chat import fitted, raw_transcripts, rendered
 
-    return rendered(raw_transcripts(table(spark, sf_dir, "conversations"))).drop("order")
+    parts = raw_transcripts(table(spark, sf_dir, "conversations"))
+    return rendered(parts.drop("role"), model=fitted(parts)).drop("order")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

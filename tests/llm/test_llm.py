@@ -359,6 +359,21 @@ def test_blocks_give_the_path_of_a_whole_transcript(spark):
     assert [got[(1, i)] for i in range(len(texts))] == want and (None, 0) in got
 
 
+def test_model_is_estimated_from_one_half_and_recovers_the_roles_of_the_other(spark, sf_dir):
+    raw = chat.raw_transcripts(table(spark, "/root/testdata/sf0.01", "conversations"))
+    known, asked = raw.where("conv_id % 2 = 0"), raw.where("conv_id % 2 = 1")
+    model = chat.fitted(known)
+    def right(m):
+        got = chat.rendered(asked.drop("role"), model=m).where("turn = 0").select("conv_id", "part", F.col("role").alias("found"))
+        return asked.join(got, ["conv_id", "part"]).select(F.avg((F.col("role") == F.col("found")).cast("int"))).first()[0]
+    import numpy as np
+
+    assert right(model) >= max(0.97, right(chat.PRIOR) - 0.002)
+    assert all(np.allclose(np.exp(x).sum(-1), 1) for x in (model.start, model.stay, model.turn, model.next, model.named))
+    none = chat.fitted(known.limit(0))
+    assert np.allclose(none.turn, chat.PRIOR.turn) and np.allclose(none.yes, chat.PRIOR.yes)
+
+
 def test_transcripts_on_odd_rows(spark):
     rows = [(1, 0, "User: a"), (1, 0, "User: a"), (1, 1, None), (1, None, "you must"), (None, 0, "Assistant: b<|im_end|> "), (None, 0, "more"), (2, 0, ""), (3, 0, "\n".join(["x " * 50] * 3000))]
     parts = spark.createDataFrame([(*x, "k", 1) for x in rows], "conv_id long, part long, text string, m string, row int")
