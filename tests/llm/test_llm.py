@@ -271,6 +271,36 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == linked(texts)
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    """With no loss from tokens (skipped = 0) and next to none from trees, as all pairs give."""
+    texts = random_docs(3, 40) + ODD
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, texts), percent, 1e-6, 0.0).collect()}
+    assert got == linked(texts, percent)
+
+
+def test_depths_and_tokens_follow_from_the_threshold():
+    for percent in (60, 80, 85, 95):
+        first, last = near_dedup.depths(percent)
+        assert 1 <= first <= last and (1 - (percent / 100) ** last) ** near_dedup.TREES <= near_dedup.LOSS
+    assert near_dedup.least_shared(85, 0.0) == 0 and 80 < near_dedup.least_shared(85) < 109 == round(1.28 * 85)
+
+
+def test_crowded_nodes_of_documents_that_share_passages(spark):
+    """Many documents that share most of a text, linked in small groups: hubs and blocks against all pairs."""
+    r = random.Random(12)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for _ in range(60):
+        own = [f"o{r.randrange(10**6)}" for _ in range(16)]
+        for _ in range(r.choice([1, 2, 3])):
+            copy = passage + own
+            if r.random() < 0.7:
+                copy[r.randrange(len(copy))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == linked(texts)
+
+
 def test_large_group_of_near_copies(spark):
     r = random.Random(5)
     base = [f"b{i}" for i in range(150)]
@@ -465,5 +495,55 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "encoding"]
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def write_tables(spark, folder, documents, labels, benchmark):
+    spark.createDataFrame(documents, DOCUMENT + ", key string, score double, spans string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_planted_rows(spark, tmp_path):
+    """Without labels nothing is rejected: what goes is named here, document by document."""
+    import corpus_pipeline
+
+    r = random.Random(13)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    item, base = prose(40), prose(100)
+    near = base.split()
+    near[50] = "changed"
+    texts = {1: prose(80), 2: base, 3: base, 4: " ".join(near), 5: prose(30) + " " + item + " " + prose(30), 6: "set password: Xk9fQ2mLp8 and " + prose(40), 7: None, 8: "", 9: "x" * 300_000, 10: prose(60_000)}
+    rows = [(i, t, "en", "src", len(t or ""), "k", 0.1, "s") for i, t in texts.items()]
+    rows += [rows[0], (None, prose(20), None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    folder = write_tables(spark, tmp_path, rows, [], [(1, item), (2, None), (None, "a b c d e f")])
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((x["doc_id"] or 0) for x in out) == [0, 0, 1, 1, 2, 6, 7, 8, 9, 10] and all(x["parity"] and x["round_trip"] for x in out)
+    secret = [t for x in out if x["doc_id"] == 6 for t in x["token_ids"]]
+    back = sentencepiece_codec.codec(sentencepiece_codec.MODEL).decode([secret])[0]
+    assert "<SECRET>" in back and "Xk9fQ2mLp8" not in back
+    assert {x["n_tokens"] for x in out if x["doc_id"] in (7, 8)} == {0}
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = write_tables(spark, tmp_path, [], [], [])
+    docs_ = table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs_ = stage(spark, docs_, folder)
+        assert docs_.isEmpty()
+
+
+def test_operators_on_empty_tables(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert decontaminate.contaminated(odd(spark).limit(0), bench).isEmpty() and decontaminate.contaminated(odd(spark), bench.limit(0)).isEmpty()
+    assert decontaminate.clean(odd(spark), bench.limit(0)).count() == len(ODD) + 1
+    assert sentencepiece_codec.encoded(odd(spark).limit(0)).isEmpty() and sentencepiece_codec.decoded(sentencepiece_codec.encoded(odd(spark).limit(0))).isEmpty()
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(vectors, vectors).isEmpty()
+
+
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
