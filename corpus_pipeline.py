@@ -57,7 +57,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("secrets", secret_stage), ("encoding", encoding_stage)]
 
-#: The classifier and the token ids can't be expressed in SQL; tests/llm holds the stages against brute force.
+#: The classifier and the token ids can't be expressed in SQL. tests/llm holds the stages against brute force: near duplicates and
+#: decontamination against all pairs and all windows, tokens against the library, the rest by held-out labels and planted cases.
 ORACLE_SQL = None
 
 
