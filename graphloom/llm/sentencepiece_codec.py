@@ -129,8 +129,8 @@ def build(model: dict, cached: int = 10_000):
 PROBES = ("", " ", "Hello world", "  two  spaces  ", "tab\tand\nnew line", "Éléphant naïve straße ñandú", "漢字かな交じり文 \U0001f600 ​", "a" * 300, "x=1;y=[2,3]; // 4.5e-6", "é ﬁ  .", "<s> </s> <unk> <0x0A>", "▁ marked▁text")
 
 
-LEARNED = 1024  # new segments that are encoded, compared and decoded at once
-REMEMBERED = 150_000  # segments that a task remembers
+LEARNED = 8192  # new segments that are encoded, compared and decoded at once
+REMEMBERED = 300_000  # segments that a task remembers
 
 
 class Codec:
