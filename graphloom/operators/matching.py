@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cuts import cut_index, edge_contexts, pair_hash, shared_nodes
+from ..functions.hashing import uniform
+from .cuts import cut_index, edge_contexts, pair_hash, shared_nodes, virtual_cut
 
 
 def rewrite_pairs(index: DataFrame) -> DataFrame:
@@ -61,6 +62,36 @@ def containing_ports(edges: DataFrame, required: dict[str, int]) -> DataFrame:
     return met.groupBy("graph_id", "i", "j").agg(F.count("*").alias("met")).where(F.col("met") == len(required)).select("graph_id", "i", "j")
 
 
+def injective_matches(edges: DataFrame, requirements: list[dict[str, int]]) -> DataFrame:
+    """(graph_id, i, ports): for subgraphs that meet all requirements by different ports, the first such ports in order.
+
+    A requirement is labels with how often a port must hold them at least. Larger requirements (labels in all, then kinds of
+    them) are matched first, as in ports; of several ways the one with the smallest neighbours wins. The work is bounded by the
+    neighbours of one subgraph to the power of the number of requirements, of which there may be three.
+    """
+    if not 1 <= len(requirements) <= 3:
+        raise ValueError("from one to three requirements")
+    wanted = sorted(requirements, key=lambda r: (-sum(r.values()), -len(r), sorted(r.items())))
+
+    def able(need: dict[str, int]):
+        def holds(x):
+            met = F.lit(True)
+            for label, n in sorted(need.items()):
+                met &= F.size(x["types"]) - F.size(F.array_remove(x["types"], label)) >= n
+            return met
+
+        return F.transform(F.filter("near", holds), lambda x: x["j"])
+
+    def extended(ways, more):
+        return F.flatten(F.transform(ways, lambda w: F.transform(F.filter(more, lambda j: ~F.array_contains(w, j)), lambda j: F.concat(w, F.array(j)))))
+
+    ways = F.transform(able(wanted[0]), lambda j: F.array(j))
+    for need in wanted[1:]:
+        ways = extended(ways, able(need))
+    found = edge_contexts(edges).select("graph_id", F.col("inode").alias("i"), F.array_min(ways).alias("ports")).where("ports is not null")
+    return found.select("graph_id", "i", F.array_join(F.transform("ports", lambda j: j.cast("string")), ",").alias("ports"))
+
+
 def inverted_candidates(edges: DataFrame) -> DataFrame:
     """(type, mult, n_candidates): subgraphs that have a label at least mult times on some port."""
     held = port_types(edges).select("graph_id", "i", "type", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))).alias("mult")).distinct()
@@ -80,6 +111,23 @@ def image_edge_violations(edges: DataFrame, expected: int = 1) -> DataFrame:
     return shared_nodes(edges).where((F.col("i") < F.col("j")) & (F.col("shared") != expected)).groupBy("graph_id").agg(F.count("*").alias("n_violations"))
 
 
+def virtual_matches(nodes: DataFrame, edges: DataFrame, seed: str = "21") -> DataFrame:
+    """(graph_id, a, b, cut_key, n_donors, donor_graph, donor_inode): a donor for pairs of nodes of even graphs at which something could be hung.
+
+    The labels of the pair are a virtual cut's key; donors are subgraphs of odd graphs with that key. Each pair draws one of
+    the entries in seeded order, so a subgraph that occurs more often is drawn more often.
+    """
+    known = virtual_cut(edges).where("graph_id % 2 = 1 and cut_size = 2").select("cut_key", "graph_id", "inode")
+    number = F.row_number().over(W.partitionBy("cut_key").orderBy("graph_id", "inode")).cast("long")
+    donors = known.select("cut_key", F.col("graph_id").alias("donor_graph"), F.col("inode").alias("donor_inode"), number.alias("draw"))
+    counts = known.groupBy("cut_key").agg(F.count("*").alias("n_donors"))
+    part = nodes.where("graph_id % 2 = 0")
+    a, b = part.select("graph_id", F.col("node_id").alias("a"), F.col("label").alias("la")), part.select("graph_id", F.col("node_id").alias("b"), F.col("label").alias("lb"))
+    pairs = a.join(b, "graph_id").where("a < b").select("graph_id", "a", "b", F.concat_ws(";", F.least("la", "lb"), F.greatest("la", "lb")).alias("cut_key")).join(counts, "cut_key")
+    u = uniform(F.concat_ws("|", F.lit(seed), F.col("graph_id").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")))
+    return pairs.withColumn("draw", F.floor(u * F.col("n_donors")) + 1).join(donors, ["cut_key", "draw"]).select("graph_id", "a", "b", "cut_key", "n_donors", "donor_graph", "donor_inode")
+
+
 def anchor_matches(edges: DataFrame) -> DataFrame:
     """(cut_key, n): boundary signatures of sources that some donor offers as well (semi-join), and how many sources have them."""
     index = cut_index(edges)

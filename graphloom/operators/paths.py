@@ -62,12 +62,47 @@ def shortest_distances(edges: DataFrame, source: int) -> DataFrame:
             return state
 
 
-def spanning_tree(edges: DataFrame, rounds: int = 32) -> DataFrame:
+def shortest_path(edges: DataFrame, source: int, target: int) -> list[int]:
+    """The nodes of a shortest path from source to target, ties to smaller nodes; [] if there is none. One small query for each of its nodes."""
+    dist = shortest_distances(edges, source)
+    usable = edges.where((F.col("w") > 0) & (F.col("w") < float("inf")))
+    ways = usable.select(F.col("src").alias("id"), F.col("dst").alias("to"), "w").union(usable.select(F.col("dst"), F.col("src"), "w"))
+    before = saved(ways.where(F.col("to") != source).join(dist, "id").groupBy("to").agg(F.min_by("id", F.struct(F.round(F.col("dist") + F.col("w"), 12), "id")).alias("id")))
+    path = [target]
+    while path[-1] != source:
+        row = before.where(F.col("to") == path[-1]).first()
+        if row is None:
+            return []
+        path.append(row["id"])
+    return path[::-1]
+
+
+def disjoint_paths(edges: DataFrame, source: int, target: int, n_paths: int = 3) -> DataFrame:
+    """(path, pos, id): up to n_paths shortest paths from source to target, each over edges that those before it haven't used."""
+    rest, rows = edges, []
+    for k in range(1, n_paths + 1):
+        found = shortest_path(rest, source, target)
+        if not found:
+            break
+        rows += [(k, i, x) for i, x in enumerate(found)]
+        used = edges.sparkSession.createDataFrame([(min(x), max(x)) for x in zip(found, found[1:], strict=False)], "a long, b long")
+        rest = saved(rest.join(F.broadcast(used), (F.least("src", "dst") == F.col("a")) & (F.greatest("src", "dst") == F.col("b")), "left_anti"))
+    return edges.sparkSession.createDataFrame(rows, "path int, pos int, id long")
+
+
+def sparse_neighbours(points_near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, w): the neighbour graph of points, a minimum spanning forest of pairs (src, dst, w) merged with their mutual nearest (i, j, d)."""
+    tree = spanning_tree(pairs)
+    near = points_near.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), F.col("d").alias("w"))
+    return tree.union(near).groupBy("src", "dst").agg(F.min("w").alias("w"))
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
     """(src, dst, w): a minimum spanning forest of edges (src, dst, w) by Boruvka's rounds; ties by ends. Weights of zero are left out."""
     edges = saved(edges.where("w > 0 and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.min("w").alias("w")))
     label = saved(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")))
     tree = None
-    for _ in range(rounds):
+    while True:  # each round at least halves the components that have an edge out
         crossing = edges.join(label.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(label.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a <> b")
         ends = crossing.select(F.explode(F.array("a", "b")).alias("c"), F.struct("w", "src", "dst").alias("e"), F.struct("a", "b").alias("ab"))
         best = saved(ends.groupBy("c").agg(F.min_by(F.struct("e", "ab"), "e").alias("m")).select("c", "m.*"))

@@ -156,6 +156,33 @@ def power_law(points: DataFrame) -> DataFrame:
     return best.select("key", F.round("f.alpha", 2).alias("alpha"), F.round("f.a", 4).alias("a"), F.round("f.b", 4).alias("b"))
 
 
+def equivalent_sizes(points: DataFrame, fits: DataFrame, floor: float = 1e-3) -> DataFrame:
+    """(key, n, r): by how much, relative to n, more or less real data than n would reach the value y; points (key, n, y), fits (key, alpha, a, b).
+
+    The curve a + b n^-alpha is inverted at y; the distance from a is at least floor times the largest of |a|, |b| and 1.
+    """
+    y, a, b = F.col("y"), F.col("a"), F.col("b")
+    distance = F.greatest(F.when(b < 0, a - y).otherwise(y - a), F.lit(0.0), floor * F.greatest(F.abs(a), F.abs(b), F.lit(1.0)))
+    needed = F.pow(F.abs(b) / distance, 1 / F.greatest("alpha", F.lit(1e-8)))
+    return points.join(fits, "key").select("key", "n", ((needed - F.col("n")) / F.greatest(F.col("n").cast("double"), F.lit(1e-8))).alias("r"))
+
+
+def gain_weights(points: DataFrame, fits: DataFrame, power: float = 1.0, dropped: float = 0.25) -> DataFrame:
+    """(key, n, w): weights by what doubling n gains on the fitted curve, to a power; gains up to their quantile dropped weigh nothing. Each key's add up to 1, or to 0."""
+    curve = lambda n: F.col("a") + F.col("b") * F.pow(n, -F.col("alpha"))
+    gains = points.join(fits, "key").select("key", "n", F.abs(curve(2.0 * F.col("n")) - curve(F.col("n").cast("double"))).alias("gain"))
+    least = gains.groupBy("key").agg(F.percentile("gain", dropped).alias("least"))
+    kept = gains.join(least, "key").select("key", "n", F.when(F.col("gain") > F.col("least"), F.pow("gain", F.lit(power))).otherwise(0.0).alias("g"))
+    sums = kept.groupBy("key").agg(F.sum("g").alias("all"))
+    return kept.join(sums, "key").select("key", "n", F.when(F.col("all") > 0, F.col("g") / F.col("all")).otherwise(0.0).alias("w"))
+
+
+def equivalent_data_size(points: DataFrame, fits: DataFrame) -> DataFrame:
+    """(key, eds): the sum of equivalent_sizes weighted by gain_weights."""
+    both = equivalent_sizes(points, fits).join(gain_weights(points, fits), ["key", "n"])
+    return both.groupBy("key").agg(F.round(F.sum(F.col("w") * F.col("r")), 4).alias("eds"))
+
+
 def degree_penalty(edges: DataFrame) -> DataFrame:
     """(p75, multiplicative, median_w, additive): penalties from the 75th percentile of degrees and the median weight, of edges (src, dst, w)."""
     degrees = edges.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("deg")).agg(F.percentile("deg", 0.75).alias("p75"))

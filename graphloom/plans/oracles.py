@@ -80,6 +80,10 @@ def _sql(uses: str, body: str) -> str:
 
 
 _PAIRS = "SELECT cut_key, n_source::BIGINT AS n_source, n_donor::BIGINT AS n_donor, (n_source * n_donor - same)::BIGINT AS n_pairs FROM (SELECT cut_key, sum(s) AS n_source, sum(d) AS n_donor, sum(s * d) AS same FROM (SELECT cut_key, assoc_hash, count(*) FILTER (graph_id % 2 = 0) AS s, count(*) FILTER (graph_id % 2 = 1) AS d FROM ix GROUP BY 1, 2) GROUP BY 1) WHERE n_source > 0 AND n_donor > 0"
+_FIT = """WITH p AS (SELECT l_returnflag AS key, l_linenumber::BIGINT AS n, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY 1, 2), g AS (SELECT p.*, 0.3::DOUBLE + i.range * 0.01::DOUBLE AS alpha FROM p, range(0, 171) i),
+        s AS (SELECT key, alpha, count(*) AS k, sum(pow(n, -alpha)) AS sx, sum(y) AS sy, sum(pow(n, -2 * alpha)) AS sxx, sum(pow(n, -alpha) * y) AS sxy, sum(y * y) AS syy FROM g GROUP BY 1, 2),
+        f AS (SELECT *, (k * sxy - sx * sy) / (k * sxx - sx * sx) AS b FROM s), h AS (SELECT *, (sy - b * sx) / k AS a FROM f), e AS (SELECT *, syy - a * sy - b * sxy AS sse FROM h)
+        SELECT DISTINCT ON (key) key, round(alpha, 2) AS alpha, round(a, 4) AS a, round(b, 4) AS b FROM e ORDER BY key, round(sse, 9), alpha"""
 _CHOICE = """, dn AS (SELECT cut_key, assoc_hash, graph_id AS donor_graph, inode AS donor_inode FROM ix WHERE graph_id % 2 = 1 AND cut_key <> ''),
     cd AS (SELECT DISTINCT ON (s.graph_id) s.graph_id, s.inode, d.donor_graph, d.donor_inode FROM ix s JOIN dn d ON s.cut_key = d.cut_key AND s.assoc_hash <> d.assoc_hash WHERE s.graph_id % 2 = 0 ORDER BY s.graph_id, s.inode, d.donor_graph, d.donor_inode),
     ch AS (SELECT cd.*, z.n_nodes, z.n_edges FROM cd JOIN (SELECT graph_id, max(greatest(src, dst))::BIGINT AS n_nodes, count(*) AS n_edges FROM ed GROUP BY 1) z USING (graph_id))"""
@@ -197,10 +201,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT graph_id, node_id, 0 AS level FROM st UNION SELECT r.graph_id, w.dst, r.level + 1 FROM r JOIN w ON r.graph_id = w.graph_id AND r.node_id = w.src WHERE r.level < (SELECT max(node_id) FROM nd))
         SELECT n.graph_id, n.node_id, coalesce(min(r.level), -1)::INTEGER AS level FROM nd n LEFT JOIN r ON n.graph_id = r.graph_id AND n.node_id = r.node_id GROUP BY 1, 2""",
     "a_score_rank": _sql("ms", ", dr AS (SELECT model, range AS draw, m1 + 0.1 * s1 * sqrt(-2 * ln(" + _uniform("'x|' || model || '|' || range") + ")) * cos(2 * 3.141592653589793 * " + _uniform("'xb|' || model || '|' || range") + ") AS x, m2 + 0.1 * s2 * sqrt(-2 * ln(" + _uniform("'y|' || model || '|' || range") + ")) * cos(2 * 3.141592653589793 * " + _uniform("'yb|' || model || '|' || range") + ") AS y FROM ms, range(1, 65)) SELECT a.model, count(*) AS wins FROM dr a JOIN dr b ON a.draw = b.draw AND a.model <> b.model AND a.x >= b.x AND a.y >= b.y GROUP BY 1"),
-    "a_powerlaw": """WITH p AS (SELECT l_returnflag AS key, l_linenumber::BIGINT AS n, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY 1, 2), g AS (SELECT p.*, 0.3::DOUBLE + i.range * 0.01::DOUBLE AS alpha FROM p, range(0, 171) i),
-        s AS (SELECT key, alpha, count(*) AS k, sum(pow(n, -alpha)) AS sx, sum(y) AS sy, sum(pow(n, -2 * alpha)) AS sxx, sum(pow(n, -alpha) * y) AS sxy, sum(y * y) AS syy FROM g GROUP BY 1, 2),
-        f AS (SELECT *, (k * sxy - sx * sy) / (k * sxx - sx * sx) AS b FROM s), h AS (SELECT *, (sy - b * sx) / k AS a FROM f), e AS (SELECT *, syy - a * sy - b * sxy AS sse FROM h)
-        SELECT DISTINCT ON (key) key, round(alpha, 2) AS alpha, round(a, 4) AS a, round(b, 4) AS b FROM e ORDER BY key, round(sse, 9), alpha""",
+    "a_powerlaw": _FIT,
     "a_path_score": """WITH e AS (SELECT user_id AS path, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
         s AS (SELECT a.path, a.pos, b.pos > a.pos AS way, abs(a.pos - b.pos) AS gap, round(-abs(a.value - b.value), 6) AS sim FROM e a JOIN e b ON a.path = b.path AND a.pos <> b.pos),
         r AS (SELECT path, pos, way, rank() OVER (PARTITION BY path, pos, way ORDER BY gap) + (count(*) OVER (PARTITION BY path, pos, way, gap) - 1) / 2.0 AS rg, rank() OVER (PARTITION BY path, pos, way ORDER BY sim) + (count(*) OVER (PARTITION BY path, pos, way, sim) - 1) / 2.0 AS rs FROM s),
@@ -208,4 +209,9 @@ ORACLE_SQL: dict[str, str] = {
     "p_resume_signature": _sql("gh", "SELECT md5('steps=50|' || sum(('0x' || substr(md5(hash || '|' || n), 1, 8))::BIGINT)) AS signature, sum(n)::BIGINT AS n FROM (SELECT hash, count(*) AS n FROM gh GROUP BY 1)"),
     "g_mst_knn": "WITH RECURSIVE nl AS MATERIALIZED (" + _BASE["nl"] + """), el AS MATERIALIZED (SELECT src, dst, w, row_number() OVER (ORDER BY w, src, dst) AS k FROM nl), wy AS MATERIALIZED (SELECT src, dst, k FROM el UNION ALL SELECT dst, src, k FROM el),
         re AS (SELECT k, src AS node FROM el UNION SELECT r.k, y.dst FROM re r JOIN wy y ON y.src = r.node AND y.k < r.k) SELECT e.src, e.dst, round(e.w, 6) AS w FROM el e WHERE NOT EXISTS (SELECT 1 FROM re r WHERE r.k = e.k AND r.node = e.dst)""",
+    "a_eds": "WITH ft AS (" + _FIT + """), pg AS (SELECT l_returnflag AS key, l_linenumber::BIGINT AS n, round(avg(l_quantity), 6) AS y FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),
+        x AS (SELECT key, n, (pow(abs(b) / greatest(CASE WHEN b < 0 THEN a - y ELSE y - a END, 0, 0.001::DOUBLE * greatest(abs(a), abs(b), 1)), 1 / alpha) - n) / n AS r, abs(b * pow(2.0::DOUBLE * n, -alpha) - b * pow(n, -alpha)) AS gain FROM pg JOIN ft USING (key)),
+        g AS (SELECT *, CASE WHEN gain > quantile_cont(gain, 0.25) OVER (PARTITION BY key) THEN gain ELSE 0 END AS g FROM x) SELECT key, round(sum(g * r) / sum(g), 4) AS eds FROM g GROUP BY 1""",
+    "j_injective": _sql("pp", ", a AS (SELECT DISTINCT graph_id, i, j FROM pp WHERE type = 'PROMO'), b AS (SELECT DISTINCT graph_id, i, j FROM pp WHERE type = 'STANDARD') SELECT graph_id, i, (min((a.j::BIGINT * 100000 + b.j)) // 100000)::VARCHAR || ',' || (min((a.j::BIGINT * 100000 + b.j)) % 100000)::VARCHAR AS ports FROM a JOIN b USING (graph_id, i) WHERE a.j <> b.j GROUP BY 1, 2"),
+    "j_virtual_match": _sql("nd ct", ", fo AS (SELECT DISTINCT ON (graph_id, inode, outer_) graph_id, inode, outer_, outer_label FROM ct WHERE graph_id % 2 = 1 ORDER BY graph_id, inode, outer_, inner_, elabel), vk AS (SELECT graph_id, inode, string_agg(outer_label, ';' ORDER BY outer_label) AS cut_key FROM fo GROUP BY 1, 2 HAVING count(*) = 2), dn AS (SELECT cut_key, graph_id AS donor_graph, inode AS donor_inode, row_number() OVER (PARTITION BY cut_key ORDER BY graph_id, inode) AS draw, count(*) OVER (PARTITION BY cut_key) AS n_donors FROM vk), pa AS (SELECT a.graph_id, a.node_id AS a, b.node_id AS b, least(a.label, b.label) || ';' || greatest(a.label, b.label) AS cut_key FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND a.node_id < b.node_id WHERE a.graph_id % 2 = 0) SELECT p.graph_id, p.a, p.b, p.cut_key, d.n_donors, d.donor_graph, d.donor_inode FROM pa p JOIN dn d ON p.cut_key = d.cut_key AND d.draw = floor(" + _uniform("'21|' || p.graph_id || '|' || p.a || '|' || p.b") + " * d.n_donors)::BIGINT + 1"),
 }

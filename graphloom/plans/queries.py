@@ -68,6 +68,11 @@ def _line_weights(t: _Tables) -> DataFrame:
     return t.table("lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("w"))
 
 
+def _line_means(t: _Tables, where: str = "true") -> DataFrame:
+    """(key, n, y): the mean quantity by return flag and line number, a learning curve to fit."""
+    return t.table("lineitem").where(where).groupBy(F.col("l_returnflag").alias("key"), F.col("l_linenumber").cast("long").alias("n")).agg(F.round(F.avg("l_quantity"), 6).alias("y"))
+
+
 def _nation_links(t: _Tables) -> DataFrame:
     """(src, dst, w): nations linked by orders, w falls with the number of lines from suppliers of one to customers of the other."""
     lines = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -127,7 +132,12 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "a_err_prop": lambda t: statistics.propagated(_model_scores(t).withColumnRenamed("model", "key")),
     "a_quality_scores": lambda t: statistics.quality_scores(t.table("customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 97 / 97.0).alias("real"), (F.col("c_custkey") % 89 / 89.0).alias("gen"), (F.col("c_custkey") % 83 / 83.0).alias("both"), (F.col("c_custkey") % 79 / 79.0).alias("accuracy"), (F.col("c_custkey") % 73 / 73.0).alias("similarity"))),
     "a_score_rank": lambda t: statistics.dominance_ranks(_model_scores(t)),
-    "a_powerlaw": lambda t: statistics.power_law(t.table("lineitem").groupBy(F.col("l_returnflag").alias("key"), F.col("l_linenumber").cast("long").alias("n")).agg(F.round(F.avg("l_quantity"), 6).alias("y"))),
+    "a_powerlaw": lambda t: statistics.power_law(_line_means(t)),
+    "a_eds": lambda t: statistics.equivalent_data_size(_line_means(t, "l_orderkey % 2 = 0"), statistics.power_law(_line_means(t))),
+    "j_injective": lambda t: matching.injective_matches(t.e, [{"PROMO": 1}, {"STANDARD": 1}]),
+    "j_virtual_match": lambda t: matching.virtual_matches(t.n, t.e),
+    "s_disjoint_paths": lambda t: paths.disjoint_paths(_nation_links(t), 0, 24),
+    "g_sparse_neighbors": lambda t: paths.sparse_neighbours(matching.mutual_nearest(t.p), matching.nearest(t.p).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("d").alias("w"))),
     "a_path_score": lambda t: statistics.path_scores(_path_similarities(t)),
     "a_degree_penalty": lambda t: statistics.degree_penalty(_line_weights(t)),
     "a_beta_posterior": lambda t: statistics.beta_posterior(t.table("events").select(F.col("user_id").alias("key"), (F.pmod(F.col("event_id"), F.lit(101)) / 100.0).alias("r"))),

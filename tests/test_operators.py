@@ -181,3 +181,28 @@ def test_replacement_keeps_the_boundary(order_graphs):
         outer = sorted((r["label"], x) for r in old[g] for x, y in ((r["src"], r["dst"]), (r["dst"], r["src"])) if y in inside and x not in inside)
         assert outer == sorted((r["label"], r["src"]) for r in new[g] if r["dst"] in fresh and r["src"] not in fresh)
         assert not any(x in inside for r in new[g] for x in (r["src"], r["dst"]))
+
+
+def test_shortest_and_disjoint_paths(spark):
+    rows = [(0, 1, 1.0), (1, 3, 1.0), (0, 2, 1.5), (2, 3, 1.0), (0, 3, 9.0), (3, 4, float("inf"))]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    assert paths.shortest_path(edges, 0, 3) == [0, 1, 3] and paths.shortest_path(edges, 0, 4) == []
+    got = sorted((r["path"], r["pos"], r["id"]) for r in paths.disjoint_paths(edges, 0, 3, 5).collect())
+    assert got == [(1, 0, 0), (1, 1, 1), (1, 2, 3), (2, 0, 0), (2, 1, 2), (2, 2, 3), (3, 0, 0), (3, 1, 3)]
+
+
+def test_neighbour_graph_is_tree_and_mutual_nearest(spark):
+    points = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate([0, 1, 2.1, 3.3, 9])], "id long, x array<double>")
+    d = [(i, j, float(abs(x - y))) for i, x in enumerate([0, 1, 2.1, 3.3, 9]) for j, y in enumerate([0, 1, 2.1, 3.3, 9]) if i < j]
+    pairs = spark.createDataFrame(d, "src long, dst long, w double")
+    got = {(r["src"], r["dst"]) for r in paths.sparse_neighbours(matching.mutual_nearest(points, 2), pairs).collect()}
+    assert {(0, 1), (1, 2), (2, 3), (3, 4)} <= got and (0, 4) not in got
+
+
+def test_equivalent_data_size(spark):
+    """Points on the fitted curve need as much data as they have; points of twice the data have a ratio of 1."""
+    fits = spark.createDataFrame([("k", 0.5, 10.0, -4.0)], "key string, alpha double, a double, b double")
+    on = spark.createDataFrame([("k", n, 10 - 4 * (m * n) ** -0.5) for m in (1, 2) for n in (2, 4, 8)][:3], "key string, n long, y double")
+    ahead = spark.createDataFrame([("k", n, 10 - 4 * (2 * n) ** -0.5) for n in (2, 4, 8)], "key string, n long, y double")
+    assert abs(statistics.equivalent_data_size(on, fits).first()["eds"]) < 1e-3 and abs(statistics.equivalent_data_size(ahead, fits).first()["eds"] - 1) < 1e-3
+    assert abs(sum(r["w"] for r in statistics.gain_weights(on, fits).collect()) - 1) < 1e-9

@@ -8,8 +8,8 @@ import pytest
 from graphloom.plans.oracles import ORACLE_SQL
 from graphloom.plans.queries import QUERIES
 
-#: Queries that run many small jobs; the others cover them here, and the whole list is compared at sf0.01 outside the tests.
-SLOW = {"g_shortest_path", "g_components", "g_largest_component", "j_knn", "j_mutual_knn"}
+
+
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def rows(frame):
     return columns, sorted(map(repr, frame[columns].itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, duck, sf_dir, name):
     ours, theirs = QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     for frame in (ours, theirs):
