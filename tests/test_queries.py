@@ -9,9 +9,6 @@ from graphloom.plans.oracles import ORACLE_SQL
 from graphloom.plans.queries import QUERIES
 
 
-
-
-
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     d = duckdb.connect()
