@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,11 @@ class _Tables:
         make = {"t": corpora.targets, "p": corpora.points, "u": corpora.user_edges}
         self.__dict__.update({k: f(spark, sf_dir) for k, f in make.items()})
 
-    @property
+    @cached_property
     def n(self) -> DataFrame:
         return corpora.derived(self.spark, self.dir)[0]
 
-    @property
+    @cached_property
     def e(self) -> DataFrame:
         return corpora.derived(self.spark, self.dir)[1]
 

@@ -9,6 +9,7 @@ with the same return flag. User graphs: one per user, nodes are event types, edg
 from __future__ import annotations
 
 import uuid
+from tempfile import gettempdir
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -41,18 +42,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: a table in the folder of spark.checkpoint.dir, or a checkpoint where that is unset and Spark is local."""
+    """df cut from its lineage: a table in the folder of spark.checkpoint.dir, or in a temporary one where that is unset and Spark runs on this machine."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    if not folder:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint()
+        folder = f"{gettempdir()}/checkpoints"
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 _DERIVED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
