@@ -146,3 +146,10 @@ def bridges(labels: DataFrame) -> DataFrame:
     """(graph_id, src, dst): for graphs of several components, from component_labels, an edge between the first two; by their smallest nodes."""
     firsts = labels.select("graph_id", "component").distinct().groupBy("graph_id").agg(F.array_sort(F.collect_list("component")).alias("c"))
     return firsts.where(F.size("c") > 1).select("graph_id", F.get("c", 0).alias("src"), F.get("c", 1).alias("dst"))
+
+
+def connected(labels: DataFrame) -> DataFrame:
+    """(graph_id, src, dst): the edges that make each graph one component, from component_labels: from the first component to each other one, by their smallest nodes."""
+    each = labels.select("graph_id", "component").distinct()
+    first = each.groupBy("graph_id").agg(F.min("component").alias("src"))
+    return each.join(first, "graph_id").where("component <> src").select("graph_id", "src", F.col("component").alias("dst"))

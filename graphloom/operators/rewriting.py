@@ -90,6 +90,27 @@ def edge_dataset(edges: DataFrame) -> DataFrame:
     return m.select("graph_id", F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).alias("step"), "m").select("graph_id", "step", (F.col("m") - F.col("step")).alias("n_edges"), F.lit(1).alias("label"))
 
 
+def edge_prefixes(edges: DataFrame) -> DataFrame:
+    """(graph_id, step, src, dst, label): what is left of each graph after each step, when its edges go one at a time in seeded order."""
+    order = removal_order(edges)
+    return order.select("graph_id", F.explode(F.sequence(F.lit(0), F.col("rank") - 1)).alias("step"), "src", "dst", "label")
+
+
+def edge_negatives(nodes: DataFrame, edges: DataFrame, seed: str = "22") -> DataFrame:
+    """(graph_id, step, src, dst, new_src, new_dst): for each graph of edge_prefixes one in which an edge is moved to a free pair of nodes, both first in seeded order.
+
+    Free are the pairs without an edge in the graph, and those whose edges have gone by that step. The rows met on the way are a graph's
+    edges times its pairs of nodes.
+    """
+    key = lambda *c: F.md5(F.concat_ws("|", F.lit(seed), *(F.col(x).cast("string") for x in ("graph_id", "step", *c))))
+    moved = edge_prefixes(edges).groupBy("graph_id", "step").agg(F.min_by(F.struct("src", "dst"), F.struct(key("src", "dst", "label"), "label")).alias("e"))
+    steps = edges.groupBy("graph_id").agg(F.count("*").cast("int").alias("m"))
+    never = missing_edges(nodes, edges).join(steps, "graph_id").select("graph_id", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("step"), "src", "dst")
+    gone = removal_order(edges).groupBy("graph_id", "src", "dst").agg(F.max("rank").alias("rank"), F.max("m").cast("int").alias("m")).where("rank < m").select("graph_id", F.explode(F.sequence("rank", F.col("m") - 1)).alias("step"), "src", "dst")
+    free = never.union(gone).groupBy("graph_id", "step").agg(F.min_by(F.struct("src", "dst"), key("src", "dst")).alias("f"))
+    return moved.join(free, ["graph_id", "step"]).select("graph_id", "step", "e.src", "e.dst", F.col("f.src").alias("new_src"), F.col("f.dst").alias("new_dst"))
+
+
 def beam_step(nodes: DataFrame, edges: DataFrame, width: int = 3) -> DataFrame:
     """(graph_id, src, dst, score, rank): the width best single-edge extensions of each graph; score: edges between nodes of these labels per pair, over the corpus."""
     frequency = edges.groupBy(F.least("lu", "lv").alias("la"), F.greatest("lu", "lv").alias("lb")).agg(F.count("*").alias("score"))

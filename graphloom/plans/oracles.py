@@ -80,6 +80,7 @@ def _sql(uses: str, body: str) -> str:
 
 
 _PAIRS = "SELECT cut_key, n_source::BIGINT AS n_source, n_donor::BIGINT AS n_donor, (n_source * n_donor - same)::BIGINT AS n_pairs FROM (SELECT cut_key, sum(s) AS n_source, sum(d) AS n_donor, sum(s * d) AS same FROM (SELECT cut_key, assoc_hash, count(*) FILTER (graph_id % 2 = 0) AS s, count(*) FILTER (graph_id % 2 = 1) AS d FROM ix GROUP BY 1, 2) GROUP BY 1) WHERE n_source > 0 AND n_donor > 0"
+_ORDER_OF_REMOVAL = ", ro AS (SELECT graph_id, src, dst, label, row_number() OVER (PARTITION BY graph_id ORDER BY md5('12|' || graph_id || '|' || src || '|' || dst || '|' || label), src, dst, label) AS rank FROM ed)"
 _FIT = """WITH p AS (SELECT l_returnflag AS key, l_linenumber::BIGINT AS n, round(avg(l_quantity), 6) AS y FROM lineitem GROUP BY 1, 2), g AS (SELECT p.*, 0.3::DOUBLE + i.range * 0.01::DOUBLE AS alpha FROM p, range(0, 171) i),
         s AS (SELECT key, alpha, count(*) AS k, sum(pow(n, -alpha)) AS sx, sum(y) AS sy, sum(pow(n, -2 * alpha)) AS sxx, sum(pow(n, -alpha) * y) AS sxy, sum(y * y) AS syy FROM g GROUP BY 1, 2),
         f AS (SELECT *, (k * sxy - sx * sy) / (k * sxx - sx * sx) AS b FROM s), h AS (SELECT *, (sy - b * sx) / k AS a FROM f), e AS (SELECT *, syy - a * sy - b * sxy AS sse FROM h)
@@ -214,4 +215,11 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT *, CASE WHEN gain > quantile_cont(gain, 0.25) OVER (PARTITION BY key) THEN gain ELSE 0 END AS g FROM x) SELECT key, round(sum(g * r) / sum(g), 4) AS eds FROM g GROUP BY 1""",
     "j_injective": _sql("pp", ", a AS (SELECT DISTINCT graph_id, i, j FROM pp WHERE type = 'PROMO'), b AS (SELECT DISTINCT graph_id, i, j FROM pp WHERE type = 'STANDARD') SELECT graph_id, i, (min((a.j::BIGINT * 100000 + b.j)) // 100000)::VARCHAR || ',' || (min((a.j::BIGINT * 100000 + b.j)) % 100000)::VARCHAR AS ports FROM a JOIN b USING (graph_id, i) WHERE a.j <> b.j GROUP BY 1, 2"),
     "j_virtual_match": _sql("nd ct", ", fo AS (SELECT DISTINCT ON (graph_id, inode, outer_) graph_id, inode, outer_, outer_label FROM ct WHERE graph_id % 2 = 1 ORDER BY graph_id, inode, outer_, inner_, elabel), vk AS (SELECT graph_id, inode, string_agg(outer_label, ';' ORDER BY outer_label) AS cut_key FROM fo GROUP BY 1, 2 HAVING count(*) = 2), dn AS (SELECT cut_key, graph_id AS donor_graph, inode AS donor_inode, row_number() OVER (PARTITION BY cut_key ORDER BY graph_id, inode) AS draw, count(*) OVER (PARTITION BY cut_key) AS n_donors FROM vk), pa AS (SELECT a.graph_id, a.node_id AS a, b.node_id AS b, least(a.label, b.label) || ';' || greatest(a.label, b.label) AS cut_key FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND a.node_id < b.node_id WHERE a.graph_id % 2 = 0) SELECT p.graph_id, p.a, p.b, p.cut_key, d.n_donors, d.donor_graph, d.donor_inode FROM pa p JOIN dn d ON p.cut_key = d.cut_key AND d.draw = floor(" + _uniform("'21|' || p.graph_id || '|' || p.a || '|' || p.b") + " * d.n_donors)::BIGINT + 1"),
+    "g_connect_all": f"WITH {_FLAG}, z AS (SELECT DISTINCT graph_id, component FROM cc), y AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY component) AS r FROM z) SELECT a.graph_id, a.component AS src, b.component AS dst FROM y a JOIN y b ON a.graph_id = b.graph_id AND a.r = 1 AND b.r > 1",
+    "p_edge_prefixes": _sql("ed", _ORDER_OF_REMOVAL + " SELECT graph_id, s.step::INTEGER AS step, src, dst, label FROM ro, range(0, rank) s(step)"),
+    "p_edge_negatives": _sql("ed mi", _ORDER_OF_REMOVAL + """, px AS (SELECT graph_id, s.step, src, dst, label FROM ro, range(0, rank) s(step)),
+        mv AS (SELECT DISTINCT ON (graph_id, step) graph_id, step, src, dst FROM px ORDER BY graph_id, step, md5('22|' || graph_id || '|' || step || '|' || src || '|' || dst || '|' || label)),
+        fr AS (SELECT q.graph_id, q.step, p.src, p.dst FROM (SELECT DISTINCT graph_id, step FROM px) q JOIN (SELECT graph_id, src, dst FROM mi UNION SELECT graph_id, src, dst FROM ed) p ON p.graph_id = q.graph_id WHERE NOT EXISTS (SELECT 1 FROM px x WHERE x.graph_id = q.graph_id AND x.step = q.step AND x.src = p.src AND x.dst = p.dst)),
+        ff AS (SELECT DISTINCT ON (graph_id, step) graph_id, step, src, dst FROM fr ORDER BY graph_id, step, md5('22|' || graph_id || '|' || step || '|' || src || '|' || dst))
+        SELECT m.graph_id, m.step::INTEGER AS step, m.src, m.dst, f.src AS new_src, f.dst AS new_dst FROM mv m JOIN ff f ON m.graph_id = f.graph_id AND m.step = f.step"""),
 }

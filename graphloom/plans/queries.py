@@ -172,6 +172,9 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "p_remove_edges": lambda t: rewriting.removed_edges(t.e, 0.5),
     "p_edge_neighbors": lambda t: rewriting.edge_neighbours(t.n, t.e),
     "p_edge_dataset": lambda t: rewriting.edge_dataset(t.e),
+    "p_edge_prefixes": lambda t: rewriting.edge_prefixes(t.e),
+    "p_edge_negatives": lambda t: rewriting.edge_negatives(t.n, t.e),
+    "g_connect_all": lambda t: paths.connected(paths.component_labels(t.n, t.e.where("label = 'flag'"))),
     "p_beam_step": lambda t: rewriting.beam_step(t.n, t.e),
     "p_surgical_blame": lambda t: rewriting.edge_blame(t.e),
     "p_unify": lambda t: rewriting.unified(t.e),
