@@ -11,7 +11,7 @@ import functools
 import re
 import struct
 from array import array
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,7 @@ PROBES = ("", " ", "Hello world", "  two  spaces  ", "tab\tand\nnew line", "Él
 
 
 LEARNED = 8192  # new segments that are encoded, compared and decoded at once
+SEQUENCE = 512  # of them that make one sequence of words for the backend
 REMEMBERED = 300_000  # segments that a task remembers
 
 
@@ -165,7 +166,10 @@ class Codec:
         return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
 
     def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.core.encode_batch_fast(new, add_special_tokens=False)]
+        groups, ids = [new[k : k + SEQUENCE] for k in range(0, len(new), SEQUENCE)], []
+        for group, e in zip(groups, self.core.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+            flat, ends = e.ids, np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1)).tolist()
+            ids += [flat[a:b] for a, b in pairwise(ends)]
         plain = [s[len(SPACE) :].replace(SPACE, " ") if s.startswith(SPACE) else s.replace(SPACE, " ") for s in new]
         own, back = self.own.encode(plain, num_threads=1), self.own.decode(ids)
         own = [[self.own.piece_to_id(SPACE)] if s == SPACE else o for s, o in zip(new, own, strict=True)]  # at a text's end; alone it is the empty text
