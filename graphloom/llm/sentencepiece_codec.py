@@ -130,7 +130,7 @@ PROBES = ("", " ", "Hello world", "  two  spaces  ", "tab\tand\nnew line", "Él
 
 
 LEARNED = 8192  # new segments that are encoded, compared and decoded at once
-REMEMBERED = 300_000  # segments that a task remembers
+REMEMBERED = 200_000  # segments that a task remembers
 
 
 class Codec:
@@ -159,6 +159,10 @@ class Codec:
             if self.tokenizer.encode(text, add_special_tokens=False).ids != self.own.encode(text):
                 raise ValueError(f"the backend differs from the model's own library on {text!r}")
 
+    def forget(self) -> None:
+        """Lets go of the segments: a worker may stand by for other stages after its task."""
+        self.segments, self.differing, self.lossy = {}, set(), set()
+
     def _normal(self, text: str) -> str:
         if self.plain:
             return SPACE + text.replace(" ", SPACE) if text else ""
@@ -182,7 +186,7 @@ class Codec:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return [(array("i", i).tobytes(), i == o, b == t) for t, i, o, b in zip(texts, ids, self.own.encode(texts), self.decode(ids), strict=True)]
         if len(self.segments) > self.remembered:
-            self.segments, self.differing, self.lossy = {}, set(), set()
+            self.forget()
         cut = [_SEGMENT.findall(self._normal(t)) for t in texts]
         new = list(set(chain.from_iterable(cut)) - self.segments.keys())
         for k in range(0, len(new), LEARNED):
@@ -217,6 +221,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
             sizes = [len(r[0]) // 4 for r in rows]
             ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "token_ids", "parity", "round_trip"])
+        codec(model).forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, parity boolean, round_trip boolean")
 
