@@ -81,3 +81,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def to_copies(rows: DataFrame, classes: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows joined on key with classes, which have one row a key and its number of rows in copies.
+
+    The classes with more than one of share rows, of which there are fewer than share, are broadcast, so no task gets a large
+    class; the rest is shuffled. rows and classes should be written tables.
+    """
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    large = F.col("copies") * share > total
+    often = rows.join(F.broadcast(classes.where(large)), key)
+    rest = rows.join(F.broadcast(classes.where(large).select(key)), key, "left_anti").join(classes.where(~large), key)
+    return often.unionByName(rest)
