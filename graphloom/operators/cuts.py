@@ -153,14 +153,6 @@ def virtual_cut(edges: DataFrame) -> DataFrame:
     return outer.groupBy("graph_id", "inode").agg(F.count("*").alias("cut_size"), sorted_text(F.substring_index("ekey", "|", -1), ";").alias("cut_key"))
 
 
-def virtual_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cut_key, n_sets, n_entries): pairs of nodes of one graph whose labels are the virtual key of an index entry."""
-    known = virtual_cut(edges).where("cut_size = 2").groupBy("cut_key").agg(F.count("*").alias("n_entries"))
-    a, b = nodes.select("graph_id", F.col("node_id").alias("a"), F.col("label").alias("la")), nodes.select("graph_id", F.col("node_id").alias("b"), F.col("label").alias("lb"))
-    sets = a.join(b, "graph_id").where("a < b").groupBy(F.concat_ws(";", F.least("la", "lb"), F.greatest("la", "lb")).alias("cut_key")).agg(F.count("*").alias("n_sets"))
-    return sets.join(known, "cut_key")
-
-
 def shared_nodes(edges: DataFrame) -> DataFrame:
     """(graph_id, i, j, shared): subgraphs that have nodes in common."""
     return edge_contexts(edges).select("graph_id", F.col("inode").alias("i"), F.explode("near").alias("x")).select("graph_id", "i", "x.j", F.size("x.types").cast("long").alias("shared"))

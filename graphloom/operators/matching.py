@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..sources.corpora import saved
 from .cuts import cut_index, edge_contexts, pair_hash, shared_nodes, virtual_cut
+from .proposals import node_sets
 
 
 def rewrite_pairs(index: DataFrame) -> DataFrame:
@@ -98,6 +100,54 @@ def inverted_candidates(edges: DataFrame) -> DataFrame:
     return held.groupBy("type", "mult").agg(F.count("*").alias("n_candidates"))
 
 
+def port_profiles(parts: DataFrame) -> DataFrame:
+    """(graph_id, inode, profile, ports): the different label multisets of a subgraph's ports, and their text; parts has edge_contexts' columns."""
+    counted = lambda types: F.array_sort(F.transform(F.array_distinct(types), lambda t: F.struct(t.alias("type"), F.size(F.filter(types, lambda y: y.eqNullSafe(t))).alias("cnt"))))
+    each = parts.where(F.size("near") > 0).select("graph_id", "inode", F.array_sort(F.array_distinct(F.transform("near", lambda x: counted(x["types"])))).alias("ports"))
+    return each.select("graph_id", "inode", F.to_json("ports").alias("profile"), "ports")
+
+
+def retrieved(asked: DataFrame, held: DataFrame, chain: int = 3) -> DataFrame:
+    """(profile, holder): which profiles of held meet every requirement of a profile of asked, each on some port.
+
+    Both have (profile, ports: arrays of (type, cnt)), a row a profile. A port meets a requirement that it holds each label of at
+    least as often. Postings say which holders have a label how often on some port. Of each requirement the rarest posting
+    counts; the rarest of a profile gives its candidates, the next ones (chain in all) filter them by semi-joins, and what is left is
+    checked exactly.
+    """
+    held = held.select(F.col("profile").alias("holder"), F.col("ports").alias("has"))
+    times = lambda x: F.transform(F.sequence(F.lit(1), x["cnt"]), lambda m: F.struct(x["type"].alias("type"), m.alias("mult")))
+    flat = F.array_distinct(F.flatten(F.transform("has", lambda p: F.flatten(F.transform(p, times)))))
+    postings = saved(held.select("holder", F.explode(flat).alias("k")).select("k.*", "holder"))
+    frequency = postings.groupBy("type", "mult").agg(F.count("*").alias("f"))
+    need = asked.select("profile", F.posexplode("ports").alias("req", "p")).select("profile", "req", F.explode("p").alias("x")).select("profile", "req", F.col("x.type").alias("type"), F.col("x.cnt").alias("mult"))
+    rarest = need.join(frequency, ["type", "mult"], "left").na.fill(0, ["f"]).groupBy("profile", "req").agg(F.min(F.struct("f", "type", "mult")).alias("r"))
+    keys = rarest.groupBy("profile").agg(F.array_sort(F.collect_set("r")).alias("keys")).where(F.get("keys", F.lit(0))["f"] > 0)
+    key = lambda i: [F.get("keys", F.lit(i))[c].alias(c) for c in ("type", "mult")]
+    found = saved(keys.select("profile", "keys", *key(0)).join(postings, ["type", "mult"]).select("profile", "keys", "holder"))
+    for i in range(1, chain):
+        more = found.select("*", *key(i))
+        found = more.where("mult is null").select(found.columns).union(more.where("mult is not null").join(postings, ["type", "mult", "holder"], "left_semi").select(found.columns))
+    both = found.drop("keys").join(asked, "profile").join(held, "holder")
+    enough = lambda port, x: F.exists(port, lambda y: y["type"].eqNullSafe(x["type"]) & (y["cnt"] >= x["cnt"]))
+    met = F.forall("ports", lambda p: F.exists("has", lambda port: F.forall(p, lambda x: enough(port, x))))
+    return both.where(met).select("profile", "holder")
+
+
+def retrieval_counts(sources: DataFrame, donors: DataFrame) -> DataFrame:
+    """(graph_id, inode, n_candidates): for each source the donors that meet all its ports; sources and donors have edge_contexts' columns.
+
+    Subgraphs with equal profiles are alike, so profiles are matched with profiles and counted; no pair of subgraphs is formed.
+    Sources without ports ask for nothing and get no row.
+    """
+    own, other = saved(port_profiles(sources)), saved(port_profiles(donors))
+    kinds = lambda df: saved(df.groupBy("profile").agg(F.first("ports").alias("ports"), F.count("*").alias("n")))
+    held = kinds(other)
+    pairs = retrieved(kinds(own).drop("n"), held.drop("n"))
+    counts = pairs.join(held.select(F.col("profile").alias("holder"), "n"), "holder").groupBy("profile").agg(F.sum("n").alias("n_candidates"))
+    return own.join(counts, "profile").select("graph_id", "inode", "n_candidates")
+
+
 def transitions(edges: DataFrame, most: int = 256) -> DataFrame:
     """(prev, role, next, n, rank): which subgraph type follows another over a shared label, the most frequent ones by (prev, role)."""
     types = components(edges).select("graph_id", "inode", "img_type")
@@ -121,9 +171,8 @@ def virtual_matches(nodes: DataFrame, edges: DataFrame, seed: str = "21") -> Dat
     number = F.row_number().over(W.partitionBy("cut_key").orderBy("graph_id", "inode")).cast("long")
     donors = known.select("cut_key", F.col("graph_id").alias("donor_graph"), F.col("inode").alias("donor_inode"), number.alias("draw"))
     counts = known.groupBy("cut_key").agg(F.count("*").alias("n_donors"))
-    part = nodes.where("graph_id % 2 = 0")
-    a, b = part.select("graph_id", F.col("node_id").alias("a"), F.col("label").alias("la")), part.select("graph_id", F.col("node_id").alias("b"), F.col("label").alias("lb"))
-    pairs = a.join(b, "graph_id").where("a < b").select("graph_id", "a", "b", F.concat_ws(";", F.least("la", "lb"), F.greatest("la", "lb")).alias("cut_key")).join(counts, "cut_key")
+    sets = node_sets(nodes.where("graph_id % 2 = 0"), 2)
+    pairs = sets.select("graph_id", F.get("members", F.lit(0)).alias("a"), F.get("members", F.lit(1)).alias("b"), F.col("key").alias("cut_key")).join(counts, "cut_key")
     u = uniform(F.concat_ws("|", F.lit(seed), F.col("graph_id").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")))
     return pairs.withColumn("draw", F.floor(u * F.col("n_donors")) + 1).join(donors, ["cut_key", "draw"]).select("graph_id", "a", "b", "cut_key", "n_donors", "donor_graph", "donor_inode")
 

@@ -124,17 +124,6 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
     return tree if tree is not None else edges.limit(0)
 
 
-def node_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node_id, degree, clustering): degree over n - 1, and closed over possible triangles."""
-    simple = both_ways(edges).select("graph_id", "src", "dst").distinct()
-    degree = simple.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.count("*").alias("deg"))
-    two = simple.withColumnsRenamed({"src": "v", "dst": "a"}).join(simple.withColumnsRenamed({"src": "v", "dst": "b"}), ["graph_id", "v"]).where("a < b")
-    closed = two.join(simple.withColumnsRenamed({"src": "a", "dst": "b"}), ["graph_id", "a", "b"]).groupBy("graph_id", F.col("v").alias("node_id")).agg(F.count("*").alias("t"))
-    size = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    all_ = nodes.select("graph_id", "node_id").join(size, "graph_id").join(degree, ["graph_id", "node_id"], "left").join(closed, ["graph_id", "node_id"], "left").na.fill(0, ["deg", "t"])
-    return all_.select("graph_id", "node_id", F.round(F.when(F.col("n") > 1, F.col("deg") / (F.col("n") - 1)).otherwise(0.0), 6).alias("degree"), F.round(F.when(F.col("deg") > 1, 2 * F.col("t") / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0), 6).alias("clustering"))
-
-
 def normalised_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst, v): entries of D^-1/2 (A + I) D^-1/2."""
     simple = both_ways(edges).select("graph_id", "src", "dst").distinct().union(nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst")))

@@ -49,7 +49,16 @@ _BASE = {
     "lp": "SELECT (o_orderpriority = '1-URGENT')::INTEGER AS y, (o_totalprice > 200000)::INTEGER AS z FROM orders",
     "sk": "SELECT graph_id, md5(string_agg(lpad(src::VARCHAR, 4, '0') || '-' || lpad(dst::VARCHAR, 4, '0') || '-' || label, ';' ORDER BY lpad(src::VARCHAR, 4, '0') || '-' || lpad(dst::VARCHAR, 4, '0') || '-' || label)) AS state_key FROM ed GROUP BY 1",
 }
+_BASE |= {
+    "vk": "SELECT graph_id, inode, count(*) AS k, string_agg(outer_label, ';' ORDER BY outer_label) AS cut_key FROM (SELECT DISTINCT graph_id, inode, outer_, outer_label FROM ct) GROUP BY 1, 2",
+    "cb": """SELECT graph_id, 1 AS k, (node_id - 1)::BIGINT AS rank, node_id::VARCHAR AS nodes, label AS cut_key FROM nd UNION ALL
+        SELECT a.graph_id, 2, a.node_id - 1 + (b.node_id - 1) * (b.node_id - 2) // 2, a.node_id || ',' || b.node_id, array_to_string(list_sort([a.label, b.label]), ';') FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND a.node_id < b.node_id UNION ALL
+        SELECT a.graph_id, 3, a.node_id - 1 + (b.node_id - 1) * (b.node_id - 2) // 2 + (c.node_id - 1) * (c.node_id - 2) * (c.node_id - 3) // 6, a.node_id || ',' || b.node_id || ',' || c.node_id, array_to_string(list_sort([a.label, b.label, c.label]), ';')
+        FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND a.node_id < b.node_id JOIN nd c ON a.graph_id = c.graph_id AND b.node_id < c.node_id""",
+    "ch3": "SELECT graph_id, n_nodes AS n, [n_nodes, n_nodes * (n_nodes - 1) // 2, n_nodes * (n_nodes - 1) * (n_nodes - 2) // 6] AS c FROM sz",
+}
 _NEEDS = {
+    "vk": "ct", "cb": "nd", "ch3": "sz",
     "ed": "nd", "sy": "ed", "sz": "nd", "p0": "ed", "p1": "p0", "p2": "p1", "p3": "p2", "pt": "p3", "mb": "pt", "ct": "p0 sy", "sg": "p0 ct", "mp": "ct mb", "ix": "sg pt mp", "sh": "mb", "cp": "pt sh", "pp": "mb",
     "w0": "nd", "w1": "w0 sy", "w2": "w1 sy", "w3": "w2 sy", "gh": "w3", "b1": "nd sy", "b2": "b1 sy", "br": "b1", "bs": "br sy", "r0": "br nd", "r1": "r0 bs", "r2": "r1 bs", "rh": "r2", "mi": "sz ed", "dg": "ed", "po": "nd dg",
     "pr": "po ed", "em": "ed sz", "kn": "pv", "sk": "ed",
@@ -76,7 +85,7 @@ def _sql(uses: str, body: str) -> str:
 
     for name in uses.split():
         add(name)
-    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({_BASE[n]})" for n in order) + " " if order else "") + body
+    return ("WITH " + ", ".join(f"{n} AS MATERIALIZED ({_BASE[n]})" for n in order) + ("" if body.startswith(",") else " ") if order else "") + body
 
 
 _PAIRS = "SELECT cut_key, n_source::BIGINT AS n_source, n_donor::BIGINT AS n_donor, (n_source * n_donor - same)::BIGINT AS n_pairs FROM (SELECT cut_key, sum(s) AS n_source, sum(d) AS n_donor, sum(s * d) AS same FROM (SELECT cut_key, assoc_hash, count(*) FILTER (graph_id % 2 = 0) AS s, count(*) FILTER (graph_id % 2 = 1) AS d FROM ix GROUP BY 1, 2) GROUP BY 1) WHERE n_source > 0 AND n_donor > 0"
@@ -223,3 +232,46 @@ ORACLE_SQL: dict[str, str] = {
         ff AS (SELECT DISTINCT ON (graph_id, step) graph_id, step, src, dst FROM fr ORDER BY graph_id, step, md5('22|' || graph_id || '|' || step || '|' || src || '|' || dst))
         SELECT m.graph_id, m.step::INTEGER AS step, m.src, m.dst, f.src AS new_src, f.dst AS new_dst FROM mv m JOIN ff f ON m.graph_id = f.graph_id AND m.step = f.step"""),
 }
+
+
+def _recursive(uses: str, tables: str, body: str) -> str:
+    """body after the common tables that uses names and further tables, which may be recursive."""
+    return "WITH RECURSIVE " + _sql(uses, "").removeprefix("WITH ").rstrip() + ", " + tables + " " + body
+
+
+_STRUCTURE = """wk AS (SELECT graph_id, node_id AS root, node_id, 0 AS d FROM nd UNION SELECT w.graph_id, w.root, s.dst, w.d + 1 FROM wk w JOIN sy s ON s.graph_id = w.graph_id AND s.src = w.node_id JOIN sz z ON z.graph_id = w.graph_id WHERE w.d + 1 < z.n_nodes),
+    ds AS MATERIALIZED (SELECT graph_id, root, node_id, min(d) AS d FROM wk GROUP BY 1, 2, 3),
+    ps AS (SELECT graph_id, node_id AS root, node_id, 0 AS d FROM nd UNION ALL SELECT p.graph_id, p.root, s.dst, p.d + 1 FROM ps p JOIN sy s ON s.graph_id = p.graph_id AND s.src = p.node_id JOIN ds ON ds.graph_id = p.graph_id AND ds.root = p.root AND ds.node_id = s.dst AND ds.d = p.d + 1),
+    sp AS MATERIALIZED (SELECT graph_id, root, node_id, d, count(*) AS c FROM ps GROUP BY 1, 2, 3, 4),
+    th AS (SELECT a.graph_id, a.node_id, sum(a.c * b.c / c.c::DOUBLE) AS through FROM sp a JOIN sp b ON a.graph_id = b.graph_id AND a.node_id = b.root JOIN sp c ON c.graph_id = a.graph_id AND c.root = a.root AND c.node_id = b.node_id
+           WHERE a.root <> a.node_id AND b.node_id <> a.node_id AND a.root <> b.node_id AND a.d + b.d = c.d GROUP BY 1, 2),
+    bt AS (SELECT n.graph_id, n.node_id, CASE WHEN z.n_nodes > 2 THEN coalesce(t.through, 0) / ((z.n_nodes - 1) * (z.n_nodes - 2)) ELSE 0 END::DOUBLE AS betweenness FROM nd n JOIN sz z USING (graph_id) LEFT JOIN th t USING (graph_id, node_id)),
+    nf AS (SELECT n.graph_id, n.node_id, (CASE WHEN z.n_nodes > 1 THEN coalesce(d.deg, 0)::DOUBLE / (z.n_nodes - 1) ELSE 0 END)::DOUBLE AS degree, (CASE WHEN coalesce(d.deg, 0) > 1 THEN 2.0::DOUBLE * coalesce(t.t, 0) / (d.deg * (d.deg - 1)) ELSE 0 END)::DOUBLE AS clustering FROM nd n JOIN sz z USING (graph_id)
+           LEFT JOIN (SELECT graph_id, src AS node_id, count(*) AS deg FROM sy GROUP BY 1, 2) d USING (graph_id, node_id) LEFT JOIN (SELECT a.graph_id, a.src AS node_id, count(*) AS t FROM sy a JOIN sy b ON a.graph_id = b.graph_id AND a.src = b.src AND a.dst < b.dst JOIN sy c ON c.graph_id = a.graph_id AND c.src = a.dst AND c.dst = b.dst GROUP BY 1, 2) t USING (graph_id, node_id))"""
+_SCALED = ", ".join(f"round(({c} - (SELECT avg({c}) FROM ft)) / (SELECT stddev_pop({c}) FROM ft), 6) AS {c}" for c in ("degree", "clustering", "betweenness"))
+_DRAWN = "(i * c[3]) // least(c[3], 8) + floor({u} * (((i + 1) * c[3]) // least(c[3], 8) - (i * c[3]) // least(c[3], 8)))::BIGINT"
+
+ORACLE_SQL |= {
+    "g_betweenness": _recursive("nd sy sz", _STRUCTURE, "SELECT graph_id, node_id, round(betweenness, 6) AS betweenness FROM bt"),
+    "g_scaled_features": _recursive("nd sy sz", _STRUCTURE + ", ft AS MATERIALIZED (SELECT nf.*, betweenness FROM nf JOIN bt USING (graph_id, node_id))", f"SELECT graph_id, node_id, {_SCALED} FROM ft"),
+    "k_virtual_candidates_3": _sql("vk cb", "SELECT cut_key, n_sets, n_entries FROM (SELECT cut_key, count(*) AS n_sets FROM cb WHERE k = 3 GROUP BY 1) JOIN (SELECT cut_key, count(*) AS n_entries FROM vk WHERE k = 3 GROUP BY 1) USING (cut_key)"),
+    "k_virtual_sample": _sql("vk cb ch3", "SELECT s.graph_id, b.nodes, b.cut_key, v.n_entries FROM (SELECT graph_id, " + _DRAWN.format(u=_uniform("'31|' || graph_id || '|' || i")) + " AS rank FROM (SELECT graph_id, c, unnest(range(least(c[3], 8))) AS i FROM ch3 WHERE n >= 3)) s JOIN cb b ON b.graph_id = s.graph_id AND b.k = 3 AND b.rank = s.rank JOIN (SELECT cut_key, count(*) AS n_entries FROM vk WHERE k = 3 GROUP BY 1) v ON v.cut_key = b.cut_key"),
+    "p_virtual_propose": _sql("vk cb ch3", """, ov AS (SELECT * FROM vk WHERE graph_id % 2 = 1 AND k <= 3), sw AS (SELECT [count(*) FILTER (k <= 1), count(*) FILTER (k <= 2), count(*)] AS w FROM ov),
+        kn AS (SELECT cut_key, count(*) AS n_donors FROM ov GROUP BY 1), dn AS (SELECT cut_key, graph_id AS donor_graph, inode AS donor_inode, row_number() OVER (PARTITION BY cut_key ORDER BY graph_id, inode) AS draw FROM ov),
+        a1 AS (SELECT graph_id, n, c, t.t AS attempt, len(list_filter(w, lambda x: x <= floor({size} * w[least(n, 3)]))) + 1 AS k FROM ch3, sw, range(1, 13) t(t) WHERE graph_id % 2 = 0),
+        a2 AS (SELECT * FROM a1 UNION ALL SELECT graph_id, n, c, 12 + k.k, k.k FROM ch3, range(1, 4) k(k) WHERE graph_id % 2 = 0),
+        a3 AS (SELECT graph_id, attempt, k, floor({draw} * c[k])::BIGINT AS rank FROM a2 WHERE k <= n AND k <= 3),
+        tr AS (SELECT a3.graph_id, attempt, a3.k, nodes, cb.cut_key, n_donors FROM a3 JOIN cb ON cb.graph_id = a3.graph_id AND cb.k = a3.k AND cb.rank = a3.rank LEFT JOIN kn ON kn.cut_key = cb.cut_key),
+        mn AS (SELECT * FROM (SELECT *, count(n_donors) OVER w AS hits, count(*) OVER w - count(n_donors) OVER w AS missed FROM tr WHERE attempt <= 12 WINDOW w AS (PARTITION BY graph_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE hits < 2 AND missed < 6),
+        sf AS (SELECT t.*, coalesce((SELECT count(n_donors) FROM mn WHERE mn.graph_id = t.graph_id), 0) AS got FROM tr t WHERE attempt > 12 AND NOT EXISTS (SELECT 1 FROM mn WHERE mn.graph_id = t.graph_id AND mn.k = t.k)),
+        sx AS (SELECT * FROM (SELECT *, got + count(n_donors) OVER (PARTITION BY graph_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hits FROM sf) WHERE hits < 2),
+        kp AS (SELECT graph_id, attempt, k, nodes, cut_key, n_donors FROM mn UNION ALL SELECT graph_id, attempt, k, nodes, cut_key, n_donors FROM sx)
+        SELECT kp.graph_id, attempt::INTEGER AS attempt, k::INTEGER AS k, nodes, kp.cut_key, n_donors, donor_graph, donor_inode FROM kp JOIN dn ON dn.cut_key = kp.cut_key AND dn.draw = floor({donor} * n_donors)::BIGINT + 1 WHERE n_donors IS NOT NULL"""
+        .format(size=_uniform("'32|size|' || graph_id || '|' || t.t"), draw=_uniform("'32|set|' || graph_id || '|' || attempt"), donor=_uniform("'32|donor|' || kp.graph_id || '|' || attempt"))),
+    "j_retrieve": _sql("pp tg", """, pg AS (SELECT graph_id, i, j, string_agg(type || '*' || cnt, '+' ORDER BY type) AS sig FROM pp GROUP BY 1, 2, 3), si AS (SELECT DISTINCT sig, type, cnt FROM pg JOIN pp USING (graph_id, i, j)),
+        cn AS (SELECT a.sig, b.sig AS big FROM si a JOIN si b ON a.type = b.type AND b.cnt >= a.cnt GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM si c WHERE c.sig = a.sig)),
+        pf AS (SELECT graph_id, i, string_agg(DISTINCT sig, ' ' ORDER BY sig) AS profile FROM pg GROUP BY 1, 2), of AS (SELECT DISTINCT profile, sig FROM pf JOIN pg USING (graph_id, i)), own AS (SELECT pf.* FROM pf JOIN tg USING (graph_id) WHERE target = 'P'),
+        held AS (SELECT profile, count(*) AS n FROM pf JOIN tg USING (graph_id) WHERE target <> 'P' GROUP BY 1),
+        ok AS (SELECT a.profile, b.profile AS holder FROM (SELECT * FROM of WHERE profile IN (SELECT profile FROM own)) a JOIN cn USING (sig) JOIN (SELECT * FROM of WHERE profile IN (SELECT profile FROM held)) b ON b.sig = cn.big GROUP BY 1, 2 HAVING count(DISTINCT a.sig) = (SELECT count(*) FROM of WHERE of.profile = a.profile))
+        SELECT own.graph_id, own.i AS inode, sum(held.n)::BIGINT AS n_candidates FROM own JOIN ok USING (profile) JOIN held ON held.profile = ok.holder GROUP BY 1, 2"""),
+}

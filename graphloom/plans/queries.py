@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, graph_hashes
-from ..operators import cuts, matching, models, paths, rewriting, sampling, statistics
+from ..operators import cuts, matching, models, paths, proposals, rewriting, sampling, statistics, structure
 from ..sources import corpora
 from ..streaming import events as streams
 
@@ -89,6 +89,12 @@ def _asked_pairs(t: _Tables) -> DataFrame:
     return classes.withColumn("kind", F.explode(F.array(F.lit("within"), F.lit("between")))).withColumn("ratio_bin", F.explode(F.sequence(F.lit(0), F.lit(statistics.BINS - 1))))
 
 
+def _by_status(t: _Tables, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subgraphs of orders in progress (status P), and those of the others."""
+    asked = t.t.where("target = 'P'").select("graph_id")
+    return parts.join(asked, "graph_id", "left_semi"), parts.join(asked, "graph_id", "left_anti")
+
+
 def _query(f: Callable[[_Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_Tables(spark, sf_dir))
 
@@ -106,7 +112,11 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "k_anchor_type": lambda t: cuts.anchor_types(t.n, t.e),
     "k_node_keys": lambda t: cuts.radius_hash(t.n, t.e).groupBy("hash").agg(F.count("*").alias("n")),
     "k_virtual_cut": lambda t: cuts.virtual_cut(t.e),
-    "k_virtual_candidates": lambda t: cuts.virtual_candidates(t.n, t.e),
+    "k_virtual_candidates": lambda t: proposals.virtual_candidates(t.n, t.e),
+    "k_virtual_candidates_3": lambda t: proposals.virtual_candidates(t.n, t.e, 3),
+    "k_virtual_sample": lambda t: proposals.sampled_candidates(t.n, t.e),
+    "p_virtual_propose": lambda t: proposals.proposals(t.n, t.e),
+    "j_retrieve": lambda t: matching.retrieval_counts(*_by_status(t, cuts.edge_contexts(t.e))),
     "k_overlap_sig": lambda t: cuts.overlap_signatures(t.e),
     "k_rewrite_pairs": lambda t: matching.effective_sources(cuts.cut_index(t.e)),
     "j_rewrite_pairs": lambda t: matching.rewrite_pairs(cuts.cut_index(t.e)),
@@ -163,7 +173,9 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "g_bfs_order": lambda t: paths.hops(t.n, t.e),
     "g_shortest_path": lambda t: paths.shortest_distances(_nation_links(t), 0).select("id", F.round("dist", 6).alias("dist")),
     "g_mst_knn": lambda t: paths.spanning_tree(_nation_links(t)).select("src", "dst", F.round("w", 6).alias("w")),
-    "g_node_features": lambda t: paths.node_features(t.n, t.e),
+    "g_node_features": lambda t: structure.rounded(structure.node_features(t.n, t.e).drop("betweenness")),
+    "g_betweenness": lambda t: structure.rounded(structure.node_features(t.n, t.e)).select("graph_id", "node_id", "betweenness"),
+    "g_scaled_features": lambda t: structure.scaled_features(t.n, t.e),
     "g_norm_adj": lambda t: paths.normalised_adjacency(t.n, t.e),
     "p_replace_single": lambda t: rewriting.replacements(t.e),
     "p_replace_graph": lambda t: rewriting.replaced(t.e),

@@ -1,13 +1,16 @@
 """Golden facts on literal graphs, and invariants of the operators that SQL doesn't express."""
 
 import math
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import hashing
 from graphloom.functions.hashing import wl_hash
-from graphloom.operators import cuts, matching, models, paths, rewriting, sampling, statistics
+from graphloom.operators import cuts, matching, models, paths, proposals, rewriting, sampling, statistics, structure
 from graphloom.sources import corpora
 from graphloom.sources.corpora import both_ways, validate
 
@@ -206,3 +209,105 @@ def test_equivalent_data_size(spark):
     ahead = spark.createDataFrame([("k", n, 10 - 4 * (2 * n) ** -0.5) for n in (2, 4, 8)], "key string, n long, y double")
     assert abs(statistics.equivalent_data_size(on, fits).first()["eds"]) < 1e-3 and abs(statistics.equivalent_data_size(ahead, fits).first()["eds"] - 1) < 1e-3
     assert abs(sum(r["w"] for r in statistics.gain_weights(on, fits).collect()) - 1) < 1e-9
+
+
+def random_graphs(spark, seed=1, n_graphs=6, least=1, most=14, labels="ABC"):
+    """Random graphs with parallel edges in both directions, loops and isolated nodes, numbered from 1."""
+    r, nodes, edges = random.Random(seed), [], []
+    for g in range(n_graphs):
+        n = r.randint(least, most)
+        kind = {i: r.choice(labels) for i in range(1, n + 1)}
+        nodes += [(g, i, kind[i]) for i in kind]
+        edges += [(g, a, b, "e", kind[a], kind[b]) for a, b in ((r.randint(1, n), r.randint(1, n)) for _ in range(r.randint(0, 2 * n)))]
+    return spark.createDataFrame(nodes, "graph_id long, node_id int, label string"), spark.createDataFrame(edges, "graph_id long, src int, dst int, label string, lu string, lv string"), nodes, edges
+
+
+def features_by_hand(nodes, edges):
+    """Degree, clustering and betweenness from breadth-first searches and all pairs of nodes."""
+    out = {}
+    for g in {x[0] for x in nodes}:
+        ids = [x[1] for x in nodes if x[0] == g]
+        near = {i: {b for e in edges if e[0] == g for a, b in (e[1:3], e[2:0:-1]) if a == i and b != i} for i in ids}
+        dist, count = {}, {}
+        for s in ids:
+            dist[s, s], count[s, s], frontier = 0, 1, [s]
+            while frontier:
+                following = []
+                for v in frontier:
+                    for w in near[v]:
+                        if (s, w) not in dist:
+                            dist[s, w], count[s, w] = dist[s, v] + 1, 0
+                            following.append(w)
+                        if dist[s, w] == dist[s, v] + 1:
+                            count[s, w] += count[s, v]
+                frontier = following
+        n = len(ids)
+        for v in ids:
+            through = sum(count[s, v] * count[v, t] / count[s, t] for s in ids for t in ids if len({s, v, t}) == 3 and (s, t) in dist and (s, v) in dist and (v, t) in dist and dist[s, v] + dist[v, t] == dist[s, t])
+            d = len(near[v])
+            closed = sum(b in near[a] for a in near[v] for b in near[v] if a < b)
+            out[g, v] = (d / (n - 1) if n > 1 else 0, 2 * closed / (d * (d - 1)) if d > 1 else 0, through / ((n - 1) * (n - 2)) if n > 2 else 0)
+    return out
+
+
+@pytest.mark.parametrize("small", [64, 0])
+def test_node_features_by_hand(spark, small):
+    nodes, edges, n, e = random_graphs(spark)
+    got = {(r["graph_id"], r["node_id"]): (r["degree"], r["clustering"], r["betweenness"]) for r in structure.node_features(nodes, edges, small).collect()}
+    want = features_by_hand(n, e)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_scaler_leaves_constant_columns(spark):
+    nodes, edges, *_ = random_graphs(spark, 2)
+    features = structure.node_features(nodes, edges).withColumn("clustering", F.lit(0.5))
+    by = structure.scaler(features, structure.STRUCTURAL)
+    out = structure.scaled(features, by).agg(*(F.avg(c) for c in structure.STRUCTURAL), *(F.stddev_pop(c) for c in structure.STRUCTURAL)).first()
+    assert by["clustering"] == (0.5, 1.0) and list(out) == pytest.approx([0, 0, 0, 1, 0, 1], abs=1e-9)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_ranks_are_all_sets(spark, k):
+    ranks = spark.range(math.comb(9, k)).withColumnRenamed("id", "rank")
+    picks = [tuple(r["picks"]) for r in proposals.unranked(ranks, "rank", k).orderBy("rank").collect()]
+    assert picks == sorted(combinations(range(9), k), key=lambda c: c[::-1])
+
+
+def test_ranks_of_many_nodes(spark):
+    n, r = 1_500_000, random.Random(1)
+    ranks = sorted({0, math.comb(n, 3) - 1, *(r.randrange(math.comb(n, 3)) for _ in range(200)), *(math.comb(c, 3) + d for c in (3, 77, 999_999) for d in (-1, 0, 1))})
+    for row in proposals.unranked(spark.createDataFrame([(x,) for x in ranks], "rank long"), "rank", 3).collect():
+        a, b, c = row["picks"]
+        assert 0 <= a < b < c < n and math.comb(c, 3) + math.comb(b, 2) + a == row["rank"]
+
+
+@pytest.mark.parametrize("small", [64, 0])
+def test_sets_of_nodes(spark, small):
+    nodes, *_ , n, _ = random_graphs(spark, 3)
+    label = {x[:2]: x[2] for x in n}
+    want = {(g, c): ";".join(sorted(label[g, i] for i in c)) for g in {x[0] for x in n} for c in combinations(sorted(i for h, i in label if h == g), 3)}
+    rows = proposals.node_sets(nodes, 3, small=small).collect()
+    assert {(r["graph_id"], tuple(r["members"])): r["key"] for r in rows} == want and len(rows) == len(want)
+    some = [(r["graph_id"], tuple(r["members"])) for r in proposals.node_sets(nodes, 3, 10, small=small).collect()]
+    assert set(some) <= want.keys() and len(set(some)) == len(some) == sum(min(10, sum(g == h for h, _ in want)) for g in {g for g, _ in want})
+
+
+def test_proposals_stop_in_time(spark, sf_dir):
+    nodes, edges = corpora.derived(spark, sf_dir)
+    rows = proposals.proposals(nodes, edges, wanted=1, misses=2, attempts=5).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["graph_id"]].append(r)
+    assert rows and all(len(x) == 1 for x in by.values()) and all(g % 2 == 0 for g in by) and all(r["donor_graph"] % 2 == 1 and len(r["nodes"].split(",")) == r["k"] for r in rows)
+
+
+def test_retrieval_is_full_division(spark):
+    r = random.Random(5)
+    def parts(n, first):
+        rows = [(g, i, [(j, [r.choice("ABC") for _ in range(r.randint(1, 3))]) for j in range(r.randint(0, 3))]) for g in range(first, first + n) for i in range(1, 4)]
+        return rows, spark.createDataFrame(rows, "graph_id long, inode int, near array<struct<j:int,types:array<string>>>")
+    (own, sources), (other, donors) = parts(25, 0), parts(40, 100)
+    covers = lambda need, near: all(any(not Counter(p) - Counter(q) for _, q in near) for _, p in need)
+    want = {(g, i): sum(covers(near, x) for *_, x in other if x) for g, i, near in own if near}
+    got = {(x["graph_id"], x["inode"]): x["n_candidates"] for x in matching.retrieval_counts(sources, donors).collect()}
+    assert got == {k: n for k, n in want.items() if n}
