@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.corpora import saved
+
 
 def cosine_schedule(spark: SparkSession, steps: int = 50, s: float = 0.008, most: float = 0.9999) -> DataFrame:
     """(t, beta, alpha_bar): the discrete cosine noise schedule, and the running product of 1 - beta."""
@@ -110,3 +112,53 @@ def outside_range(sizes: DataFrame, training: DataFrame) -> DataFrame:
     """(graph_id, n_nodes, feasible): whether a graph's size is within the training sizes."""
     span = training.agg(F.min("n_nodes").alias("low"), F.max("n_nodes").alias("high"))
     return sizes.join(F.broadcast(span), F.lit(True)).select("graph_id", "n_nodes", F.col("n_nodes").between(F.col("low"), F.col("high")).alias("feasible"))
+
+
+EPS = 1e-7
+
+
+def diffusion_terms(nodes: DataFrame, marginals: DataFrame, betas: list[float], keep: float = 0.5, seed: str = "37") -> DataFrame:
+    """(graph_id, t, log_pn, kl_prior, loss_t, log_p0, nll): the bound on -log p of each graph's node labels, for each step t of betas at once.
+
+    marginals (label, p) is the limit of the noise; step t mixes the labels with it by betas[t - 1]. A noisy label is drawn for each node and
+    t by seed. The predicted label is taken as the true one with a weight of keep and as the limit else. Only nodes that exist have
+    rows, so nothing needs to be masked; distributions get 1e-7 and are normalised before logs. log_pn: of the graph's size among all
+    sizes. kl_prior: of the last step to the limit. loss_t: steps times KL of q(z before | z, x) to its mean over predicted labels. log_p0: log of
+    the predicted label. All terms follow from a node's label, noisy label and t, so they are computed once for each of those and joined.
+    """
+    spark, steps = nodes.sparkSession, len(betas)
+    bars, bar = [], 1.0
+    for b in betas:
+        bar *= 1 - b
+        bars.append(bar)
+    times = spark.createDataFrame([(t + 1, float(betas[t]), bars[t], bars[t - 1] if t else 1.0) for t in range(steps)], "t int, beta double, bar double, before double")
+    m = saved(marginals.select("label", "p"))
+    one = lambda name, p=None: m.select(F.col("label").alias(name), *([F.col("p").alias(p)] if p else []))
+    same = lambda a, b, w: F.when(F.col(a) == F.col(b), w).otherwise(0.0)
+
+    every = times.join(F.broadcast(one("x")), F.lit(True)).join(F.broadcast(one("z", "pz")), F.lit(True)).join(F.broadcast(one("s", "ps")), F.lit(True))  # labels to the third power
+    raw = (F.col("beta") * F.col("pz") + same("s", "z", 1 - F.col("beta"))) * ((1 - F.col("before")) * F.col("ps") + same("x", "s", F.col("before"))) + EPS
+    q = saved(every.select("t", "x", "z", "s", raw.alias("raw")).withColumn("q", F.col("raw") / F.sum("raw").over(W.partitionBy("t", "x", "z"))).select("t", "x", "z", "s", "q"))
+    mean = q.join(F.broadcast(one("x", "px")), "x").groupBy("t", "z", "s").agg(F.sum(F.col("q") * F.col("px")).alias("mean"))
+    predicted = keep * F.col("q") + (1 - keep) * F.col("mean")
+    loss = saved(q.join(mean, ["t", "z", "s"]).groupBy("t", "x", "z").agg((steps * F.sum(F.col("q") * F.log(F.col("q") / predicted))).alias("loss_t")))
+
+    last = one("x").join(F.broadcast(one("s", "ps")), F.lit(True)).withColumn("q", (1 - bars[-1]) * F.col("ps") + same("x", "s", bars[-1]) + EPS).withColumn("limit", F.col("ps") + EPS)
+    total = W.partitionBy("x")
+    prior = last.withColumn("q", F.col("q") / F.sum("q").over(total)).withColumn("limit", F.col("limit") / F.sum("limit").over(total)).groupBy("x").agg(F.sum(F.col("q") * F.log(F.col("q") / F.col("limit"))).alias("kl"))
+    zero = m.select(F.col("label").alias("x"), F.log((keep + (1 - keep) * F.col("p") + EPS) / (1 + EPS * F.count("*").over(W.partitionBy()))).alias("log_p"))
+    own = prior.join(F.broadcast(zero), "x")
+
+    cumulated = F.sum("p").over(W.orderBy("label").rowsBetween(W.unboundedPreceding, 0))  # as many rows as labels
+    limits = m.select("label", cumulated.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "label"))).alias("limits"))
+    u = lambda what: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(what), *(F.col(c).cast("string") for c in ("graph_id", "node_id", "t")))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    at = nodes.select("graph_id", "node_id", F.col("label").alias("x")).join(F.broadcast(times), F.lit(True)).join(F.broadcast(limits), F.lit(True))
+    later = F.filter("limits", lambda y: y["upto"] > u("label"))
+    noise = F.coalesce(F.get(later, F.lit(0))["label"], F.element_at("limits", F.lit(-1))["label"])
+    drawn = at.select("graph_id", "t", "x", F.when(u("keep") < F.col("bar"), F.col("x")).otherwise(noise).alias("z"))
+    terms = drawn.join(loss, ["t", "x", "z"]).join(own, "x").groupBy("graph_id", "t").agg(F.sum("kl").alias("kl_prior"), F.sum("loss_t").alias("loss_t"), F.sum("log_p").alias("log_p0"), F.count("*").alias("n"))
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("graphs"))
+    sized = sizes.withColumn("log_pn", F.log(F.col("graphs") / F.sum("graphs").over(W.partitionBy()))).select("n", "log_pn")
+    out = terms.join(sized, "n")
+    nll = -F.col("log_pn") + F.col("kl_prior") + F.col("loss_t") - F.col("log_p0")
+    return out.select("graph_id", "t", *(F.round(c, 5).alias(n) for n, c in (("log_pn", F.col("log_pn")), ("kl_prior", F.col("kl_prior")), ("loss_t", F.col("loss_t")), ("log_p0", F.col("log_p0")), ("nll", nll))))

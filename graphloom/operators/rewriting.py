@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
-from ..sources.corpora import saved
+from ..sources.checkpoints import resumable
+from ..sources.corpora import new_folder, saved
 from .cuts import cut_edges, cut_index, edge_contexts, edge_decomposition, pair_hash
 from .sampling import seeded
 
@@ -120,6 +121,26 @@ def beam_step(nodes: DataFrame, edges: DataFrame, width: int = 3) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("score"), "src", "dst"))).where(F.col("rank") <= width).select("graph_id", "src", "dst", "score", "rank")
 
 
+def grown(nodes: DataFrame, edges: DataFrame, steps: int = 3, path: str | None = None) -> DataFrame:
+    """(graph_id, step, src, dst, score): each graph grown by its best missing edge, step by step; what is added counts for the scores after it.
+
+    A checkpoint is written after each step to path; a run of the same graphs and settings that was cut off goes on from there.
+    """
+    spark = nodes.sparkSession
+    sign = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("graph_id", "src", "dst", "label"), F.lit(1 << 31)))).first()
+    labels = nodes.select("graph_id", "node_id", "label")
+    none = spark.createDataFrame([], "graph_id long, step int, src int, dst int, score long")
+
+    def step(k: int, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        added = tables["added"]
+        ends = added.select("graph_id", "src", "dst").join(labels.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("lu")), ["graph_id", "src"]).join(labels.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("lv")), ["graph_id", "dst"])
+        now = edges.select("graph_id", "src", "dst", "lu", "lv").unionByName(ends)
+        best = beam_step(nodes, now, 1).select("graph_id", F.lit(k).alias("step"), "src", "dst", "score")
+        return {"added": added.select(none.columns).union(best)}
+
+    return resumable(spark, path or new_folder(spark), f"grown|{steps}|{sign[0]}|{sign[1]}", lambda: {"added": none}, step, steps)["added"]
+
+
 def edge_blame(edges: DataFrame, k: int = 2) -> DataFrame:
     """(graph_id, src, dst, n_sets, blame, rank): the k edges most to blame where triangles are violations: in most of them, then most recent.
 
@@ -172,24 +193,6 @@ def gran_sample(sizes: DataFrame, p: float, seed: str = "14") -> DataFrame:
     return pairs.where(u < p)
 
 
-def mmr_selection(candidates: DataFrame, similar: DataFrame, k: int, diversity: float) -> DataFrame:
-    """(rank, id): greedy choice by score minus diversity times the largest similarity to those chosen; a driver loop of k small queries.
-
-    candidates has (id, score), similar (i, j, sim) in both directions.
-    """
-    similar = saved(similar)
-    state = saved(candidates.select("id", "score", F.lit(0.0).alias("close")))
-    chosen: list[int] = []
-    for _ in range(k):
-        row = state.where(~F.col("id").isin(chosen) if chosen else F.lit(True)).orderBy(F.desc(F.round(F.col("score") - diversity * F.col("close"), 9)), "id").select("id").first()
-        if row is None:
-            break
-        chosen.append(row["id"])
-        near = similar.where(F.col("i") == row["id"]).select(F.col("j").alias("id"), "sim")
-        state = saved(state.join(near, "id", "left").select("id", "score", F.greatest("close", F.coalesce("sim", F.lit(0.0))).alias("close")))
-    return candidates.sparkSession.createDataFrame(list(enumerate(chosen, 1)), "rank int, id long")
-
-
 def resume_signature(hashes: DataFrame, parameters: str) -> DataFrame:
     """(signature, n): what a resumed run must agree in: its parameters and the source hashes, as counts by hash."""
     each = hashes.groupBy("hash").agg(F.count("*").alias("n"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..sources.corpora import saved
+from .ranking import numbered_in
 
 
 def seeded(seed: str, *key: str) -> Column:
@@ -15,8 +17,7 @@ def seeded(seed: str, *key: str) -> Column:
 
 def random_pairs(keys: DataFrame, key: str, by: str, seed: str = "1") -> DataFrame:
     """(by, pair, a, b): disjoint pairs of keys in seeded order, inside each value of by; an odd one out is left."""
-    pos = F.row_number().over(W.partitionBy(by).orderBy(F.md5(seeded(seed, key)), key))
-    placed = keys.select(by, key, pos.alias("pos")).withColumn("pair", F.ceil(F.col("pos") / 2))
+    placed = numbered_in(keys.select(by, key), by, F.md5(seeded(seed, key)), key).withColumn("pair", F.ceil(F.col("pos") / 2))
     return placed.groupBy(by, "pair").agg(F.min_by(key, "pos").alias("a"), F.max_by(key, "pos").alias("b"), F.count("*").alias("n")).where("n = 2").drop("n")
 
 
@@ -29,7 +30,7 @@ def weighted_order(items: DataFrame, by: str, key: str, weight: str, seed: str =
     """items with pos: a weighted order without replacement by -ln(u) / w; items without positive weight come last."""
     u = uniform(seeded(seed, by, key))
     draw = F.when(F.col(weight) > 0, F.round(-F.log(u) / F.col(weight), 9)).otherwise(float("inf"))
-    return items.select(by, key, weight, F.row_number().over(W.partitionBy(by).orderBy(draw, key)).alias("pos"))
+    return numbered_in(items.select(by, key, weight), by, draw, key)
 
 
 def top_k(items: DataFrame, by: str, key: str, score: str, k: int) -> DataFrame:
@@ -82,13 +83,12 @@ def farthest_points(points: DataFrame, k: int, seed: str = "5") -> DataFrame:
     """(rank, id): greedy selection by the largest smallest cosine distance to those chosen; a driver loop of k small queries."""
     unit = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     unit_x = points.select("id", F.transform("x", lambda v: v / F.when(unit > 0, unit).otherwise(1.0)).alias("x"))
-    state = unit_x.withColumn("near", F.lit(float("inf"))).persist()
+    state = unit_x.withColumn("near", F.lit(float("inf")))
+    state = saved(state)
     chosen = [state.orderBy(F.md5(seeded(seed, "id")), "id").select("id", "x").first()]
     for _ in range(k - 1):
         center = F.lit([float(v) for v in chosen[-1]["x"]])
         d = 1 - F.aggregate(F.zip_with("x", center, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        following = state.withColumn("near", F.least("near", F.round(d, 9))).persist()
-        chosen.append(following.orderBy(F.desc("near"), "id").select("id", "x").first())
-        state.unpersist()
-        state = following
+        state = saved(state.withColumn("near", F.least("near", F.round(d, 9))))
+        chosen.append(state.orderBy(F.desc("near"), "id").select("id", "x").first())
     return points.sparkSession.createDataFrame([(i + 1, r["id"]) for i, r in enumerate(chosen)], "rank int, id long")

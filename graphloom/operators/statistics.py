@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..sources.corpora import saved
+from .ranking import numbered_in
 
 SMOOTH = 1.0  # added to the edges and to the non-edges of a class of node pairs
 BLOCK, BINS = 4, 4
@@ -42,6 +43,11 @@ def edge_marginals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return every.withColumn("p", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6))
 
 
+def node_marginals(nodes: DataFrame) -> DataFrame:
+    """(label, p): the share of each node label."""
+    return nodes.groupBy("label").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy())).select("label", "p")
+
+
 def group_targets(targets: DataFrame) -> DataFrame:
     return targets.groupBy("target").agg(F.count("*").alias("n"), F.min("graph_id").alias("first_graph_id"))
 
@@ -114,12 +120,30 @@ def equalised(targets: DataFrame, seed: str = "7") -> DataFrame:
     """(target, graph_id, copy): each class repeated up to the size of the largest, in seeded order."""
     sizes_ = targets.groupBy("target").agg(F.count("*").alias("size"))
     most = sizes_.agg(F.max("size").alias("most"))
-    order = F.row_number().over(W.partitionBy("target").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("graph_id").cast("string"))), "graph_id"))
-    placed = targets.withColumn("pos", order).join(sizes_.join(F.broadcast(most), F.lit(True)), "target")
+    placed = numbered_in(targets.select("target", "graph_id"), "target", F.md5(F.concat_ws("|", F.lit(seed), F.col("graph_id").cast("string"))), "graph_id").join(sizes_.join(F.broadcast(most), F.lit(True)), "target")
     times = F.ceil((F.col("most") - F.col("pos") + 1) / F.col("size")).cast("int")
     return placed.select("target", "graph_id", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("copy"))
 
 
+def bootstrapped(targets: DataFrame, seed: str = "35") -> DataFrame:
+    """(target, graph_id, times): each class drawn as often as it has members, with replacement; graphs that weren't drawn are left out.
+
+    The n-th draw of a class takes the member at a uniform place; places come from ranges of the order, so no task holds a class.
+    """
+    placed = saved(numbered_in(targets.select("target", "graph_id"), "target", "graph_id"))
+    size = placed.groupBy("target").agg(F.count("*").alias("size"))
+    u = uniform(F.concat_ws("|", F.lit(seed), F.col("target").cast("string"), F.col("pos").cast("string")))
+    drawn = placed.join(size, "target").select("target", (F.floor(u * F.col("size")) + 1).cast("int").alias("pos"))
+    return drawn.groupBy("target", "pos").agg(F.count("*").alias("times")).join(placed, ["target", "pos"]).select("target", "graph_id", "times")
+
+
+def resampled(targets: DataFrame, size: int, spare: int = 3, seed: str = "36") -> DataFrame:
+    """(target, graph_id): size members of each class without replacement, in seeded order; a class with fewer than spare more than that stays whole."""
+    placed = saved(numbered_in(targets.select("target", "graph_id"), "target", F.md5(F.concat_ws("|", F.lit(seed), F.col("graph_id").cast("string"))), "graph_id"))
+    counts = placed.groupBy("target").agg(F.count("*").alias("n"))
+    return placed.join(counts, "target").where((F.col("n") - size < spare) | (F.col("pos") <= size)).select("target", "graph_id")
+
+
 def propagated(df: DataFrame) -> DataFrame:
     """df (key, m1, s1, m2, s2) as deviations of the ratio, product, sum, difference and average of two independent normal variables."""
     m1, s1, m2, s2 = (F.col(c) for c in ("m1", "s1", "m2", "s2"))

@@ -275,3 +275,98 @@ ORACLE_SQL |= {
         ok AS (SELECT a.profile, b.profile AS holder FROM (SELECT * FROM of WHERE profile IN (SELECT profile FROM own)) a JOIN cn USING (sig) JOIN (SELECT * FROM of WHERE profile IN (SELECT profile FROM held)) b ON b.sig = cn.big GROUP BY 1, 2 HAVING count(DISTINCT a.sig) = (SELECT count(*) FROM of WHERE of.profile = a.profile))
         SELECT own.graph_id, own.i AS inode, sum(held.n)::BIGINT AS n_candidates FROM own JOIN ok USING (profile) JOIN held ON held.profile = ok.holder GROUP BY 1, 2"""),
 }
+
+
+def _index(before: str, members: str, key: str) -> str:
+    """The index of subgraphs by members (graph_id, inode, node_id), boundary edges known by key; before: what defines nd, sy and more."""
+    at = "x.graph_id = m.graph_id AND x.inode = m.inode"
+    rounds = ", ".join(
+        f"v{k} AS MATERIALIZED (SELECT n.graph_id, n.inode, n.node_id, md5(n.h || '|' || coalesce(string_agg(i.label || ':' || m.h, ',' ORDER BY i.label || ':' || m.h), '')) AS h FROM v{k - 1} n LEFT JOIN iw i ON n.graph_id = i.graph_id AND n.inode = i.inode AND n.node_id = i.src LEFT JOIN v{k - 1} m ON i.graph_id = m.graph_id AND i.inode = m.inode AND i.dst = m.node_id GROUP BY n.graph_id, n.inode, n.node_id, n.h)"
+        for k in (1, 2, 3)
+    )
+    return before + f""", mm AS MATERIALIZED ({members}), iw AS MATERIALIZED (SELECT m.graph_id, m.inode, s.src, s.dst, s.label FROM mm m JOIN sy s ON s.graph_id = m.graph_id AND s.src = m.node_id JOIN mm x ON {at} AND x.node_id = s.dst),
+        v0 AS MATERIALIZED (SELECT mm.graph_id, inode, node_id, label AS h FROM mm JOIN nd USING (graph_id, node_id)), {rounds},
+        bd AS (SELECT m.graph_id, m.inode, m.node_id, {key} AS ekey FROM mm m JOIN sy s ON s.graph_id = m.graph_id AND s.src = m.node_id WHERE NOT EXISTS (SELECT 1 FROM mm x WHERE {at} AND x.node_id = s.dst)),
+        cu AS (SELECT bd.graph_id, bd.inode, string_agg(ekey, ';' ORDER BY ekey) AS cut_key, md5(string_agg(ekey || '@' || h, ';' ORDER BY ekey || '@' || h)) AS sig FROM bd JOIN v3 USING (graph_id, inode, node_id) GROUP BY 1, 2),
+        hs AS (SELECT graph_id, inode, md5(string_agg(h, ',' ORDER BY h)) AS assoc_hash FROM v3 GROUP BY 1, 2)
+        SELECT graph_id, inode, coalesce(cut_key, '') AS cut_key, assoc_hash, coalesce(sig, md5('')) AS edge_map_sig FROM hs LEFT JOIN cu USING (graph_id, inode)"""
+
+
+_NEAR = "1 / (1 + list_distance({a}, {b}))"
+_SCORED = "SELECT id, x, (id % 17) / 17.0::DOUBLE AS score, len(list_filter(x, lambda v: v > 0)) AS wins, len(x) AS n FROM pv"
+
+
+def _greedy(points: str, k: int, start: str, near: str, best: str, columns: str = "score") -> str:
+    """(rank, id) of k picks from points (id, x, columns): each first by best, over a running column close that near gives from start."""
+    out = f", s0 AS MATERIALIZED (SELECT id, x, {columns}, {start} AS close FROM ({points}))"
+    for i in range(1, k + 1):
+        taken = " AND ".join(f"id NOT IN (SELECT id FROM p{j})" for j in range(1, i)) or "true"
+        out += f", p{i} AS MATERIALIZED (SELECT id, x FROM s{i - 1} WHERE {taken} ORDER BY {best if i > 1 or columns == 'score' else columns}, id LIMIT 1), s{i} AS MATERIALIZED (SELECT s.id, s.x, {columns}, {near} AS close FROM s{i - 1} s, p{i} p)"
+    return out + " " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS rank, id FROM p{i}" for i in range(1, k + 1))
+
+
+def _swaps(rounds: int, worst: int, d: float) -> str:
+    near = _NEAR.format(a="a.x", b="b.x")
+    out = f", pts AS MATERIALIZED ({_SCORED}), m0 AS MATERIALIZED (SELECT id, x, score FROM pts ORDER BY score DESC, id LIMIT 6)"
+    for r in range(rounds):
+        out += f""", l{r} AS MATERIALIZED (SELECT a.id, a.score, max({near}) AS mx FROM m{r} a JOIN m{r} b ON a.id <> b.id GROUP BY 1, 2), w{r} AS (SELECT id AS old FROM l{r} ORDER BY round(score - {d}::DOUBLE * mx, 9), id LIMIT {worst}),
+            c{r} AS (SELECT old, id AS new FROM w{r}, pts WHERE id NOT IN (SELECT id FROM m{r})), t{r} AS MATERIALIZED (SELECT old, new, m.id, m.x, m.score FROM c{r} JOIN m{r} m ON m.id <> old UNION ALL SELECT old, new, p.id, p.x, p.score FROM c{r} JOIN pts p ON p.id = new),
+            r{r} AS (SELECT old, new, sum(score) - {d}::DOUBLE * sum(mx) AS reward FROM (SELECT a.old, a.new, a.id, a.score, max({near}) AS mx FROM t{r} a JOIN t{r} b ON a.old = b.old AND a.new = b.new AND a.id <> b.id GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+            b{r} AS MATERIALIZED (SELECT old, new FROM (SELECT * FROM r{r} ORDER BY round(reward, 9) DESC, new, old LIMIT 1) WHERE round(reward, 9) > (SELECT sum(score) - {d}::DOUBLE * sum(mx) FROM l{r}) + 1e-9),
+            m{r + 1} AS MATERIALIZED (SELECT * FROM m{r} WHERE id NOT IN (SELECT old FROM b{r}) UNION ALL SELECT id, x, score FROM pts WHERE id IN (SELECT new FROM b{r}))"""
+    return out + f" SELECT id FROM m{rounds}"
+
+
+def _growth(steps: int) -> str:
+    out = ", mx AS MATERIALIZED (SELECT mi.graph_id, mi.src, mi.dst, least(a.label, b.label) AS la, greatest(a.label, b.label) AS lb FROM mi JOIN nd a ON a.graph_id = mi.graph_id AND a.node_id = mi.src JOIN nd b ON b.graph_id = mi.graph_id AND b.node_id = mi.dst), e0 AS MATERIALIZED (SELECT least(lu, lv) AS la, greatest(lu, lv) AS lb FROM ed)"
+    for k in range(1, steps + 1):
+        taken = " AND ".join(f"NOT EXISTS (SELECT 1 FROM a{j} a WHERE a.graph_id = mx.graph_id AND a.src = mx.src AND a.dst = mx.dst)" for j in range(1, k)) or "true"
+        out += f""", f{k} AS (SELECT la, lb, count(*) AS n FROM e{k - 1} GROUP BY 1, 2), a{k} AS MATERIALIZED (SELECT DISTINCT ON (graph_id) graph_id, src, dst, la, lb, coalesce(n, 0) AS score FROM mx LEFT JOIN f{k} USING (la, lb) WHERE {taken} ORDER BY graph_id, score DESC, src, dst),
+            e{k} AS MATERIALIZED (SELECT la, lb FROM e{k - 1} UNION ALL SELECT la, lb FROM a{k})"""
+    return out + " " + " UNION ALL ".join(f"SELECT graph_id, {k}::INTEGER AS step, src, dst, score FROM a{k}" for k in range(1, steps + 1))
+
+
+def _diffusion(betas: list[float]) -> str:
+    bars, bar = [], 1.0
+    for b in betas:
+        bar *= 1 - b
+        bars.append(bar)
+    times = ", ".join(f"({t + 1}, {b!r}::DOUBLE, {bars[t]!r}::DOUBLE, {(bars[t - 1] if t else 1.0)!r}::DOUBLE)" for t, b in enumerate(betas))
+    same = "CASE WHEN {a} = {b} THEN {w} ELSE 0 END"
+    u = lambda what: _uniform(f"'37|{what}|' || graph_id || '|' || node_id || '|' || t")
+    return f""", ml AS MATERIALIZED (SELECT label, n / sum(n) OVER () AS p, sum(n) OVER () AS a FROM (SELECT label, count(*)::DOUBLE AS n FROM nd GROUP BY 1)), tm(t, beta, bar, before) AS (VALUES {times}),
+        rw AS (SELECT t, x.label AS x, z.label AS z, s.label AS s, (beta * z.p + {same.format(a="s.label", b="z.label", w="1 - beta")}) * ((1 - before) * s.p + {same.format(a="x.label", b="s.label", w="before")}) + 1e-7::DOUBLE AS w FROM tm, ml x, ml z, ml s),
+        qs AS MATERIALIZED (SELECT t, x, z, s, w / sum(w) OVER (PARTITION BY t, x, z) AS q FROM rw), me AS (SELECT t, z, s, sum(q * p) AS m FROM qs JOIN ml ON ml.label = x GROUP BY 1, 2, 3),
+        lo AS MATERIALIZED (SELECT t, x, z, {len(betas)} * sum(q * ln(q / (0.5::DOUBLE * q + 0.5::DOUBLE * m))) AS loss FROM qs JOIN me USING (t, z, s) GROUP BY 1, 2, 3),
+        la AS (SELECT x.label AS x, (1 - {bars[-1]!r}::DOUBLE) * s.p + {same.format(a="x.label", b="s.label", w=f"{bars[-1]!r}::DOUBLE")} + 1e-7::DOUBLE AS q, s.p + 1e-7::DOUBLE AS m FROM ml x, ml s),
+        kp AS (SELECT x, sum(q * ln(q / m)) AS kl FROM (SELECT x, q / sum(q) OVER (PARTITION BY x) AS q, m / sum(m) OVER (PARTITION BY x) AS m FROM la) GROUP BY 1),
+        lz AS (SELECT label AS x, ln((0.5::DOUBLE + 0.5::DOUBLE * p + 1e-7::DOUBLE) / (1 + 1e-7::DOUBLE * (SELECT count(*) FROM ml))) AS lp FROM ml),
+        cm AS (SELECT list(struct_pack(upto := upto, label := label) ORDER BY label) AS c FROM (SELECT label, sum(p) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) AS upto FROM ml)),
+        dr AS (SELECT graph_id, t, label AS x, CASE WHEN {u("keep")} < bar THEN label ELSE coalesce(list_filter(c, lambda y: y.upto > {u("label")})[1].label, c[-1].label) END AS z FROM nd, tm, cm),
+        te AS (SELECT graph_id, t, sum(kl) AS kl_prior, sum(loss) AS loss_t, sum(lp) AS log_p0, count(*) AS n FROM dr JOIN lo USING (t, x, z) JOIN kp USING (x) JOIN lz USING (x) GROUP BY 1, 2),
+        sn AS (SELECT n_nodes AS n, ln(count(*)::DOUBLE / (SELECT count(*) FROM sz)) AS log_pn FROM sz GROUP BY 1)
+        SELECT graph_id, t::INTEGER AS t, round(log_pn, 5) AS log_pn, round(kl_prior, 5) AS kl_prior, round(loss_t, 5) AS loss_t, round(log_p0, 5) AS log_p0, round(-log_pn + kl_prior + loss_t - log_p0, 5) AS nll FROM te JOIN sn USING (n)"""
+
+
+_BETA = "list_sort(list_transform(range(1, n + 2), lambda i: " + _uniform("'33|' || id || '|' || i") + "))[wins + 1]"
+_BOTH = "s.label || '|' || s.lu || '|' || s.lv"
+
+ORACLE_SQL |= {
+    "p_mmr_select": _sql("pv", _greedy(_SCORED, 8, "0::DOUBLE", "greatest(s.close, " + _NEAR.format(a="s.x", b="p.x") + ")", "round(score - 0.7::DOUBLE * close, 9) DESC")),
+    "p_thompson_select": _sql("pv", _greedy(f"SELECT id, x, {_BETA} + 0.5::DOUBLE * score AS score FROM ({_SCORED})", 6, "0::DOUBLE", "greatest(s.close, " + _NEAR.format(a="s.x", b="p.x") + ")", "round(score - 0.7::DOUBLE * close, 9) DESC")),
+    "p_swap_refine": _sql("pv", _swaps(2, 2, 0.7)),
+    "s_farthest_point": _sql("pv", _greedy("SELECT id, list_transform(x, lambda v: v / coalesce(nullif(sqrt(list_sum(list_transform(x, lambda w: w * w))), 0), 1)) AS x, md5('5|' || id) AS h FROM pv", 8, "'inf'::DOUBLE", "least(s.close, round(1 - list_dot_product(s.x, p.x), 9))", "close DESC", "h")),
+    "p_grow": _sql("mi nd", _growth(3)),
+    "p_prune_sequence": _recursive("ed sy sz", """od AS MATERIALIZED (SELECT graph_id, src AS u, dst AS v, row_number() OVER (PARTITION BY graph_id ORDER BY md5('34|' || graph_id || '|' || src || '|' || dst || '|' || label), src, dst, label) AS r FROM ed),
+        st AS (SELECT graph_id, 0::BIGINT AS r, []::INTEGER[] AS used, 0 AS step, n_nodes, NULL::INTEGER AS u, NULL::INTEGER AS v, false AS took FROM sz UNION ALL
+               SELECT graph_id, r, CASE WHEN ok THEN list_concat(used, [u, v]) ELSE used END, step + ok::INTEGER, n_nodes, u, v, ok FROM (SELECT s.graph_id, o.r, s.used, s.step, s.n_nodes, o.u, o.v, NOT list_contains(s.used, o.u) AND NOT list_contains(s.used, o.v) AND s.n_nodes - 2 * (s.step + 1) >= 3 AS ok FROM st s JOIN od o ON o.graph_id = s.graph_id AND o.r = s.r + 1)),
+        pk AS (SELECT * FROM st WHERE took), ou AS (SELECT DISTINCT p.graph_id, p.step, s.dst, s.lv FROM pk p JOIN sy s ON s.graph_id = p.graph_id AND (s.src = p.u OR s.src = p.v) WHERE NOT list_contains(p.used, s.dst)),
+        oc AS (SELECT graph_id, step, count(*) AS cut_size, string_agg(lv, ';' ORDER BY lv) AS cut_key FROM ou GROUP BY 1, 2)""",
+        "SELECT graph_id, step, u, v, n_nodes - 2 * step AS n_left, coalesce(cut_size, 0) AS cut_size, coalesce(cut_key, '') AS cut_key FROM pk LEFT JOIN oc USING (graph_id, step)"),
+    "k_index_neighbourhood": _index(_sql("nd sy", "").rstrip(), "SELECT DISTINCT graph_id, node_id AS inode, node_id FROM nd UNION SELECT graph_id, src, dst FROM sy", _BOTH),
+    "k_index_triangle": _index(_sql("nd ed sy", "").rstrip(), "SELECT graph_id, (row_number() OVER (PARTITION BY graph_id ORDER BY a, b, c))::INTEGER AS inode, unnest([a, b, c]) AS node_id FROM (SELECT x.graph_id, x.src AS a, x.dst AS b, y.dst AS c FROM ed x JOIN ed y ON x.graph_id = y.graph_id AND x.dst = y.src JOIN ed z ON z.graph_id = x.graph_id AND z.src = x.src AND z.dst = y.dst)", "s.label || '|' || s.lu"),
+    "k_index_component": _index("WITH " + _FLAG + f", ed AS MATERIALIZED ({_BASE['ed']}), sy AS MATERIALIZED ({_BASE['sy']})", "SELECT graph_id, component AS inode, node_id FROM cc", "s.label"),
+    "a_bootstrap": _sql("tg", ", pl AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY graph_id) AS pos, count(*) OVER (PARTITION BY target) AS size FROM tg), dr AS (SELECT target, floor(" + _uniform("'35|' || target || '|' || pos") + " * size)::BIGINT + 1 AS pos FROM pl) SELECT target, graph_id, count(*) AS times FROM dr JOIN pl USING (target, pos) GROUP BY 1, 2"),
+    "a_resample": _sql("tg", "SELECT target, graph_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('36|' || graph_id), graph_id) AS pos, count(*) OVER (PARTITION BY target) AS n FROM tg) WHERE n - 100 < 3 OR pos <= 100"),
+    "m_diffusion_nll": _sql("nd sz", _diffusion([0.1, 0.3, 0.6])),
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, graph_hashes
-from ..operators import cuts, matching, models, paths, proposals, rewriting, sampling, statistics, structure
+from ..operators import cuts, decompositions, matching, models, optimise, paths, proposals, rewriting, sampling, statistics, structure
 from ..sources import corpora
 from ..streaming import events as streams
 
@@ -89,6 +89,12 @@ def _asked_pairs(t: _Tables) -> DataFrame:
     return classes.withColumn("kind", F.explode(F.array(F.lit("within"), F.lit("between")))).withColumn("ratio_bin", F.explode(F.sequence(F.lit(0), F.lit(statistics.BINS - 1))))
 
 
+def _scored_points(t: _Tables) -> DataFrame:
+    """The points with a score, and a record of wins (components over 0) and losses."""
+    wins = F.size(F.filter("x", lambda v: v > 0))
+    return t.p.select("id", "x", (F.col("id") % 17 / 17.0).alias("score"), wins.alias("wins"), (F.size("x") - wins).alias("losses"))
+
+
 def _by_status(t: _Tables, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Subgraphs of orders in progress (status P), and those of the others."""
     asked = t.t.where("target = 'P'").select("graph_id")
@@ -196,7 +202,17 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "p_target_signatures": lambda t: rewriting.target_signatures(t.e),
     "p_seed_node": lambda t: rewriting.seed_nodes(matching.components(t.e)),
     "p_gran_sample": lambda t: rewriting.gran_sample(statistics.sizes(t.n), 0.3),
-    "p_mmr_select": lambda t: rewriting.mmr_selection(t.p.select("id", (F.col("id") % 17 / 17.0).alias("score")), matching.nearest(t.p).select("i", "j", (1 / (1 + F.col("d"))).alias("sim")), 8, 0.7),
+    "p_mmr_select": lambda t: optimise.greedy_selection(_scored_points(t), 8, 0.7),
+    "p_thompson_select": lambda t: optimise.thompson_selection(_scored_points(t), 6, 0.5, 0.7),
+    "p_swap_refine": lambda t: optimise.swapped(_scored_points(t), _scored_points(t).orderBy(F.desc("score"), "id").limit(6).select("id"), 2, 0.7, 2),
+    "p_grow": lambda t: rewriting.grown(t.n, t.e),
+    "p_prune_sequence": lambda t: decompositions.pruning_sequences(t.n, t.e),
+    "k_index_neighbourhood": lambda t: decompositions.index(decompositions.by_neighbourhood(t.n, t.e), t.n, t.e),
+    "k_index_triangle": lambda t: decompositions.index(decompositions.by_triangle(t.n, t.e), t.n, t.e, "inner"),
+    "k_index_component": lambda t: decompositions.index(decompositions.by_component(t.n, t.e.where("label = 'flag'")), t.n, t.e, "label"),
+    "a_bootstrap": lambda t: statistics.bootstrapped(t.t),
+    "a_resample": lambda t: statistics.resampled(t.t, 100),
+    "m_diffusion_nll": lambda t: models.diffusion_terms(t.n, statistics.node_marginals(t.n), [0.1, 0.3, 0.6]),
     "p_resume_signature": lambda t: rewriting.resume_signature(t.hashes, "steps=50"),
     "m_beta_schedule": lambda t: models.beta_warm_up(t.spark),
     "m_cosine_schedule": lambda t: models.cosine_schedule(t.spark),

@@ -41,14 +41,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("graph_id", "src", F.col("e.dst").alias("dst"), F.col("e.label").alias("label"), "lu", F.col("e.lv").alias("lv"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: a table in the folder of spark.checkpoint.dir, or in a temporary one where that is unset and Spark runs on this machine."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the folder of spark.checkpoint.dir, or in a temporary one where that is unset and Spark runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not df.sparkSession.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"{gettempdir()}/checkpoints"
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df cut from its lineage: a table in a new folder."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -56,14 +61,23 @@ def saved(df: DataFrame) -> DataFrame:
 _DERIVED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
+def _state_of_files(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Path, size and time of change of the files of some tables."""
+    found = []
+    for name in names:
+        for file in sorted(table(spark, sf_dir, name).inputFiles()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+            found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes and edges of the order graphs, derived once for a session and its present input files, and dealt by graph_id.
+    """The nodes and edges of the order graphs, derived once for a session and the present state of their input files, and dealt by graph_id.
 
-    Every query would otherwise read and sort lineitem again for each use of a corpus. Rewriting a table in place under the same
-    file names within a session isn't noticed.
+    Every query would otherwise read and sort lineitem again for each use of a corpus.
     """
-    files = tuple(sorted(table(spark, sf_dir, "lineitem").inputFiles() + table(spark, sf_dir, "part").inputFiles()))
-    key = (spark.sparkContext.applicationId, files)
+    key = (spark.sparkContext.applicationId, _state_of_files(spark, sf_dir, "lineitem", "part"))
     if key not in _DERIVED:
         _DERIVED[key] = tuple(saved(f(spark, sf_dir).repartition("graph_id")) for f in (nodes, edges))
     return _DERIVED[key]

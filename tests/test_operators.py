@@ -1,17 +1,22 @@
 """Golden facts on literal graphs, and invariants of the operators that SQL doesn't express."""
 
+import hashlib
 import math
 import random
+import shutil
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import hashing
 from graphloom.functions.hashing import wl_hash
-from graphloom.operators import cuts, matching, models, paths, proposals, rewriting, sampling, statistics, structure
-from graphloom.sources import corpora
+from graphloom.operators import cuts, decompositions, matching, models, optimise, paths, proposals, ranking, rewriting, sampling, statistics, structure
+from graphloom.sources import checkpoints, corpora
 from graphloom.sources.corpora import both_ways, validate
 
 
@@ -109,12 +114,9 @@ def test_path_scores_read_whole_paths(spark):
     assert math.isclose(found["score"], -sum(each) / len(each), abs_tol=1e-6)
 
 
-def test_farthest_points_and_mmr_are_distinct(spark):
-    points = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(12)], "id long, x array<double>")
-    assert len({r["id"] for r in sampling.farthest_points(points, 5).collect()}) == 5
-    similar = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "i long, j long, sim double")
-    candidates = spark.createDataFrame([(0, 1.0), (1, 0.9), (2, 0.5)], "id long, score double")
-    assert [r["id"] for r in rewriting.mmr_selection(candidates, similar, 3, 0.7).orderBy("rank").collect()] == [0, 2, 1]
+def test_farthest_points_are_distinct(spark):
+    points = some_points(spark)[1]
+    assert sampling.farthest_points(points, 5).select("id").distinct().count() == 5
 
 
 def test_replacement_pairs_differ_and_exist(spark, sf_dir):
@@ -311,3 +313,196 @@ def test_retrieval_is_full_division(spark):
     want = {(g, i): sum(covers(near, x) for *_, x in other if x) for g, i, near in own if near}
     got = {(x["graph_id"], x["inode"]): x["n_candidates"] for x in matching.retrieval_counts(sources, donors).collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+# places, decompositions, pruning
+
+
+def test_places_of_skewed_classes(spark):
+    """Two thirds of the rows in one class and many ties: gapless places in order."""
+    rows = [(i, "big" if i % 3 else f"c{i % 7}", i % 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, by string, key int")
+    placed = ranking.numbered(df, F.desc("key"), "id").collect()
+    assert [r["id"] for r in sorted(placed, key=lambda r: r["position"])] == [i for i, *_ in sorted(rows, key=lambda r: (-r[2], r[0]))] and {r["position"] for r in placed} == set(range(900))
+    inside = defaultdict(list)
+    for r in ranking.numbered_in(df, "by", "key", "id").collect():
+        inside[r["by"]].append((r["pos"], r["key"], r["id"]))
+    assert all([p for p, *_ in sorted(x)] == list(range(1, len(x) + 1)) and [y[1:] for y in sorted(x)] == sorted(y[1:] for y in x) for x in inside.values())
+    assert ranking.numbered(df.limit(0), "id").isEmpty() and ranking.numbered_in(df.limit(0), "by", "id").isEmpty()
+
+
+def test_bootstrap_and_resample(spark):
+    targets = spark.createDataFrame([(i, "big" if i % 5 else "small") for i in range(600)], "graph_id long, target string")
+    drawn = statistics.bootstrapped(targets).collect()
+    total = Counter()
+    for r in drawn:
+        total[r["target"]] += r["times"]
+    assert total == {"big": 480, "small": 120} and 0.55 < len(drawn) / 600 < 0.72  # about 1 - 1/e of them
+    kept = Counter(r["target"] for r in statistics.resampled(targets, 118).collect())
+    assert kept == {"big": 118, "small": 120}
+
+
+def test_index_of_edges_is_the_cut_index(spark, order_graphs):
+    nodes, edges = order_graphs
+    general = decompositions.index(decompositions.by_edge(nodes, edges), nodes, edges)
+    special = cuts.cut_index(edges).select(general.columns)
+    assert sorted(map(tuple, general.collect())) == sorted(map(tuple, special.collect()))
+
+
+def test_decompositions_of_a_small_graph(spark):
+    """A triangle with a tail and a node of its own."""
+    nodes = spark.createDataFrame([(1, i, "AABBC"[i - 1]) for i in range(1, 6)], "graph_id long, node_id int, label string")
+    edges = spark.createDataFrame([(1, 1, 2, "e", "A", "A"), (1, 2, 3, "e", "A", "B"), (1, 1, 3, "e", "A", "B"), (1, 3, 4, "f", "B", "B")], "graph_id long, src int, dst int, label string, lu string, lv string")
+    sets = lambda members: {frozenset(x) for x in by_part(members).values()}
+    def by_part(members):
+        out = defaultdict(set)
+        for r in members.collect():
+            out[r["inode"]].add(r["node_id"])
+        return out
+    assert sets(decompositions.by_triangle(nodes, edges)) == {frozenset({1, 2, 3})}
+    assert by_part(decompositions.by_neighbourhood(nodes, edges)) == {1: {1, 2, 3}, 2: {1, 2, 3}, 3: {1, 2, 3, 4}, 4: {3, 4}, 5: {5}}
+    assert by_part(decompositions.by_component(nodes, edges)) == {1: {1, 2, 3, 4}, 5: {5}}
+    triangle = decompositions.by_triangle(nodes, edges)
+    keys = {s: decompositions.index(triangle, nodes, edges, s).first()["cut_key"] for s in decompositions.SCOPES}
+    assert keys == {"none": "", "label": "f", "inner": "f|B", "outer": "f|B", "both": "f|B|B"}
+    with pytest.raises(ValueError):
+        decompositions.boundary(triangle, edges, "all")
+
+
+def pruned_by_hand(nodes, edges, least, seed):
+    key = lambda e: (hashlib.md5("|".join(map(str, (seed, *e[:4]))).encode()).hexdigest(), e[1], e[2], e[3])
+    label, out = {x[:2]: x[2] for x in nodes}, []
+    for g in {x[0] for x in nodes}:
+        left, own, step = {i for h, i in label if h == g}, [e for e in edges if e[0] == g], 0
+        while options := [e for e in own if e[1] != e[2] and e[1] in left and e[2] in left and len(left) - 2 >= least]:
+            u, v = min(options, key=key)[1:3]
+            left -= {u, v}
+            met = {b for e in own for a, b in (e[1:3], e[2:0:-1]) if a in (u, v) and b in left}
+            step += 1
+            out.append((g, step, u, v, len(left), len(met), ";".join(sorted(label[g, b] for b in met))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [64, 0])
+def test_pruning_to_the_end(spark, small):
+    nodes, edges, n, e = random_graphs(spark, 4, 8)
+    got = decompositions.pruning_sequences(nodes, edges, 2, "s", small)
+    assert sorted(map(tuple, got.collect())) == pruned_by_hand(n, e, 2, "s")
+    assert decompositions.pruning_sequences(nodes.limit(0), edges.limit(0)).isEmpty()
+
+
+# selection
+
+
+def some_points(spark, n=30, seed=8):
+    r = random.Random(seed)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)], r.choice([0.1, 0.5, 0.5, 0.9]), r.randint(0, 9), r.randint(0, 9)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, x array<double>, score double, wins int, losses int")
+
+
+near = lambda a, b: 1 / (1 + math.dist(a, b))
+
+
+def test_greedy_selection_by_all_similarities(spark):
+    rows, points = some_points(spark)
+    chosen = []
+    while len(chosen) < 6:
+        chosen.append(min((x for x in rows if x not in chosen), key=lambda x: (-round(x[2] - 0.6 * max((near(x[1], c[1]) for c in chosen), default=0), 9), x[0])))
+    assert [r["id"] for r in optimise.greedy_selection(points, 6, 0.6).orderBy("rank").collect()] == [c[0] for c in chosen]
+    assert optimise.greedy_selection(points.limit(2), 6, 0.6).count() == 2 and optimise.greedy_selection(points.limit(0), 6, 0.6).isEmpty()
+
+
+def test_beta_draws_have_the_mean_and_spread_of_beta(spark):
+    df = spark.range(4000).select(optimise.beta_draw(F.lit(6), F.lit(2), F.col("id"), "s").alias("b"))
+    mean, std = df.agg(F.avg("b"), F.stddev("b")).first()
+    assert abs(mean - 0.7) < 0.01 and abs(std - math.sqrt(7 * 3 / (100 * 11))) < 0.01
+    assert sorted(r["rank"] for r in optimise.thompson_selection(some_points(spark)[1], 5, 0.5, 0.7).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_swaps_against_all_swaps(spark):
+    rows, points = some_points(spark)
+    reward = lambda s: sum(x[2] for x in s) - 0.7 * sum(max(near(x[1], y[1]) for y in s if y is not x) for x in s)
+    members = rows[:4]
+    for _ in range(2):
+        last = sorted(members, key=lambda x: (round(x[2] - 0.7 * max(near(x[1], y[1]) for y in members if y is not x), 9), x[0]))[:2]
+        swaps = [(-round(reward([*(m for m in members if m is not o), x]), 9), x[0], o[0], [*(m for m in members if m is not o), x]) for o in last for x in rows if x not in members]
+        best = min(swaps, key=lambda s: s[:3])
+        if -best[0] > reward(members) + 1e-9:
+            members = best[3]
+    got = optimise.swapped(points, spark.createDataFrame([(x[0],) for x in rows[:4]], "id long"), 2, 0.7, 2)
+    assert sorted(r["id"] for r in got.collect()) == sorted(x[0] for x in members)
+
+
+# checkpoints
+
+
+def test_resumed_run_gives_the_same_rows(spark, tmp_path):
+    start = lambda: {"t": spark.range(5).withColumn("n", F.lit(0).cast("long"))}
+    ran = []
+
+    def step(k, tables, stop=None):
+        ran.append(k)
+        if k == stop:
+            raise RuntimeError("lost")
+        return {"t": tables["t"].withColumn("n", F.col("n") * 3 + F.col("id") + k)}
+
+    whole = checkpoints.resumable(spark, str(tmp_path / "a"), "s", start, step, 4)["t"]
+    with pytest.raises(RuntimeError):
+        checkpoints.resumable(spark, str(tmp_path / "b"), "s", start, lambda k, t: step(k, t, 3), 4)
+    ran.clear()
+    (tmp_path / "b" / "manifests" / ".left.part").write_text("{")  # of a run that ended while it wrote one
+    again = checkpoints.resumable(spark, str(tmp_path / "b"), "s", start, step, 4)["t"]
+    assert ran == [3, 4] and sorted(map(tuple, whole.collect())) == sorted(map(tuple, again.collect()))
+    with pytest.raises(ValueError):
+        checkpoints.load(spark, str(tmp_path / "b"), "other")
+    assert checkpoints.load(spark, str(tmp_path / "none"), "s") is None
+
+
+def test_growing_goes_on_after_a_stop(spark, order_graphs, tmp_path):
+    nodes, edges = (df.where("graph_id < 400") for df in order_graphs)
+    whole = sorted(map(tuple, rewriting.grown(nodes, edges, 3, str(tmp_path / "a")).collect()))
+    rewriting.grown(nodes, edges, 3, str(tmp_path / "b"))
+    for f in (tmp_path / "b" / "manifests").glob("*00000000[23].json"):
+        f.unlink()  # as if the run had ended after its first step
+    assert sorted(map(tuple, rewriting.grown(nodes, edges, 3, str(tmp_path / "b")).collect())) == whole and whole
+    with pytest.raises(ValueError):
+        rewriting.grown(nodes, edges.limit(3), 3, str(tmp_path / "b"))
+
+
+def test_derived_graphs_follow_their_files(spark, sf_dir, tmp_path):
+    """Tables rewritten in place under the same names are read again."""
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for name in ("lineitem", "part"):
+        shutil.copy(f"{sf_dir}/{name}.parquet", folder / f"{name}.parquet")
+    before = corpora.derived(spark, str(folder))[0].count()
+    assert corpora.derived(spark, str(folder))[0].count() == before
+    part = pq.read_table(f"{sf_dir}/lineitem.parquet").filter(pc.field("l_orderkey") < 100)
+    pq.write_table(part, folder / "lineitem.parquet")
+    assert 0 < corpora.derived(spark, str(folder))[0].count() == len(part) < before
+
+
+# diffusion terms
+
+
+def test_diffusion_terms_by_hand(spark):
+    """Every term of one graph from dense matrices and the same draws."""
+    nodes = spark.createDataFrame([(1, 1, "A"), (1, 2, "B"), (1, 3, "A"), (2, 1, "C")], "graph_id long, node_id int, label string")
+    m, labels, betas = np.array([0.5, 0.25, 0.25]), "ABC", [0.2, 0.7]
+    bars = np.cumprod(1 - np.array(betas))
+    u = lambda *key: (int(hashlib.md5("|".join(map(str, ("37", *key))).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    mix = lambda w: w * np.eye(3) + (1 - w) * m
+    got = {(r["graph_id"], r["t"]): r for r in models.diffusion_terms(nodes, statistics.node_marginals(nodes), betas).collect()}
+    for t in (1, 2):
+        one, before = mix(1 - betas[t - 1]), mix(bars[t - 2] if t > 1 else 1.0)
+        q = one.T[None] * before[:, None] + 1e-7  # x, z, s
+        q /= q.sum(2, keepdims=True)
+        predicted = 0.5 * q + 0.5 * np.einsum("x,xzs->zs", m, q)[None]
+        loss = 2 * (q * np.log(q / predicted)).sum(2)
+        total = 0
+        for node, x in ((1, 0), (2, 1), (3, 0)):
+            z = x if u("keep", 1, node, t) < bars[t - 1] else int(np.searchsorted(np.cumsum(m), u("label", 1, node, t), side="right"))
+            total += loss[x, z]
+        row = got[1, t]
+        assert row["loss_t"] == pytest.approx(total, abs=2e-5) and row["log_pn"] == pytest.approx(math.log(0.5), abs=1e-5)
+        assert row["nll"] == pytest.approx(-row["log_pn"] + row["kl_prior"] + row["loss_t"] - row["log_p0"], abs=3e-5) and row["kl_prior"] > 0 and row["loss_t"] >= 0
