@@ -43,7 +43,6 @@ MAIN = ("article", "main")
 LEAST_PAGES = 5  # of a host before texts that never differ count as template
 APART = 3  # neighbours of one label that keep a place of their own; further ones are one repeated node
 HELD_HOSTS = 2000  # hosts whose wrappers a task holds before it hands them on
-DEEPEST = 40  # elements below this are read as part of their ancestor
 WRAPPER_MB = 64  # of wrappers that are broadcast
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>", re.S)
@@ -96,7 +95,7 @@ def events(html: str):
         tag = tag.lower()
         if tag in RAW and not slash:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                close = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I).search(html, at)
                 at = close.end() if close else end if tag in ("script", "style", "textarea", "title") else at
             yield ("break",)
         elif tag in VOID:
@@ -114,12 +113,17 @@ class _Walk:
 
     def __init__(self):
         self.tags, self.labels, self.drops, self.dropped, self.blocks = [], [], [], 0, []
+        self.at: dict[str, list[int]] = {}  # by tag, where it is open
+        self.block_at: list[int] = []
 
     def open(self, tag: str, label: str, dropped: bool) -> None:
         if tag not in INLINE and "p" in self.tags[-6:]:
             self._pop_to(len(self.tags) - 1 - self.tags[::-1].index("p"))
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and tag in self.tags[-6:] and not {"ul", "ol", "dl", "table"} & set(self.tags[len(self.tags) - self.tags[::-1].index(tag) :]):
             self._pop_to(len(self.tags) - 1 - self.tags[::-1].index(tag))
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.block_at.append(len(self.tags))
         self.tags.append(tag)
         self.labels.append(label)
         self.drops.append(dropped)
@@ -131,16 +135,17 @@ class _Walk:
         while len(self.tags) > size:
             self.dropped -= self.drops.pop()
             self.labels.pop()
-            if self.tags.pop() not in INLINE:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if tag not in INLINE:
                 self.blocks.pop()
+                self.block_at.pop()
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.tags) - 1, max(-1, len(self.tags) - 200), -1):
-            if self.tags[i] == tag:
-                return self._pop_to(i)
-            if tag in INLINE and self.tags[i] not in INLINE:
-                return None
-        return None
+        """Closes the innermost element of a tag and all in it; an inline one only up to the innermost block."""
+        open_ = self.at.get(tag)
+        if open_ and not (tag in INLINE and self.block_at and self.block_at[-1] > open_[-1]):
+            self._pop_to(open_[-1])
 
 
 class Block:
@@ -174,7 +179,7 @@ class _Tree(_Walk):
         self.joined = min(self.joined, len(self.blocks))
 
     def text(self, text: str) -> None:
-        depth = min(len(self.blocks), DEEPEST)
+        depth = len(self.blocks)
         while self.joined < depth:
             self.path[self.joined].content.append(self.path[self.joined + 1])
             self.joined += 1
@@ -182,7 +187,7 @@ class _Tree(_Walk):
 
     def space(self) -> None:
         """A border between blocks, in the innermost block that has text."""
-        self.path[min(self.joined, DEEPEST)].content.append(" ")
+        self.path[self.joined].content.append(" ")
 
 
 def page_tree(html: str) -> Block:
@@ -194,7 +199,7 @@ def page_tree(html: str) -> Block:
                 if e[1].isspace():
                     tree.space()
                 else:
-                    tree.text(e[1])
+                    tree.text(entities.unescape(e[1]))  # a reference doesn't go on past its text node
             continue
         if e[0] == "break" or e[1] not in INLINE:
             tree.space()
@@ -215,13 +220,33 @@ def _hash(text: str) -> str:
     return f"{zlib.crc32(text.encode()):08x}" if text else ""
 
 
+def _walked(walk: Iterator):
+    """What a walk returns that yields the walks whose results it needs: as deep as a page is, without recursion."""
+    stack, value = [walk], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
 def wrapper_of(block: Block) -> list:
     """The wrapper of one page."""
+    return _walked(_wrapper(block))
+
+
+def _wrapper(block: Block):
     text = " ".join("".join(c for c in block.content if isinstance(c, str)).split())
     children: list[list] = []
-    for c in map(wrapper_of, block.blocks):
+    for b in block.blocks:
+        c = yield _wrapper(b)
         if len(children) > APART and all(x[LABEL] == c[LABEL] for x in children[-APART - 1 :]):
-            children[-1] = _together(children[-1], c)
+            children[-1] = yield _together(children[-1], c)
         else:
             children.append(c)
     return [block.label, False, False, 1, _hash(text), len(text), children]
@@ -240,20 +265,24 @@ def align(known: list[str], new: list[str]) -> list[int | None]:
     return out
 
 
-def _together(a: list, b: list) -> list:
-    """What a and b of one page are as a repeated node."""
+def _together(a: list, b: list):
+    """A walk to what a and b of one page are as a repeated node."""
     slot = "*" if "*" in (a[SLOT], b[SLOT]) else _hash(a[SLOT] + b[SLOT])
     children = [list(c) for c in a[CHILDREN]]
     for c, i in zip(b[CHILDREN], align([c[LABEL] for c in children], [c[LABEL] for c in b[CHILDREN]]), strict=True):
         if i is None:
             children.append([c[LABEL], True, *c[REPEATED:]])
         else:
-            children[i] = _together(children[i], c)
+            children[i] = yield _together(children[i], c)
     return [a[LABEL], a[OPTIONAL] or b[OPTIONAL], True, max(a[PAGES], b[PAGES]), slot, a[CHARACTERS] + b[CHARACTERS], children]
 
 
 def merge(a: list, b: list) -> list:
     """The wrapper of what a and b match; both have one label."""
+    return _walked(_merged(a, b))
+
+
+def _merged(a: list, b: list):
     children, placed = list(a[CHILDREN]), align([c[LABEL] for c in a[CHILDREN]], [c[LABEL] for c in b[CHILDREN]])
     met: dict[int, list] = {}
     extra: list[tuple[int, list]] = []  # optional ones, with the place before which they stand
@@ -262,10 +291,10 @@ def merge(a: list, b: list) -> list:
         if i is None:
             extra.append((last + 1, [c[LABEL], True, *c[REPEATED:]]))
         else:
-            met[i] = _together(met[i], c) if i in met else c
+            met[i] = (yield _together(met[i], c)) if i in met else c
             last = i
     for i, c in enumerate(children):
-        children[i] = merge(c, met[i]) if i in met else [c[LABEL], True, *c[REPEATED:]]
+        children[i] = (yield _merged(c, met[i])) if i in met else [c[LABEL], True, *c[REPEATED:]]
     for place, c in reversed(extra):
         children.insert(place, c)
     slot = a[SLOT] if a[SLOT] == b[SLOT] else "*"
@@ -274,11 +303,41 @@ def merge(a: list, b: list) -> list:
 
 def expression(node: list) -> str:
     """The wrapper as a regular expression over tags, for reading."""
-    inner = ("#text " if node[SLOT] else "") + " ".join(expression(c) for c in node[CHILDREN])
+    return _walked(_expression(node))
+
+
+def _expression(node: list):
+    parts = []
+    for c in node[CHILDREN]:
+        parts.append((yield _expression(c)))
+    inner = ("#text " if node[SLOT] else "") + " ".join(parts)
     body = f"<{node[LABEL]}>{inner}</>" if node[LABEL] else inner
     return f"({body})" + ("*" if node[OPTIONAL] and node[REPEATED] else "+" if node[REPEATED] else "?") if node[OPTIONAL] or node[REPEATED] else body
 
 
+def dumped(wrapper: list) -> str:
+    """The wrapper as JSON: its nodes before their children, each with how many of these follow."""
+    rows, stack = [], [wrapper]
+    while stack:
+        node = stack.pop()
+        rows.append([*node[:CHILDREN], len(node[CHILDREN])])
+        stack.extend(reversed(node[CHILDREN]))
+    return json.dumps(rows)
+
+
+def loaded(text: str) -> list:
+    rows = json.loads(text)
+    wrapper = [*rows[0][:CHILDREN], []]
+    open_ = [(wrapper, rows[0][CHILDREN])]
+    for *own, n in rows[1:]:
+        while len(open_[-1][0][CHILDREN]) == open_[-1][1]:
+            open_.pop()
+        node = [*own, []]
+        open_[-1][0][CHILDREN].append(node)
+        open_.append((node, n))
+    return wrapper
+
+
 def _tag(label: str) -> str:
     return label.partition(".")[0]
 
@@ -297,38 +356,43 @@ class Guide:
         self.pages = wrapper[PAGES]
         self.plain: dict[int, int] = {}  # varying characters by node, without those under names of boilerplate
         self.all: dict[int, int] = {}
-        self._weigh(wrapper, False, False)
+        _walked(self._weigh(wrapper, False, False))
         trusted = self.pages == 1 or 10 * self.plain[id(wrapper)] >= self.all[id(wrapper)]  # one page alone can't speak against a name
         self.weight = self.plain if trusted else self.all
         for tag in MAIN:
-            found = list(self._tagged(wrapper, tag, False, not trusted, ()))
+            found = self._tagged(wrapper, tag, not trusted)
             if found:
-                for path in found:
-                    self.kept.add(id(path[-1]))
-                    self.lifted.update(map(id, path))
+                for node, above in found:
+                    self.kept.add(id(node))
+                    while above:
+                        node, above = above
+                        self.lifted.add(id(node))
+                self.lifted |= self.kept
                 return
         self._descend()
 
-    def _weigh(self, node: list, aside: bool, inside: bool) -> None:
+    def _weigh(self, node: list, aside: bool, inside: bool):
         aside = aside or _aside(node[LABEL], inside)
         inside = inside or _tag(node[LABEL]) in MAIN
         own = node[CHARACTERS] if node[SLOT] == "*" or self.pages == 1 else 0
         plain, every = 0 if aside else own, own
         for c in node[CHILDREN]:
-            self._weigh(c, aside, inside)
+            yield self._weigh(c, aside, inside)
             plain, every = plain + self.plain[id(c)], every + self.all[id(c)]
         self.plain[id(node)], self.all[id(node)] = plain, every
 
-    def _tagged(self, node: list, tag: str, aside: bool, lifted: bool, path: tuple) -> Iterator[tuple]:
-        """The outermost nodes of a tag that hold text, with their ancestors; not those under names of boilerplate, unless these are lifted."""
-        if _aside(node[LABEL], False) and not lifted:
-            return
-        path = (*path, node)
-        if _tag(node[LABEL]) == tag:
-            yield path
-            return
-        for c in node[CHILDREN]:
-            yield from self._tagged(c, tag, aside, lifted, path)
+    def _tagged(self, wrapper: list, tag: str, lifted: bool) -> list[tuple]:
+        """The outermost nodes of a tag that hold text, each with a chain of its ancestors; not those under names of boilerplate, unless these are lifted."""
+        found, stack = [], [(wrapper, ())]
+        while stack:
+            node, above = stack.pop()
+            if _aside(node[LABEL], False) and not lifted:
+                continue
+            if _tag(node[LABEL]) == tag:
+                found.append((node, above))
+            else:
+                stack.extend((c, (node, above)) for c in node[CHILDREN])
+        return found
 
     def _descend(self) -> None:
         """Without article or main: down to the node that holds nearly all varying text."""
@@ -351,13 +415,17 @@ class Guide:
                 self.furniture.update(id(c) for c in outside if c[PAGES] == self.pages and not c[REPEATED] and _tag(c[LABEL]) not in PARAGRAPHS)
 
 
-def _gather(block: Block, node: list | None, guide: Guide, keep: bool, inside: bool, out: list[str]) -> None:
-    """Adds the texts of a block that meets a wrapper node: what is in a container and not under a name of boilerplate."""
+def _gather(block: Block, node: list | None, guide: Guide, keep: bool, inside: bool, out: list[str], lost: list[int]):
+    """A walk that adds the texts of a block that meets a wrapper node: what is in a container and not under a name of boilerplate.
+
+    A block without a node is one that the wrapper has no place for. Its article and main are containers of their own; what else it
+    holds is counted in lost.
+    """
     if node is not None and id(node) in guide.furniture:
         return
     if _aside(block.label, inside) and not (node is not None and id(node) in guide.lifted):
         return
-    keep = keep or node is not None and id(node) in guide.kept
+    keep = keep or (id(node) in guide.kept if node is not None else _tag(block.label) in MAIN)
     inside = inside or keep and _tag(block.label) in MAIN
     blocks, known = block.blocks, node[CHILDREN] if node is not None else []
     places = iter(align([c[LABEL] for c in known], [b.label for b in blocks]))
@@ -365,21 +433,25 @@ def _gather(block: Block, node: list | None, guide: Guide, keep: bool, inside: b
         if isinstance(c, Block):
             i = next(places)
             out.append(" ")
-            _gather(c, None if i is None else known[i], guide, keep, inside, out)
+            yield _gather(c, None if i is None else known[i], guide, keep, inside, out, lost)
             out.append(" ")
         elif keep:
             out.append(c)
+        elif node is None:
+            lost[0] += len(c.strip())
 
 
 def extract(html: str, guide: Guide | None = None) -> str:
-    """The main text of a page by its host's wrapper; by the wrapper of the page alone, where there is none or no container in the page."""
+    """The main text of a page by its host's wrapper; by the wrapper of the page alone, where there is none, and where more text stands in
+    blocks that the wrapper has no place for than in its containers."""
     page = page_tree(html)
     for g in (guide, None):
+        own = g is None
         g = g or Guide(wrapper_of(page))
-        out: list[str] = []
-        _gather(page, g.wrapper, g, False, False, out)
-        text = " ".join(entities.unescape("".join(out)).split())
-        if text or not page.content:
+        out, lost = [], [0]
+        _walked(_gather(page, g.wrapper, g, False, False, out, lost))
+        text = " ".join("".join(out).split())
+        if own or not page.content or text and lost[0] <= len(text):
             return text
     return ""
 
@@ -395,7 +467,7 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
         held: dict[str, list] = {}
 
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(map(json.dumps, held.values()), pa.string())], names=["host", "wrapper"])
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(map(dumped, held.values()), pa.string())], names=["host", "wrapper"])
             held.clear()
             return out
 
@@ -417,15 +489,15 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
 def _by_group(batches, keys: list[str]):
     """Merges the wrappers of each key; a key's rows follow each other in a task, and one wrapper is held at a time."""
     last, tree = None, None
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([last[-1] if len(keys) > 1 else 0], pa.int32()), pa.array([json.dumps(tree)], pa.string())], names=["host", "salt", "wrapper"])
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([last[-1] if len(keys) > 1 else 0], pa.int32()), pa.array([dumped(tree)], pa.string())], names=["host", "salt", "wrapper"])
     for batch in batches:
         for *key, value in zip(*(batch.column(c).to_pylist() for c in (*keys, "wrapper")), strict=True):
             if key == last:
-                tree = merge(tree, json.loads(value))
+                tree = merge(tree, loaded(value))
             else:
                 if last is not None:
                     yield row()
-                last, tree = key, json.loads(value)
+                last, tree = key, loaded(value)
     if last is not None:
         yield row()
 
@@ -448,7 +520,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if wrapper not in guides:
                     if len(guides) > HELD_HOSTS:
                         guides = {None: None}
-                    guides[wrapper] = Guide(json.loads(wrapper))
+                    guides[wrapper] = Guide(loaded(wrapper))
                 out.append(extract(page or "", guides[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

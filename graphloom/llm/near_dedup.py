@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path similarity join on word shingles.
 
-Every document has the set of its distinct 5-word shingles. Documents with equal sets form one class and
-are represented by their smallest id. In each of several independent trees a representative follows the path
-of its minwise tokens: a node holds the representatives whose first tokens of that tree agree. Nodes of few members
+Every document has the set of its distinct 5-word shingles. Documents with equal sets form one class, which has a
+number of its own. In each of several independent trees a class follows the path of its minwise
+tokens: a node holds the classes whose first tokens of that tree agree. Nodes of few members
 are compared exhaustively, larger ones branch further. The last depth is the deepest that still brings a pair at
 the threshold together in some tree with the wanted recall. Members are first compared with the smallest id of their
 node; pairs that this has already connected need no second look, so a large group of near copies costs a link each and
@@ -43,9 +43,9 @@ _PATHS = [np.argsort(series(COORDINATES, 11 + t)).tolist() for t in range(TREES)
 
 
 def depths(percent: int, loss: float = LOSS) -> tuple[int, int]:
-    """Tokens that the members of a node share, at the first and at the last level."""
+    """Tokens that the members of a node share, at the first and at the last level; 0 where only a node of all members loses no more than loss."""
     share = 1 - loss ** (1 / TREES)  # chance of a meeting in one tree that gives the recall in all
-    last = max(2, floor(log(share) / log(percent / 100))) if percent < 100 else COORDINATES // 2
+    last = max(0, floor(log(share) / log(percent / 100))) if percent < 100 else COORDINATES // 2
     return -(-last // 2), last
 
 
@@ -57,21 +57,30 @@ def least_shared(percent: int, skipped: float = SKIPPED) -> int:
     return k
 
 
+def _sums(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, of the sets one after another and their sizes; 0 for empty ones."""
+    full = np.flatnonzero(sizes)
+    out = np.zeros((2, len(sizes)), np.uint64)
+    if len(full):
+        first = (np.cumsum(sizes) - sizes)[full]
+        out[0, full] = np.add.reduceat(sets, first)
+        out[1, full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), first)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
 def _sketches(batches):
     for batch in pieces(batches, "text"):
         blobs = [(t or "").encode() for t in batch.column("text").to_pylist()]
         sets, sizes = shingle_sets(blobs, WIDTH)
         full = np.flatnonzero(sizes)
         first = (np.cumsum(sizes) - sizes)[full]
-        sums = np.zeros((2, len(blobs)), np.uint64)
+        set_a, set_b = _sums(sets, sizes)
         tokens = np.zeros((len(blobs), COORDINATES), "<u4")
         if len(full):
-            sums[0, full] = np.add.reduceat(sets, first)
-            sums[1, full] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), first)
             for j, m in enumerate(_MULTIPLIERS):
                 tokens[full, j] = np.minimum.reduceat(sets * m, first) >> np.uint64(32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1, dtype=np.int32) * COORDINATES), pa.array(tokens.view(np.int32).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], names=_SKETCH.names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_a), pa.array(set_b), lists], names=_SKETCH.names)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -105,17 +114,21 @@ def _agreeing(pairs: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(shared, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, n, hashes): the full shingle sets of the documents that ids (doc) name."""
+def _sets(docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """(doc, n, hashes): the full shingle set of each class (doc, doc_id, n_shingles, set_a, set_b), from a row with that doc_id and set."""
 
     def of(batches):
         for batch in pieces(batches, "text"):
             values, sizes = shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())], names=["doc", "n", "hashes"])
+            first, second = _sums(values, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first), pa.array(second), pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "hashes"])
 
-    ids = written(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(small_side(ids, ids.count()), "doc", "left_semi")
-    return written(texts.dropDuplicates(["doc"]).mapInArrow(of, "doc long, n long, hashes binary"), WIDE_ROWS)
+    classes = written(classes)
+    count = classes.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(classes.select("doc_id").distinct() if repeated else classes.select("doc_id"), count), "doc_id", "left_semi")
+    found = texts.mapInArrow(of, "doc_id long, n_shingles long, set_a long, set_b long, hashes binary").join(small_side(classes, count), ["doc_id", "n_shingles", "set_a", "set_b"])
+    found = found.select("doc", F.col("n_shingles").alias("n"), "hashes")
+    return written(found.dropDuplicates(["doc"]) if repeated else found, WIDE_ROWS)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -224,17 +237,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, loss: float = LOSS,
 
     component_id is the smallest doc_id that links reach (itself included); kept says that it is the row's own.
     Null or blank texts have n_shingles 0 and no links; so have rows without a doc_id, whose component_id is
-    null and which are kept. Rows that repeat a doc_id are each returned, with one component for that id, and one of
-    their texts stands for it in the search. Other columns are ignored. loss and skipped are the chances that a pair
-    exactly at the threshold is missed by the trees and by the tokens; pairs above it are missed less.
+    null and which are kept. Rows that repeat a doc_id are each returned with one component: what any of its texts is
+    linked with. Other columns are ignored. loss and skipped are the chances that a pair exactly at the threshold is missed
+    by the trees and by the tokens; pairs above it are missed less. With both at 0 all pairs are compared.
     """
     first, last = depths(percent, loss)
     least = least_shared(percent, skipped)
     sketches = written(sketch(docs), WIDE_ROWS)
-    classes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")))
+    whole = sketches.where("n_shingles > 0 and doc_id is not null")
+    key = ["n_shingles", "set_a", "set_b"]
+    classes = written(whole.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")).withColumn("doc", F.monotonically_increasing_id()))
     tokens = classes.select("doc", "tokens")
-    if not classes.groupBy("doc").count().where("count > 1").isEmpty():
-        tokens = written(tokens.groupBy("doc").agg(F.first("tokens").alias("tokens")))
+    again = written(sketches.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    repeated = not again.isEmpty()
 
     level, nodes = _nodes(tokens, first), []
     for depth in (first, last):
@@ -245,10 +260,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, loss: float = LOSS,
             break
         level = _nodes(branching.groupBy("doc").agg(F.collect_set("tree").alias("trees")).join(tokens, "doc"), last)
     members = nodes[0].union(nodes[-1]) if len(nodes) > 1 else nodes[0]
-    sets = _sets(docs, nodes[0].select("doc").distinct())
+    sets = _sets(docs, classes.drop("tokens").join(nodes[0].select("doc").distinct(), "doc", "left_semi"), repeated)
 
     stars = members.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     links = _confirmed(written(_agreeing(stars, tokens, least), WIDE_ROWS), sets, percent)
+    if repeated:  # classes that share an id are one component
+        rows = written(whole.join(small_side(again, again.count()), "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes.select(*key, "doc"), key))
+        lowest = rows.groupBy("doc_id").agg(F.min("doc").alias("a"))
+        links = written(links.union(rows.join(lowest, "doc_id").where("a < doc").select("a", F.col("doc").alias("b")).distinct()))
     state = written(components(links))
 
     for turn in range(HUB_ROUNDS):
@@ -268,6 +287,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, loss: float = LOSS,
     if not more.isEmpty():
         state = written(components(links.union(more)))
 
-    grouped = classes.select("n_shingles", "set_a", "set_b", "doc").join(state.withColumnRenamed("id", "doc"), "doc", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "doc").alias("found"))
-    out = sketches.drop("tokens").join(grouped, ["n_shingles", "set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = classes.select(*key, "doc_id", "doc").join(state.withColumnRenamed("id", "doc"), "doc", "left")
+    joined = placed.where("component is not null")
+    smallest = written(joined.groupBy("component").agg(F.min("doc_id").alias("found")))
+    grouped = joined.join(small_side(smallest, smallest.count()), "component").select(*key, "found").union(placed.where("component is null").select(*key, F.col("doc_id").alias("found")))
+    out = sketches.drop("tokens").join(grouped, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    if repeated:  # the rows of an id have its smallest component, also those with empty texts
+        own = written(out.where("doc_id is not null").select("doc_id", "found").join(small_side(again, again.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("found").alias("lowest")))
+        out = out.join(small_side(own, own.count()), "doc_id", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "found", "doc_id"))
+    return out.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

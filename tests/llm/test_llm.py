@@ -233,6 +233,51 @@ def test_wrapper_finds_the_article_without_article_or_main():
     assert any(t != w for t, w in zip(tags_only, want))
 
 
+def test_articles_without_a_place_in_the_wrapper_stay():
+    pages = ["<body><div>d</div><article><p>A01</p></article><div>d</div></body>", "<body><article><p>A10</p></article><article><p>A11</p></article><article><p>A12</p></article><div>d</div><div>d</div></body>"]
+    assert by_wrapper(pages) == ["A01", "A10 A11 A12"] and by_wrapper(pages[::-1]) == ["A10 A11 A12", "A01"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_article_is_lost_on_random_hosts(seed):
+    """Pages with up to three articles at any depth between other blocks: all that stands in them is the text, in order."""
+    r = random.Random(seed)
+
+    def part(words, depth):
+        kind = r.random()
+        if depth and kind < 0.3:
+            return f"<{(t := r.choice(['div', 'section', 'main-part', 'ul']))} class='{r.choice(['a', 'b', 'c'])}'>{''.join(part(words, depth - 1) for _ in range(r.randint(1, 3)))}</{t}>"
+        if kind < 0.6 and words and len(words) < 4:
+            words.append(f"w{r.randrange(10**6)}")
+            return f"<article{r.choice(['', ' class=x', ' id=p9'])}><p>{words[-1]}</p><h2>same</h2></article>"
+        return f"<{(t := r.choice(['div', 'p', 'section']))}>{r.choice(['menu', 'about us', str(r.random())])}</{t}>"
+
+    for _ in range(25):
+        pages, want = [], []
+        for _ in range(r.randint(1, 7)):
+            words = [""]
+            body = "".join(part(words, 3) for _ in range(r.randint(1, 5)))
+            if len(words) > 1:
+                pages.append(f"<body>{body}</body>")
+                want.append(" ".join(f"{w} same" for w in words[1:]))
+        if pages:
+            assert by_wrapper(pages) == want
+
+
+def test_very_deep_pages():
+    deep = "<div>" * 45 + "<div class='comments'>reader</div><article>body</article><div class='ad'>Buy</div>" + "</div>" * 45 + "<footer>Footer text</footer>"
+    assert html_wrappers.extract(deep) == "body" and by_wrapper([deep] * 3) == ["body"] * 3
+    very = ["<div>" * 5000 + f"<article>text {i}</article><div class='ad'>Buy</div>" + "</div>" * 5000 for i in range(3)]
+    assert by_wrapper(very) == ["text 0", "text 1", "text 2"]
+    tree = host_wrapper(very)
+    assert html_wrappers.dumped(html_wrappers.loaded(html_wrappers.dumped(tree))) == html_wrappers.dumped(tree)
+
+
+@pytest.mark.parametrize("html, text", [("<p>&<b>amp;</b> &lt;b&gt; &am<i>p;</i>", "&amp; <b> &amp;"), ("<script>x</script foo>kept<style>y</style\n/>too", "kept too"), ("<p>a&amp;lt;b", "a&lt;b"), ("<b>" * 300 + "x" + "</p>y</b></div>z", "x y z")])
+def test_markup_corner_cases(html, text):
+    assert html_wrappers.extract(html) == text
+
+
 def test_html_on_odd_rows(spark):
     rows = [(1, "http://h.example/1", "<p>a"), (1, "http://h.example/1", "<p>a"), (2, None, None), (3, "", "<b>" * 50_000 + "x"), (4, "http://h.example/2", "<p>" + "word " * 400_000), (None, "http://h.example/3", "<!--"), (5, "x", "a < b &amp;amp; c &#0; &bogus; </p></p>")]
     pages = spark.createDataFrame([(*x, 1, "z", "k") for x in rows], "page_id long, url string, html string, salt int, wrapper string, n_chars string")
@@ -314,6 +359,45 @@ def test_large_group_of_near_copies(spark):
     assert got == linked(texts)
 
 
+def by_id(rows_):
+    """Components of doc_ids where rows repeat them with different texts: links between rows, and between rows of one id."""
+    ids, texts = zip(*rows_)
+    own = linked(texts)
+    root = {i: own[i][1] for i in own}
+    for x in set(ids):
+        met = {root[i] for i in root if ids[i] == x}
+        root = {i: min(met) if c in met else c for i, c in root.items()}
+    smallest = {c: min(ids[i] for i in root if root[i] == c) for c in root.values()}
+    return {(x, own[i][0]): smallest[root[i]] for i, x in enumerate(ids)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_ids_with_different_texts(spark, seed):
+    """Both texts of an id link what is near them, in any order of rows."""
+    r = random.Random(seed)
+    text = lambda: " ".join(f"v{r.randrange(10**6)}" for _ in range(60))
+    a, b = text(), text()
+    rows_ = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, text()), (5, a), (1, a), (7, text()), (7, "one"), (7, "")]
+    r.shuffle(rows_)
+    got = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in near_dedup.near_duplicates(docs(spark, [t for _, t in rows_], [i for i, _ in rows_])).collect()}
+    assert got == by_id(rows_) and got[2, 57] == got[3, 57] == 1 and got[4, 56] == 4
+
+
+def test_exact_setting_compares_all(spark):
+    assert near_dedup.depths(85, 0) == (0, 0)
+    texts = random_docs(4, 25)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, texts), 30, 0.0, 0.0).collect()}
+    assert got == linked(texts, 30)
+
+
+def test_near_duplicates_in_very_long_texts(spark):
+    base = [f"l{i}" for i in range(120_000)]
+    other = base[:-5000] + [f"m{i}" for i in range(5000)]
+    texts = [" ".join(base), " ".join(other), "x " * 300_000, "x" * 1_000_000, " ".join(base)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == linked(texts) and got[1][1] == 0
+
+
 def test_near_duplicates_on_odd_rows(spark):
     out = near_dedup.near_duplicates(odd(spark)).collect()
     assert len(out) == len(ODD) + 1 and all(r["kept"] for r in out if r["doc_id"] is None)
