@@ -132,15 +132,18 @@ def _bags(batches):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> AttentionModel | None:
     """A model of labels (doc_id, label 0 or 1) over docs (doc_id, text), from at most sample documents; None without any.
 
-    Of rows that repeat a doc_id one takes part. Where the sample's texts have more passages than the given number, the
-    documents with the smallest hash of doc_id that stay within it are fitted on: what the driver holds is bounded.
+    Of rows that repeat a doc_id one takes part. Where the sample's texts have more passages than the given number, documents
+    are taken by the hash of doc_id and those that no longer fit are passed over: what the driver holds is bounded.
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_bags, "doc_id long, label double, bag binary")
     bags = written(bags.groupBy("doc_id").agg(F.max(F.struct("bag", "label")).alias("one")).select("doc_id", "one.*"))
-    so_far = F.sum(F.length("bag")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    within = bags.select("doc_id", so_far.alias("bytes")).where(F.col("bytes") <= passages * 4 * FEATURES)
-    bags = bags.join(F.broadcast(within.select("doc_id")), "doc_id").select("label", "bag").toArrow()
+    room, within = passages * 4 * FEATURES, []
+    for row in bags.select("doc_id", F.length("bag").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # a row for each of the sample
+        if row["bytes"] <= room:
+            room -= row["bytes"]
+            within.append((row["doc_id"],))
+    bags = bags.join(F.broadcast(docs.sparkSession.createDataFrame(within, "doc_id long")), "doc_id").select("label", "bag").toArrow()
     if not bags.num_rows:
         return None
     model = AttentionModel()

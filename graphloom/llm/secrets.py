@@ -30,7 +30,7 @@ DICTIONARY_WORDS = 2000  # the most frequent words of the documents
 # Forms of well-known credentials, words before a secret, words that speak against one, words of everyday code.
 _KNOWN_FORM = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 _BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----END)[\s\S])*+(?:-----END [A-Z ]*PRIVATE KEY-----)?"
-SECRET_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credential|client[_-]?secret"
+SECRET_WORDS = "token|secret|passphrase|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credential|client[_-]?secret"
 HARMLESS_WORDS = "commit|revision|sha-?1|sha-?256|md5|checksum|digest|hash|uuid|guid|etag|build|version|integrity|fingerprint|session id|order|tracking"
 CODE_WORDS = (
     "example sample test your my the and token secret password passwd pass changeme change dummy placeholder insert here put enter xxx abc key api value none null nil true false undefined "
@@ -39,12 +39,14 @@ CODE_WORDS = (
 ).split()
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = "A-Za-z0-9_+/-"
-_NAME = rf"(?i)(?:{SECRET_WORDS}|key|credentials)[\w-]{{0,24}}[\"']?\s{{0,200}}+(?::=|=>|[:=])\s{{0,200}}+(?:(?:bearer|basic|token)\s{{1,8}}+)?[\"']?|(?i)bearer\s{{1,8}}+"
+#: A whole name that holds a word for a secret; atomic from its start, so that a name is read once however long it is.
+_NAME = rf"(?<![\w-])(?>[\w-]*?(?:{SECRET_WORDS}|key|credentials)[\w-]*+)"
+_LEAD = rf"(?i){_NAME}[\"']?\s*+(?::=|=>|[:=])\s*+(?:(?:bearer|basic|token)\s++)?[\"']?|(?i)bearer\s++"
 GENERATORS = [
     Generator("block", _BLOCK, needs="PRIVATE KEY-----"),
     Generator("token", rf"(?<![{_TOKEN}])(?:(?:{_KNOWN_FORM})(?![{_TOKEN}])|(?=[A-Za-z_+/-]*[0-9])[{_TOKEN}]{{16,}}+={{0,2}}+)", like=rf"[{_TOKEN}]{{14}}"),
-    Generator("assigned", r"(?-i)[^\s\"'<>,;]{6,}+", like=rf"(?i)(?:{SECRET_WORDS}|key|credentials)[\w-]{{0,24}}[\"']?\s{{0,200}}+[:=]|bearer\s", lead=f"(?:{_NAME})"),
-    Generator("url", r"[^\s/@:\"'<>]{3,64}(?=@)", needs="://", lead=r"(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:"),
+    Generator("assigned", r"(?-i)[^\s\"'<>,;]{6,}+", like=rf"(?i){_NAME}[\"']?\s*+[:=]|bearer\s", lead=f"(?:{_LEAD})"),
+    Generator("url", r"[^\s/@:\"'<>]{3,}+(?=@)", needs="://", lead=r"(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:"),
 ]
 FEATURES = ["block", "url", "known_form", "length", "digits", "upper", "signs", "transitions", "likely_letters", "distinct", "runs", "hex", "coverage", "code_coverage", "speaks", "harmless", "assignment", "quoted", "test_path", "path_like", "reference"]
 
@@ -73,12 +75,12 @@ def language(docs: DataFrame, n: int = DICTIONARY_WORDS, text: str = "text") ->
 
 def _features(df: DataFrame, path: str, usual: Language) -> DataFrame:
     """df (kind, value, before, after, path) with the columns FEATURES."""
-    v, before = F.left(F.col("value"), F.lit(400)), F.lower("before")  # a longer value is judged by its start; it stays whole
+    v, before = F.col("value"), F.lower("before")
     n = F.greatest(F.length(v), F.lit(1))
     changes = F.regexp_count(v, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"))
     words = F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))
     letters = F.greatest(F.length(F.regexp_replace(v, "[^A-Za-z]", "")), F.lit(1))
-    known = lambda vocabulary: F.aggregate(F.filter(F.transform(words, F.lower), lambda w: F.array_contains(F.lit(list(vocabulary)), w)), F.lit(0), lambda a, w: a + F.length(w)) / letters
+    known = lambda vocabulary: F.aggregate(F.filter(F.transform(words, F.lower), lambda w: w.isin(list(vocabulary))), F.lit(0), lambda a, w: a + F.length(w)) / letters
     pairs = F.regexp_extract_all(F.lower(v), F.lit("(?=([a-z]{2}))."), F.lit(1))
     likely = F.lit([usual.transitions.get(a + b, -8.0) for a in _LETTERS for b in _LETTERS])
     place = lambda p: (F.ascii(p) - ord("a")) * len(_LETTERS) + F.ascii(F.substr(p, F.lit(2))) - ord("a")
@@ -88,7 +90,7 @@ def _features(df: DataFrame, path: str, usual: Language) -> DataFrame:
         "upper": F.length(F.regexp_replace(v, "[^A-Z]", "")) / n, "signs": F.length(F.regexp_replace(v, "[A-Za-z0-9]", "")) / n, "transitions": changes / n, "likely_letters": mean_likely,
         "distinct": F.size(F.array_distinct(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)))) / n, "runs": F.regexp_count(v, F.lit(r"(.)\1")) / n, "hex": v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "coverage": known(usual.words), "code_coverage": known(CODE_WORDS),
-        "speaks": before.rlike(rf"(?:{SECRET_WORDS}|key)[\w \"'-]*[:=> \"']*$"), "harmless": before.rlike(rf"\b(?:{HARMLESS_WORDS})\b"), "assignment": before.rlike(r"[:=]\s*[\"']?$"), "quoted": before.rlike(r"[\"']$"),
+        "speaks": (F.col("kind") == "assigned") | before.rlike(rf"(?:{SECRET_WORDS}|key)[\w \"'-]*[:=> \"']*$"), "harmless": before.rlike(rf"\b(?:{HARMLESS_WORDS})\b"), "assignment": before.rlike(r"[:=]\s*[\"']?$"), "quoted": before.rlike(r"[\"']$"),
         "test_path": F.coalesce(F.lower(path).rlike(r"(?:^|[/_.-])(?:tests?|examples?|docs?|fixtures?|samples?|mocks?)(?:[/_.-]|$)"), F.lit(False)), "path_like": F.length(F.regexp_replace(v, "[^/_=-]", "")) * 6 > n,
         "reference": v.rlike(r"^(?:\$|%|\{|\*{3}|\.{3}|[A-Za-z_.]+[(\[])"),
     }

@@ -130,7 +130,8 @@ PROBES = ("", " ", "Hello world", "  two  spaces  ", "tab\tand\nnew line", "Él
 
 
 LEARNED = 8192  # new segments that are encoded, compared and decoded at once
-REMEMBERED = 200_000  # segments that a task remembers
+REMEMBERED = 48 << 20  # bytes of segments, about, that a task remembers
+OVERHEAD = 200  # bytes, about, that a remembered segment takes beside its text and ids
 
 
 class Codec:
@@ -154,14 +155,15 @@ class Codec:
             self.core = build(model, 0)
             self.core.encode_special_tokens = True
             self.core.normalizer = self.core.pre_tokenizer = None
-        self.remembered, self.segments, self.differing, self.lossy = remembered, {}, set(), set()
+        self.remembered = remembered
+        self.forget()
         for text in PROBES:
             if self.tokenizer.encode(text, add_special_tokens=False).ids != self.own.encode(text):
                 raise ValueError(f"the backend differs from the model's own library on {text!r}")
 
     def forget(self) -> None:
         """Lets go of the segments: a worker may stand by for other stages after its task."""
-        self.segments, self.differing, self.lossy = {}, set(), set()
+        self.segments, self.differing, self.lossy, self.held = {}, set(), set(), 0
 
     def _normal(self, text: str) -> str:
         if self.plain:
@@ -174,6 +176,7 @@ class Codec:
         own, back = self.own.encode(plain, num_threads=1), self.own.decode(ids)
         own = [[self.own.piece_to_id(SPACE)] if s == SPACE else o for s, o in zip(new, own, strict=True)]  # at a text's end; alone it is the empty text
         self.segments.update((s, array("i", i).tobytes()) for s, i in zip(new, ids, strict=True))
+        self.held += sum(2 * len(s) + 4 * len(i) + OVERHEAD for s, i in zip(new, ids, strict=True))
         self.differing.update(s for s, i, o in zip(new, ids, own, strict=True) if i != o)
         self.lossy.update(s for s, p, b in zip(new, plain, back, strict=True) if p != b)
 
@@ -185,7 +188,7 @@ class Codec:
         if not self.by_segment:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return [(array("i", i).tobytes(), i == o, b == t) for t, i, o, b in zip(texts, ids, self.own.encode(texts), self.decode(ids), strict=True)]
-        if len(self.segments) > self.remembered:
+        if self.held > self.remembered:
             self.forget()
         cut = [_SEGMENT.findall(self._normal(t)) for t in texts]
         new = list(set(chain.from_iterable(cut)) - self.segments.keys())
@@ -216,12 +219,14 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
 
     def run(batches):
-        for batch in text_pieces(batches, "text", 512 << 10):
-            rows = codec(model).encode([t or "" for t in batch.column("text").to_pylist()])
-            sizes = [len(r[0]) // 4 for r in rows]
-            ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "token_ids", "parity", "round_trip"])
-        codec(model).forget()
+        try:
+            for batch in text_pieces(batches, "text", 512 << 10):
+                rows = codec(model).encode([t or "" for t in batch.column("text").to_pylist()])
+                sizes = [len(r[0]) // 4 for r in rows]
+                ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "token_ids", "parity", "round_trip"])
+        finally:  # also where the task is given up halfway
+            codec(model).forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, parity boolean, round_trip boolean")
 
