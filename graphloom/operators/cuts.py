@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import SMALL, bucket, by_size, digest, packed, sorted_text, wl_hash, wl_rounds
 from ..sources.corpora import both_ways, saved
+from .ranking import numbered_in
 
 
 def edge_decomposition(edges: DataFrame) -> DataFrame:
@@ -95,6 +96,48 @@ def deduplicated(index: DataFrame) -> DataFrame:
     return index.groupBy("cut_key", "assoc_hash", "edge_map_sig").agg(F.sum(weight).cast("long").alias("freq"))
 
 
+BLOCK = 4096  # contexts of one key that are folded at a time
+
+
+def contexts(nodes: DataFrame, edges: DataFrame, radius: int = 2, bits: int = 3) -> DataFrame:
+    """(graph_id, inode, context): by edge, how many nodes within radius steps outside it, and how many of its ends, have a label of each bucket."""
+    parts = edge_decomposition(edges)
+    members = membership(parts)
+    around = members.join(balls(nodes, edges, radius).select("graph_id", F.col("root").alias("node_id"), F.col("node_id").alias("outer")), ["graph_id", "node_id"]).select("graph_id", "inode", F.col("outer").alias("node_id")).distinct()
+    side = lambda df, inner: df.join(nodes, ["graph_id", "node_id"]).select("graph_id", "inode", (bucket(F.col("label"), bits) + (inner << bits)).alias("b"))
+    counted = side(around.join(members, ["graph_id", "inode", "node_id"], "left_anti"), 0).union(side(members, 1)).groupBy("graph_id", "inode", "b").agg(F.count("*").cast("double").alias("n"))
+    at = counted.groupBy("graph_id", "inode").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("at"))  # as many as buckets
+    return at.select("graph_id", "inode", F.transform(F.sequence(F.lit(0).cast("long"), F.lit((2 << bits) - 1).cast("long")), lambda b: F.coalesce(F.col("at")[b], F.lit(0.0))).alias("context"))
+
+
+def distinct_contexts(index: DataFrame, found: DataFrame, epsilon: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """(cut_key, assoc_hash, edge_map_sig, freq, variant, context): equal entries once, with the contexts that are epsilon-distinct.
+
+    index has cut_index's columns, found (graph_id, inode, context). The contexts of an entry come in the order of their first subgraph;
+    one is kept if its distance to all kept before is above epsilon. Equal contexts are one from the start. Of an entry with
+    many contexts so many at a time are compared with those kept, spread over tasks, and only what is left is folded in one.
+    """
+    key = ["cut_key", "assoc_hash", "edge_map_sig"]
+    entry = digest(*key)
+    rows = index.join(found, ["graph_id", "inode"]).groupBy(entry.alias("entry"), *key, "context").agg(F.min(F.struct("graph_id", "inode")).alias("first"), F.count("*").alias("n"))
+    rows = saved(rows)
+    placed = saved(numbered_in(rows.select("entry", "first", "context"), "entry", "first", first=0).withColumn("block", F.floor(F.col("pos") / block)))
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)) > epsilon
+    kept = None
+    for b in range(1 + (placed.agg(F.max("block")).first()[0] or 0)):
+        new = placed.where(F.col("block") == b).select("entry", "pos", "context")
+        if kept is not None:
+            close = new.join(kept.select("entry", F.col("context").alias("other")), "entry").where(~far("context", "other")).select("entry", "pos").distinct()
+            new = new.join(close, ["entry", "pos"], "left_anti")
+        listed = new.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("pos", "context"))).alias("all"))  # at most block
+        fold = F.aggregate("all", F.slice("all", 1, 0), lambda have, x: F.when(F.forall(have, lambda y: far(x["context"], y["context"])), F.concat(have, F.array(x))).otherwise(have))
+        folded = saved(listed.select("entry", F.explode(fold).alias("k")).select("entry", "k.pos", "k.context"))
+        kept = folded if kept is None else saved(kept.union(folded))
+    entries = rows.groupBy("entry", *key).agg(F.sum("n").alias("freq"))
+    variant = numbered_in(kept, "entry", "pos", name="variant")
+    return variant.join(entries, "entry").select(*key, "freq", "variant", "context")
+
+
 def merged(*indexes: DataFrame) -> DataFrame:
     """The deduplicated union of indexes."""
     out = indexes[0]

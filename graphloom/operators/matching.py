@@ -200,22 +200,23 @@ def _met(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
     return a.join(b, ["a_block", "b_block"]).select("a_ids", "a_values", "b_ids", "b_values")
 
 
-def nearest(points: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """(i, j, rank, d): the k nearest other points by Euclidean distance, ties to smaller ids; from points (id, x)."""
+def nearest(points: DataFrame, k: int = 5, block: int = BLOCK, others: DataFrame | None = None) -> DataFrame:
+    """(i, j, rank, d): the k nearest other points by Euclidean distance, ties to smaller ids; from points (id, x), among others if given."""
 
     def near(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 i, x, j, y = (batch.column(c)[row].values.to_numpy() for c in ("a_ids", "a_values", "b_ids", "b_values"))
                 x, y = x.reshape(len(i), -1), y.reshape(len(j), -1)
-                d = np.sqrt(np.maximum(0, ((x[:, None] - y[None]) ** 2).sum(-1))) if len(i) * len(j) * x.shape[1] < 2**24 else np.stack([np.sqrt(((v - y) ** 2).sum(1)) for v in x])
+                step = max(1, 2**21 // max(1, y.size))  # differences of so many points at a time
+                d = np.concatenate([np.sqrt(((x[p : p + step, None] - y[None]) ** 2).sum(-1)) for p in range(0, len(x), step)])
                 d[i[:, None] == j[None]] = np.inf
-                best = np.lexsort((np.broadcast_to(j, d.shape), d), axis=1)[:, :k]
+                best = np.lexsort((np.broadcast_to(j, d.shape), np.round(d, 9)), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(i)), best.shape[1])
                 keep = np.isfinite(d[rows, best.ravel()])
                 yield pa.RecordBatch.from_arrays([pa.array(i[rows][keep]), pa.array(j[best.ravel()][keep]), pa.array(d[rows, best.ravel()][keep])], names=["i", "j", "d"])
 
-    found = _met(points.select("id", "x"), points.select("id", "x"), block).mapInArrow(near, "i long, j long, d double")
+    found = _met(points.select("id", "x"), (points if others is None else others).select("id", "x"), block).mapInArrow(near, "i long, j long, d double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.round("d", 9), "j")))
     return ranked.where(F.col("rank") <= k).select("i", "j", "rank", F.round("d", 6).alias("d"))
 

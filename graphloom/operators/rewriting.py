@@ -10,6 +10,7 @@ from ..functions.hashing import digest
 from ..sources.checkpoints import resumable
 from ..sources.corpora import new_folder, saved
 from .cuts import cut_edges, cut_index, edge_contexts, edge_decomposition, pair_hash
+from .decompositions import edge_key
 from .sampling import seeded
 
 
@@ -29,13 +30,13 @@ def replacements(edges: DataFrame) -> DataFrame:
     return chosen.join(size, "graph_id")
 
 
-def replaced(edges: DataFrame) -> DataFrame:
-    """(graph_id, src, dst, label, lu, lv): the edges of each rewritten graph, see replacements.
+def replaced(edges: DataFrame, chosen: DataFrame | None = None, scope: str = "both") -> DataFrame:
+    """(graph_id, src, dst, label, lu, lv): the edges of each rewritten graph; chosen has what replacements gives, which is the default.
 
     The subgraph's two nodes and their edges go; the donor's nodes and edge come in as the nodes n + 1 and n + 2. Each boundary
     edge hangs on the donor's end that has an equal key, keys that repeat in the order of their ends.
     """
-    chosen = saved(replacements(edges))
+    chosen = saved(replacements(edges) if chosen is None else chosen)
     parts = edge_contexts(edges)
     gone = chosen.join(parts, ["graph_id", "inode"]).select("graph_id", "u", "v", "cut", "n_nodes", "donor_graph", "donor_inode")
     donor = parts.select(F.col("graph_id").alias("donor_graph"), F.col("inode").alias("donor_inode"), F.struct("u", "v", "elabel", "lu", "lv", "cut").alias("d"))
@@ -43,7 +44,8 @@ def replaced(edges: DataFrame) -> DataFrame:
     left = edges.join(both.select("graph_id", "u", "v"), "graph_id").where("src <> u and src <> v and dst <> u and dst <> v").select("graph_id", "src", "dst", "label", "lu", "lv")
     new = lambda side: (F.col("n_nodes") + F.when(side, 1).otherwise(2)).cast("int")
     inside = both.select("graph_id", new(F.lit(True)).alias("src"), new(F.lit(False)).alias("dst"), F.col("d.elabel").alias("label"), F.col("d.lu").alias("lu"), F.col("d.lv").alias("lv"))
-    keys = lambda cut: F.array_sort(F.transform(cut, lambda c: F.struct(c["ekey"].alias("ekey"), c["inner"].alias("inner"), c["outer"].alias("outer"), c["elabel"].alias("elabel"))))
+    key = lambda c: edge_key(scope, c["elabel"], F.element_at(F.split(c["ekey"], r"\|"), -2), F.substring_index(c["ekey"], "|", -1))
+    keys = lambda cut: F.array_sort(F.transform(cut, lambda c: F.struct(key(c).alias("key"), c["ekey"].alias("ekey"), c["inner"].alias("inner"), c["outer"].alias("outer"), c["elabel"].alias("elabel"))))
     pairs = both.select("graph_id", "n_nodes", "d", F.explode(F.arrays_zip(keys("cut").alias("s"), keys("d.cut").alias("t"))).alias("p"))
     inner_label = F.when(F.col("p.t.inner") == F.col("d.u"), F.col("d.lu")).otherwise(F.col("d.lv"))
     hung = pairs.select("graph_id", F.col("p.s.outer").alias("src"), new(F.col("p.t.inner") == F.col("d.u")).alias("dst"), F.col("p.s.elabel").alias("label"), F.substring_index("p.s.ekey", "|", -1).alias("lu"), inner_label.alias("lv"))

@@ -370,3 +370,34 @@ ORACLE_SQL |= {
     "a_resample": _sql("tg", "SELECT target, graph_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('36|' || graph_id), graph_id) AS pos, count(*) OVER (PARTITION BY target) AS n FROM tg) WHERE n - 100 < 3 OR pos <= 100"),
     "m_diffusion_nll": _sql("nd sz", _diffusion([0.1, 0.3, 0.6])),
 }
+
+_BUCKET3, _BUCKET6 = (_bits("label", n) for n in (3, 6))
+_LABELS = "SELECT lb.label, ({b6}) AS b6, ({b3}) AS b3 FROM (SELECT DISTINCT label FROM nd) lb".format(b6=_BUCKET6, b3=_BUCKET3)
+_COSINE = "round(list_dot_product({x}, mean) / (sqrt(list_dot_product({x}, {x})) * sqrt(list_dot_product(mean, mean))), 9)"
+_REPAIR = f""", lb AS MATERIALIZED ({_LABELS}), gv AS MATERIALIZED (SELECT graph_id, list(n ORDER BY b) AS x FROM (SELECT g.graph_id, r.b, count(lb.label)::DOUBLE AS n FROM (SELECT DISTINCT graph_id FROM nd) g CROSS JOIN range(64) r(b) LEFT JOIN (SELECT graph_id, lb.label, b6 FROM nd JOIN lb USING (label)) lb ON lb.graph_id = g.graph_id AND lb.b6 = r.b GROUP BY 1, 2) GROUP BY 1),
+    gu AS MATERIALIZED (SELECT graph_id, x, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS u, target FROM gv JOIN tg USING (graph_id)),
+    vu AS MATERIALIZED (SELECT u, min(graph_id) AS v FROM gu WHERE target IN ('P', 'F') GROUP BY u), gw AS MATERIALIZED (SELECT graph_id, target, v FROM gu JOIN vu USING (u)),
+    fd AS MATERIALIZED (SELECT v, graph_id FROM (SELECT v, graph_id, row_number() OVER (PARTITION BY v ORDER BY graph_id) AS r FROM gw WHERE target = 'F') WHERE r <= 5),
+    dv AS MATERIALIZED (SELECT a.v, b.v AS w, round(list_distance(a.u, b.u), 9) AS d FROM vu a, vu b WHERE a.v IN (SELECT v FROM gw WHERE target = 'P') AND b.v IN (SELECT v FROM fd)),
+    d5 AS MATERIALIZED (SELECT v, w, d FROM (SELECT *, rank() OVER (PARTITION BY v ORDER BY d) AS r FROM dv) WHERE r <= 5),
+    nv AS MATERIALIZED (SELECT v, graph_id AS donor_graph, u FROM (SELECT d5.v, fd.graph_id, vu.u, row_number() OVER (PARTITION BY d5.v ORDER BY d, fd.graph_id) AS r FROM d5 JOIN fd ON fd.v = d5.w JOIN vu ON vu.v = d5.w) WHERE r <= 5),
+    nr AS MATERIALIZED (SELECT gw.graph_id, donor_graph, u FROM gw JOIN nv USING (v) WHERE target = 'P'),
+    mn AS MATERIALIZED (SELECT graph_id, list(m ORDER BY i) AS mean FROM (SELECT graph_id, i, sum(u[i]) / count(*) AS m FROM nr, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
+    ky AS MATERIALIZED (SELECT p.graph_id, p.inode, p.assoc_hash, count(c.elabel) AS k, coalesce(string_agg(c.elabel, ';' ORDER BY c.elabel), '') AS cut_key, a.b6 AS e1, b.b6 AS e2 FROM pt p LEFT JOIN ct c ON c.graph_id = p.graph_id AND c.inode = p.inode JOIN lb a ON a.label = p.lu JOIN lb b ON b.label = p.lv GROUP BY p.graph_id, p.inode, p.assoc_hash, a.b6, b.b6),
+    cd AS (SELECT s.graph_id, s.inode, d.graph_id AS donor_graph, d.inode AS donor_inode, g.x, mean, list_transform(g.x, lambda v, i: v - (s.e1 = i - 1)::INTEGER - (s.e2 = i - 1)::INTEGER + (d.e1 = i - 1)::INTEGER + (d.e2 = i - 1)::INTEGER) AS y
+           FROM nr JOIN ky d ON d.graph_id = nr.donor_graph JOIN ky s ON s.graph_id = nr.graph_id AND s.cut_key = d.cut_key AND s.k = d.k AND s.assoc_hash <> d.assoc_hash JOIN gu g ON g.graph_id = s.graph_id JOIN mn ON mn.graph_id = s.graph_id),
+    rp AS MATERIALIZED (SELECT DISTINCT ON (graph_id) graph_id, inode, donor_graph, donor_inode, {_COSINE.format(x="x")} AS before, {_COSINE.format(x="y")} AS after FROM cd ORDER BY graph_id, after DESC, inode, donor_graph, donor_inode)"""
+
+ORACLE_SQL |= {
+    "p_repair_choice": _sql("pt ct tg", _REPAIR + " SELECT graph_id, inode, donor_graph, donor_inode, round(before, 6) AS before, round(after, 6) AS after FROM rp"),
+    "k_cut_variants": _recursive("ix b2 mb", f"""lb AS MATERIALIZED ({_LABELS}), mc AS MATERIALIZED (SELECT graph_id, inode, node_id FROM mb),
+        ar AS (SELECT DISTINCT m.graph_id, m.inode, b.node_id FROM mc m JOIN b2 b ON b.graph_id = m.graph_id AND b.root = m.node_id), ou AS (SELECT * FROM ar EXCEPT SELECT graph_id, inode, node_id FROM mc),
+        sd AS MATERIALIZED (SELECT graph_id, inode, b3 AS b FROM ou JOIN nd USING (graph_id, node_id) JOIN lb USING (label) UNION ALL SELECT graph_id, inode, 8 + b3 FROM mc JOIN nd USING (graph_id, node_id) JOIN lb USING (label)),
+        cx AS MATERIALIZED (SELECT graph_id, inode, list_transform(range(16), lambda i: len(list_filter(bs, lambda b: b = i))::DOUBLE) AS x FROM (SELECT graph_id, inode, list(b) AS bs FROM sd GROUP BY 1, 2)),
+        en AS MATERIALIZED (SELECT cut_key, assoc_hash, edge_map_sig, x, min(graph_id * 1000 + inode) AS f, count(*) AS n FROM ix JOIN cx USING (graph_id, inode) GROUP BY 1, 2, 3, 4),
+        od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cut_key, assoc_hash, edge_map_sig ORDER BY f) AS r, sum(n) OVER (PARTITION BY cut_key, assoc_hash, edge_map_sig) AS freq FROM en),
+        gr AS (SELECT cut_key, assoc_hash, edge_map_sig, freq, r, [x] AS kept, true AS took, x FROM od WHERE r = 1 UNION ALL
+               SELECT cut_key, assoc_hash, edge_map_sig, freq, r, CASE WHEN far THEN list_append(kept, x) ELSE kept END, far, x FROM (SELECT g.cut_key, g.assoc_hash, g.edge_map_sig, g.freq, o.r, g.kept, o.x, len(list_filter(g.kept, lambda y: list_distance(y, o.x) <= 1.5)) = 0 AS far
+               FROM gr g JOIN od o ON o.cut_key = g.cut_key AND o.assoc_hash = g.assoc_hash AND o.edge_map_sig = g.edge_map_sig AND o.r = g.r + 1))""",
+        "SELECT cut_key, assoc_hash, edge_map_sig, freq::BIGINT AS freq, (row_number() OVER (PARTITION BY cut_key, assoc_hash, edge_map_sig ORDER BY r))::INTEGER AS variant, array_to_string(list_transform(x, lambda v: v::INTEGER::VARCHAR), ',') AS context FROM gr WHERE took"),
+}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, graph_hashes
-from ..operators import cuts, decompositions, matching, models, optimise, paths, proposals, rewriting, sampling, statistics, structure
+from ..operators import cuts, decompositions, matching, models, optimise, paths, proposals, repair, rewriting, sampling, statistics, structure
 from ..sources import corpora
 from ..streaming import events as streams
 
@@ -101,6 +101,11 @@ def _by_status(t: _Tables, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts.join(asked, "graph_id", "left_semi"), parts.join(asked, "graph_id", "left_anti")
 
 
+def _sources_donors(t: _Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders in progress (status P) to repair, and finished ones (F) as donors."""
+    return tuple(t.t.where(F.col("target") == s).select("graph_id") for s in "PF")
+
+
 def _query(f: Callable[[_Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_Tables(spark, sf_dir))
 
@@ -213,6 +218,9 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "a_bootstrap": lambda t: statistics.bootstrapped(t.t),
     "a_resample": lambda t: statistics.resampled(t.t, 100),
     "m_diffusion_nll": lambda t: models.diffusion_terms(t.n, statistics.node_marginals(t.n), [0.1, 0.3, 0.6]),
+    "p_repair_choice": lambda t: repair.repairs(t.n, t.e, *_sources_donors(t)).withColumns({c: F.round(c, 6) for c in ("before", "after")}),
+    "p_repair_graph": lambda t: repair.repaired(t.e, repair.repairs(t.n, t.e, *_sources_donors(t))),
+    "k_cut_variants": lambda t: cuts.distinct_contexts(cuts.cut_index(t.e), cuts.contexts(t.n, t.e), 1.5).withColumn("context", F.array_join(F.transform("context", lambda v: v.cast("int").cast("string")), ",")),
     "p_resume_signature": lambda t: rewriting.resume_signature(t.hashes, "steps=50"),
     "m_beta_schedule": lambda t: models.beta_warm_up(t.spark),
     "m_cosine_schedule": lambda t: models.cosine_schedule(t.spark),
