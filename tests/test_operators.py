@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import hashing
 from graphloom.functions.hashing import wl_hash
-from graphloom.operators import cuts, decompositions, matching, models, optimise, paths, proposals, ranking, rewriting, sampling, statistics, structure
+from graphloom.operators import cuts, decompositions, matching, models, optimise, paths, proposals, ranking, repair, rewriting, sampling, statistics, structure
 from graphloom.sources import checkpoints, corpora
 from graphloom.sources.corpora import both_ways, validate
 
@@ -506,3 +506,49 @@ def test_diffusion_terms_by_hand(spark):
         row = got[1, t]
         assert row["loss_t"] == pytest.approx(total, abs=2e-5) and row["log_pn"] == pytest.approx(math.log(0.5), abs=1e-5)
         assert row["nll"] == pytest.approx(-row["log_pn"] + row["kl_prior"] + row["loss_t"] - row["log_p0"], abs=3e-5) and row["kl_prior"] > 0 and row["loss_t"] >= 0
+
+
+# contexts and repairs
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_contexts_are_an_epsilon_net(spark, block):
+    """Greedy by hand, also where contexts come in many blocks."""
+    r = random.Random(9)
+    rows = [(g, i, r.choice("kl"), [float(r.randint(0, 3)) for _ in range(2)]) for g in range(20) for i in range(1, 4)]
+    index = spark.createDataFrame([(g, i, k, "a", "m") for g, i, k, _ in rows], "graph_id long, inode int, cut_key string, assoc_hash string, edge_map_sig string")
+    found = spark.createDataFrame([(g, i, x) for g, i, _, x in rows], "graph_id long, inode int, context array<double>")
+    got = [(x["cut_key"], x["freq"], x["variant"], x["context"]) for x in cuts.distinct_contexts(index, found, 1.2, block).collect()]
+    want = []
+    for k in "kl":
+        kept = []
+        for _, _, key, x in sorted(rows):
+            if key == k and all(math.dist(x, y) > 1.2 for y in kept):
+                kept.append(x)
+        want += [(k, sum(key == k for _, _, key, _ in rows), n, x) for n, x in enumerate(kept, 1)]
+    assert sorted(got) == sorted(want)
+    assert cuts.distinct_contexts(index.limit(0), found, 1.2).isEmpty()
+
+
+def test_nearest_among_others_breaks_ties_by_id(spark):
+    own = spark.createDataFrame([(0, [0.0, 0.0])], "id long, x array<double>")
+    others = spark.createDataFrame([(i, [1.0 if i % 2 else -1.0, 1e-13 * i]) for i in range(1, 40)], "id long, x array<double>")
+    assert [r["j"] for r in matching.nearest(own, 5, others=others).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_repair_is_the_best_of_all_rewrites(spark, order_graphs):
+    """The cosine of the repaired graph itself is the one that was promised, and boundaries stay."""
+    nodes, edges = (df.where("graph_id < 300") for df in order_graphs)
+    graphs = nodes.select("graph_id").distinct()
+    chosen = corpora.saved(repair.repairs(nodes, edges, graphs.where("graph_id % 2 = 0"), graphs.where("graph_id % 2 = 1")))
+    rows = chosen.collect()
+    after = repair.repaired(edges, chosen)
+    assert rows and all(r["after"] <= 1 for r in rows)
+    before = {r["graph_id"]: r["n"] for r in edges.join(chosen, "graph_id").groupBy("graph_id").agg(F.count("*").alias("n")).collect()}
+    assert {r["graph_id"]: r["n"] for r in after.groupBy("graph_id").agg(F.count("*").alias("n")).collect()} == before
+    ends = F.array(F.struct(F.col("src").alias("node_id"), F.col("lu").alias("label")), F.struct(F.col("dst").alias("node_id"), F.col("lv").alias("label")))
+    labels = {g: sorted(x) for g, x in ((r["graph_id"], r["l"]) for r in after.select("graph_id", F.explode(ends).alias("e")).select("graph_id", "e.*").distinct().groupBy("graph_id").agg(F.collect_list("label").alias("l")).collect())}
+    old = defaultdict(list)
+    for r in nodes.collect():
+        old[r["graph_id"]].append(r["label"])
+    assert all(len(labels[r["graph_id"]]) == len(old[r["graph_id"]]) for r in rows)
