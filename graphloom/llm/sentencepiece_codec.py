@@ -7,7 +7,9 @@ disagrees with the sentencepiece library on a probe text is refused.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import re
 import struct
 from array import array
@@ -130,8 +132,8 @@ PROBES = ("", " ", "Hello world", "  two  spaces  ", "tab\tand\nnew line", "Él
 
 
 LEARNED = 8192  # new segments that are encoded, compared and decoded at once
-REMEMBERED = 48 << 20  # bytes of segments, about, that a task remembers
-OVERHEAD = 200  # bytes, about, that a remembered segment takes beside its text and ids
+REMEMBERED = 64 << 20  # bytes of segments, about, that a task remembers
+OVERHEAD = 500  # bytes that a remembered segment takes beside its text and ids, as measured
 
 
 class Codec:
@@ -162,9 +164,16 @@ class Codec:
                 raise ValueError(f"the backend differs from the model's own library on {text!r}")
 
     def forget(self) -> None:
-        """Lets go of the segments: a worker may stand by for other stages after its task."""
+        """Lets go of the segments."""
         self.segments, self.differing, self.lossy, self.held = {}, set(), set(), 0
 
+    def release(self) -> None:
+        """Lets go of the segments and gives their memory back: a worker stands by for other stages after its task."""
+        self.forget()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+            trim(0)
+
     def _normal(self, text: str) -> str:
         if self.plain:
             return SPACE + text.replace(" ", SPACE) if text else ""
@@ -226,7 +235,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), ids, pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "token_ids", "parity", "round_trip"])
         finally:  # also where the task is given up halfway
-            codec(model).forget()
+            codec(model).release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, parity boolean, round_trip boolean")
 
