@@ -187,17 +187,18 @@ def anchor_matches(edges: DataFrame) -> DataFrame:
 BLOCK = 512
 
 
-def _met(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
-    """Blocks of left points met with blocks of right points, one row each."""
+def met_blocks(left: DataFrame, right: DataFrame, block: int = BLOCK, *more: str) -> DataFrame:
+    """Blocks of left points met with blocks of right points, one row each: ids and values of both, and columns more of both."""
 
     def packed(df: DataFrame, name: str, n: int) -> DataFrame:
         key = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{name}_block")
-        return df.groupBy(key).agg(F.collect_list(F.struct("id", "x")).alias("rows")).select(f"{name}_block", F.col("rows.id").alias(f"{name}_ids"), F.flatten("rows.x").alias(f"{name}_values"))
+        rows = df.groupBy(key).agg(F.collect_list(F.struct("id", "x", *more)).alias("rows"))
+        return rows.select(f"{name}_block", F.col("rows.id").alias(f"{name}_ids"), F.flatten("rows.x").alias(f"{name}_values"), *(F.col(f"rows.{c}").alias(f"{name}_{c}") for c in more))
 
     n, m = (max(1, -(-df.count() // block)) for df in (left, right))
     a = packed(left, "a", n).withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     b = packed(right, "b", m).withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return a.join(b, ["a_block", "b_block"]).select("a_ids", "a_values", "b_ids", "b_values")
+    return a.join(b, ["a_block", "b_block"]).drop("a_block", "b_block")
 
 
 def nearest(points: DataFrame, k: int = 5, block: int = BLOCK, others: DataFrame | None = None) -> DataFrame:
@@ -216,7 +217,7 @@ def nearest(points: DataFrame, k: int = 5, block: int = BLOCK, others: DataFrame
                 keep = np.isfinite(d[rows, best.ravel()])
                 yield pa.RecordBatch.from_arrays([pa.array(i[rows][keep]), pa.array(j[best.ravel()][keep]), pa.array(d[rows, best.ravel()][keep])], names=["i", "j", "d"])
 
-    found = _met(points.select("id", "x"), (points if others is None else others).select("id", "x"), block).mapInArrow(near, "i long, j long, d double")
+    found = met_blocks(points.select("id", "x"), (points if others is None else others).select("id", "x"), block).mapInArrow(near, "i long, j long, d double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.round("d", 9), "j")))
     return ranked.where(F.col("rank") <= k).select("i", "j", "rank", F.round("d", 6).alias("d"))
 

@@ -77,24 +77,72 @@ def shortest_path(edges: DataFrame, source: int, target: int) -> list[int]:
     return path[::-1]
 
 
-def disjoint_paths(edges: DataFrame, source: int, target: int, n_paths: int = 3) -> DataFrame:
-    """(path, pos, id): up to n_paths shortest paths from source to target, each over edges that those before it haven't used."""
-    rest, rows = edges, []
+def _distances_to_targets(ways: DataFrame, pairs: DataFrame, used: DataFrame) -> DataFrame:
+    """(pair, id, dist) from each pair's source over edges that it hasn't used; no node farther than its target is kept."""
+    frontier = state = saved(pairs.select("pair", F.col("source").alias("id"), F.lit(0.0).alias("dist")))
+    goals = pairs.select("pair", F.col("target").alias("id"))
+    while True:
+        bound = state.join(goals, ["pair", "id"]).select("pair", F.col("dist").alias("bound"))
+        offers = frontier.join(ways, F.col("id") == F.col("src")).select("pair", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
+        offers = offers.join(used, ["pair", "a", "b"], "left_anti").join(bound, "pair", "left").where("bound is null or dist <= bound").groupBy("pair", "id").agg(F.min("dist").alias("dist"))
+        frontier = saved(offers.join(state.withColumnRenamed("dist", "old"), ["pair", "id"], "left").where("old is null or dist < old - 1e-12").select("pair", "id", "dist"))
+        if frontier.isEmpty():
+            return state
+        state = saved(state.union(frontier).groupBy("pair", "id").agg(F.min("dist").alias("dist")))
+
+
+def disjoint_paths_between(edges: DataFrame, pairs: DataFrame, n_paths: int = 3) -> DataFrame:
+    """(pair, path, pos, id): for each of pairs (pair, source, target) up to n_paths shortest paths, each over edges that the pair's paths before it haven't used.
+
+    edges: undirected (src, dst, w); weights that aren't positive and finite are left out. Ties go to smaller nodes. All pairs
+    advance in the same joins: a round for each hop of the longest path, not a query for each node. A pair without a path has no rows.
+    """
+    usable = edges.where((F.col("w") > 0) & (F.col("w") < float("inf")) & (F.col("src") != F.col("dst")))
+    ways = saved(usable.select("src", "dst", "w").union(usable.select("dst", "src", "w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    pairs = saved(pairs.select("pair", "source", "target").where("source is not null and target is not null"))
+    used = saved(pairs.select("pair", F.col("source").alias("a"), F.col("source").alias("b")).limit(0))
+    found = None
     for k in range(1, n_paths + 1):
-        found = shortest_path(rest, source, target)
-        if not found:
+        dist = _distances_to_targets(ways, pairs, used)
+        ends = pairs.join(dist, (pairs["pair"] == dist["pair"]) & (F.col("target") == F.col("id")), "left_semi")
+        pairs = saved(ends)
+        trace = step = saved(pairs.select("pair", F.col("target").alias("id"), F.lit(0).alias("back")))
+        if step.isEmpty():
             break
-        rows += [(k, i, x) for i, x in enumerate(found)]
-        used = edges.sparkSession.createDataFrame([(min(x), max(x)) for x in zip(found, found[1:], strict=False)], "a long, b long")
-        rest = saved(rest.join(F.broadcast(used), (F.least("src", "dst") == F.col("a")) & (F.greatest("src", "dst") == F.col("b")), "left_anti"))
-    return edges.sparkSession.createDataFrame(rows, "path int, pos int, id long")
+        while True:
+            open_ = step.join(pairs.select("pair", "source"), "pair").where("id <> source").select("pair", "back", F.col("id").alias("dst"))
+            into = open_.join(ways, "dst").select("pair", "back", "w", F.col("src").alias("id"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).join(used, ["pair", "a", "b"], "left_anti")
+            before = into.join(dist, ["pair", "id"]).groupBy("pair", "back").agg(F.min_by("id", F.struct(F.round(F.col("dist") + F.col("w"), 12), "id")).alias("id"))
+            step = saved(before.select("pair", "id", (F.col("back") + 1).alias("back")))
+            if step.isEmpty():
+                break
+            trace = trace.union(step)
+        length = trace.groupBy("pair").agg(F.max("back").alias("length"))
+        path = saved(trace.join(length, "pair").select("pair", F.lit(k).alias("path"), (F.col("length") - F.col("back")).alias("pos"), "id"))
+        found = path if found is None else found.union(path)
+        links = path.join(path.select("pair", (F.col("pos") - 1).alias("pos"), F.col("id").alias("next")), ["pair", "pos"])
+        used = saved(used.union(links.select("pair", F.least("id", "next"), F.greatest("id", "next"))))
+    if found is None:
+        return pairs.select("pair", F.lit(1).alias("path"), F.lit(0).alias("pos"), F.col("source").alias("id")).limit(0)
+    return found
+
+
+def disjoint_paths(edges: DataFrame, source: int, target: int, n_paths: int = 3) -> DataFrame:
+    """(path, pos, id): disjoint_paths_between of one pair."""
+    pair = edges.sparkSession.range(1).select(F.col("id").alias("pair"), F.lit(source).cast("long").alias("source"), F.lit(target).cast("long").alias("target"))
+    return disjoint_paths_between(edges, pair, n_paths).select("path", "pos", "id")
 
 
-def sparse_neighbours(points_near: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, w): the neighbour graph of points, a minimum spanning forest of pairs (src, dst, w) merged with their mutual nearest (i, j, d)."""
-    tree = spanning_tree(pairs)
-    near = points_near.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), F.col("d").alias("w"))
-    return tree.union(near).groupBy("src", "dst").agg(F.min("w").alias("w"))
+def joined_labels(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, c): labels (id, c) after the components that links (a, b) name have become one, under the smallest of their labels."""
+    ways = saved(links.select("a", "b").union(links.select("b", "a")).distinct())
+    state = saved(ways.select(F.col("a").alias("c")).distinct().withColumn("new", F.col("c")))
+    while True:
+        offers = ways.join(state.select(F.col("c").alias("b"), "new"), "b").groupBy(F.col("a").alias("c")).agg(F.min("new").alias("offer"))
+        following = saved(state.join(offers, "c", "left").select("c", F.least("new", F.coalesce("offer", "new")).alias("now"), "new"))
+        state = following.select("c", F.col("now").alias("new"))
+        if following.where("now < new").isEmpty():
+            return saved(label.join(state, "c", "left").select("id", F.coalesce("new", "c").alias("c")))
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
@@ -110,17 +158,7 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
             break
         new = best.select("e.*").distinct().select("src", "dst", "w")
         tree = saved(new if tree is None else tree.union(new).distinct())
-        # Join the components that the chosen edges connect: labels spread over them until none changes.
-        links = best.select("ab.a", "ab.b").distinct()
-        ways = saved(links.union(links.select("b", "a")))
-        state = saved(best.select("c", F.col("c").alias("new")))
-        while True:
-            offers = ways.join(state.select(F.col("c").alias("b"), "new"), "b").groupBy(F.col("a").alias("c")).agg(F.min("new").alias("offer"))
-            following = saved(state.join(offers, "c", "left").select("c", F.least("new", F.coalesce("offer", "new")).alias("now"), "new"))
-            state = following.select("c", F.col("now").alias("new"))
-            if following.where("now < new").isEmpty():
-                break
-        label = saved(label.join(state, "c", "left").select("id", F.coalesce("new", "c").alias("c")))
+        label = joined_labels(label, best.select("ab.a", "ab.b"))
     return tree if tree is not None else edges.limit(0)
 
 

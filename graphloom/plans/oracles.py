@@ -101,6 +101,18 @@ _STATS = "round((count(*) FILTER (has_edge) + 1.0::DOUBLE) / (count(*) + 2.0::DO
 _SPLIT = _bits("graph_id::VARCHAR", 32) + " % 10"
 _FLAG = "RECURSIVE nd AS MATERIALIZED (" + _BASE["nd"] + "), fl AS MATERIALIZED (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst FROM nd a JOIN nd b ON a.graph_id = b.graph_id AND b.node_id = a.node_id + 2 AND a.flag = b.flag), fs AS (SELECT * FROM fl UNION ALL SELECT graph_id, dst, src FROM fl), rc AS (SELECT graph_id, node_id, node_id AS seen FROM nd UNION SELECT r.graph_id, r.node_id, f.dst FROM rc r JOIN fs f ON r.graph_id = f.graph_id AND r.seen = f.src), cc AS (SELECT graph_id, node_id, min(seen) AS component FROM rc GROUP BY 1, 2)"
 
+
+def _disjoint_paths(source: int, target: int, n_paths: int, nodes: int) -> str:
+    """SQL for the shortest paths that share no edge among at most so many nodes: rounds of relaxation, then the way back, path by path."""
+    ways = f"nl AS MATERIALIZED ({_BASE['nl']}), w1 AS MATERIALIZED (SELECT src, dst, w FROM nl UNION ALL SELECT dst, src, w FROM nl)"
+    for p in range(1, n_paths + 1):
+        ways += f", d{p}_0 AS (SELECT {source}::BIGINT AS id, 0.0::DOUBLE AS dist), " + ", ".join(f"d{p}_{k} AS MATERIALIZED (SELECT id, min(dist) AS dist FROM (SELECT * FROM d{p}_{k - 1} UNION ALL SELECT w.dst, d.dist + w.w FROM d{p}_{k - 1} d JOIN w{p} w ON d.id = w.src) GROUP BY 1)" for k in range(1, nodes))
+        ways += f", b{p} AS MATERIALIZED (SELECT DISTINCT ON (w.dst) w.dst AS node, w.src AS id FROM w{p} w JOIN d{p}_{nodes - 1} d ON w.src = d.id WHERE w.dst <> {source} ORDER BY w.dst, round(d.dist + w.w, 12), w.src)"
+        ways += f", t{p} AS (SELECT id, 0 AS back FROM d{p}_{nodes - 1} WHERE id = {target} UNION ALL SELECT b.id, t.back + 1 FROM t{p} t JOIN b{p} b ON b.node = t.id), x{p} AS MATERIALIZED (SELECT {p} AS path, ((SELECT max(back) FROM t{p}) - back)::INTEGER AS pos, id FROM t{p})"
+        ways += f", w{p + 1} AS MATERIALIZED (SELECT * FROM w{p} w WHERE NOT EXISTS (SELECT 1 FROM x{p} a JOIN x{p} b ON b.pos = a.pos + 1 WHERE (a.id = w.src AND b.id = w.dst) OR (a.id = w.dst AND b.id = w.src)))"
+    return "WITH RECURSIVE " + ways + " " + " UNION ALL ".join(f"SELECT * FROM x{p}" for p in range(1, n_paths + 1))
+
+
 ORACLE_SQL: dict[str, str] = {
     "k_cut_edges": _sql("ct", "SELECT graph_id, inode, inner_ AS \"inner\", outer_ AS \"outer\", elabel, ekey FROM ct"),
     "k_edge_key": _sql("sy", "SELECT label AS key_label, label || '|' || lu AS key_inner, label || '|' || lv AS key_outer, label || '|' || lu || '|' || lv AS key_both, count(*) AS n FROM sy GROUP BY label, lu, lv"),
@@ -217,6 +229,20 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT path, pos, way, rank() OVER (PARTITION BY path, pos, way ORDER BY gap) + (count(*) OVER (PARTITION BY path, pos, way, gap) - 1) / 2.0 AS rg, rank() OVER (PARTITION BY path, pos, way ORDER BY sim) + (count(*) OVER (PARTITION BY path, pos, way, sim) - 1) / 2.0 AS rs FROM s),
         c AS (SELECT path, corr(rg::DOUBLE, rs::DOUBLE) AS c FROM r GROUP BY path, pos, way HAVING count(*) > 1 AND min(rs) < max(rs)) SELECT path, round(-avg(c), 6) AS score FROM c GROUP BY 1""",
     "p_resume_signature": _sql("gh", "SELECT md5('steps=50|' || sum(('0x' || substr(md5(hash || '|' || n), 1, 8))::BIGINT)) AS signature, sum(n)::BIGINT AS n FROM (SELECT hash, count(*) AS n FROM gh GROUP BY 1)"),
+    "s_disjoint_paths": _disjoint_paths(0, 24, 3, 25),
+    "g_sparse_neighbors": "WITH RECURSIVE pv AS MATERIALIZED (" + _BASE["pv"] + "), kn AS MATERIALIZED (" + _BASE["kn"] + """), al AS MATERIALIZED (SELECT a.id AS i, b.id AS j, round(list_distance(a.x, b.x), 6) AS w FROM pv a JOIN pv b ON a.id <> b.id),
+        pm(id, w, par, done) USING KEY (id) AS (SELECT id, CASE WHEN id = (SELECT min(id) FROM pv) THEN 0.0::DOUBLE ELSE 1e300::DOUBLE END, -1::BIGINT, false FROM pv UNION
+        SELECT y.id, CASE WHEN y.id <> x.id AND a.w > 0 AND (a.w, least(x.id, y.id), greatest(x.id, y.id)) < (y.w, least(y.par, y.id), greatest(y.par, y.id)) THEN a.w ELSE y.w END,
+            CASE WHEN y.id <> x.id AND a.w > 0 AND (a.w, least(x.id, y.id), greatest(x.id, y.id)) < (y.w, least(y.par, y.id), greatest(y.par, y.id)) THEN x.id ELSE y.par END, y.id = x.id
+        FROM (SELECT * FROM recurring.pm WHERE NOT done) y, (SELECT * FROM recurring.pm WHERE NOT done ORDER BY w, least(par, id), greatest(par, id) LIMIT 1) x LEFT JOIN al a ON a.i = x.id AND a.j = y.id)
+        SELECT src, dst, min(w) AS w FROM (SELECT least(id, par) AS src, greatest(id, par) AS dst, w FROM pm WHERE par >= 0 UNION ALL SELECT a.i, a.j, a.d FROM kn a JOIN kn b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j AND a.d > 0) GROUP BY 1, 2""",
+    "g_traversal_order": "WITH " + _FLAG + """, rk AS MATERIALIZED (SELECT n.graph_id, n.node_id, row_number() OVER (PARTITION BY n.graph_id ORDER BY coalesce(d.deg, 0) DESC, n.node_id) - 1 AS r FROM nd n LEFT JOIN (SELECT graph_id, src, count(DISTINCT dst) AS deg FROM fs GROUP BY 1, 2) d ON n.graph_id = d.graph_id AND n.node_id = d.src),
+        st AS MATERIALIZED (SELECT r.graph_id, c.component AS label, min(r.r) AS r FROM rk r JOIN cc c USING (graph_id, node_id) GROUP BY 1, 2), sn AS MATERIALIZED (SELECT s.graph_id, s.label, k.node_id, k.r, (row_number() OVER (PARTITION BY s.graph_id ORDER BY s.r) - 1)::INTEGER AS component FROM st s JOIN rk k ON s.graph_id = k.graph_id AND s.r = k.r),
+        bl AS (SELECT graph_id, node_id, 0 AS level FROM sn UNION SELECT b.graph_id, f.dst, b.level + 1 FROM bl b JOIN fs f ON b.graph_id = f.graph_id AND b.node_id = f.src WHERE b.level < (SELECT max(node_id) FROM nd)),
+        lv AS MATERIALIZED (SELECT graph_id, node_id, min(level)::INTEGER AS level FROM bl GROUP BY 1, 2),
+        wk AS (SELECT graph_id, node_id, 0 AS level, lpad(r::VARCHAR, 6, '0') AS path FROM sn UNION SELECT w.graph_id, l.node_id, w.level + 1, w.path || lpad(k.r::VARCHAR, 6, '0') FROM wk w JOIN fs f ON w.graph_id = f.graph_id AND w.node_id = f.src JOIN lv l ON l.graph_id = f.graph_id AND l.node_id = f.dst AND l.level = w.level + 1 JOIN rk k ON k.graph_id = l.graph_id AND k.node_id = l.node_id)
+        SELECT p.graph_id, p.node_id, s.component, l.level, (row_number() OVER (PARTITION BY p.graph_id ORDER BY s.component, l.level, p.path) - 1)::INTEGER AS pos
+        FROM (SELECT graph_id, node_id, min(path) AS path FROM wk GROUP BY 1, 2) p JOIN lv l USING (graph_id, node_id) JOIN cc c USING (graph_id, node_id) JOIN sn s ON s.graph_id = c.graph_id AND s.label = c.component""",
     "g_mst_knn": "WITH RECURSIVE nl AS MATERIALIZED (" + _BASE["nl"] + """), el AS MATERIALIZED (SELECT src, dst, w, row_number() OVER (ORDER BY w, src, dst) AS k FROM nl), wy AS MATERIALIZED (SELECT src, dst, k FROM el UNION ALL SELECT dst, src, k FROM el),
         re AS (SELECT k, src AS node FROM el UNION SELECT r.k, y.dst FROM re r JOIN wy y ON y.src = r.node AND y.k < r.k) SELECT e.src, e.dst, round(e.w, 6) AS w FROM el e WHERE NOT EXISTS (SELECT 1 FROM re r WHERE r.k = e.k AND r.node = e.dst)""",
     "a_eds": "WITH ft AS (" + _FIT + """), pg AS (SELECT l_returnflag AS key, l_linenumber::BIGINT AS n, round(avg(l_quantity), 6) AS y FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1, 2),

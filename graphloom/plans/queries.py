@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, graph_hashes
-from ..operators import cuts, decompositions, matching, models, optimise, paths, proposals, repair, rewriting, sampling, statistics, structure
+from ..operators import contexts, cuts, decompositions, matching, models, optimise, paths, proposals, repair, rewriting, sampling, statistics, structure, traversal
 from ..sources import corpora
 from ..streaming import events as streams
 
@@ -81,6 +81,12 @@ def _nation_links(t: _Tables) -> DataFrame:
     return pairs.groupBy("src", "dst").agg((1.0 / F.count("*")).alias("w"))
 
 
+def _label_ends(t: _Tables) -> DataFrame:
+    """(pair, source, target): the first and the last point of each label."""
+    ends = t.p.where("label is not null").groupBy(F.col("label").cast("long").alias("pair")).agg(F.min("id").alias("source"), F.max("id").alias("target"))
+    return ends.where("source <> target")
+
+
 def _asked_pairs(t: _Tables) -> DataFrame:
     """Every class of node pairs: both kinds, all bins, all pairs of part types."""
     kinds = t.table("part").select(F.col("p_type").alias("lu")).distinct()
@@ -159,7 +165,9 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "j_injective": lambda t: matching.injective_matches(t.e, [{"PROMO": 1}, {"STANDARD": 1}]),
     "j_virtual_match": lambda t: matching.virtual_matches(t.n, t.e),
     "s_disjoint_paths": lambda t: paths.disjoint_paths(_nation_links(t), 0, 24),
-    "g_sparse_neighbors": lambda t: paths.sparse_neighbours(matching.mutual_nearest(t.p), matching.nearest(t.p).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("d").alias("w"))),
+    "g_sparse_neighbors": lambda t: contexts.sparse_graph(t.p),
+    "p_pair_context": lambda t: contexts.pair_contexts(t.p, _label_ends(t)),
+    "g_traversal_order": lambda t: traversal.traversal_order(t.n, t.e.where("label = 'flag'")),
     "a_path_score": lambda t: statistics.path_scores(_path_similarities(t)),
     "a_degree_penalty": lambda t: statistics.degree_penalty(_line_weights(t)),
     "a_beta_posterior": lambda t: statistics.beta_posterior(t.table("events").select(F.col("user_id").alias("key"), (F.pmod(F.col("event_id"), F.lit(101)) / 100.0).alias("r"))),

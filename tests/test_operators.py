@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import hashing
 from graphloom.functions.hashing import wl_hash
-from graphloom.operators import cuts, decompositions, matching, models, optimise, paths, proposals, ranking, repair, rewriting, sampling, statistics, structure
+from graphloom.operators import contexts, cuts, decompositions, matching, models, optimise, paths, proposals, ranking, repair, rewriting, sampling, statistics, structure, traversal
 from graphloom.sources import checkpoints, corpora
 from graphloom.sources.corpora import both_ways, validate
 
@@ -196,12 +196,117 @@ def test_shortest_and_disjoint_paths(spark):
     assert got == [(1, 0, 0), (1, 1, 1), (1, 2, 3), (2, 0, 0), (2, 1, 2), (2, 2, 3), (3, 0, 0), (3, 1, 3)]
 
 
-def test_neighbour_graph_is_tree_and_mutual_nearest(spark):
-    points = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate([0, 1, 2.1, 3.3, 9])], "id long, x array<double>")
-    d = [(i, j, float(abs(x - y))) for i, x in enumerate([0, 1, 2.1, 3.3, 9]) for j, y in enumerate([0, 1, 2.1, 3.3, 9]) if i < j]
-    pairs = spark.createDataFrame(d, "src long, dst long, w double")
-    got = {(r["src"], r["dst"]) for r in paths.sparse_neighbours(matching.mutual_nearest(points, 2), pairs).collect()}
-    assert {(0, 1), (1, 2), (2, 3), (3, 4)} <= got and (0, 4) not in got
+def test_disjoint_paths_of_many_pairs_at_once(spark):
+    """Each pair's paths are those that it has alone; pairs without a path have none, a pair of one node that node."""
+    rng = random.Random(5)
+    rows = [(i, j, float(rng.randint(1, 40)) / 8) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.3] + [(20, 21, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    pairs = [(1, 0, 13), (2, 13, 0), (3, 3, 9), (4, 0, 21), (5, 20, 21), (6, 2, 2), (7, 50, 0)]
+    got = defaultdict(lambda: defaultdict(list))
+    for r in sorted(paths.disjoint_paths_between(edges, spark.createDataFrame(pairs, "pair long, source long, target long"), 2).collect(), key=lambda r: r["pos"]):
+        got[r["pair"]][r["path"]].append(r["id"])
+    for pair, source, target in pairs:
+        left, want = {(min(a, b), max(a, b)): w for a, b, w in rows}, {}
+        for k in (1, 2):
+            dist = {source: 0.0}
+            for _ in range(30):
+                for (a, b), w in left.items():
+                    for x, y in ((a, b), (b, a)):
+                        if x in dist and dist[x] + w < dist.get(y, math.inf):
+                            dist[y] = dist[x] + w
+            if target not in dist or source == 50:
+                break
+            way = [target]
+            while way[-1] != source:
+                at = way[-1]
+                way.append(min((round(dist[x] + left[min(x, at), max(x, at)], 12), x) for x in dist if (min(x, at), max(x, at)) in left)[1])
+            want[k] = way[::-1]
+            for x, y in zip(way, way[1:], strict=False):
+                left.pop((min(x, y), max(x, y)))
+        assert {k: v for k, v in got[pair].items()} == want
+
+
+def _sparse_by_force(x, k):
+    """Kruskal's tree over all distances and mutual neighbours, with the distances."""
+    d = {(i, j): round(math.dist(x[i], x[j]), 6) for i in x for j in x if i != j}
+    name, tree = {i: i for i in x}, {}
+    for w, i, j in sorted((w, i, j) for (i, j), w in d.items() if i < j and w > 0):
+        if name[i] != name[j]:
+            tree[i, j] = w
+            old, new = name[i], name[j]
+            name = {n: new if c == old else c for n, c in name.items()}
+    near = {i: sorted((j for j in x if j != i), key=lambda j: (round(math.dist(x[i], x[j]), 9), j)) for i in x}
+    mutual = {(i, j): d[i, j] for i in x for j in near[i][:k] if i < j and i in near[j][:k] and d[i, j] > 0}
+    return {**mutual, **tree}, near
+
+
+def _clusters():
+    """Tight groups, so that no list of nearest points leaves its group; copies; and a far point."""
+    rng = random.Random(11)
+    x = {g * 10 + i: [10.0 * g + rng.random(), 7.0 * (g % 2) + rng.random()] for g in range(4) for i in range(8)}
+    x[100], x[101], x[102], x[103] = x[0], x[0], x[0], [500.0, -3.0]
+    return x
+
+
+def test_sparse_graph_spans_all_distances(spark):
+    x = _clusters()
+    points = spark.createDataFrame(list(x.items()), "id long, x array<double>")
+    want, _ = _sparse_by_force(x, 2)
+    assert {(r["src"], r["dst"]): r["w"] for r in contexts.sparse_graph(points, 2, block=7).collect()} == want
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id long, x array<double>")
+    got = {(r["src"], r["dst"]): r["w"] for r in contexts.sparse_graph(same, 2).collect()}
+    assert {(0, j) for j in range(1, 5)} <= set(got) and set(got.values()) == {1e-6}
+    assert contexts.sparse_graph(same.limit(0)).count() == 0 and contexts.sparse_graph(same.where("id = 1")).count() == 0
+
+
+def test_context_of_pairs(spark):
+    x = _clusters()
+    points = spark.createDataFrame(list(x.items()), "id long, x array<double>")
+    pairs = spark.createDataFrame([(1, 1, 37), (2, 103, 12), (3, 5, 6)], "pair long, source long, target long")
+    sparse, near = _sparse_by_force(x, 3)
+    edges = spark.createDataFrame([(i, j, w) for (i, j), w in sparse.items()], "src long, dst long, w double")
+    on_path = defaultdict(set)
+    for r in paths.disjoint_paths_between(edges, pairs, 2).collect():
+        on_path[r["pair"]].add(r["id"])
+    want = set()
+    for pair, ids in on_path.items():
+        seen = sorted(ids)
+        for i in sorted(ids):
+            seen += [j for j in near[i] if j not in seen][:2]
+        want |= {(pair, i, i in ids) for i in seen}
+    got = [(r["pair"], r["id"], r["on_path"]) for r in contexts.pair_contexts(points, pairs, 3, 2, 2, block=9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(on_path) == 3
+
+
+def test_traversal_order_with_restarts(spark):
+    """A queue in Python; by rows and by joins."""
+    rng = random.Random(3)
+    nodes, edges, want = [], [], {}
+    for g in range(1, 7):
+        n = rng.randint(1, 12)
+        links = {tuple(sorted(rng.sample(range(1, n + 1), 2))) for _ in range(n)} if n > 2 else set()
+        nodes += [(g, i, "a") for i in range(1, n + 1)]
+        edges += [(g, a, b, "seq", "a", "a") for a, b in sorted(links)] + [(g, a, b, "flag", "a", "a") for a, b in sorted(links)[:2]] + [(g, 1, 1, "seq", "a", "a"), (g, 1, 99, "seq", "a", "a")]
+        near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(1, n + 1)}
+        rank = lambda i, near=near: (-len(near[i]), i)
+        queue, met, at, component = [], set(), 0, -1
+        while at < n:
+            if at == len(queue):
+                component += 1
+                queue.append((min(set(near) - met, key=rank), 0, component))
+                met.add(queue[-1][0])
+            i, level, _ = queue[at]
+            for j in sorted(near[i] - met, key=rank):
+                queue.append((j, level + 1, component))
+                met.add(j)
+            at += 1
+        want |= {(g, i): (c, level, p) for p, (i, level, c) in enumerate(queue)}
+    n = spark.createDataFrame(nodes, "graph_id long, node_id int, label string")
+    e = spark.createDataFrame(edges, "graph_id long, src int, dst int, label string, lu string, lv string")
+    for small in (64, 6):
+        got = {(r["graph_id"], r["node_id"]): (r["component"], r["level"], r["pos"]) for r in traversal.traversal_order(n, e, small).collect()}
+        assert got == want
+    assert traversal.traversal_order(n.limit(0), e.limit(0)).count() == 0
 
 
 def test_equivalent_data_size(spark):
