@@ -1,21 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 The toxic and the ordinary class have a model each of the words in labelled documents: absolute discounting of the
-class's own counts, and a back-off that both share, a word's continuation count (the documents that hold it) over all
-documents, labelled or not. So that rare and unseen expressions count as well, the back-off is tilted by a second pair
-of Kneser-Ney models over the characters of words, whose lower orders are shared in the same way. A document is
-judged by length-normalised log-likelihood ratios (of its most toxic words, of its most toxic passage and of the
-whole), which a logistic regression on labelled documents that the models haven't seen turns into a probability.
+class's own counts, and a back-off that both share, the share of documents that hold the word over all documents,
+labelled or not. So that rare and unseen expressions count as well, the back-off is tilted by a second pair
+of Kneser-Ney models over the characters of words, whose lower orders are shared in the same way. A third pair knows the
+order of words: bigrams, backed off to a word's continuation count in the class (the distinct words before it) and from there
+to the shared counts. A document is judged by length-normalised log-likelihood ratios (of its most toxic words, of its most
+toxic passage and of the whole), which a logistic regression on labelled documents that the models haven't seen turns into a probability.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .shared import crc_fold, pieces, small_side, written
@@ -26,6 +29,7 @@ DISCOUNT = 0.75
 PASSAGE = 8  # words
 COUNTED = 40_000  # labelled documents behind the class counts, at most: those with the smallest hash of doc_id
 CALIBRATED = 6_000  # labelled documents behind the calibration, at most
+PAIRED = 12_000_000  # characters of the counted documents behind the word pairs, at most; a text over a fiftieth of that takes no part
 START, END = "^", "$"
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000  # distinct words held in a task before it hands them on
@@ -96,10 +100,93 @@ def character_ratios(counts: DataFrame, order: int = ORDER, discount: float = DI
     return at.select("gram", F.log((own["toxic"] + left["toxic"] * F.col("p")) / (own["ordinary"] + left["ordinary"] * F.col("p"))).alias("ratio")), contexts.select("context", F.log(left["toxic"] / left["ordinary"]).alias("ratio"))
 
 
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(before, word, toxic, ordinary, toxic_apart, ordinary_apart) over docs (text, label, apart): how often a word follows another; START is before a text's first word."""
+    names = ["ordinary", "toxic", "ordinary_apart", "toxic_apart"]
+
+    def count(batches):
+        for batch in pieces(batches, "text"):
+            held = [Counter() for _ in names]
+            for text, label, apart in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "apart")), strict=True):
+                found = words(text)
+                held[label + 2 * apart].update(zip([START, *found], found, strict=False))
+            for k, c in enumerate(held):
+                n, none = pa.array(c.values(), pa.int64()), pa.array(np.zeros(len(c), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in c], pa.string()), pa.array([w for _, w in c], pa.string()), *(n if k == j else none for j in range(len(names)))], names=["before", "word", *names])
+
+    out = docs.select("text", "label", "apart").mapInArrow(count, "before string, word string, " + ", ".join(f"{n} long" for n in names))
+    return out.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def paired(counted: DataFrame, texts: DataFrame, characters: int = PAIRED) -> DataFrame:
+    """The rows of counted (doc_id, label, apart; at most COUNTED) with the smallest hash of doc_id whose texts have so many characters together; longer ones than a fiftieth take no part."""
+    sizes = texts.join(small_side(counted, COUNTED), "doc_id").groupBy("doc_id", "label", "apart").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
+    fitting = sizes.where(F.col("size") * 50 <= characters)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most COUNTED rows of numbers
+    return fitting.withColumn("so_far", F.sum("size").over(order)).where(F.col("so_far") <= characters).select("doc_id", "label", "apart")
+
+
+CLASSES = ("toxic", "ordinary")
+
+
+class Pairs:
+    """Kneser-Ney bigrams of both classes, from pair_counts and word_counts.
+
+    P(w | v) = (c(v, w) - D) / c(v) + left(v) P(w), and P(w) = (k(w) - D) / k + left P'(w), where k(w) is the number of distinct
+    words before w in the class, and P' the share of documents, which both classes have in common. A pair seen once is discounted whole (D = 1
+    there), so only pairs that a class has twice are held; the mass taken goes to left(v), and probabilities sum to 1.
+    """
+
+    def __init__(self, pairs: DataFrame, counts: DataFrame, discount: float = DISCOUNT):
+        taken = {c: F.when(F.col(c) > 1, discount).otherwise(F.col(c)).cast("double") for c in CLASSES}
+        seen = pairs.where("toxic > 0 or ordinary > 0")
+        after = seen.groupBy(F.col("word").alias("w")).agg(*(F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in CLASSES))
+        before = seen.groupBy(F.col("before").alias("w")).agg(*(F.sum(c).alias(f"all_{c}") for c in CLASSES), *(F.sum(taken[c]).alias(f"left_{c}") for c in CLASSES))
+        documents = counts.agg(F.sum("docs")).first()[0] or 1
+        shared = counts.select(F.col("word").alias("w"), (F.col("docs") / documents).alias("shared"))
+        columns = [*(f"{n}_{c}" for n in ("kinds", "all", "left") for c in CLASSES), "shared"]
+        held = after.join(before, "w", "full").join(shared, "w", "left").select(F.xxhash64("w").alias("key"), *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in columns))
+        self.keys, table = Ratios._held(held)
+        table = np.c_[table, np.zeros(len(table))]  # the last column is any other word
+        kinds, every, left, self.shared = table[0:2], table[2:4], table[4:6], table[6]
+        self.kinds = np.maximum(1, kinds.sum(1))
+        self.own = np.maximum(kinds - discount, 0) / self.kinds[:, None]
+        self.backed = np.where(kinds.sum(1) > 0, discount * (kinds > 0).sum(1) / self.kinds, 1.0)
+        self.left = np.where(every > 0, left / np.maximum(every, 1), 1.0)
+        top = seen.where("toxic > 1 or ordinary > 1").select(F.xxhash64("before").alias("v"), F.xxhash64("word").alias("w"), *(F.greatest(F.col(c) - taken[c], F.lit(0.0)).alias(c) for c in CLASSES)).toArrow()
+        v, w = (self.ids(top.column(c).to_numpy()) for c in ("v", "w"))
+        code = v * len(table[0]) + w
+        by = np.argsort(code)
+        self.code = code[by]
+        self.top = np.stack([top.column(c).to_numpy() for c in CLASSES])[:, by] / np.maximum(every[:, v[by]], 1)
+        self.unseen = 0.5 / documents
+
+    def ids(self, keys: np.ndarray) -> np.ndarray:
+        """Places of words by hash; one past the last for words that no class has."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys))
+
+    def probabilities(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """By class, of words after words; a word that no class has seen has the probability of half a document, in both classes alike."""
+        shared = np.where(w < len(self.keys), self.shared[w], self.unseen)
+        p = self.left[:, v] * (self.own[:, w] + self.backed[:, None] * shared)
+        if len(self.code):
+            code = v * (len(self.keys) + 1) + w
+            at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+            p += np.where(self.code[at] == code, self.top[:, at], 0)
+        return p
+
+
 class Ratios:
-    """Log-likelihood ratios of words, from word_counts; with the character models of another instance, if one is given."""
+    """Log-likelihood ratios of words, from word_counts; with the character models of another instance, if one is given. pairs has those of words in order."""
+
+    def __init__(self, counts: DataFrame, pairs: Pairs, characters: Ratios | None = None, discount: float = DISCOUNT):
+        import xxhash
 
-    def __init__(self, counts: DataFrame, characters: Ratios | None = None, discount: float = DISCOUNT):
+        self.pairs = pairs
+        self.first = pairs.ids(np.array([xxhash.xxh64_intdigest(START.encode(), 42)], np.uint64).view(np.int64))
         if characters:
             self.grams, self.contexts = characters.grams, characters.contexts
         else:
@@ -112,7 +199,11 @@ class Ratios:
         seen = counts.where("toxic > 0 or ordinary > 0").select(F.xxhash64("word").alias("key"), *(F.greatest(F.col(c) - discount, F.lit(0.0)).cast("float").alias(c) for c in ("toxic", "ordinary")), (F.col("docs") / max(1, sums["docs"])).cast("float").alias("shared"))
         self.words = self._held(seen)
         self.unseen = 0.5 / max(1, sums["docs"])
-        self.known: dict[str, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.value, self.place = np.zeros(0), np.zeros(0, np.int64)
 
     @staticmethod
     def _held(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +222,7 @@ class Ratios:
         return hit, np.where(hit, held[1][:, at], 0).astype(float)
 
     def learn(self, new: list[str]) -> None:
-        """Adds the ratios of words to those that are known."""
+        """Adds words to those that are known: known has the index of a word in value (its ratio) and place (in pairs)."""
         import xxhash
 
         key = lambda s: xxhash.xxh64_intdigest(s.encode(), 42)  # noqa: E731  as Spark's xxhash64 of a string
@@ -141,32 +232,44 @@ class Ratios:
         hit, value = self._found(self.grams, keys((p[i : i + ORDER] for p, n in zip(padded, size, strict=True) for i in range(n)), size.sum()))
         _, other = self._found(self.contexts, keys((p[i : i + ORDER - 1] for p, n in zip(padded, size, strict=True) for i in range(n)), size.sum()))
         tilt = np.clip(np.add.reduceat(np.where(hit, value[0], other[0]), np.cumsum(size) - size), -TILT, TILT)
-        _, (toxic, ordinary, shared) = self._found(self.words, keys(new, len(new)))
+        own = keys(new, len(new))
+        _, (toxic, ordinary, shared) = self._found(self.words, own)
         shared = np.maximum(shared, self.unseen)
         p = (toxic + self.left["toxic"] * shared * np.exp(tilt / 2)) / self.all["toxic"]
         q = (ordinary + self.left["ordinary"] * shared * np.exp(-tilt / 2)) / self.all["ordinary"]
-        self.known.update(zip(new, (np.log(p) - np.log(q)).tolist(), strict=True))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.value, self.place = np.append(self.value, np.log(p) - np.log(q)), np.append(self.place, self.pairs.ids(own))
+
+
+FEATURES = 7
 
 
-FEATURES = 5
+def _passages(r: np.ndarray) -> float:
+    """The most toxic passage's ratio by word."""
+    begin = np.arange(0, len(r), PASSAGE)
+    return (np.add.reduceat(r, begin) / np.maximum(np.minimum(PASSAGE, len(r) - begin), PASSAGE // 2)).max()
 
 
 def features(texts: list[str | None], ratios: Ratios) -> np.ndarray:
-    """By text: the ratio of its most toxic word and of its three most toxic ones, of its most toxic passage by word, and of all by word; log of the words."""
+    """By text: the ratio of its most toxic word and of its three most toxic ones, of its most toxic passage by word, and of all by word; log of the words; the
+    ratio by word of its most toxic passage and of all, with words in order."""
     found = [words(t) for t in texts]
     if len(ratios.known) > _KNOWN:
-        ratios.known.clear()
+        ratios.forget()
     missing = list({w for ws in found for w in ws} - ratios.known.keys())
     if missing:
         ratios.learn(missing)
     out = np.zeros((len(texts), FEATURES))
-    for i, ws in enumerate(found):
-        if ws:
-            r = np.array([ratios.known[w] for w in ws])
-            top = np.sort(r[np.argpartition(r, -3)[-3:]])[::-1] if len(r) > 3 else np.sort(r)[::-1]
-            begin = np.arange(0, len(r), PASSAGE)
-            size = np.minimum(PASSAGE, len(r) - begin)
-            out[i] = top[0], top.sum() / 3, (np.add.reduceat(r, begin) / np.maximum(size, PASSAGE // 2)).max(), r.mean(), np.log1p(len(r))
+    size = np.array([len(ws) for ws in found], np.int64)
+    every = np.fromiter(map(ratios.known.__getitem__, chain.from_iterable(found)), np.int64, size.sum())
+    end = np.cumsum(size)
+    for i in np.flatnonzero(size):
+        at = every[end[i] - size[i] : end[i]]
+        r, w = ratios.value[at], ratios.place[at]
+        top = np.sort(r[np.argpartition(r, -3)[-3:]])[::-1] if len(r) > 3 else np.sort(r)[::-1]
+        toxic, ordinary = np.log(ratios.pairs.probabilities(np.append(ratios.first, w[:-1]), w))
+        q = toxic - ordinary
+        out[i] = top[0], top.sum() / 3, _passages(r), r.mean(), np.log1p(len(r)), _passages(q), q.mean()
     return out
 
 
@@ -191,13 +294,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out
     known = labels.where("doc_id is not null and toxic is not null").where(crc_fold("doc_id", folds) != held_out).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     known = known.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)) == 0)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    counted = known.orderBy(*by_hash).limit(COUNTED)
+    counted = written(known.orderBy(*by_hash).limit(COUNTED))
     calibrated = known.where("apart").orderBy(*by_hash).limit(CALIBRATED).select("doc_id", "label")
     texts = docs.select("doc_id", "text")
 
     counts = written(word_counts(texts.join(small_side(counted, COUNTED), "doc_id", "left")))
-    model = Ratios(counts)
-    final = Ratios(counts.select("word", "docs", *((F.col(c) + F.col(f"{c}_apart")).alias(c) for c in ("toxic", "ordinary"))), model)
+    pairs = written(pair_counts(texts.join(small_side(paired(counted, texts), COUNTED), "doc_id")))
+    model = Ratios(counts, Pairs(pairs, counts))
+    both = [(F.col(c) + F.col(f"{c}_apart")).alias(c) for c in CLASSES]
+    final = Ratios(counts.select("word", "docs", *both), Pairs(pairs.select("before", "word", *both), counts), model)
 
     def labelled(batches):
         for batch in pieces(batches, "text"):

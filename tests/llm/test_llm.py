@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -547,6 +549,59 @@ def test_one_long_labelled_text_leaves_the_rest_of_the_sample(spark):
     assert scores[0] > 0.8 and scores[1] < 0.2
 
 
+def _word_order(n=800):
+    """Documents of which only the order of two words tells the class."""
+    draw = random.Random(7)
+    vocabulary = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    rows = []
+    for i in range(n):
+        said = draw.choices(vocabulary, k=60)
+        at = draw.randrange(55)
+        said[at : at + 2] = ["kill", "you"] if i % 2 else ["you", "kill"]
+        rows.append((i, " ".join(said), i % 2))
+    return rows
+
+
+def test_toxicity_knows_the_order_of_words(spark):
+    docs = spark.createDataFrame(_word_order(), "doc_id long, text string, label int")
+    got = toxicity.toxicity_scores(docs, docs.select("doc_id", F.col("label").alias("toxic"))).where("held_out").collect()
+    assert len(got) > 100 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.97
+
+
+def test_bigrams_are_kneser_ney_and_sum_to_one(spark):
+    rows = [("a b c a b d", 1, 0), ("b a b a b", 0, 0), ("c d c d c", 0, 0), ("a b a b", 1, 0), ("e f", None, 0), ("", 1, 0), (None, 0, 0)]
+    docs = spark.createDataFrame(rows, "text string, label int, apart int")
+    counts = toxicity.word_counts(docs)
+    model = toxicity.Pairs(toxicity.pair_counts(docs.where("label is not null")), counts)
+    key = lambda s: np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in s], np.uint64).view(np.int64)
+    vocabulary = ["a", "b", "c", "d", "e", "f"]
+    held = [sum(w in toxicity.words(t) for t, _, _ in rows) for w in vocabulary]
+    for k, label in enumerate((1, 0)):
+        follow = Counter(p for t, y, _ in rows if y == label for p in zip(["^", *toxicity.words(t)], toxicity.words(t)))
+        kinds = Counter(w for _, w in follow)
+        assert follow
+        for v in ["^", *vocabulary, "never"]:
+            own = {w: n for (b, w), n in follow.items() if b == v}
+            total, taken = sum(own.values()), sum(0.75 if n > 1 else 1 for n in own.values())
+            got = model.probabilities(np.repeat(model.ids(key([v])), 6), model.ids(key(vocabulary)))[k]
+            for w, n, p in zip(vocabulary, held, got):
+                shared = n / sum(held) if w not in "ef" else 0.5 / sum(held)  # no class has e or f; both then get the same
+                low = (max(kinds[w] - 0.75, 0) + 0.75 * len(kinds) * shared) / len(follow)
+                want = (max(own.get(w, 0) - 0.75, 0) if own.get(w, 0) > 1 else 0) / total + taken / total * low if total else low
+                assert p == pytest.approx(want)
+            known = model.probabilities(np.repeat(model.ids(key([v])), 4), model.ids(key(vocabulary[:4])))[k].sum()
+            other = model.left[k, model.ids(key([v]))[0]] * model.backed[k] * sum(held[4:]) / sum(held)
+            assert known + other == pytest.approx(1)
+
+
+def test_words_behind_the_pairs_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (100_000 if i == 0 else 10)) for i in range(40)], "doc_id long, text string")
+    known = docs.select("doc_id", F.lit(1).alias("label"), F.lit(False).alias("apart"))
+    assert toxicity.paired(known, docs, 300).count() == 0
+    got = [r["doc_id"] for r in toxicity.paired(known, docs, 500).collect()]
+    assert len(got) == 39 and 0 not in got
+
+
 @pytest.mark.parametrize("score", [quality.quality_scores, toxicity.toxicity_scores])
 def test_classifiers_on_odd_rows(spark, score):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 1), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
