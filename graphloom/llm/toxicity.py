@@ -160,6 +160,31 @@ class Pairs:
         self.code = code[by]
         self.top = np.stack([top.column(c).to_numpy() for c in CLASSES])[:, by] / np.maximum(every[:, v[by]], 1)
         self.unseen = 0.5 / documents
+        # For many words at once: the ratio is a sum of one part by word before and one by word, but for the pairs that are held, which have theirs in full.
+        self.before = np.log(self.left[0]) - np.log(self.left[1])
+        low = self.own + self.backed[:, None] * np.append(self.shared[:-1], self.unseen)
+        self.alone = np.log(low[0]) - np.log(low[1])
+        p = self.probabilities(v[by], w[by])
+        self.whole = np.log(p[0]) - np.log(p[1])
+        bits = int(8 * len(self.code) + 1).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)  # by hash of a pair: whether a pair with that hash is held
+        self.maybe[self._slot(self.code)] = True
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def ratios(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log of the toxic probability over the ordinary one, as from probabilities."""
+        r = self.before[v] + self.alone[w]
+        code = v * len(self.before) + w
+        at = np.flatnonzero(self.maybe[self._slot(code)])
+        if len(at) and len(self.code):
+            found = code[at]
+            place = np.minimum(np.searchsorted(self.code, found), len(self.code) - 1)
+            hit = self.code[place] == found
+            r[at[hit]] = self.whole[place[hit]]
+        return r
 
     def ids(self, keys: np.ndarray) -> np.ndarray:
         """Places of words by hash; one past the last for words that no class has."""
@@ -263,13 +288,15 @@ def features(texts: list[str | None], ratios: Ratios) -> np.ndarray:
     size = np.array([len(ws) for ws in found], np.int64)
     every = np.fromiter(map(ratios.known.__getitem__, chain.from_iterable(found)), np.int64, size.sum())
     end = np.cumsum(size)
-    for i in np.flatnonzero(size):
-        at = every[end[i] - size[i] : end[i]]
-        r, w = ratios.value[at], ratios.place[at]
-        top = np.sort(r[np.argpartition(r, -3)[-3:]])[::-1] if len(r) > 3 else np.sort(r)[::-1]
-        toxic, ordinary = np.log(ratios.pairs.probabilities(np.append(ratios.first, w[:-1]), w))
-        q = toxic - ordinary
-        out[i] = top[0], top.sum() / 3, _passages(r), r.mean(), np.log1p(len(r)), _passages(q), q.mean()
+    first, some = end - size, np.flatnonzero(size)
+    value, place = ratios.value[every], ratios.place[every]
+    before = np.append(ratios.first, place[:-1])
+    before[first[some]] = ratios.first
+    ordered = ratios.pairs.ratios(before[: len(place)], place)
+    for i in some:
+        r, q = value[first[i] : end[i]], ordered[first[i] : end[i]]
+        top = np.sort(np.partition(r, -3)[-3:] if len(r) > 3 else r)[::-1]
+        out[i] = top[0], top.sum() / 3, _passages(r), r.sum() / len(r), np.log1p(len(r)), _passages(q), q.sum() / len(r)
     return out
 
 

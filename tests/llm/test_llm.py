@@ -592,6 +592,9 @@ def test_bigrams_are_kneser_ney_and_sum_to_one(spark):
             known = model.probabilities(np.repeat(model.ids(key([v])), 4), model.ids(key(vocabulary[:4])))[k].sum()
             other = model.left[k, model.ids(key([v]))[0]] * model.backed[k] * sum(held[4:]) / sum(held)
             assert known + other == pytest.approx(1)
+    every = np.repeat(np.arange(len(model.keys) + 1), len(model.keys) + 1), np.tile(np.arange(len(model.keys) + 1), len(model.keys) + 1)
+    toxic, ordinary = np.log(model.probabilities(*every))
+    assert np.allclose(model.ratios(*every), toxic - ordinary)
 
 
 def test_words_behind_the_pairs_are_bounded(spark):
