@@ -148,7 +148,8 @@ class Pairs:
         held = after.join(before, "w", "full").join(shared, "w", "left").select(F.xxhash64("w").alias("key"), *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in columns))
         self.keys, table = Ratios._held(held)
         table = np.c_[table, np.zeros(len(table))]  # the last column is any other word
-        kinds, every, left, self.shared = table[0:2], table[2:4], table[4:6], table[6]
+        kinds, every, left = table[0:2], table[2:4], table[4:6]
+        self.shared = np.where(table[6] > 0, table[6], 0.5 / documents)  # any other word, and START, count as half a document
         self.kinds = np.maximum(1, kinds.sum(1))
         self.own = np.maximum(kinds - discount, 0) / self.kinds[:, None]
         self.backed = np.where(kinds.sum(1) > 0, discount * (kinds > 0).sum(1) / self.kinds, 1.0)
@@ -159,10 +160,9 @@ class Pairs:
         by = np.argsort(code)
         self.code = code[by]
         self.top = np.stack([top.column(c).to_numpy() for c in CLASSES])[:, by] / np.maximum(every[:, v[by]], 1)
-        self.unseen = 0.5 / documents
         # For many words at once: the ratio is a sum of one part by word before and one by word, but for the pairs that are held, which have theirs in full.
         self.before = np.log(self.left[0]) - np.log(self.left[1])
-        low = self.own + self.backed[:, None] * np.append(self.shared[:-1], self.unseen)
+        low = self.own + self.backed[:, None] * self.shared
         self.alone = np.log(low[0]) - np.log(low[1])
         p = self.probabilities(v[by], w[by])
         self.whole = np.log(p[0]) - np.log(p[1])
@@ -195,8 +195,7 @@ class Pairs:
 
     def probabilities(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """By class, of words after words; a word that no class has seen has the probability of half a document, in both classes alike."""
-        shared = np.where(w < len(self.keys), self.shared[w], self.unseen)
-        p = self.left[:, v] * (self.own[:, w] + self.backed[:, None] * shared)
+        p = self.left[:, v] * (self.own[:, w] + self.backed[:, None] * self.shared[w])
         if len(self.code):
             code = v * (len(self.keys) + 1) + w
             at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
