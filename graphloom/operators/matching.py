@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
+from ..functions.hashing import bucket, uniform
 from ..sources.corpora import saved
-from .cuts import cut_index, edge_contexts, pair_hash, shared_nodes, virtual_cut
+from .cuts import cut_edges, cut_index, edge_contexts, pair_hash, shared_nodes, virtual_cut
 from .proposals import node_sets
 
 
@@ -184,6 +184,36 @@ def anchor_matches(edges: DataFrame) -> DataFrame:
     return index.where("graph_id % 2 = 0").join(donors, "cut_key", "left_semi").groupBy("cut_key").agg(F.count("*").alias("n"))
 
 
+def anchor_mapping(anchors: DataFrame, nodes: DataFrame, assigned: DataFrame, seed: str = "0", whole: bool = False) -> DataFrame:
+    """(graph_id, inode, inner, outer, mapped, n_covered): for each subgraph a random injective mapping of its anchors to nodes of a target graph.
+
+    anchors: (graph_id, inode, inner, outer, type, target); nodes: (graph_id, node_id, type); assigned: (graph_id, subgraph, node_id) of the target's
+    neighbours that a mapping has to touch, at least one of them, or each if whole. Anchors go to nodes of their own type; a subgraph is left out
+    if a type has too few nodes, or its mapping doesn't cover. Nodes of a type stand in one seeded order, which each subgraph enters at
+    a place of its own, so an anchor meets one node only.
+    """
+    typed = W.partitionBy("graph_id", "type")
+    order = typed.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "graph_id", "node_id")), "node_id")
+    placed = nodes.select(F.col("graph_id").alias("target"), "type", F.col("node_id").alias("mapped"), (F.row_number().over(order) - 1).alias("place"), F.count("*").over(typed).alias("n"))
+    own = W.partitionBy("graph_id", "inode")
+    asked = anchors.withColumn("k", F.row_number().over(W.partitionBy("graph_id", "inode", "type").orderBy("inner", "outer")) - 1).withColumn("n_anchors", F.count("*").over(own))
+    sizes = placed.where("place = 0").select("target", "type", "n")
+    entered = asked.join(sizes, ["target", "type"]).where("k < n").withColumn("place", (F.col("k") + bucket(F.concat_ws("|", F.lit(seed), "graph_id", "inode", "type"), 31)) % F.col("n"))
+    found = saved(entered.drop("n").join(placed.drop("n"), ["target", "type", "place"]).withColumn("n_mapped", F.count("*").over(own)).where("n_mapped = n_anchors").select("graph_id", "inode", "target", "inner", "outer", "mapped"))
+    wanted = assigned.select(F.col("graph_id").alias("target"), "subgraph", F.col("node_id").alias("mapped"))
+    covered = found.join(wanted, ["target", "mapped"]).groupBy("graph_id", "inode", "target").agg(F.countDistinct("subgraph").alias("n_covered"))
+    if whole:
+        covered = covered.join(wanted.groupBy("target").agg(F.countDistinct("subgraph").alias("n_covered")), ["target", "n_covered"], "left_semi")
+    return found.join(covered.drop("target"), ["graph_id", "inode"]).select("graph_id", "inode", "inner", "outer", "mapped", "n_covered")
+
+
+def next_graph_mapping(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """anchor_mapping of the subgraphs of even graphs to the graph that follows: anchors are boundary edges, a type is the outer end's label, and edges are to be touched."""
+    anchors = cut_edges(edges.where("graph_id % 2 = 0")).select("graph_id", "inode", "inner", "outer", F.substring_index("ekey", "|", -1).alias("type"), (F.col("graph_id") + 1).alias("target"))
+    other = edges.where("graph_id % 2 = 1").select("graph_id", F.concat_ws("|", "src", "dst", "label").alias("subgraph"), F.explode(F.array("src", "dst")).alias("node_id"))
+    return anchor_mapping(anchors, nodes.where("graph_id % 2 = 1").select("graph_id", "node_id", F.col("label").alias("type")), other)
+
+
 BLOCK = 512
 
 

@@ -134,6 +134,16 @@ ORACLE_SQL: dict[str, str] = {
     "j_multiset_contains": _sql("pp", "SELECT graph_id, i, j FROM pp WHERE type = 'PROMO' AND cnt >= 1"),
     "j_transitions": _sql("pp pt", "SELECT prev, role, next, n, rank FROM (SELECT a.assoc_hash AS prev, p.type AS role, b.assoc_hash AS next, count(*) AS n, (row_number() OVER (PARTITION BY a.assoc_hash, p.type ORDER BY count(*) DESC, b.assoc_hash))::INTEGER AS rank FROM pp p JOIN pt a ON p.graph_id = a.graph_id AND p.i = a.inode JOIN pt b ON p.graph_id = b.graph_id AND p.j = b.inode GROUP BY 1, 2, 3) WHERE rank <= 256"),
     "j_anchor_filter": _sql("ix", "SELECT cut_key, count(*) AS n FROM ix WHERE graph_id % 2 = 0 AND cut_key IN (SELECT cut_key FROM ix WHERE graph_id % 2 = 1) GROUP BY 1"),
+    "j_anchor_mapping": _sql(
+        "ct",
+        f""", pl AS (SELECT graph_id, node_id, label, row_number() OVER (PARTITION BY graph_id, label ORDER BY md5('0|' || graph_id || '|' || node_id), node_id) - 1 AS place, count(*) OVER (PARTITION BY graph_id, label) AS n FROM nd WHERE graph_id % 2 = 1),
+        an AS (SELECT graph_id, inode, inner_, outer_, outer_label, row_number() OVER (PARTITION BY graph_id, inode, outer_label ORDER BY inner_, outer_) - 1 AS k, count(*) OVER (PARTITION BY graph_id, inode) AS asked,
+                      {_bits("'0|' || graph_id || '|' || inode || '|' || outer_label", 31)} AS shift FROM ct WHERE graph_id % 2 = 0),
+        ma AS (SELECT a.*, p.node_id AS mapped FROM an a JOIN pl p ON p.graph_id = a.graph_id + 1 AND p.label = a.outer_label AND a.k < p.n AND p.place = (a.k + a.shift) % p.n),
+        fu AS (SELECT * FROM ma QUALIFY count(*) OVER (PARTITION BY graph_id, inode) = asked),
+        co AS (SELECT f.graph_id, f.inode, count(DISTINCT e.src || '|' || e.dst || '|' || e.label) AS n_covered FROM fu f JOIN ed e ON e.graph_id = f.graph_id + 1 AND (e.src = f.mapped OR e.dst = f.mapped) GROUP BY 1, 2)
+        SELECT f.graph_id, f.inode, f.inner_ AS "inner", f.outer_ AS "outer", f.mapped, c.n_covered FROM fu f JOIN co c USING (graph_id, inode)""",
+    ),
     "j_image_edge_anti": _sql("sh", "SELECT graph_id, count(*) AS n_violations FROM sh WHERE i < j AND shared <> 1 GROUP BY 1"),
     "j_knn": _sql("kn", "SELECT * FROM kn"),
     "j_mutual_knn": _sql("kn", "SELECT a.i, a.j, a.d FROM kn a JOIN kn b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j"),

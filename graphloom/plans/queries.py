@@ -142,6 +142,7 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "j_multiset_contains": lambda t: matching.containing_ports(t.e, {"PROMO": 1}),
     "j_transitions": lambda t: matching.transitions(t.e),
     "j_anchor_filter": lambda t: matching.anchor_matches(t.e),
+    "j_anchor_mapping": lambda t: matching.next_graph_mapping(t.n, t.e),
     "j_image_edge_anti": lambda t: matching.image_edge_violations(t.e),
     "j_knn": lambda t: matching.nearest(t.p),
     "j_mutual_knn": lambda t: matching.mutual_nearest(t.p),

@@ -657,3 +657,22 @@ def test_repair_is_the_best_of_all_rewrites(spark, order_graphs):
     for r in nodes.collect():
         old[r["graph_id"]].append(r["label"])
     assert all(len(labels[r["graph_id"]]) == len(old[r["graph_id"]]) for r in rows)
+
+
+def test_anchor_mapping_is_injective_and_covers(spark):
+    anchors = spark.createDataFrame([(1, 1, 1, 9, "A", 5), (1, 1, 2, 9, "A", 5), (1, 1, 2, 8, "B", 5), (1, 2, 1, 7, "B", 5), (1, 2, 1, 6, "B", 5), (1, 3, 1, 6, "A", 6), (1, 4, 1, 6, None, 5)], "graph_id long, inode int, inner int, outer int, type string, target long")
+    nodes = spark.createDataFrame([(5, 1, "A"), (5, 2, "A"), (5, 3, "A"), (5, 4, "B"), (6, 1, "A")], "graph_id long, node_id int, type string")
+    assigned = spark.createDataFrame([(5, "x", 4), (5, "y", 1), (5, "y", 2), (5, "y", 3)], "graph_id long, subgraph string, node_id int")
+    kinds = {1: "A", 2: "A", 3: "A", 4: "B"}
+    seen = set()
+    for seed in map(str, range(12)):
+        got = matching.anchor_mapping(anchors, nodes, assigned, seed, whole=True).collect()
+        assert {r["inode"] for r in got} == {1}  # 2 needs two nodes of B, 3 touches nothing, 4 has no type
+        assert len({r["mapped"] for r in got}) == len(got) == 3
+        assert all(kinds[r["mapped"]] == ("B" if r["outer"] == 8 else "A") and r["n_covered"] == 2 for r in got)
+        seen.add(tuple(sorted((r["inner"], r["outer"], r["mapped"]) for r in got)))
+    assert len(seen) > 1
+    more = spark.createDataFrame([(5, "z", 7)], assigned.schema)
+    assert matching.anchor_mapping(anchors, nodes, assigned.union(more), whole=True).isEmpty()
+    assert matching.anchor_mapping(anchors, nodes, assigned.union(more)).count() == 3
+    assert matching.anchor_mapping(anchors.limit(0), nodes, assigned).isEmpty()
