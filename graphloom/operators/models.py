@@ -46,6 +46,29 @@ def weighted_cross_entropy(df: DataFrame, by: str) -> DataFrame:
     return out.select(by, "n", F.round((weight * F.col("lp") + F.col("ln")) / F.col("n"), 6).alias("loss"))
 
 
+def latent_divergence(points: DataFrame, by: str) -> DataFrame:
+    """(by, n, kl) of latent points (by, mean, logstd): the term that a beta weighs, half the mean over points of sum(1 + 2 logstd - mean^2 - exp(2 logstd)), over their number.
+
+    Points without one of the vectors, or with vectors of different lengths, take no part.
+    """
+    part = F.zip_with("mean", "logstd", lambda m, s: 1 + 2 * s - m * m - F.exp(2 * s))
+    each = points.where(F.size("mean") == F.size("logstd")).select(by, F.aggregate(part, F.lit(0.0), lambda a, x: a + x).alias("v"))
+    return each.groupBy(by).agg(F.count("v").alias("n"), F.round(0.5 * F.avg("v") / F.count("v"), 6).alias("kl"))
+
+
+def ranking_loss(df: DataFrame, by: str, key: list[str], most: int = 256, seed: str = "0") -> DataFrame:
+    """(by, n_pairs, loss) of predictions (by, y, p, key): mean softplus(p of a negative - p of a positive) over as many disjoint seeded pairs as there are, at most most.
+
+    Rows without y or p take no part. A group without positives or without negatives has no pair and a loss of 0. Only the first most of a class are kept before the shuffle.
+    """
+    order = W.partitionBy(by, "y").orderBy(F.md5(F.concat_ws("|", F.lit(seed), *key)), "p")
+    drawn = saved(df.where("y is not null and p is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select(by, "y", "p", "k"))
+    side = lambda y, name: drawn.where(F.col("y") == y).select(by, "k", F.col("p").alias(name))
+    pairs = side(1, "positive").join(side(0, "negative"), [by, "k"])
+    loss = pairs.groupBy(by).agg(F.count("*").alias("n_pairs"), F.avg(F.log1p(F.exp(F.col("negative") - F.col("positive")))).alias("loss"))
+    return drawn.select(by).distinct().join(loss, by, "left").select(by, F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.round(F.coalesce("loss", F.lit(0.0)), 6).alias("loss"))
+
+
 def latent_summary(points: DataFrame) -> DataFrame:
     """(label, dim, mean, std): by label and dimension of points (label, x), the mean and population deviation plus 1e-4."""
     each = points.select("label", F.posexplode("x").alias("dim", "v"))

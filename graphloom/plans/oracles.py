@@ -202,6 +202,10 @@ ORACLE_SQL: dict[str, str] = {
     "m_transition": _sql("em", "SELECT a.label AS i, b.label AS j, round(0.1::DOUBLE * b.p + CASE WHEN a.label = b.label THEN 0.9::DOUBLE ELSE 0 END, 6) AS v FROM em a, em b"),
     "m_posterior": _sql("em", "SELECT x, z, s, round(w / sum(w) OVER (PARTITION BY x, z), 6) AS p FROM (SELECT a.label AS x, b.label AS z, c.label AS s, (0.1::DOUBLE * b.p + CASE WHEN c.label = b.label THEN 0.9::DOUBLE ELSE 0 END) * (0.6::DOUBLE * c.p + CASE WHEN a.label = c.label THEN 0.4::DOUBLE ELSE 0 END) + 1e-7::DOUBLE AS w FROM em a, em b, em c)"),
     "m_vgae_loss": "SELECT l_returnflag, n, round((CASE WHEN pos > 0 THEN (n - pos) / pos ELSE 1 END * lp + ln_) / n, 6) AS loss FROM (SELECT l_returnflag, count(*) AS n, sum(y)::DOUBLE AS pos, sum(CASE WHEN y = 1 THEN -ln(p) ELSE 0 END) AS lp, sum(CASE WHEN y = 0 THEN -ln(1 - p) ELSE 0 END) AS ln_ FROM (SELECT l_returnflag, (l_linestatus = 'O')::INTEGER AS y, least(greatest(l_quantity / 51.0::DOUBLE, 1e-6::DOUBLE), 0.999999::DOUBLE) AS p FROM lineitem) GROUP BY 1)",
+    "m_vgae_kl": "SELECT label, count(*) AS n, round(0.5::DOUBLE * avg(v) / count(*), 6) AS kl FROM (SELECT label, list_sum(list_transform(embedding, lambda x: 1 + 2 * (x::DOUBLE / 2 - 1) - x::DOUBLE * x::DOUBLE - exp(2 * (x::DOUBLE / 2 - 1)))) AS v FROM embeddings) GROUP BY label",
+    "m_vgae_ranking": """WITH d AS (SELECT l_returnflag, (l_linestatus = 'O')::INTEGER AS y, l_quantity / 51.0::DOUBLE AS p, row_number() OVER (PARTITION BY l_returnflag, l_linestatus = 'O' ORDER BY md5('0|' || l_orderkey || '|' || l_linenumber), l_quantity) AS k FROM lineitem),
+        j AS (SELECT a.l_returnflag, ln(1 + exp(b.p - a.p)) AS x FROM d a JOIN d b ON a.l_returnflag = b.l_returnflag AND a.k = b.k AND a.y = 1 AND b.y = 0 AND a.k <= 256)
+        SELECT f.l_returnflag, count(x) AS n_pairs, round(coalesce(avg(x), 0), 6) AS loss FROM (SELECT DISTINCT l_returnflag FROM lineitem) f LEFT JOIN j ON f.l_returnflag = j.l_returnflag GROUP BY 1""",
     "m_latent_summary": _sql("pv", "SELECT label, dim::INTEGER AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-4::DOUBLE, 6) AS std FROM (SELECT label, unnest(x) AS v, unnest(range(len(x))) AS dim FROM pv) GROUP BY 1, 2"),
     "m_threshold": "SELECT l_returnflag, round(least(greatest(0.25::DOUBLE + 0.5::DOUBLE * quantile_cont(l_quantity / 51.0::DOUBLE, 0.8), 0.05::DOUBLE), 0.95::DOUBLE), 6) AS threshold FROM lineitem GROUP BY 1",
     "m_encode": _sql("nd", "SELECT graph_id, node_id, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS class FROM nd"),

@@ -236,6 +236,8 @@ _BY_NAME: dict[str, Callable[[_Tables], DataFrame]] = {
     "m_transition": lambda t: models.transition(statistics.edge_marginals(t.n, t.e).select("label", "p"), 0.1),
     "m_posterior": lambda t: models.posterior(statistics.edge_marginals(t.n, t.e).select("label", "p"), 0.1, 0.4),
     "m_vgae_loss": lambda t: models.weighted_cross_entropy(t.table("lineitem").select(F.col("l_returnflag"), (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_quantity") / 51.0).alias("p")), "l_returnflag"),
+    "m_vgae_kl": lambda t: models.latent_divergence(t.table("embeddings").select("label", F.col("embedding").cast("array<double>").alias("mean"), F.transform("embedding", lambda x: x.cast("double") / 2 - 1).alias("logstd")), "label"),
+    "m_vgae_ranking": lambda t: models.ranking_loss(t.table("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", (F.col("l_linestatus") == "O").cast("int").alias("y"), (F.col("l_quantity") / 51.0).alias("p")), "l_returnflag", ["l_orderkey", "l_linenumber"]),
     "m_latent_summary": lambda t: models.latent_summary(t.p),
     "m_threshold": lambda t: models.calibrated_threshold(t.table("lineitem").withColumn("q", F.col("l_quantity") / 51.0), "l_returnflag", "q", 0.2),
     "m_encode": lambda t: models.one_hot(t.n),

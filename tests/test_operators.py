@@ -676,3 +676,19 @@ def test_anchor_mapping_is_injective_and_covers(spark):
     assert matching.anchor_mapping(anchors, nodes, assigned.union(more), whole=True).isEmpty()
     assert matching.anchor_mapping(anchors, nodes, assigned.union(more)).count() == 3
     assert matching.anchor_mapping(anchors.limit(0), nodes, assigned).isEmpty()
+
+
+def test_divergence_and_ranking_against_plain_formulas(spark):
+    draw = random.Random(3)
+    points = [(i % 3, [draw.gauss(0, 1) for _ in range(4)], [draw.gauss(-1, 0.3) for _ in range(4)]) for i in range(30)] + [(0, None, [1.0]), (0, [1.0], [1.0, 2.0])]
+    got = {r["g"]: r for r in models.latent_divergence(spark.createDataFrame(points, "g int, mean array<double>, logstd array<double>"), "g").collect()}
+    for g in range(3):
+        own = [sum(1 + 2 * s - m * m - math.exp(s) ** 2 for m, s in zip(mean, std)) for k, mean, std in points[:30] if k == g]
+        assert got[g]["n"] == 10 and got[g]["kl"] == pytest.approx(0.5 / 10 * sum(own) / 10, abs=1e-6)
+    rows = [(i % 2, i, int(i % 5 < 2), draw.random()) for i in range(40)] + [(2, 100, 1, 0.5), (3, 101, None, 0.5)]
+    loss = {r["g"]: r for r in models.ranking_loss(spark.createDataFrame(rows, "g int, id int, y int, p double"), "g", ["id"], 6).collect()}
+    for g in range(2):
+        sides = [[p for _, i, y, p in sorted(rows[:40], key=lambda r: hashlib.md5(f"0|{r[1]}".encode()).hexdigest()) if i % 2 == g and y == k][:6] for k in (1, 0)]
+        each = [math.log(1 + math.exp(b - a)) for a, b in zip(*sides)]
+        assert loss[g]["n_pairs"] == len(each) == 6 and loss[g]["loss"] == pytest.approx(sum(each) / 6, abs=1e-6)
+    assert (loss[2]["n_pairs"], loss[2]["loss"]) == (0, 0.0) and set(loss) == {0, 1, 2}
