@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SMALL, uniform
-from ..sources.corpora import saved
+from ..sources.corpora import saved, spread
 from .cuts import virtual_cut
 from .ranking import numbered_in
 from .sampling import seeded
@@ -45,17 +45,17 @@ def _labelled(sets: DataFrame, nodes: DataFrame, small: int) -> DataFrame:
 
     The nodes of graphs of at most small nodes travel as one array; those of larger ones are joined.
     """
-    size = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
-    few = nodes.join(size.where(F.col("_n") <= small), "graph_id", "left_semi").groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "label"))).alias("_all"))
+    large = saved(nodes.groupBy("graph_id").agg(F.count("*").alias("_n")).where(F.col("_n") > small).select("graph_id"))
+    none = large.isEmpty()
+    few = (nodes if none else nodes.join(large, "graph_id", "left_anti")).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "label"))).alias("_all"))
     found = lambda df: df.withColumns({"members": F.transform("_found", lambda m: m["node_id"]), "key": F.array_join(F.array_sort(F.transform("_found", lambda m: m["label"])), ";")}).drop("_found")
-    out = found(sets.join(few, "graph_id").withColumn("_found", F.transform("picks", lambda p: F.get("_all", p.cast("int")))).drop("_all"))
-    large = saved(size.where(F.col("_n") > small).select("graph_id"))
-    if large.isEmpty():
+    out = found(sets.join(spread(few), "graph_id").withColumn("_found", F.transform("picks", lambda p: F.get("_all", p.cast("int")))).drop("_all"))
+    if none:
         return out
     place = F.row_number().over(W.partitionBy("graph_id").orderBy("node_id")) - 1
     placed = nodes.join(large, "graph_id", "left_semi").select("graph_id", place.cast("long").alias("_p"), F.struct("node_id", "label").alias("_m"))
     columns = sets.columns
-    each = sets.join(large, "graph_id", "left_semi").withColumn("_p", F.explode("picks")).join(placed, ["graph_id", "_p"])
+    each = sets.join(large, "graph_id", "left_semi").withColumn("_p", F.explode("picks")).join(spread(placed), ["graph_id", "_p"])
     return out.unionByName(found(each.groupBy(*columns).agg(F.array_sort(F.collect_list("_m")).alias("_found"))))
 
 
