@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpora import saved
-from .matching import BLOCK, met_blocks, nearest
+from .matching import BLOCK, nearest, nearest_lists
 from .paths import disjoint_paths_between, joined_labels
 
 LEAST = 1e-6  # the distance of points where no two differ
 
 
 def _nearest_outside(asked: DataFrame, points: DataFrame, block: int) -> DataFrame:
-    """(a, b, e): by block, from each asked point (id, x, c) its nearest among points (id, x, c) of another component at a distance above 0."""
-
-    def near(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                i, x, c, j, y, e = (batch.column(n)[row].values.to_numpy() for n in ("a_ids", "a_values", "a_c", "b_ids", "b_values", "b_c"))
-                x, y = x.reshape(len(i), -1), y.reshape(len(j), -1)
-                step = max(1, 2**21 // max(1, y.size))  # differences of so many points at a time
-                d = np.concatenate([np.sqrt(((x[p : p + step, None] - y[None]) ** 2).sum(-1)) for p in range(0, len(x), step)])
-                d[(c[:, None] == e[None]) | (np.round(d, 6) == 0) | ~np.isfinite(d)] = np.inf
-                best = np.lexsort((np.broadcast_to(j, d.shape), np.round(d, 6)), axis=1)[:, 0]
-                w = d[np.arange(len(i)), best]
-                keep = np.isfinite(w)
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (c, e[best], w, i, j[best])], names=["a", "b", "w", "i", "j"])
-
-    found = met_blocks(asked, points, block, "c").mapInArrow(near, "a long, b long, w double, i long, j long")
-    return found.select("a", "b", _edge("w", "i", "j"))
+    """(a, b, e): from each asked point (id, x, c) its nearest among points (id, x, c) of another component at a distance above 0."""
+    return nearest_lists(asked, points, 1, 6, block).select("a", "b", _edge("d", "i", "j"))
 
 
 def _edge(w: str, i: str, j: str):

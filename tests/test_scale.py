@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.operators import cuts, proposals
+from graphloom.operators import cuts, matching, proposals
 from graphloom.sources import corpora
 
 
@@ -42,3 +42,45 @@ def test_corpus_is_written_once_in_buckets(corpus):
     n, e = corpus
     assert n.inputFiles() and sorted(n.inputFiles()) == sorted(e.inputFiles())
     assert "Exchange" not in plan(e.groupBy("graph_id").count())
+
+
+def _points(spark, n, seed, copies=False):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 3, (n, 4)).astype(float) if copies else rng.normal(size=(n, 4))
+    return spark.createDataFrame([(int(i) * 3, [float(v) for v in x[i]], int(i) % 3) for i in range(n)], "id long, x array<double>, label int")
+
+
+def _brute(df, k):
+    import numpy as np
+
+    got = [(r["id"], np.array(r["x"])) for r in df.collect()]
+    out = []
+    for i, x in got:
+        d = [(round(float(np.sqrt(((x - y) ** 2).sum())), 9), j) for j, y in got if j != i]
+        out += [(i, j, rank, round(w, 6)) for rank, (w, j) in enumerate(sorted(v for v in d if np.isfinite(v[0]))[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_nearest_lists_are_those_of_all_pairs(spark, copies):
+    points = _points(spark, 150, 1, copies)
+    assert rows(matching.nearest(points, 5, block=40)) == _brute(points, 5)
+
+
+def test_nearest_of_numbers_too_large_for_squares(spark):
+    points = spark.createDataFrame([(1, [1e200, 0.0]), (2, [1e200, 3.0]), (3, [1e200, 7.0]), (4, [float("nan"), 0.0])], "id long, x array<double>")
+    assert rows(matching.nearest(points, 2)) == _brute(points, 2)
+
+
+def test_nearest_sends_a_point_once_to_a_block_of_points(spark):
+    found = plan(matching.nearest(_points(spark, 60, 2)))
+    assert "Join" not in found
+
+
+def test_distances_with_missing_components_and_copies(spark):
+    data = [(1, [0.0, 0.0], 1), (2, [3.0, 4.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1), (6, [1.0], 1), (7, [2.0], 2), (8, None, 3), (9, [1.0], 3), (10, [1.0], None)]
+    points = spark.createDataFrame(data, "id long, x array<double>, label int")
+    assert rows(matching.distances(points)) == [(1, 15, round(10 / 3, 6), 5.0), (3, 1, None, None)]
+    assert "Join" not in plan(matching.distances(points))
