@@ -84,3 +84,22 @@ def test_distances_with_missing_components_and_copies(spark):
     points = spark.createDataFrame(data, "id long, x array<double>, label int")
     assert rows(matching.distances(points)) == [(1, 15, round(10 / 3, 6), 5.0), (3, 1, None, None)]
     assert "Join" not in plan(matching.distances(points))
+
+
+def test_path_scores_make_no_row_of_a_pair(spark, monkeypatch):
+    """Groups of few pairs, equal values and missing ones; the rows of all pairs give the same scores."""
+    from types import SimpleNamespace
+
+    from graphloom.operators import statistics
+    from graphloom.plans import queries as plans
+
+    data = [(p * 100 + i, p, i // 2, float((i * 7 + p) % 11) / 3) for p in range(5) for i in range(3 + 8 * p)] + [(900 + i, 9, i, 1.5) for i in range(4)]
+    t = SimpleNamespace(table=lambda name: spark.createDataFrame(data, "event_id long, user_id long, ts long, value double"))
+    by_rows = rows(statistics.path_scores(plans._path_similarities(t)))
+    assert len(by_rows) == 5 and rows(statistics.value_path_scores(plans._paths(t))) == by_rows
+    assert "Join" not in plan(plans._BY_NAME["a_path_score"](t))
+    monkeypatch.setattr(statistics, "PAIRS", 60)
+    monkeypatch.setattr(statistics, "CELLS", 50)
+    assert rows(statistics.value_path_scores(plans._paths(t))) == by_rows
+    holes = spark.createDataFrame([(1, i + 1, v) for i, v in enumerate([1.0, None, 4.0, 2.0, float("nan"), 3.0])], "path long, pos int, value double")
+    assert statistics.value_path_scores(holes).count() == 1
