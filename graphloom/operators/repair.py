@@ -9,7 +9,7 @@ from ..functions.hashing import bucket
 from ..sources.corpora import saved
 from .cuts import edge_contexts, pair_hash
 from .decompositions import edge_key
-from .matching import nearest
+from .matching import nearest_of_copies
 from .rewriting import replaced
 
 BITS = 6  # of a label's bucket in the vector of a graph
@@ -42,7 +42,7 @@ def repairs(nodes: DataFrame, edges: DataFrame, sources: DataFrame, donors: Data
     norm = _norm(F.col("x"))
     units = saved(vectors.select("id", F.transform("x", lambda v: v / norm).alias("x")))
     of = lambda df, graphs: df.join(graphs.select(F.col("graph_id").alias("id")).distinct(), "id", "left_semi")
-    near = saved(nearest(of(units, sources), k, others=of(units, donors)).select(F.col("i").alias("graph_id"), F.col("j").alias("donor_graph")))
+    near = saved(nearest_of_copies(of(units, sources), k, of(units, donors)).select(F.col("i").alias("graph_id"), F.col("j").alias("donor_graph")))
     picked = near.join(units.withColumnRenamed("id", "donor_graph"), "donor_graph").groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("donor_graph", "x"))).alias("xs"))  # k a graph
     zero = F.array_repeat(F.lit(0.0), 1 << bits)
     mean = picked.select("graph_id", F.transform(F.aggregate("xs", zero, lambda s, d: F.zip_with(s, d["x"], lambda a, b: a + b)), lambda v: v / F.size("xs")).alias("mean"))

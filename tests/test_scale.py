@@ -1,6 +1,7 @@
 """Plans and results at the places where large inputs failed."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import cuts, matching, proposals
 from graphloom.sources import corpora
@@ -103,3 +104,24 @@ def test_path_scores_make_no_row_of_a_pair(spark, monkeypatch):
     assert rows(statistics.value_path_scores(plans._paths(t))) == by_rows
     holes = spark.createDataFrame([(1, i + 1, v) for i, v in enumerate([1.0, None, 4.0, 2.0, float("nan"), 3.0])], "path long, pos int, value double")
     assert statistics.value_path_scores(holes).count() == 1
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_nearest_of_copies_are_those_of_all_points(spark, k):
+    """Negative ids, points that are among the others, classes larger and smaller than k; equal vectors are searched once."""
+    points = _points(spark, 200, 5, True).withColumn("id", F.col("id") - 300)
+    left, right = points.where("label < 2"), points.where("label > 0")
+    found = matching.nearest_of_copies(left, k, right, 7)
+    assert rows(found) == rows(matching.nearest(left, k, others=right).select("i", "j"))
+    assert matching.nearest_of_copies(left.limit(0), k, right).isEmpty() and matching.nearest_of_copies(left, k, right.limit(0)).isEmpty()
+
+
+def test_repairs_search_equal_vectors_once(spark, corpus, monkeypatch):
+    from graphloom.operators import repair
+
+    met, seen = matching.met, []
+    monkeypatch.setattr(matching, "met", lambda left, right, *more: seen.append((left, right)) or met(left, right, *more))
+    n, e = (df.where("graph_id < 200") for df in corpus)
+    graphs = n.select("graph_id").distinct()
+    repair.repairs(n, e, graphs.where("graph_id % 2 = 0"), graphs.where("graph_id % 2 = 1"))
+    assert seen and all(side.count() == side.select("x").distinct().count() for sides in seen for side in sides)
