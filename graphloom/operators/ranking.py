@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpora import saved
+from ..sources.corpora import saved, spread
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
@@ -26,8 +26,11 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> Dat
     return placed.select(*df.columns, (F.col(at).bitwiseAND((1 << 33) - 1) + F.col(before)).alias(name))
 
 
-def numbered_in(df: DataFrame, by: str, *order: Column | str, name: str = "pos", first: int = 1) -> DataFrame:
-    """df with name (int): the place of each row in its class by, from first, however many rows the class has."""
+def numbered_in(df: DataFrame, by: str, *order: Column | str, name: str = "pos", first: int = 1, many: bool = False) -> DataFrame:
+    """df with name (int): the place of each row in its class by, from first, however many rows the class has.
+
+    With many, there may be as many classes as rows, and what is known of them is never broadcast.
+    """
     placed = saved(numbered(df, by, *order, name=f"_{name}_all"))
     starts = placed.groupBy(F.col(by).alias(f"_{name}_by")).agg(F.min(f"_{name}_all").alias(f"_{name}_first"))
-    return placed.join(starts, F.col(by).eqNullSafe(F.col(f"_{name}_by"))).select(*df.columns, (F.col(f"_{name}_all") - F.col(f"_{name}_first") + first).cast("int").alias(name))
+    return placed.join(spread(starts) if many else starts, F.col(by).eqNullSafe(F.col(f"_{name}_by"))).select(*df.columns, (F.col(f"_{name}_all") - F.col(f"_{name}_first") + first).cast("int").alias(name))

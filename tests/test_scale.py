@@ -125,3 +125,23 @@ def test_repairs_search_equal_vectors_once(spark, corpus, monkeypatch):
     graphs = n.select("graph_id").distinct()
     repair.repairs(n, e, graphs.where("graph_id % 2 = 0"), graphs.where("graph_id % 2 = 1"))
     assert seen and all(side.count() == side.select("x").distinct().count() for sides in seen for side in sides)
+
+
+def test_places_in_many_classes_are_not_broadcast(spark):
+    from graphloom.operators.ranking import numbered_in
+
+    df = spark.createDataFrame([(str(i % 40) if i % 7 else None, i) for i in range(200)], "c string, v int")
+    found = numbered_in(df, "c", "v", many=True)
+    assert "SortMergeJoin" in plan(found) and rows(found.na.fill("")) == rows(numbered_in(df, "c", "v").na.fill(""))
+
+
+def test_variants_broadcast_no_table_of_entries(spark, corpus, monkeypatch):
+    """Neither the plan of the result nor those of the steps before it."""
+    index, found = cuts.cut_index(corpus[1]), cuts.contexts(*corpus)
+    plans, save = [], cuts.saved
+    monkeypatch.setattr(cuts, "saved", lambda df: plans.append(plan(df)) or save(df))
+    result = plan(cuts.distinct_contexts(index, found, 1.5, 8))
+    small = "_pos_all_range", "_variant_all_range"  # as many rows as ranges
+    assert len(plans) >= 3
+    for line in "\n".join([*plans, result]).splitlines():
+        assert "BroadcastHashJoin" not in line or any(x in line for x in small)
