@@ -53,11 +53,14 @@ def repairs(nodes: DataFrame, edges: DataFrame, sources: DataFrame, donors: Data
     labels = F.array(bucket(F.col("lu"), bits), bucket(F.col("lv"), bits))
     parts = saved(parts.select("graph_id", "inode", F.size("cut").alias("cut_size"), "cut_key", "assoc_hash", labels.alias("ends")))
     offers = near.join(parts.withColumnsRenamed({"graph_id": "donor_graph", "inode": "donor_inode", "assoc_hash": "donor_hash", "ends": "donor_ends"}), "donor_graph")
-    both = parts.join(offers, ["graph_id", "cut_size", "cut_key"]).where("assoc_hash <> donor_hash").join(target, "graph_id")
+    both = parts.join(offers, ["graph_id", "cut_size", "cut_key"]).where("assoc_hash <> donor_hash")
+    # a score depends on the labels that go and come alone: it is taken once for each kind of rewrite of a graph
+    first = F.min(F.struct("inode", "donor_graph", "donor_inode")).alias("first")
+    kinds = both.groupBy("graph_id", F.array_sort("ends").alias("ends"), F.array_sort("donor_ends").alias("donor_ends")).agg(first).join(target, "graph_id")
     times = lambda ends, b: F.size(F.filter(ends, lambda e: e == b))
     new = F.transform("x", lambda v, b: v - times("ends", b) + times("donor_ends", b))
     cosine = lambda x: F.round(_dot(x, F.col("mean")) / (_norm(x) * _norm(F.col("mean"))), 9)
-    scored = both.withColumn("new", new).select("graph_id", "inode", "donor_graph", "donor_inode", cosine(F.col("x")).alias("before"), cosine(F.col("new")).alias("after"))
+    scored = kinds.withColumn("new", new).select("graph_id", "first.*", cosine(F.col("x")).alias("before"), cosine(F.col("new")).alias("after"))
     order = F.struct(-F.col("after"), F.col("inode"), F.col("donor_graph"), F.col("donor_inode"))
     best = scored.groupBy("graph_id").agg(F.min_by(F.struct("inode", "donor_graph", "donor_inode", "before", "after"), order).alias("b"))
     return best.select("graph_id", "b.*")
