@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import SMALL, by_size, sorted_text, wl_nodes
-from ..sources.corpora import both_ways, saved
+from ..functions.hashing import SMALL, by_size, sorted_text, wl_nodes, wl_rounds
+from ..sources.corpora import both_ways, saved, spread
 from .cuts import balls, edge_decomposition, membership
 from .paths import component_labels
 from .sampling import seeded
@@ -54,12 +54,8 @@ def boundary(members: DataFrame, edges: DataFrame, scope: str = "both") -> DataF
     return left.select(*_PART, "inner", "outer", edge_key(scope, F.col("label"), F.col("lu"), F.col("lv")).alias("ekey"))
 
 
-def index(members: DataFrame, nodes: DataFrame, edges: DataFrame, scope: str = "both") -> DataFrame:
-    """(graph_id, inode, cut_key, assoc_hash, edge_map_sig) of every subgraph in members (graph_id, inode, node_id; no repeats).
-
-    cut_key: the sorted keys of its boundary. assoc_hash: the hash of what is inside. edge_map_sig: which kind of member each key hangs on.
-    Subgraphs may overlap and be of any size: all is keyed by subgraph and node.
-    """
+def _joined_index(members: DataFrame, nodes: DataFrame, edges: DataFrame, scope: str = "both") -> DataFrame:
+    """index by joins, for graphs of any size: all is keyed by subgraph and node."""
     members = saved(members)
     ways = both_ways(edges).select("graph_id", "src", "dst", "label")
     inside = saved(members.withColumnRenamed("node_id", "src").join(ways, ["graph_id", "src"]).join(members.withColumnRenamed("node_id", "dst"), [*_PART, "dst"], "left_semi"))
@@ -71,6 +67,40 @@ def index(members: DataFrame, nodes: DataFrame, edges: DataFrame, scope: str = "
     return out.select(*_PART, F.coalesce("cut_key", F.lit("")).alias("cut_key"), "assoc_hash", F.coalesce("edge_map_sig", F.md5(F.lit(""))).alias("edge_map_sig"))
 
 
+def _packed_index(members: DataFrame, nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
+    """index for small graphs: each subgraph is a row with its graph meanwhile, and nothing but the members is dealt by graph_id."""
+    labels = nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node_id", F.col("label").alias("h"))).alias("members"))
+    way = lambda a, b, la, lb: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "label", F.col(la).alias("lu"), F.col(lb).alias("lv"))
+    both = edges.groupBy("graph_id").agg(F.flatten(F.collect_list(F.array(way("src", "dst", "lu", "lv"), way("dst", "src", "lv", "lu")))).alias("all"))
+    parts = members.groupBy(*_PART).agg(F.collect_list("node_id").alias("own"))
+    each = parts.join(spread(labels), "graph_id").join(spread(both), "graph_id", "left")
+    within = lambda x: F.array_contains("own", x)
+    none = F.from_json(F.lit("[]"), both.schema["all"].dataType)  # a graph without edges
+    ways = F.filter(F.coalesce("all", none), lambda w: within(w["src"]))
+    each = each.select(*_PART, "own", F.filter("members", lambda m: within(m["node_id"])).alias("members"), ways.alias("out")).where(F.size("members") > 0)
+    hashed = wl_rounds(each.withColumn("ways", F.filter("out", lambda w: within(w["dst"]))), 3)
+    hashed = hashed.withColumn("at", F.map_from_entries(F.transform("members", lambda m: F.struct(m["node_id"], m["h"]))))
+    cut = F.filter("out", lambda w: ~within(w["dst"]) & F.map_contains_key("at", w["src"]))
+    key = lambda w: edge_key(scope, w["label"], w["lu"], w["lv"])
+    listed = lambda values: F.array_join(F.array_sort(values), ";")
+    found = hashed.withColumn("cut", cut)
+    return found.select(*_PART, listed(F.transform("cut", key)).alias("cut_key"), F.col("hash").alias("assoc_hash"), F.md5(listed(F.transform("cut", lambda w: F.concat_ws("@", key(w), F.col("at")[w["src"]])))).alias("edge_map_sig"))
+
+
+def index(members: DataFrame, nodes: DataFrame, edges: DataFrame, scope: str = "both", small: int = SMALL) -> DataFrame:
+    """(graph_id, inode, cut_key, assoc_hash, edge_map_sig) of every subgraph in members (graph_id, inode, node_id; no repeats).
+
+    cut_key: the sorted keys of its boundary. assoc_hash: the hash of what is inside. edge_map_sig: which kind of member each key hangs on.
+    Subgraphs may overlap and be of any size. Those of graphs of at most small nodes and edges are one row each meanwhile, larger ones go by joins.
+    """
+    large = by_size(nodes, edges, small)
+    if large is None:
+        return _packed_index(members, nodes, edges, scope)
+    members = saved(members)
+    part = lambda how: (df.join(large, "graph_id", how) for df in (members, nodes, edges))
+    return _packed_index(*part("left_anti"), scope).union(_joined_index(*part("left_semi"), scope))
+
+
 def _order(edges: DataFrame, seed: str) -> DataFrame:
     """edges (graph_id, o, u, v) with o, which orders the subgraphs of a graph by seed, by hash and then by ends."""
     key = F.md5(seeded(seed, "graph_id", "src", "dst", "label"))

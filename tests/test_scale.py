@@ -145,3 +145,22 @@ def test_variants_broadcast_no_table_of_entries(spark, corpus, monkeypatch):
     assert len(plans) >= 3
     for line in "\n".join([*plans, result]).splitlines():
         assert "BroadcastHashJoin" not in line or any(x in line for x in small)
+
+
+@pytest.mark.parametrize("scope", ["label", "both"])
+def test_index_of_packed_graphs_is_that_of_joins(corpus, scope):
+    """Also for nodes without edges, members that aren't nodes and graphs without edges."""
+    from graphloom.operators import decompositions as d
+
+    n, e = (df.where("graph_id < 150") for df in corpus)
+    e = e.where("graph_id % 5 <> 0")
+    members = d.by_component(n, e.where("label = 'flag'")).union(n.select("graph_id", F.lit(900), F.col("node_id") + 1))
+    members = members.union(n.select("graph_id", F.lit(901), F.lit(77)).distinct())
+    by_joins = rows(d._joined_index(members, n, e, scope))
+    assert rows(d.index(members, n, e, scope)) == by_joins and rows(d.index(members, n, e, scope, small=4)) == by_joins
+
+
+def test_index_of_neighbourhoods_needs_no_shuffle(corpus):
+    from graphloom.operators import decompositions as d
+
+    assert "Exchange" not in plan(d.index(d.by_neighbourhood(*corpus), *corpus))
