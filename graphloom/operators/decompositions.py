@@ -78,7 +78,10 @@ def _packed_index(members: DataFrame, nodes: DataFrame, edges: DataFrame, scope:
     none = F.from_json(F.lit("[]"), both.schema["all"].dataType)  # a graph without edges
     ways = F.filter(F.coalesce("all", none), lambda w: within(w["src"]))
     each = each.select(*_PART, "own", F.filter("members", lambda m: within(m["node_id"])).alias("members"), ways.alias("out")).where(F.size("members") > 0)
-    hashed = wl_rounds(each.withColumn("ways", F.filter("out", lambda w: within(w["dst"]))), 3)
+    for ways in (None, F.filter("out", lambda w: within(w["dst"]))):  # exploded, so that no filter is taken again for each member and round
+        each = each if ways is None else each.withColumn("ways", ways)
+        each = each.select(*_PART, F.explode(F.array(F.struct(*each.columns[2:]))).alias("one")).select(*_PART, "one.*")
+    hashed = wl_rounds(each, 3)
     hashed = hashed.withColumn("at", F.map_from_entries(F.transform("members", lambda m: F.struct(m["node_id"], m["h"]))))
     cut = F.filter("out", lambda w: ~within(w["dst"]) & F.map_contains_key("at", w["src"]))
     key = lambda w: edge_key(scope, w["label"], w["lu"], w["lv"])
