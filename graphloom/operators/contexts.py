@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.corpora import saved
 from .matching import BLOCK, nearest, nearest_lists
-from .paths import disjoint_paths_between, joined_labels
+from .paths import disjoint_paths_between, followed_labels
 
+LISTED = 12  # nearest points that a point's list holds for the spanning tree
 LEAST = 1e-6  # the distance of points where no two differ
 
 
@@ -24,23 +25,27 @@ def _edge(w: str, i: str, j: str):
 def spanning_tree_of_points(points: DataFrame, near: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, dst, w): the minimum spanning tree of points (id, x) over all their distances, from near, their k nearest (i, j, rank, d).
 
-    Boruvka's rounds: each component takes its nearest edge out, ties by ends. A point whose list holds another component
-    needs no more; one whose list lies within its own is met with all points, block by block, unless the last of its list is already
-    farther than the best edge of its component. Distances are rounded to six places; those of 0 are no edges, so copies hang on other points.
+    Boruvka's rounds: each component but the largest takes its nearest edge out, ties by ends, so the points of the largest, soon nearly all, search
+    nothing. A point whose list holds another component needs no more; one whose list lies within its own is met with all points, block by block,
+    unless the last of its list is already farther than the best edge of its component. Distances are rounded to six places; those of 0 are no edges, so copies hang on other points.
     """
     vectors = saved(points.select("id", "x"))
     lists = saved(near.select("i", "j", "d"))
     last = saved(lists.groupBy(F.col("i").alias("id")).agg(F.max("d").alias("last")))
     label = saved(vectors.select("id", F.col("id").alias("c")))
     tree = None
-    while label.select("c").distinct().limit(2).count() > 1:
+    while True:
+        sizes = label.groupBy("c").count().orderBy(F.desc("count"), "c").limit(2).collect()
+        if len(sizes) < 2:
+            break
+        largest = sizes[0]["c"]
         named = lambda i, c: label.select(F.col("id").alias(i), F.col("c").alias(c))
         out = saved(lists.where("d > 0").join(named("i", "a"), "i").join(named("j", "b"), "j").where("a <> b"))
         both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-        offers = out.select(both.alias("ab"), _edge("d", "i", "j")).select("ab.a", "ab.b", "e")
+        offers = out.select(both.alias("ab"), _edge("d", "i", "j")).select("ab.a", "ab.b", "e").where(F.col("a") != largest)
         best = offers.groupBy("a").agg(F.min("e.w").alias("best"))
         own = out.groupBy(F.col("i").alias("id")).agg(F.min("d").alias("own"))
-        within = label.join(last, "id", "left").join(own, "id", "left").join(best, F.col("c") == F.col("a"), "left")
+        within = label.where(F.col("c") != largest).join(last, "id", "left").join(own, "id", "left").join(best, F.col("c") == F.col("a"), "left")
         shut = saved(within.where("(own is null or own = last) and (last is null or best is null or last <= best)").select("id", "c").join(vectors, "id"))
         if not shut.isEmpty():
             offers = offers.union(_nearest_outside(shut, vectors.join(label, "id"), block))
@@ -49,7 +54,7 @@ def spanning_tree_of_points(points: DataFrame, near: DataFrame, block: int = BLO
             break
         new = chosen.select("e.src", "e.dst", "e.w").distinct()
         tree = new if tree is None else tree.union(new)
-        label = joined_labels(label, chosen)
+        label = followed_labels(label, chosen)
     return tree if tree is not None else lists.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("d").alias("w")).limit(0)
 
 
@@ -59,8 +64,9 @@ def sparse_graph(points: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame
     Where all points are equal, every distance counts as LEAST. Null ids or vectors take no part; no or one point gives no rows.
     """
     points = saved(points.where("id is not null and x is not null").select("id", "x"))
-    near = saved(nearest(points, k, block))
-    tree = saved(spanning_tree_of_points(points, near, block))
+    lists = saved(nearest(points, max(k, LISTED), block))
+    near = lists.where(F.col("rank") <= k)
+    tree = saved(spanning_tree_of_points(points, lists, block))
     back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
     mutual = near.where("i < j").join(back, ["i", "j"], "left_semi").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("d").alias("w"))
     if tree.isEmpty():

@@ -145,6 +145,20 @@ def joined_labels(label: DataFrame, links: DataFrame) -> DataFrame:
             return saved(label.join(state, "c", "left").select("id", F.coalesce("new", "c").alias("c")))
 
 
+def followed_labels(label: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, c): labels (id, c) after each component a has joined the b that it chose; chosen (a, b) has an a once and no cycle but of two that chose each other.
+
+    Each component follows its chosen one's choice, so rounds double the steps: as many as the logarithm of the longest chain.
+    """
+    back = chosen.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("mutual"))
+    state = saved(chosen.select("a", "b").join(back, ["a", "b"], "left").select(F.col("a").alias("c"), F.when(F.col("mutual") & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("new")))
+    while True:
+        following = saved(state.join(state.select(F.col("c").alias("new"), F.col("new").alias("next")), "new", "left").select("c", F.coalesce("next", "new").alias("new"), (F.col("next") != F.col("new")).alias("moved")))
+        state = following.select("c", "new")
+        if following.where("moved").isEmpty():
+            return saved(label.join(state, "c", "left").select("id", F.coalesce("new", "c").alias("c")))
+
+
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """(src, dst, w): a minimum spanning forest of edges (src, dst, w) by Boruvka's rounds; ties by ends. Weights of zero are left out."""
     edges = saved(edges.where("w > 0 and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.min("w").alias("w")))

@@ -164,3 +164,37 @@ def test_index_of_neighbourhoods_needs_no_shuffle(corpus):
     from graphloom.operators import decompositions as d
 
     assert "Exchange" not in plan(d.index(d.by_neighbourhood(*corpus), *corpus))
+
+
+def test_pairs_of_points_meet_once_and_few_rows_are_sent(spark):
+    """A grid of blocks and shares: with blocks alone, all right points went to each of 64 blocks."""
+    points = _points(spark, 4096, 3)
+    sent = matching.met(points.select("id", "x"), points.select("id", "x"), 8192).select("id", "side", "cell").toPandas()
+    assert len(sent) <= 4096 * 16
+    left, right = (sent[sent["side"] == k].groupby("cell")["id"].apply(list) for k in (0, 1))
+    pairs = sum(len(left[c]) * len(right[c]) for c in left.index if c in right.index)
+    assert pairs == 4096**2 and set(left.index) == set(right.index)
+
+
+def test_largest_component_searches_nothing(spark, monkeypatch):
+    """Two distant clusters, the larger with far more points: only the smaller asks for its nearest point outside."""
+    from graphloom.operators import contexts
+
+    data = [(i, [float(i), 0.0]) for i in range(60)] + [(1000 + i, [1e4 + i, 0.0]) for i in range(20)]
+    points = spark.createDataFrame(data, "id long, x array<double>")
+    asked, search = [], contexts._nearest_outside
+    monkeypatch.setattr(contexts, "_nearest_outside", lambda shut, *more: asked.append({r["id"] for r in shut.collect()}) or search(shut, *more))
+    tree = rows(contexts.spanning_tree_of_points(points, matching.nearest(points, 2)))
+    assert len(tree) == 79 and (59, 1000, 9941.0) in tree
+    assert asked and asked[-1] and asked[-1] <= {i for i, _ in data[60:]}
+
+
+def test_labels_are_followed_by_doubling(spark, monkeypatch):
+    from graphloom.operators import paths
+
+    label = spark.createDataFrame([(i, i) for i in range(201)] + [(300, 300), (301, 301)], "id long, c long")
+    chosen = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (301, 300)], "a long, b long")
+    saves, save = [], paths.saved
+    monkeypatch.setattr(paths, "saved", lambda df: saves.append(1) or save(df))
+    assert rows(paths.followed_labels(label, chosen)) == [(i, 200) for i in range(201)] + [(300, 300), (301, 300)]
+    assert len(saves) <= 12
