@@ -198,3 +198,21 @@ def test_labels_are_followed_by_doubling(spark, monkeypatch):
     monkeypatch.setattr(paths, "saved", lambda df: saves.append(1) or save(df))
     assert rows(paths.followed_labels(label, chosen)) == [(i, 200) for i in range(201)] + [(300, 300), (301, 300)]
     assert len(saves) <= 12
+
+
+def test_lines_that_tie_are_ordered_by_all_columns(spark, sf_dir, tmp_path, monkeypatch):
+    """Only the first columns of the order are shuffled, and lines that they leave tied come out as by all of them."""
+    for name in ("lineitem", "part"):
+        df = corpora.table(spark, sf_dir, name)
+        if name == "lineitem":
+            df = df.where("l_orderkey < 200")
+            twin = df.where("l_orderkey % 7 = 0").withColumns({"l_tax": F.col("l_tax") / 2, "l_returnflag": F.when(F.col("l_returnflag") == "N", "R").otherwise("N")})
+            df = df.union(twin)
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    shuffled, lines = [], corpora._lines
+    monkeypatch.setattr(corpora, "_lines", lambda *a, **k: shuffled.append(lines(*a, **k)) or shuffled[-1])
+    n, e = corpora.derived(spark, str(tmp_path))
+    assert "l_shipdate" not in plan(shuffled[0]) and "Exchange" not in plan(e.groupBy("graph_id").count())
+    assert len(shuffled) == 2 and shuffled[1].select("graph_id").distinct().count() == twin.select("l_orderkey").distinct().count()
+    monkeypatch.undo()
+    assert rows(n) == rows(corpora.nodes(spark, str(tmp_path))) and rows(e) == rows(corpora.edges(spark, str(tmp_path)))
