@@ -91,11 +91,27 @@ def _distances_to_targets(ways: DataFrame, pairs: DataFrame, used: DataFrame) ->
         state = saved(state.union(frontier).groupBy("pair", "id").agg(F.min("dist").alias("dist")))
 
 
+def _traced(before: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, id, back): the nodes from each pair's target back to its source, back steps away; before (pair, id, to) names the node before each.
+
+    Steps of 1, 2, 4, ... nodes are made of one another until no target has one so long, then taken from the longest on.
+    """
+    ends = pairs.select("pair", F.col("target").alias("id"))
+    steps, step = [], before
+    while not ends.join(step, ["pair", "id"], "left_semi").isEmpty():
+        steps.append(step)
+        step = saved(step.join(step.select("pair", F.col("id").alias("to"), F.col("to").alias("next")), ["pair", "to"]).select("pair", "id", F.col("next").alias("to")))
+    trace = saved(ends.withColumn("back", F.lit(0)))
+    for k in reversed(range(len(steps))):
+        trace = saved(trace.union(trace.join(steps[k], ["pair", "id"]).select("pair", F.col("to").alias("id"), F.col("back") + (1 << k))))
+    return trace
+
+
 def disjoint_paths_between(edges: DataFrame, pairs: DataFrame, n_paths: int = 3) -> DataFrame:
     """(pair, path, pos, id): for each of pairs (pair, source, target) up to n_paths shortest paths, each over edges that the pair's paths before it haven't used.
 
     edges: undirected (src, dst, w); weights that aren't positive and finite are left out. Ties go to smaller nodes. All pairs
-    advance in the same joins: a round for each hop of the longest path, not a query for each node. A pair without a path has no rows.
+    advance in the same joins: a round for each hop of the longest path, not a query for each node, and are traced back by doubling. A pair without a path has no rows.
     """
     usable = edges.where((F.col("w") > 0) & (F.col("w") < float("inf")) & (F.col("src") != F.col("dst")))
     ways = saved(usable.select("src", "dst", "w").union(usable.select("dst", "src", "w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
@@ -106,17 +122,12 @@ def disjoint_paths_between(edges: DataFrame, pairs: DataFrame, n_paths: int = 3)
         dist = _distances_to_targets(ways, pairs, used)
         ends = pairs.join(dist, (pairs["pair"] == dist["pair"]) & (F.col("target") == F.col("id")), "left_semi")
         pairs = saved(ends)
-        trace = step = saved(pairs.select("pair", F.col("target").alias("id"), F.lit(0).alias("back")))
-        if step.isEmpty():
+        if pairs.isEmpty():
             break
-        while True:
-            open_ = step.join(pairs.select("pair", "source"), "pair").where("id <> source").select("pair", "back", F.col("id").alias("dst"))
-            into = open_.join(ways, "dst").select("pair", "back", "w", F.col("src").alias("id"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).join(used, ["pair", "a", "b"], "left_anti")
-            before = into.join(dist, ["pair", "id"]).groupBy("pair", "back").agg(F.min_by("id", F.struct(F.round(F.col("dist") + F.col("w"), 12), "id")).alias("id"))
-            step = saved(before.select("pair", "id", (F.col("back") + 1).alias("back")))
-            if step.isEmpty():
-                break
-            trace = trace.union(step)
+        into = dist.select("pair", "id", "dist").join(ways.withColumnRenamed("src", "id"), "id").select("pair", "id", "dist", "w", "dst", F.least("id", "dst").alias("a"), F.greatest("id", "dst").alias("b"))
+        into = into.join(used, ["pair", "a", "b"], "left_anti").join(pairs.select("pair", "source"), "pair").where("dst <> source")
+        before = into.groupBy("pair", "dst").agg(F.min_by("id", F.struct(F.round(F.col("dist") + F.col("w"), 12), "id")).alias("to")).withColumnRenamed("dst", "id")
+        trace = _traced(saved(before), pairs)
         length = trace.groupBy("pair").agg(F.max("back").alias("length"))
         path = saved(trace.join(length, "pair").select("pair", F.lit(k).alias("path"), (F.col("length") - F.col("back")).alias("pos"), "id"))
         found = path if found is None else found.union(path)

@@ -216,3 +216,16 @@ def test_lines_that_tie_are_ordered_by_all_columns(spark, sf_dir, tmp_path, monk
     assert len(shuffled) == 2 and shuffled[1].select("graph_id").distinct().count() == twin.select("l_orderkey").distinct().count()
     monkeypatch.undo()
     assert rows(n) == rows(corpora.nodes(spark, str(tmp_path))) and rows(e) == rows(corpora.edges(spark, str(tmp_path)))
+
+
+def test_paths_are_traced_by_doubling(spark, monkeypatch):
+    """A path of 100 nodes: tables are written a round of distances, but none a node on the way back."""
+    from graphloom.operators import paths
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(99)], "src long, dst long, w double")
+    before = edges.select(F.lit(1).cast("long").alias("pair"), F.col("dst").alias("id"), F.col("src").alias("to"))
+    pairs = spark.createDataFrame([(1, 0, 99), (2, 5, 5)], "pair long, source long, target long")
+    saves, save = [], paths.saved
+    monkeypatch.setattr(paths, "saved", lambda df: saves.append(1) or save(df))
+    assert rows(paths._traced(before, pairs)) == sorted([(1, i, 99 - i) for i in range(100)] + [(2, 5, 0)])
+    assert len(saves) <= 15
