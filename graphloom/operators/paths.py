@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import SMALL, by_size, packed
 from ..sources.corpora import both_ways, saved
 
 
@@ -33,8 +34,8 @@ def largest_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return each.groupBy("graph_id").agg(F.count("*").alias("n_components"), F.max_by("component", F.struct("n", -F.col("component"))).alias("largest"), F.max("n").alias("n_nodes"))
 
 
-def hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node_id, level): breadth-first depth from each graph's node of largest degree, ties to the smallest; -1 if out of reach."""
+def _joined_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """hops by joins, for graphs of any size."""
     ways = both_ways(edges).select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
     degree = nodes.join(ways.groupBy("graph_id", "node_id").agg(F.count("*").alias("deg")), ["graph_id", "node_id"], "left")
     start = degree.groupBy("graph_id").agg(F.min_by("node_id", F.struct(-F.coalesce("deg", F.lit(0)), F.col("node_id"))).alias("node_id"))
@@ -48,6 +49,37 @@ def hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id").join(seen, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
+def _packed_hops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """hops of small graphs: a queue folded over each graph's row."""
+    graphs = packed(nodes, edges).withColumn("ids", F.transform("members", lambda m: m["node_id"])).withColumn("ways", F.array_distinct(F.transform("ways", lambda w: F.struct(w["src"].alias("src"), w["dst"].alias("dst")))))
+    around = lambda n: F.transform(F.filter("ways", lambda w: w["src"] == n), lambda w: w["dst"])
+    start = F.array_min(F.transform("ids", lambda n: F.struct((-F.size(around(n))).alias("deg"), n.alias("n"))))["n"]
+    entry = lambda n, level: F.struct(n.alias("n"), level.cast("int").alias("level"))
+
+    def step(queue, i):
+        head = F.get(queue, i)
+        new = F.array_except(around(head["n"]), F.transform(queue, lambda x: x["n"]))
+        return F.when(F.size(queue) <= i, queue).otherwise(F.concat(queue, F.transform(new, lambda n: entry(n, head["level"] + 1))))
+
+    rounds = F.sequence(F.lit(0), F.size(F.array_distinct(F.transform("ways", lambda w: w["src"]))))
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    graphs = graphs.withColumn("start", F.array(entry(start, F.lit(0))).cast(f"array<struct<n:{kind},level:int>>"))
+    graphs = graphs.withColumn("level", F.map_from_entries(F.aggregate(rounds, F.col("start"), step)))
+    return graphs.select("graph_id", F.explode("ids").alias("node_id"), "level").select("graph_id", "node_id", F.coalesce(F.col("level")[F.col("node_id")], F.lit(-1)).alias("level"))
+
+
+def hops(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(graph_id, node_id, level): breadth-first depth from each graph's node of largest degree, ties to the smallest; -1 if out of reach.
+
+    Graphs of at most small nodes and edges are one row each meanwhile; larger ones go by joins, a level at a time.
+    """
+    large = by_size(nodes, edges, small)
+    if large is None:
+        return _packed_hops(nodes, edges)
+    part = lambda df, how: df.join(large, "graph_id", how)
+    return _packed_hops(part(nodes, "left_anti"), part(edges, "left_anti")).union(_joined_hops(part(nodes, "left_semi"), part(edges, "left_semi")))
+
+
 def shortest_distances(edges: DataFrame, source: int) -> DataFrame:
     """(id, dist) from a source over undirected edges (src, dst, w); weights that aren't positive and finite are left out."""
     usable = edges.where((F.col("w") > 0) & (F.col("w") < float("inf")))

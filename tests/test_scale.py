@@ -229,3 +229,15 @@ def test_paths_are_traced_by_doubling(spark, monkeypatch):
     monkeypatch.setattr(paths, "saved", lambda df: saves.append(1) or save(df))
     assert rows(paths._traced(before, pairs)) == sorted([(1, i, 99 - i) for i in range(100)] + [(2, 5, 0)])
     assert len(saves) <= 15
+
+
+def test_levels_of_packed_graphs_are_those_of_joins(spark, corpus):
+    """Also for loops, parallel edges, isolated nodes, graphs without edges and edges to missing nodes; and without a shuffle."""
+    from graphloom.operators import paths
+
+    n, e = (df.where("graph_id < 120") for df in corpus)
+    e = e.where("graph_id % 5 <> 0 and (graph_id % 3 <> 0 or label = 'flag')")
+    e = e.union(e).union(e.where("graph_id % 2 = 0").withColumn("dst", F.col("src"))).union(e.where("graph_id % 7 = 0").withColumn("dst", F.col("dst") + 50))
+    want = rows(paths._joined_hops(n, e))
+    assert rows(paths.hops(n, e)) == want and rows(paths.hops(n, e, small=3)) == want
+    assert "Exchange" not in plan(paths.hops(*corpus))
