@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_side, written
+from .shared import BROADCAST_ROWS, small_side, written
 
 WIDTH = 5  # words in a shingle
 SIMILARITY = 0.8
@@ -53,12 +53,17 @@ def _lanes(h: Column) -> list[Column]:
     return [bit(2 * k) + F.shiftleft(bit(2 * k + 1), 31) for k in range(LANES)]
 
 
-def _blocks(sums: list[Column], n: Column) -> list[Column]:
-    """The fingerprint of n shingles from the sums of their lanes, cut into BLOCKS numbers: a bit is set where more than half have it."""
+def _print(sums: list[Column], n: Column) -> Column:
+    """The fingerprint of n shingles from the sums of their lanes, in one number: a bit is set where more than half have it."""
     low = (1 << 31) - 1
     counts = [c for s in sums for c in (s.bitwiseAND(F.lit(low).cast("long")), F.shiftrightunsigned(s, 31))]
-    flag = lambda b, at: F.when(counts[b] * 2 > n, F.lit(1 << at)).otherwise(F.lit(0))
-    return [sum((flag(k * BITS + b, b) for b in range(1, BITS)), flag(k * BITS, 0)).alias(f"b{k}") for k in range(BLOCKS)]
+    return sum((F.when(c * 2 > n, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(counts)), F.lit(0).cast("long"))
+
+
+def _keys(mark: Column, n: Column) -> Column:
+    """For each block of a fingerprint a number with the length, the block's place and, in the last BITS bits, the block."""
+    at = lambda k: F.shiftrightunsigned(mark, k * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+    return F.array(*(F.shiftleft(n.cast("long"), BITS + 3) + (k << BITS) + at(k) for k in range(BLOCKS)))
 
 
 def _running(involved: DataFrame, texts: DataFrame) -> DataFrame:
@@ -119,14 +124,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     at_end = running.select("doc_id", "version", F.col("at").alias("end"), *(F.col(f"s{k}").alias(f"e{k}") for k in range(LANES)))
     at_start = running.select("doc_id", "version", F.col("at").alias("start"), *((F.col(f"s{k}") - F.col(f"l{k}")).alias(f"f{k}") for k in range(LANES)))
     windows = starts.withColumn("end", F.col("start") + F.col("n") - 1).join(at_end, ["doc_id", "version", "end"]).join(at_start, ["doc_id", "version", "start"])
-    prints = windows.select("doc_id", "version", "start", "n", *_blocks([F.col(f"e{k}") - F.col(f"f{k}") for k in range(LANES)], F.col("n")))
+    prints = windows.select("doc_id", "version", "start", "n", _print([F.col(f"e{k}") - F.col(f"f{k}") for k in range(LANES)], F.col("n")).alias("print"))
     sums = items.select("item", "n", F.explode("hs").alias("h")).select("item", "n", *(c.alias(f"l{k}") for k, c in enumerate(_lanes(F.col("h"))))).groupBy("item", "n").agg(*(F.sum(f"l{k}").alias(f"l{k}") for k in range(LANES)))
-    item_prints = sums.select("item", "n", *_blocks([F.col(f"l{k}") for k in range(LANES)], F.col("n")))
-
-    each = lambda df: df.select("*", F.posexplode(F.array(*(f"b{k}" for k in range(BLOCKS)))).alias("block", "value"))
-    nearby = each(item_prints).withColumn("mask", F.explode(F.lit(_WITHIN))).select("item", "n", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), *(F.col(f"b{k}").alias(f"c{k}") for k in range(BLOCKS)))
-    distance = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in range(BLOCKS)), F.lit(0))
-    met = each(prints).join(nearby, ["n", "block", "value"]).where(distance <= RADIUS).select("doc_id", "version", "item", "n", "start").distinct()
+    item_prints = sums.select("item", "n", _print([F.col(f"l{k}") for k in range(LANES)], F.col("n")).alias("other"))
+
+    # Each item has a row for every block and mask. They are three numbers, as a broadcast of them is made in the driver's memory.
+    each = item_prints.select("item", "other", F.explode(_keys(F.col("other"), F.col("n"))).alias("key"))
+    nearby = each.withColumn("mask", F.explode(F.lit(_WITHIN))).select(F.col("key").bitwiseXOR(F.col("mask").cast("long")).alias("key"), "item", "other")
+    nearby = nearby.hint("broadcast" if items.count() * BLOCKS * len(_WITHIN) <= BROADCAST_ROWS else "merge")
+    met = prints.withColumn("key", F.explode(_keys(F.col("print"), F.col("n")))).join(nearby, "key")
+    met = met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= RADIUS).select("doc_id", "version", "item", "n", "start").distinct()
 
     found = _shared(near, met).withColumn("similarity", F.col("shared") / (2 * F.col("n") - F.col("shared"))).select("doc_id", "version", "item", "start", "similarity")
     lengths = whole.select("doc_id", "version", F.size(shingles(F.col("text"))).alias("m"))

@@ -451,6 +451,15 @@ def test_documents_shorter_than_the_item(spark):
     assert got == {(0, 1): (round(54 / 55, 6), 1), (1, 1): (round(54 / 55, 6), 1), (2, 1): (0.8, 1), (4, 1): (1.0, 1)}
 
 
+def test_fingerprints_meet_by_one_number(spark):
+    """What is broadcast of the items and their masks is three numbers a row, with one key; at first it was nine columns with three keys."""
+    w = " ".join(f"u{i}" for i in range(30))
+    found = decontaminate.contaminated(docs(spark, [w]), spark.createDataFrame([(1, w)], "item_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashJoin \[key#\d+L\], \[key#\d+L\]", plan) and "value#" not in plan
+    assert [(x["doc_id"], x["similarity"]) for x in found.collect()] == [(0, 1.0)]
+
+
 # 6. chat
 
 
