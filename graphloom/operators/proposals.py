@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SMALL, uniform
-from ..sources.corpora import saved, spread
+from ..sources.corpora import by_graph, dealt, saved, spread, tasks_for
 from .cuts import virtual_cut
-from .ranking import numbered_in
+from .ranking import numbered
 from .sampling import seeded
 
 CHUNK = 1 << 16  # ranks of one graph that a row stands for before they are dealt out
@@ -103,8 +103,9 @@ def proposals(nodes: DataFrame, edges: DataFrame, wanted: int = 2, misses: int =
     and most_nodes bound them) and running counts cut them off. Each hit draws one of its donors.
     """
     index = saved(virtual_cut(edges).where(F.col("graph_id") % 2 == 1).where(F.col("cut_size") <= most_nodes).select("cut_key", "cut_size", F.col("graph_id").alias("donor_graph"), F.col("inode").alias("donor_inode")))
-    donors = numbered_in(index, "cut_key", "donor_graph", "donor_inode", name="draw")
-    known = index.groupBy("cut_key").agg(F.count("*").alias("n_donors"))
+    of_index = tasks_for(index.sparkSession, index.count())
+    donors = saved(numbered(index, "cut_key", "donor_graph", "donor_inode", name="place", tasks=of_index))  # so a key's donors have places in a row
+    known = saved(donors.groupBy("cut_key").agg(F.count("*").alias("n_donors"), F.min("place").alias("_first")))
     weight = {r["cut_size"]: r["n"] for r in index.groupBy("cut_size").agg(F.count("*").alias("n")).collect()}  # a row a size
     running = [sum(weight.get(j, 0) for j in range(1, k + 1)) for k in range(1, most_nodes + 1)]
 
@@ -122,14 +123,20 @@ def proposals(nodes: DataFrame, edges: DataFrame, wanted: int = 2, misses: int =
         ranks = every.where(F.col("k") == j).select("graph_id", "attempt", "k", F.floor(u("set") * choose(F.col("n"), j)).alias("rank"))
         found = _labelled(unranked(ranks, "rank", j), part, SMALL)
         sets = found if sets is None else sets.union(found)
-    tried = saved(sets.select("graph_id", "attempt", "k", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("nodes"), F.col("key").alias("cut_key")).join(known, "cut_key", "left"))
+    sets = sets.select("graph_id", "attempt", "k", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("nodes"), F.col("key").alias("cut_key"))
+    rows = size.count() * (attempts + most_nodes)
+    n = tasks_for(sets.sparkSession, rows)
+    tried = by_graph(dealt(sets, n, "cut_key").join(dealt(known, n, "cut_key"), "cut_key", "left"), rows)
 
     before = W.partitionBy("graph_id").orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
     count = lambda c: F.coalesce(F.count_if(c).over(before), F.lit(0))
     hit = F.col("n_donors").isNotNull()
     main = tried.where(F.col("attempt") <= attempts).withColumns({"hits": count(hit), "missed": count(~hit)}).where((F.col("hits") < wanted) & (F.col("missed") < misses)).drop("hits", "missed")
     so_far = main.groupBy("graph_id").agg(F.count("n_donors").alias("got"), F.collect_set("k").alias("ks"))
-    sweep = tried.where(F.col("attempt") > attempts).join(so_far, "graph_id", "left").where(F.col("ks").isNull() | ~F.array_contains("ks", F.col("k")))
+    sweep = tried.where(F.col("attempt") > attempts).join(spread(so_far), "graph_id", "left").where(F.col("ks").isNull() | ~F.array_contains("ks", F.col("k")))
     sweep = sweep.withColumn("hits", F.coalesce("got", F.lit(0)) + count(hit)).where(F.col("hits") < wanted).select(*main.columns)
     kept = main.union(sweep).where(hit)
-    return kept.withColumn("draw", (F.floor(u("donor") * F.col("n_donors")) + 1).cast("int")).join(donors, ["cut_key", "draw"]).select("graph_id", "attempt", "k", "nodes", "cut_key", "n_donors", "donor_graph", "donor_inode")
+    place = F.col("_first") + F.floor(u("donor") * F.col("n_donors"))
+    n = max(n, of_index)
+    drawn = dealt(kept.withColumn("place", place), n, "place").join(dealt(donors.drop("cut_key", "cut_size"), n, "place"), "place")
+    return drawn.select("graph_id", "attempt", "k", "nodes", "cut_key", "n_donors", "donor_graph", "donor_inode")

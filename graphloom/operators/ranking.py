@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.corpora import saved, spread
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, name: str = "position", tasks: int = 0) -> DataFrame:
     """df with name (long): the place of each row in the order, gapless from 0.
 
     Rows are dealt to tasks by ranges of the order and sorted there. A row's place is its place in the range plus the rows of the
     ranges before it, of which there are as many as shuffle partitions. Rows that are equal in all of order have
     any places among themselves, so order should hold whatever tells rows apart. df is evaluated twice (ranges are sampled first).
+    There are as many ranges as tasks, if given, else as shuffle partitions.
     """
     at, part, before = (f"_{name}_{x}" for x in ("at", "range", "before"))
-    dealt = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    dealt = saved((df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
     total, starts = 0, []
     for row in dealt.groupBy(F.shiftright(at, 33).alias(part)).count().orderBy(part).collect():
         starts.append((row[part], total))

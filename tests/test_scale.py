@@ -39,6 +39,15 @@ def test_node_sets_do_not_broadcast_the_nodes(corpus, k):
     assert "Broadcast" not in plan(proposals.node_sets(corpus[0], k))
 
 
+def test_proposals_deal_attempts_by_graph_once(corpus, monkeypatch):
+    """Attempts lie in buckets whose rows don't grow with the table; at first the last step dealt them by graph_id to a fixed number of tasks."""
+    found = proposals.proposals(*corpus)
+    assert "hashpartitioning(graph_id" not in plan(found)
+    monkeypatch.setattr(corpora, "ROWS", 500)
+    dealt = proposals.proposals(*corpus)
+    assert plan(dealt).count("REPARTITION_BY_NUM") == 2 and rows(dealt) == rows(found)
+
+
 def test_corpus_is_written_once_in_buckets(corpus):
     n, e = corpus
     assert n.inputFiles() and sorted(n.inputFiles()) == sorted(e.inputFiles())
