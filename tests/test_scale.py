@@ -48,6 +48,15 @@ def test_proposals_deal_attempts_by_graph_once(corpus, monkeypatch):
     assert plan(dealt).count("REPARTITION_BY_NUM") == 2 and rows(dealt) == rows(found)
 
 
+def test_retrieval_makes_profiles_once(spark, sf_dir, monkeypatch):
+    """At first all subgraphs got their profiles twice, for the sources and again for the donors."""
+    import __spark_entry__ as entry
+
+    calls, made = [], matching.port_profiles
+    monkeypatch.setattr(matching, "port_profiles", lambda parts: calls.append(1) or made(parts))
+    assert entry.queries()["j_retrieve"](spark, sf_dir).count() > 0 and len(calls) == 1
+
+
 def test_corpus_is_written_once_in_buckets(corpus):
     n, e = corpus
     assert n.inputFiles() and sorted(n.inputFiles()) == sorted(e.inputFiles())
