@@ -644,6 +644,26 @@ def test_top_k_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("held", [2**22, 40])
+def test_top_k_streams_vectors_past_groups_of_queries(spark, monkeypatch, held):
+    """Tasks get vectors row by row. At first a row held a block of queries and one of vectors, and an Arrow batch all such rows of a task, which grew with the square of the table."""
+    monkeypatch.setattr(topk, "HELD", held)
+    r = random.Random(8)
+    rows = [(i % 90 if i % 4 else i, [float(r.randint(-2, 2)) / 256 for _ in range(3 if i % 3 else 5)]) for i in range(150)]
+    rows += [(1000 + i, rows[0][1]) for i in range(70)] + [(2000, [90.0] * 3), (2050, [1e9] * 3), (2051, [3e6] * 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    first = vectors.where("vec_id % 10 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    found = topk.top_k(vectors, first, 4, block=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+    ints = [(i, [int(x * 256 // 1) for x in v]) for i, v in rows]
+    want = set()
+    for q, v in ((x["vec_id"], [int(y * 256 // 1) for y in x["embedding"]]) for x in first.collect()):
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q and len(w) == len(v))[:4]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(x) for x in found.collect()} == want
+
+
 # pipeline and registry
 
 
