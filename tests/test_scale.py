@@ -259,3 +259,15 @@ def test_levels_of_packed_graphs_are_those_of_joins(spark, corpus):
     want = rows(paths._joined_hops(n, e))
     assert rows(paths.hops(n, e)) == want and rows(paths.hops(n, e, small=3)) == want
     assert "Exchange" not in plan(paths.hops(*corpus))
+
+
+def test_transitions_join_nothing(spark, corpus):
+    """Neighbours bring their hashes along in their graph's row: at first two tables of all subgraphs' hashes were broadcast. Large graphs, which go by joins, give the same rows."""
+    e = corpus[1]
+    assert "Join" not in plan(matching.transitions(e)) and "Join" not in plan(cuts.overlap_signatures(e))
+    few = e.where("graph_id < 300")
+    types = matching.components(few).select("graph_id", "inode", "img_type")
+    steps = matching.port_types(few).join(types.toDF("graph_id", "i", "prev"), ["graph_id", "i"]).join(types.toDF("graph_id", "j", "next"), ["graph_id", "j"])
+    want = rows(steps.groupBy("prev", "type", "next").count())
+    assert want == rows(matching.transitions(few).drop("rank")) == rows(matching.transitions(few, small=3).drop("rank"))
+    assert rows(cuts.overlap_signatures(few)) == rows(cuts.overlap_signatures(few, small=3))
