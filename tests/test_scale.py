@@ -271,3 +271,22 @@ def test_transitions_join_nothing(spark, corpus):
     want = rows(steps.groupBy("prev", "type", "next").count())
     assert want == rows(matching.transitions(few).drop("rank")) == rows(matching.transitions(few, small=3).drop("rank"))
     assert rows(cuts.overlap_signatures(few)) == rows(cuts.overlap_signatures(few, small=3))
+
+
+def test_contexts_in_the_row_of_a_graph(corpus):
+    """The contexts and entries that joins give, without a shuffle: at first each was dealt by subgraph several times."""
+    n, e = corpus
+    assert "Exchange" not in plan(cuts.indexed_contexts(n, e))
+    n, e = (df.where("graph_id < 400") for df in corpus)
+    want = rows(cuts.cut_index(e).join(cuts.contexts(n, e), ["graph_id", "inode"]))
+    assert rows(cuts.indexed_contexts(n, e)) == want == rows(cuts.indexed_contexts(n, e, small=3))
+    made = cuts.distinct_contexts(cuts.cut_index(e), cuts.contexts(n, e), 1.5)
+    assert rows(cuts.variants(n, e, 1.5)) == rows(made) == rows(cuts.distinct_contexts(cuts.cut_index(e), cuts.contexts(n, e), 1.5, 2))
+
+
+def test_keys_of_entries_are_not_shuffled_by_subgraph(corpus, monkeypatch):
+    """Subgraphs are grouped by a digest of their entry; the key's text comes from the first subgraph of each entry."""
+    plans, save = [], cuts.saved
+    monkeypatch.setattr(cuts, "saved", lambda df: plans.append(plan(df)) or save(df))
+    cuts.variants(*corpus, 1.5)
+    assert plans and "numbered" not in "".join(plans) and all("cut_key" not in line for p in plans for line in p.splitlines() if "Exchange" in line)
