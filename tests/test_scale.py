@@ -290,3 +290,23 @@ def test_keys_of_entries_are_not_shuffled_by_subgraph(corpus, monkeypatch):
     monkeypatch.setattr(cuts, "saved", lambda df: plans.append(plan(df)) or save(df))
     cuts.variants(*corpus, 1.5)
     assert plans and "numbered" not in "".join(plans) and all("cut_key" not in line for p in plans for line in p.splitlines() if "Exchange" in line)
+
+
+def test_repairs_of_copies_are_scored_once(spark, corpus, monkeypatch):
+    """Copies of a source have its repair, and make no more rewrites to score; at first each graph had its own. A graph that is source and donor isn't its own donor."""
+    from graphloom.operators import repair
+
+    made, save = [], repair.saved
+    monkeypatch.setattr(repair, "saved", lambda df: made.append(save(df)) or made[-1])
+    n, e = (df.where("graph_id < 160") for df in corpus)
+    own = n.select("graph_id").distinct()
+    again = lambda df: df.union(df.where("graph_id % 2 = 0").withColumn("graph_id", F.col("graph_id") + 10_000))
+    odd = own.where("graph_id % 2 = 1")
+    once = rows(repair.repairs(n, e, own.where("graph_id % 2 = 0"), odd))
+    scored = [df.count() for df in made if {"donor_ends", "edge"} <= set(df.columns)]
+    made.clear()
+    twice = rows(repair.repairs(again(n), again(e), again(own).where("graph_id % 2 = 0"), odd))
+    assert twice == sorted(once + [(g + 10_000, *x) for g, *x in once]) and once
+    assert scored and scored == [df.count() for df in made if {"donor_ends", "edge"} <= set(df.columns)]
+    mixed = rows(repair.repairs(n, e, own, own))
+    assert mixed and all(r[0] != r[2] for r in mixed)
