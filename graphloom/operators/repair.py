@@ -34,11 +34,12 @@ def _digest(*values: Column) -> Column:
 
 
 def _parts(edges: DataFrame, graphs: DataFrame, scope: str, bits: int) -> DataFrame:
-    """(graph_id, inode, cut_size, cut_key, assoc_hash, ends) of the subgraphs of some graphs: their boundary by scope, and the buckets of both labels, sorted."""
+    """(graph_id, inode, cut_size, cut_key, assoc_hash, ends) of the subgraphs of graphs, and what else these hold (each graph once): their boundary by scope, and the buckets of both labels, sorted."""
     key = lambda c: edge_key(scope, c["elabel"], F.element_at(F.split(c["ekey"], r"\|"), -2), F.substring_index(c["ekey"], "|", -1))
-    parts = pair_hash(edge_contexts(edges.join(spread(graphs), "graph_id", "left_semi"))).withColumn("cut_key", F.array_join(F.array_sort(F.transform("cut", key)), ";"))
+    keep = tuple(c for c in graphs.columns if c != "graph_id")
+    parts = pair_hash(edge_contexts(edges.join(spread(graphs), "graph_id"), keep=keep, within=edges)).withColumn("cut_key", F.array_join(F.array_sort(F.transform("cut", key)), ";"))
     ends = F.array_sort(F.array(*(bucket(F.col(c), bits).cast("int") for c in ("lu", "lv"))))
-    return parts.select("graph_id", "inode", F.size("cut").alias("cut_size"), "cut_key", "assoc_hash", ends.alias("ends"))
+    return parts.select("graph_id", "inode", F.size("cut").alias("cut_size"), "cut_key", "assoc_hash", ends.alias("ends"), *keep)
 
 
 def repairs(nodes: DataFrame, edges: DataFrame, sources: DataFrame, donors: DataFrame, k: int = 5, scope: str = "label", bits: int = BITS) -> DataFrame:
@@ -76,7 +77,7 @@ def repairs(nodes: DataFrame, edges: DataFrame, sources: DataFrame, donors: Data
     target = saved(mean.join(spread(aims.select("aim", "kind")), "aim").join(spread(vectors.select("kind", "vector")), "kind").select("aim", "vector", "mean"))
 
     edge = F.unhex(digest(F.hex("aim"), F.col("cut_size").cast("string"), "cut_key", "assoc_hash", F.array_join("ends", ",")))
-    own = saved(_parts(edges, aimed.select("graph_id"), scope, bits).join(spread(aimed.select("graph_id", "aim")), "graph_id").withColumn("edge", edge))
+    own = saved(_parts(edges, aimed.select("graph_id", "aim"), scope, bits).withColumn("edge", edge))
     theirs = _parts(edges, pairs.select(F.col("donor_graph").alias("graph_id")).distinct(), scope, bits).toDF("donor_graph", "donor_inode", "cut_size", "cut_key", "donor_hash", "donor_ends")
     offers = saved(pairs.join(spread(theirs), "donor_graph"))
     both = own.dropDuplicates(["edge"]).drop("graph_id", "inode").join(spread(offers), ["aim", "cut_size", "cut_key"]).where("assoc_hash <> donor_hash")

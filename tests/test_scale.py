@@ -310,3 +310,24 @@ def test_repairs_of_copies_are_scored_once(spark, corpus, monkeypatch):
     assert scored and scored == [df.count() for df in made if {"donor_ends", "edge"} <= set(df.columns)]
     mixed = rows(repair.repairs(n, e, own, own))
     assert mixed and all(r[0] != r[2] for r in mixed)
+
+
+def test_rewritten_graphs_are_broadcast_nowhere(corpus, monkeypatch):
+    """Neither the subgraphs nor the rewritten edges: the corpus is compressed so well that Spark takes them for small."""
+    from graphloom.operators import rewriting
+
+    plans, save = [], rewriting.saved
+    chosen = save(rewriting.replacements(corpus[1]))
+    monkeypatch.setattr(rewriting, "saved", lambda df: plans.append(plan(df)) or save(df))
+    result = plan(rewriting.replaced(corpus[1], chosen))
+    assert plans and "BroadcastHashJoin" not in "".join([*plans, result])
+
+
+def test_contexts_keep_what_a_graph_holds(corpus):
+    """Also those of large graphs, which go by joins; and where all edges are given, that these are part of."""
+    from graphloom.functions.hashing import SMALL
+
+    e = corpus[1].where("graph_id < 200").withColumn("asked", F.col("graph_id") * 2)
+    found = [cuts.edge_contexts(e, small, keep=("asked",), within=corpus[1]) for small in (SMALL, 3)]
+    sorted_parts = lambda df: rows(df.withColumns({c: F.array_sort(c) for c in ("cut", "near")}))
+    assert sorted_parts(found[0]) == sorted_parts(found[1]) and found[0].where("asked <> 2 * graph_id").isEmpty()
